@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm import lines, ngrams, rules, shards, simhash
+from quarry.llm import license as licenses
+from quarry.llm import toxicity as toxic
 from quarry.llm.bpe import bpe
-from quarry.llm.common import documents
+from quarry.llm.common import crc_mod, documents
+from quarry.llm.multiset import edited_fingerprints
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -18,6 +22,42 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score(documents(spark, sf_dir), ngrams.held_out_by("doc_id", 7, 2))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxic.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(documents(spark, sf_dir)).drop("blocks")
+
+
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.ledger(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~rules.kept("base-1")).alias("base_failed"), rules.kept("full-1").alias("kept"), "failures")
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.sharded(documents(spark, sf_dir))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(documents(spark, sf_dir), tokenizer_path()).select(
         "doc_id",
@@ -28,7 +68,51 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op10_bpe": op10_bpe,
+    f.__name__: f
+    for f in (op1_simhash, op2_ngram_lm, op3_toxicity, op4_license, op5_lines, op6_rules, op8_fingerprints, op9_sharding, op10_bpe)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: A-Z to lower case, and the blanks, in DuckDB.
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_lines": f"""
+        WITH each AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+            FROM documents),
+        keyed AS (SELECT *, {_LOWER.format(f"trim(line, {_BLANKS})")} AS key FROM each),
+        often AS (
+            SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20
+            GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+        SELECT doc_id, count(*) AS n_lines,
+               count(*) FILTER (WHERE doc_id < keeper) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE keeper IS NULL OR doc_id >= keeper), '')) AS kept_sha256
+        FROM keyed LEFT JOIN often USING (key) GROUP BY doc_id""",
+    "op6_rules": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+                   list_filter(string_split(t, chr(10)), lambda x: trim(x, {_BLANKS}) <> '') AS l,
+                   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                   length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars FROM d),
+        g AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
+        again AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) >= 2),
+        steps AS (SELECT doc_id, least(8, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -8)) AS n FROM again),
+        r AS (SELECT doc_id, sum(n) AS n FROM steps GROUP BY doc_id),
+        m AS (
+            SELECT doc_id, len(w)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+                   len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+            FROM w LEFT JOIN r USING (doc_id)),
+        f AS (
+            SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END
+                + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
+                + CASE WHEN 2 * n_symbols > n_words THEN 4 ELSE 0 END
+                + CASE WHEN n_dup_lines >= 4 AND 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
+                + CASE WHEN word_chars > 40 * n_words THEN 16 ELSE 0 END)::BIGINT AS failures FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM f""",
+}

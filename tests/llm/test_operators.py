@@ -1,0 +1,384 @@
+"""The operators against brute force, on small tables with every awkward case."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import pytest
+import xxhash
+from pyspark.sql import types as T
+
+from quarry.llm import bpe, common, lines, multiset, ngrams, queries, rules, shards, simhash, toxicity
+from quarry.llm import license as licenses
+
+BLANK = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def words(text):
+    return [x for x in BLANK.split(lower(text or "")) if x]
+
+
+def corpus():
+    r = random.Random(7)
+    vocabulary = ["the", "of", "and", "lake", "Straße", "naïve", "été", "x", "report", "data", "Moon", "a\x1cb", "wörter,", "99%"] + [f"w{i}" for i in range(150)]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.randint(5, 120))) for _ in range(60)]
+    shared = "This line is shared by several documents"
+    texts += [f"{texts[i]}\n{shared if i % 2 else '  ' + shared.upper() + chr(9)}\n{texts[i + 1]}" for i in range(6)]
+    near = texts[3].split()
+    texts += [texts[0], texts[0], texts[0], " ".join([*near[:-1], "changed"]), " ".join(near[1:])]
+    texts += ["", None, " \t\r", "one", "one two", "é" * 30, "Licensed under CC BY-NC 4.0 here.\nAll rights reserved. CC-BY cc by", "released under the MIT license.", "eight words stand here and they do repeat " * 5, "# * $ % & | < >" * 4, "long" * 5000, "a b " * 4000, "<|endoftext|> don't ΣΑΣ ok"]
+    return [(i * 3, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def awkward(spark):
+    """Null keys, repeated rows, nulls everywhere, and columns whose names the operators use inside."""
+    rows = [(None, None, 1, "x"), (None, "some text of no key", 2, None), (5, "twice the same row", None, "y"), (5, "twice the same row", None, "y"), (6, "", 3, "z")]
+    return spark.createDataFrame(rows, "doc_id long, text string, fp long, lost string")
+
+
+@pytest.fixture(scope="session")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows(df, key="doc_id"):
+    return {x[key]: x for x in df.collect()}
+
+
+def brute_fingerprint(text):
+    w = words(text)
+    if not w:
+        return 0
+    grams = [w[i : i + 4] for i in range(len(w) - 3)] or [w]
+    hashes = [xxhash.xxh64_intdigest(" ".join(g).encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(prints, radius):
+    parent = {d: d for d in prints}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(prints)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= radius:
+                ra, rb = find(a), find(b)
+                parent[max(ra, rb)] = min(ra, rb)
+    return {d: find(d) for d in ids}
+
+
+def test_simhash(docs):
+    want = {d: brute_fingerprint(t) for d, t, *_ in corpus()}
+    got = rows(simhash.near_duplicates(docs))
+    assert {d: x["fp"] % (1 << 64) for d, x in got.items()} == want
+    assert {d: x["component_id"] for d, x in got.items()} == brute_components(want, 4)
+
+
+@pytest.mark.parametrize(("bands", "bucket"), [(None, 8192), (5, 7), (6, 8192), (7, 3)])
+def test_simhash_links(spark, bands, bucket):
+    r = random.Random(1)
+    prints = {0: 0, 1: (1 << 64) - 1}
+    for i in range(60):
+        base = r.getrandbits(64)
+        for k in range(r.choice([1, 2, 6, 40]) if i % 6 == 0 else 2):
+            prints[len(prints)] = base ^ sum(1 << r.randrange(64) for _ in range(r.randint(0, 5))) & (1 << 64) - 1
+            base = prints[len(prints) - 1] if i % 2 else base
+    dense = r.getrandbits(64)
+    for i in range(200):
+        prints[len(prints)] = dense ^ (1 << i % 64) ^ (1 << i * 7 % 64)
+    want = brute_components(prints, 4)
+    distinct = spark.createDataFrame([(simhash.signed(x),) for x in set(prints.values())], "fp long")
+    roots = {x["node"]: x["root"] for x in common.star_components(simhash.links(distinct, 4, bands, bucket)).collect()}
+    label = {d: roots.get(simhash.signed(x), simhash.signed(x)) for d, x in prints.items()}
+    groups = defaultdict(set)
+    for d in prints:
+        groups[label[d]].add(want[d])
+    assert all(len(x) == 1 for x in groups.values())
+    assert len(groups) == len(set(want.values()))
+
+
+def test_simhash_one_of_each(docs, awkward, empty):
+    got = simhash.one_of_each(docs)
+    found = rows(simhash.near_duplicates(docs))
+    assert got.columns == docs.columns
+    assert sorted(x["doc_id"] for x in got.collect()) == sorted({x["component_id"] for x in found.values()})
+    assert sorted((x["doc_id"] or -1) for x in simhash.one_of_each(awkward).collect()) == [-1, -1, 5, 6]
+    assert simhash.one_of_each(empty).count() == 0
+
+
+def test_ngrams(docs):
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, *_ in corpus()}
+    text = {d: [*words(t), " end"] for d, t, *_ in corpus()}
+    unigrams, pairs = Counter(), Counter()
+    for d, t in text.items():
+        if not held[d]:
+            unigrams.update(t)
+            pairs.update(zip([" end", *t[:-1]], t, strict=True))
+    n, v = sum(unigrams.values()), len(unigrams)
+    fans = Counter(h for h, _ in pairs)
+    got = rows(ngrams.score(docs, ngrams.held_out_by()))
+    assert set(got) == set(text)
+    for d, t in text.items():
+        lm = base = 0.0
+        for h, w in zip([" end", *t[:-1]], t, strict=True):
+            p = (unigrams[w] + 1) / (n + v + 1)
+            base += math.log10(p)
+            if pairs[h, w]:
+                p = (pairs[h, w] - ngrams.DISCOUNT) / unigrams[h]
+            elif unigrams[h]:
+                p *= ngrams.DISCOUNT * fans[h] / unigrams[h]
+            lm += math.log10(p)
+        x = got[d]
+        assert (x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"]) == (held[d], len(t), sum(unigrams[w] > 0 for w in t), n)
+        assert x["base_score"] == pytest.approx(base, rel=1e-9)
+        assert x["score"] == pytest.approx(lm, abs=1e-4 * len(t))
+
+
+def test_ngrams_awkward(awkward, empty):
+    got = ngrams.score(awkward, ngrams.held_out_by()).collect()
+    assert sorted((x["doc_id"] or -1, x["n_tokens"]) for x in got) == [(-1, 1), (-1, 6), (5, 5), (5, 5), (6, 1)]
+    assert ngrams.score(empty, ngrams.held_out_by()).count() == 0
+
+
+def test_licenses(docs, awkward, empty):
+    got = rows(licenses.license_scan(docs))
+    for d, t, *_ in corpus():
+        folded = re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]", " ", lower(t or ""))
+        w = folded.split(" ")
+        w = [x for x in w if x]
+        base = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        labels = {x for _, x in base}
+        share = 0.0
+        for line in lower(t or "").split("\n"):
+            own = set(re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]", " ", line).split(" ")) - {""}
+            for label, template in licenses.TEMPLATES.items():
+                s = len(own & set(template.split())) / len(set(template.split()))
+                if s >= licenses.THRESHOLD:
+                    labels.add(label)
+                    share = max(share, s)
+        starts = [i for i, _ in base]
+        x = got[d]
+        assert (x["n_words"], x["n_base"], x["first_word"], x["last_word"]) == (len(w), len(base), min(starts, default=None), max(starts, default=None)), d
+        assert (x["base_labels"], x["labels"]) == (",".join(sorted({b for _, b in base})), ",".join(sorted(labels)))
+        assert x["score"] == pytest.approx(1.0 if base else share)
+    assert licenses.license_scan(awkward).count() == 5
+    assert licenses.license_scan(empty).count() == 0
+
+
+def brute_lines(table):
+    def key(line):
+        k = lower(line.strip(" \t\n\x0b\x0c\r"))
+        return k if len(k) >= 20 else None
+
+    held = defaultdict(set)
+    for d, t, *_ in table:
+        for x in (t or "").split("\n"):
+            if key(x):
+                held[key(x)].add(-1 if d is None else d)
+    out = []
+    for d, t, *_ in table:
+        own = (t or "").split("\n")
+        kept = [x for x in own if not (key(x) and len(held[key(x)]) >= 3 and (-1 if d is None else d) < max(held[key(x)]))]
+        out.append((d, len(own), len(own) - len(kept), "\n".join(kept)))
+    return sorted(out, key=str)
+
+
+def test_lines(spark, docs, awkward, empty):
+    got = lines.dedup_lines(docs)
+    assert sorted(((x["doc_id"], x["n_lines"], x["n_dropped"], x["text"]) for x in got.collect()), key=str) == brute_lines(corpus())
+    r = random.Random(3)
+    pool = [f"a line long enough to count, number {i}" for i in range(40)]
+    table = [(r.randrange(50), "\n".join(r.sample(pool, 5))) for _ in range(60)] + [(None, pool[0]), (None, None)]
+    got = lines.dedup_lines(spark.createDataFrame(table, "doc_id long, text string").repartition(7))
+    assert sorted(((x["doc_id"], x["n_lines"], x["n_dropped"], x["text"]) for x in got.collect()), key=str) == brute_lines(table)
+    assert lines.dedup_lines(awkward).columns == [*awkward.columns, "n_lines", "n_dropped"]
+    assert lines.dedup_lines(awkward).count() == 5
+    assert lines.dedup_lines(empty).count() == 0
+
+
+def test_bloom_has_no_misses():
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    lo, hi = r.integers(0, 1 << 63, 500).astype(np.uint64), r.integers(0, 1 << 63, 500).astype(np.uint64)
+    weight = np.ones(500, np.uint8)
+    found = lines.suspects([lo, lo[:200]], [hi, hi[:200]], [weight, weight[:200]])
+    assert found[0][:200].all()
+    assert found[1].all()
+    assert found[0][200:].mean() < 0.05
+
+
+def brute_rules(t):
+    w = [x for x in BLANK.split(t or "") if x]
+    own = (t or "").split("\n")
+    seen, dup = set(), 0
+    for x in own:
+        if BLANK.sub("", x):
+            dup += x in seen
+            seen.add(x)
+    grams = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    covered = {j for i in range(len(w) - 7) if grams[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), dup, len(covered)
+
+
+def test_rules(docs, awkward, empty):
+    got = rows(rules.ledger(docs))
+    for d, t, *_ in corpus():
+        x = got[d]
+        want = brute_rules(t)
+        assert (x["n_words"], x["word_chars"], x["n_symbols"], x["n_dup_lines"], x["n_repeat_words"]) == want, d
+        failed = want[0] < 20 or 100 * want[4] > 30 * want[0]
+        assert (x["failures"] & rules.mask("base-1") != 0) == failed
+    led = rules.ledger(docs)
+    table = led.select("failures").collect()
+    for x in rules.ablation(led, "full-1").collect():
+        bit = next(1 << r.bit for r in rules.RULES if r.name == x["rule"])
+        assert x["n_failed"] == sum(y["failures"] & bit != 0 for y in table)
+        assert x["n_alone"] == sum(y["failures"] == bit for y in table)
+        assert x["n_kept_without"] == sum(y["failures"] & ~bit == 0 for y in table)
+    assert rules.clean(docs).columns == docs.columns
+    assert rules.clean(docs).count() == sum(x["failures"] == 0 for x in table)
+    assert rules.ledger(awkward).count() == 5
+    assert rules.ledger(empty).count() == 0
+
+
+def test_fingerprints(docs, awkward, empty):
+    table = [(d, t or "") for d, t, *_ in corpus()]
+    got = rows(multiset.edited_fingerprints(docs))
+    by_text = defaultdict(set)
+    for (d, t), (_, following) in zip(table, table[1:] + table[:1], strict=True):
+        edited = t[: len(t) - len(t) // 4] + following[: len(t) // 4]
+        x = got[d]
+        assert (x["n_chars"], x["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert x["fingerprint"] == str(multiset.Fingerprint(multiset.passages(t)))
+        assert x["edited_fingerprint"] == str(multiset.Fingerprint(multiset.passages(edited)))
+        assert 0 <= x["near_edited"] <= 1 and 0 <= x["near_next"] <= 1
+        by_text[t].add(x["fingerprint"])
+    assert all(len(x) == 1 for x in by_text.values())
+    assert len({next(iter(x)) for x in by_text.values()}) == len(by_text)
+    assert multiset.edited_fingerprints(awkward).count() == 5
+    assert multiset.edited_fingerprints(empty).count() == 0
+
+
+def test_fingerprint_algebra():
+    a, b = multiset.passages("one two\nthree\nfour"), multiset.passages("five\n")
+    total = multiset.Fingerprint(a + b)
+    assert str(multiset.Fingerprint(b + a)) == str(total)
+    assert str(total - multiset.Fingerprint(b)) == str(multiset.Fingerprint(a))
+    assert str(multiset.Fingerprint.parse(str(total))) == str(total)
+    assert b"".join(a) == b"one two\nthree\nfour"
+
+
+def test_shards(spark, docs, awkward, empty):
+    got = rows(shards.sharded(docs))
+    for d, t, *_ in corpus():
+        raw = (t or "").encode()
+        assert (got[d]["size"], got[d]["text_crc32"]) == (len(raw) + 16, zlib.crc32(raw))
+        assert got[d]["grown_shard"] in (40, got[d]["shard"])
+    many = shards.sharded(spark.range(4000).selectExpr("id AS doc_id", "'x' AS text")).collect()
+    counts = Counter(x["shard"] for x in many)
+    assert set(counts) == set(range(40)) and max(counts.values()) < 160
+    slots = defaultdict(list)
+    for x in many:
+        slots[x["shard"]].append(x["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert 60 < sum(x["grown_shard"] == 40 for x in many) < 150
+    assert sorted(x["slot"] for x in shards.sharded(spark.createDataFrame([(1, "a")] * 5, "doc_id long, text string")).collect()) == [0, 1, 2, 3, 4]
+    assert shards.sharded(awkward).count() == 5
+    assert shards.sharded(empty).count() == 0
+
+
+def test_shard_weights_move_rows_only_into_what_grows(spark):
+    keys = spark.range(3000)
+    before, after = shards.layout(16, 16), shards.layout(16, 16, {5: 3.0})
+    moved = keys.select(shards.winner(keys["id"].cast("string"), before).alias("a"), shards.winner(keys["id"].cast("string"), after).alias("b")).where("a <> b").collect()
+    assert moved and all(x["b"] // 8 == 0 for x in moved)  # only into the region that holds shard 5
+
+
+def test_bpe(spark, docs, awkward, empty):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    got = rows(bpe.bpe(docs, path))
+    for d, t, *_ in corpus():
+        want = library.encode(t or "", add_special_tokens=False).ids
+        assert got[d]["ids"] == want
+        assert got[d]["decoded"] == library.decode(want, skip_special_tokens=False)
+    model = bpe.WordBpe(json.load(open(path)))
+    for at in range(0, 0x3000, 0x80):
+        text = "x" + " a".join(map(chr, range(at, at + 0x80)))
+        assert model.encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert bpe.bpe(awkward, path).count() == 5
+    assert bpe.bpe(empty, path).count() == 0
+
+
+def test_toxicity(spark, sf):
+    d = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    labels = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/labels.parquet")
+    model = toxicity.fit(d, labels)
+    texts = {x["doc_id"]: x["text"] for x in d.collect()}
+    r = random.Random(0)
+    for i in r.sample(sorted(texts), 150):
+        number, weight = model.vector(toxicity.terms(texts[i].encode()))
+        at, near = model.nearest(number, weight)
+        dense = dict(zip(number.tolist(), weight.tolist(), strict=True))
+        every = []
+        for k, e in enumerate(model.ids.tolist()):
+            n, w = model.vector(toxicity.terms(texts[e].encode()))
+            if c := round(sum(dense.get(a, 0) * b for a, b in zip(n.tolist(), w.tolist(), strict=True)), 9):
+                every.append((-c, e, k))
+        assert [round(c, 9) for c in near] == pytest.approx([-c for c, _, _ in sorted(every)[: toxicity.NEAREST]])
+    truth = {x["doc_id"]: x["toxic"] for x in labels.collect()}
+    got = rows(toxicity.toxicity(d, labels))
+    held = [(got[i]["score"], y) for i, y in truth.items() if zlib.crc32(str(i).encode()) % 5 == 0]
+    right = [(s > t) + 0.5 * (s == t) for s, a in held for t, b in held if a > b]
+    assert sum(right) / len(right) > 0.8
+    assert set(got) == set(texts)
+
+
+def test_toxicity_without_labels(spark, awkward, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(awkward, none).collect()
+    assert len(got) == 5 and all(0 <= x["score"] <= 1 for x in got)
+    assert toxicity.toxicity(empty, none).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_oracle(spark, sf, name):
+    got = queries.QUERIES[name](spark, sf).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    con.execute(f"CREATE VIEW labels AS SELECT * FROM '{sf}/labels.parquet'")
+    want = con.execute(queries.ORACLE_SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    columns = sorted(got.columns)
+    key = lambda df: sorted(map(tuple, df[columns].astype(str).values.tolist()))
+    assert key(got) == key(want)
+    assert all(isinstance(x.dataType, (T.LongType, T.StringType, T.BooleanType, T.IntegerType, T.DoubleType)) for x in queries.QUERIES[name](spark, sf).schema)
