@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import lines, ngrams, rules, shards, simhash
+from quarry.llm import lines, mixing, ngrams, rules, shards, simhash
 from quarry.llm import license as licenses
 from quarry.llm import toxicity as toxic
 from quarry.llm.bpe import bpe
@@ -50,6 +50,11 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~rules.kept("base-1")).alias("base_failed"), rules.kept("full-1").alias("kept"), "failures")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text")
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir))
 
@@ -69,7 +74,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_ngram_lm, op3_toxicity, op4_license, op5_lines, op6_rules, op8_fingerprints, op9_sharding, op10_bpe)
+    for f in (op1_simhash, op2_ngram_lm, op3_toxicity, op4_license, op5_lines, op6_rules, op7_mixing, op8_fingerprints, op9_sharding, op10_bpe)
 }
 
 #: A-Z to lower case, and the blanks, in DuckDB.
