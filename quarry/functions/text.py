@@ -96,7 +96,7 @@ def preview(text: Column, limit: int = 240) -> Column:
 
 def image_refs(text: Column) -> Column:
     """Ids of the image placeholders, in their order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(PLACEHOLDER), 1), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(PLACEHOLDER), 1), lambda t: F.trim(t))
 
 
 def safe_name(text: Column) -> Column:

@@ -13,7 +13,7 @@ def normalised_tags(value: Column) -> Column:
     decoded = F.try_parse_json(value)
     listed = F.when(F.trim(value).startswith("["), F.from_json(value, "array<string>"))
     parts = F.coalesce(F.when(decoded.isNotNull(), listed), F.split(value, ",", -1))
-    return F.filter(F.transform(parts, F.trim), lambda t: t != "")
+    return F.filter(F.transform(parts, lambda t: F.trim(t)), lambda t: t != "")
 
 
 def resolved_title(title: Column, source_path: Column, text: Column) -> Column:

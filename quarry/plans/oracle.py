@@ -69,7 +69,10 @@ _POSTS = "SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms)
 _RANKED = "row_number() OVER (PARTITION BY {0} ORDER BY round(score, 9) DESC, {1})"
 _VECTORS = "SELECT q.vec_id AS query_id, v.vec_id, (1 + list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])) / 2 AS score FROM embeddings q JOIN embeddings v ON {0} WHERE q.vec_id % 100 = 0"
 _HYBRID = "SELECT item_id, doc_id, rank, round(score, {1}) AS score, mode FROM (SELECT item_id, doc_id, mode, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, mode, sum(CASE WHEN mode = 'fused' THEN 0.5::DOUBLE / (60 + rank) ELSE score END) AS score FROM (SELECT *, CASE WHEN max(l) OVER w = 1 AND min(l) OVER w = 0 THEN 'fused' WHEN max(l) OVER w = 0 THEN 'dense' ELSE 'sparse' END AS mode FROM {0} WINDOW w AS (PARTITION BY item_id)) GROUP BY ALL)) WHERE rank <= 10"
+_E2E = _HYBRID.format("lists", 9)
 _RRF = "SELECT item_id, doc_id, rank, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, sum({0} / (60 + rank)) AS score FROM lists GROUP BY ALL)) WHERE rank <= 10"
+_REFINED = r"""CASE WHEN trim(text) = '' THEN '' ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+    '(?s)<!--.*?-->', '', 'g'), '<[^>]+>', '', 'g'), ' {2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '(?m)[ \t\x0B\f\r]+$', '', 'g'), '^[\s\x0B]+|[\s\x0B]+$', '', 'g') END"""
 _SENTENCE = r"regexp_replace(trim(regexp_split_to_array(text, '[.!?][\s\x0B]+')[1], ' '), '[.!?]+$', '')"
 _LINE = "trim(string_split(text, chr(10))[1], ' ')"
 
@@ -174,6 +177,19 @@ ORACLE_SQL: dict[str, str] = {
     "response_payload": _with("SELECT item_id AS query_id, count(r.rank) AS result_count, count(r.rank) = 0 AS is_empty, coalesce(string_agg(r.rank || ':' || r.doc_id || ':' || length(r.text), ',' ORDER BY r.rank), '') AS results FROM benchmark b LEFT JOIN res r ON r.query_id = b.item_id GROUP BY item_id", "res"),
     "format_contexts": _with("SELECT query_id, md5(string_agg('[' || rank || '] ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY rank)) AS md5 FROM res GROUP BY query_id", "res"),
     "fallback_answer": _with("SELECT query_id, md5(string_agg(text, ' ' ORDER BY rank)) AS md5 FROM res GROUP BY query_id", "res"),
+    "benchmark_cases": "SELECT item_id::VARCHAR AS case_id, trim(text) AS query, 'd' AS document_name, item_id + 1 AS page_number, md5(trim(text)) AS md5, 'doc_name=d,reasoning=r' AS metadata FROM benchmark",
+    "rerank_reply": _with("SELECT item_id, doc_id, rank, rank / 2.0::DOUBLE AS score FROM bmr WHERE rank IN (2, 3) AND item_id % 3 <> 2", "bmr"),
+    "judge_reply": "SELECT item_id, item_id % 7 + 1 <= 5 AS valid, CASE WHEN item_id % 7 + 1 <= 5 THEN item_id % 7 + 1 END AS first, NULL::BIGINT AS second FROM benchmark",
+    "enrich_reply": "SELECT item_id, 'Item ' || item_id AS title, trim(replace(text, chr(10), ' ')) AS summary, 'a|b|c' AS tags FROM benchmark",
+    "redaction": "SELECT s_suppkey, 'api_key: *** of ' || replace(s_name, 'Supplier', '***') || ' token=***' AS safe FROM supplier",
+    "ingest_chunks": _with(f", r AS (SELECT *, {_REFINED} AS t FROM ch WHERE (collection, file_id) NOT IN (SELECT 'src1', 'doc_' || left(sha256(text), 16) FROM corpus WHERE collection = 'src1')) SELECT doc_id, chunk_index, CASE WHEN t <> '' THEN file_id || '_' || left(sha256(source_path), 8) || '_' || lpad(chunk_index::VARCHAR, 4, '0') || '_' || left(sha256(t), 8) END AS chunk_id, start_offset, end_offset, CASE WHEN t = '' THEN 'the chunk is empty after refining' END AS error FROM r", "ch"),
+    "ingest_summary": _with(f", r AS (SELECT *, {_REFINED} AS t FROM ch WHERE (collection, file_id) NOT IN (SELECT 'src1', 'doc_' || left(sha256(text), 16) FROM corpus WHERE collection = 'src1')) SELECT count(DISTINCT doc_id) AS n_documents, count(DISTINCT doc_id) FILTER (WHERE t = '') AS n_failed, count(*) FILTER (WHERE t <> '') AS n_chunks, CASE WHEN count(DISTINCT doc_id) FILTER (WHERE t = '') = 0 THEN 0::BIGINT WHEN count(*) FILTER (WHERE t <> '') = 0 THEN 2 ELSE 1 END AS exit_code FROM r", "ch"),
+    "caption_images": "SELECT conv_id || '-' || turn AS chunk_id, 'see [IMAGE: i' || turn || ']' || chr(10) || '(Description: picture ' || turn || ') and [IMAGE: none] in ' || role AS text FROM conversations",
+    "cascade_delete": _with("SELECT 'documents' AS store, count(*) AS n_deleted FROM corpus WHERE source_path = 'docs/src5/5.md' UNION ALL SELECT 'chunks', count(*) FROM ch WHERE source_path = 'docs/src5/5.md' UNION ALL SELECT 'history', count(*) FROM hist WHERE file_path = 'docs/src5/5.md'", "ch", "hist"),
+    "parsed_cache": _with("SELECT left(sha256(source_path), 32) AS file_hash, source_path, doc_type IN ('en', 'de') AS hit FROM corpus", "corpus"),
+    "hashing_embedding": "SELECT item_id, 64::BIGINT AS dims, 1.0::DOUBLE AS norm FROM benchmark",
+    "windowed_latency": _with("SELECT strftime(started_at, '%Y-%m-%d') AS day, stage, count(*) AS n, round(avg(elapsed_ms), 6) AS avg_ms, round(max(elapsed_ms), 6) AS max_ms FROM st GROUP BY ALL", "st"),
+    "end_to_end_search": _with(f", m AS ({_E2E}) SELECT item_id AS query_id, doc_id, rank, score FROM m JOIN corpus USING (doc_id) WHERE doc_type = 'en'", "lists", "corpus"),
 }
 # statements that go on with expressions of their own have a comma where the others have the body
 ORACLE_SQL = {k: v.replace(")\n, ", "),\n") for k, v in ORACLE_SQL.items()}

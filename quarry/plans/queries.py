@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import ids, text
+from quarry import plugins
+from quarry.functions import ids, replies, text
 from quarry.functions import query as qf
 from quarry.operators import catalog, chunks, dense, experiments, fusion, metrics, rerank, response, sparse, traces
-from quarry.plans import tables
+from quarry.operators import ingest as ingestion
+from quarry.plans import search, tables
 from quarry.plans.tables import read
+from quarry.sources import files, sinks
+from quarry.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -468,3 +472,109 @@ def recursive_chunks(spark, sf):
 def term_statistics(spark, sf):
     t = sparse.tokenised(tables.corpus(spark, sf))
     return t.select("doc_id", "doc_length", F.size(F.array_distinct("terms")).alias("unique_terms"))
+
+
+@query
+def benchmark_cases(spark, sf):
+    b = read(spark, sf, "benchmark")
+    evidence = F.array(F.struct(F.lit(None).cast("string").alias("doc_name"), F.col("item_id").cast("int").alias("page_num"), F.col("text").alias("text")))
+    none = F.lit(None).cast("string")
+    rows = b.select(F.col("item_id").alias("case_id"), F.col("text").alias("question"), F.lit("yes").alias("answer"), F.lit("d").alias("doc_name"), none.alias("question_type"), F.lit("r").alias("question_reasoning"), none.alias("company"), none.alias("justification"), evidence.alias("evidence"))
+    got = files.benchmark_cases(rows).select("case_id", "query", F.inline("evidences"), F.map_entries("metadata").alias("m"))
+    return got.select("case_id", "query", "document_name", "page_number", F.md5(F.col("text").cast("binary")).alias("md5"), F.array_join(F.transform("m", lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("metadata"))
+
+
+@query
+def rerank_reply(spark, sf):
+    """Replies as a model writes them: some fenced, some broken; scored passages join the hits, others drop out."""
+    hits = _bm25(spark, sf, 3)
+    one = F.concat(F.lit('{"passage_id": "'), F.col("doc_id").cast("string"), F.lit('", "score": '), (F.col("rank") / 2).cast("string"), F.lit("}"))
+    listed = hits.where("rank > 1").groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_list(one)), ", ").alias("x"))
+    reply = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("```json\n["), "x", F.lit("]\n```"))).when(F.col("item_id") % 3 == 1, F.concat(F.lit("["), "x", F.lit("]"))).otherwise("no JSON")
+    scored = listed.select("item_id", F.inline(replies.scores(reply)))
+    return hits.join(scored.withColumn("doc_id", F.col("passage_id").cast("long")), ["item_id", "doc_id"]).select("item_id", "doc_id", "rank", scored["score"])
+
+
+@query
+def judge_reply(spark, sf):
+    b = read(spark, sf, "benchmark")
+    reply = F.format_string('Sure: {"evidence_matches": [{"evidence_index": 2, "first_matching_rank": null}, {"evidence_index": 1, "first_matching_rank": %d}]}', F.col("item_id") % 7 + 1)
+    ranks = replies.judgement(reply, F.lit(2), F.lit(5))
+    return b.select("item_id", ranks.isNotNull().alias("valid"), F.get(ranks, 0).alias("first"), F.get(ranks, 1).alias("second"))
+
+
+@query
+def enrich_reply(spark, sf):
+    reply = F.concat(F.lit("Title: Item "), F.col("item_id").cast("string"), F.lit(" \nSummary: "), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\nTags: a, b ,,c\n"))
+    x = replies.enrichment(reply)
+    return read(spark, sf, "benchmark").select("item_id", x["title"].alias("title"), x["summary"].alias("summary"), x["tags"].alias("tags"))
+
+
+@query
+def redaction(spark, sf):
+    text_ = F.concat(F.lit("api_key: k"), F.col("s_suppkey").cast("string"), F.lit(" of "), F.col("s_name"), F.lit(" token=abc"))
+    return read(spark, sf, "supplier").select("s_suppkey", replies.redacted(text_, ["Supplier"]).alias("safe"))
+
+
+def _ingested(spark, sf):
+    docs = tables.corpus(spark, sf)
+    history = docs.where("collection = 'src1'").select(F.sha2(F.col("text").cast("binary"), 256).alias("file_hash"), "collection", F.lit("success").alias("status"))
+    return ingestion.ingest(docs, history)
+
+
+@query
+def ingest_chunks(spark, sf):
+    return _ingested(spark, sf).select("doc_id", "chunk_index", "chunk_id", "start_offset", "end_offset", "error")
+
+
+@query
+def ingest_summary(spark, sf):
+    return ingestion.summary(_ingested(spark, sf))
+
+
+@query
+def caption_images(spark, sf):
+    c = read(spark, sf, "conversations")
+    body = F.concat(F.lit("see [IMAGE: i"), F.col("turn").cast("string"), F.lit("] and [IMAGE: none] in "), F.col("role"))
+    rows = c.select(F.concat_ws("-", "conv_id", "turn").alias("chunk_id"), body.alias("text"))
+    captions = c.select("turn").distinct().select(F.concat(F.lit("i"), F.col("turn").cast("string")).alias("image_id"), F.concat(F.lit("picture "), F.col("turn").cast("string")).alias("caption"))
+    return ingestion.with_captions(rows, captions)
+
+
+@query
+def cascade_delete(spark, sf):
+    docs, cut = tables.corpus(spark, sf), tables.chunks(spark, sf)
+    stores = {"documents": docs.select("source_path"), "chunks": cut.select("source_path"), "history": _history(spark, sf).select(F.col("file_path").alias("source_path"))}
+    return ingestion.delete_document(stores, "source_path", "docs/src5/5.md")[1]
+
+
+@query
+def parsed_cache(spark, sf):
+    """The cache was filled from the even collections under one configuration and all under an older one."""
+    docs = tables.corpus(spark, sf).select(ids.short_hash(F.col("source_path"), 32).alias("file_hash"), "source_path", "doc_type")
+    cache = docs.where("doc_type in ('en', 'de')").withColumn("config_hash", F.lit("b")).unionByName(docs.withColumn("config_hash", F.lit("a"))).withColumn("source_path", F.lit("old"))
+    hits, missing = sinks.cached(docs, cache, "b")
+    return hits.select("file_hash", "source_path").withColumn("hit", F.lit(True)).unionByName(missing.select("file_hash", "source_path").withColumn("hit", F.lit(False)))
+
+
+@query
+def hashing_embedding(spark, sf):
+    """Unit vectors of all benchmark texts by the offline embedder."""
+    embed = plugins.embedders.create("hashing")(64)
+    got = read(spark, sf, "benchmark").select("item_id", embed(F.col("text")).alias("v"))
+    return got.select("item_id", F.size("v").alias("dims"), F.round(dense.norm(F.col("v")), 5).alias("norm"))
+
+
+@query
+def windowed_latency(spark, sf):
+    """The batch form of the streaming windows."""
+    return windows.windowed_latency(tables.stages(spark, sf).select("started_at", "stage", "elapsed_ms")).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "stage", "n", six("avg_ms"), six("max_ms"))
+
+
+@query
+def end_to_end_search(spark, sf):
+    """Benchmark items as query strings with an inline filter, searched by both paths."""
+    queries = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.col("text"), F.lit(" type:en")).alias("query"))
+    vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = tables.item_vectors(spark, sf).select(F.col("item_id").alias("query_id"), "vector")
+    return search.search(queries, tables.corpus(spark, sf), vectors, asked).withColumn("score", F.round("score", 9))

@@ -13,10 +13,10 @@ from quarry.operators.dense import dense_topk
 from quarry.operators.sparse import bm25_topk
 
 
-def parsed(queries: DataFrame) -> DataFrame:
-    """Queries (query_id, query) with keywords, filters (map) and tags."""
+def parsed(queries: DataFrame, least: int = 2) -> DataFrame:
+    """Queries (query_id, query) with keywords of ``least`` characters, as the index holds them, filters (map) and tags."""
     rest = q.remainder(F.col("query"))
-    return queries.select("query_id", "query", q.keywords(rest).alias("keywords"), q.filters(F.col("query")).alias("filters"), q.tags(F.col("query")).alias("tags"))
+    return queries.select("query_id", "query", q.keywords(rest, least).alias("keywords"), q.filters(F.col("query")).alias("filters"), q.tags(F.col("query")).alias("tags"))
 
 
 def search(queries: DataFrame, corpus: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = 10, path_k: int = 20, weights: Sequence[float] = (0.5, 0.5)) -> DataFrame:
