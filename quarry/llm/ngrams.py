@@ -94,6 +94,34 @@ def spread(key: np.ndarray, parts: int) -> np.ndarray:
     return ((mixed ^ (mixed >> U(29))) >> U(16)) % U(parts)
 
 
+def seats(parts: int) -> np.ndarray:
+    """For each part a whole number that Spark's hash partitioning puts into the partition of that number.
+
+    So each part has a task of its own instead of some tasks having several
+    parts and others none.  The hash is the public Murmur3 of one 32-bit word
+    with Spark's seed.
+    """
+    out, left, at = np.full(parts, -1, np.int64), parts, 0
+
+    def turned(x: np.ndarray, r: int) -> np.ndarray:
+        return (x << U(r) | x >> U(32 - r)) & U(0xFFFFFFFF)
+
+    while left:
+        tried = np.arange(at, at + 4 * parts + 64, dtype=U)
+        k = turned(tried * U(0xCC9E2D51) & U(0xFFFFFFFF), 15) * U(0x1B873593) & U(0xFFFFFFFF)
+        h = (turned(k ^ U(42), 13) * U(5) + U(0xE6546B64)) & U(0xFFFFFFFF)
+        h ^= U(4)
+        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ h >> U(shift)) * U(factor) & U(0xFFFFFFFF)
+        h ^= h >> U(16)
+        part = h.astype(np.uint32).view(np.int32).astype(np.int64) % parts
+        where, first = np.unique(part, return_index=True)
+        new = out[where] < 0
+        out[where[new]] = tried[first[new]].astype(np.int64)
+        left, at = int((out < 0).sum()), at + len(tried)
+    return out
+
+
 def runs(a: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal values, and the end."""
     if not len(a):
@@ -219,8 +247,26 @@ class Trie:
         return self.contexts[every], (self.pointers[every + 1] - self.pointers[every]).astype(np.int64)
 
 
-def totals(doc: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(doc, value, n)
+NONE = np.zeros(0, np.float32)
+
+
+def sums(n: int, doc: np.ndarray, **values: np.ndarray) -> bytes:
+    """Sums for the documents of a block that there are values for: base, known, lm, miss."""
+    touched = np.nonzero(np.bincount(doc, minlength=n))[0]
+    each = {k: np.bincount(doc, v, n)[touched] for k, v in values.items()}
+    kinds = {"base": np.float64, "lm": np.float32, "known": np.uint32, "miss": np.uint32}
+    return dump(np.array([n], np.int64), narrow(touched), *(np.rint(each[k]).astype(t) if k in ("known", "miss") and k in each else each[k].astype(t) if k in each else NONE for k, t in kinds.items()))
+
+
+def add_sums(total: np.ndarray | None, raw: bytes) -> np.ndarray:
+    """Sums of a block as rows base, lm, known, miss with one more part of them."""
+    n, touched, *each = undump(raw)
+    if total is None:
+        total = np.zeros((4, int(n[0])))
+    for row, value in zip(total, each, strict=True):
+        if len(value):
+            row[touched.astype(np.int64)] += value
+    return total
 
 
 def train_of(raw: np.ndarray, n: int) -> np.ndarray:
@@ -238,6 +284,8 @@ def score(docs: DataFrame, held_out, discount: float = DISCOUNT) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = partitions(spark)
+    seat = seats(parts)
+    part_of = {int(x): p for p, x in enumerate(seat)}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
 
     def table(made: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -255,11 +303,11 @@ def score(docs: DataFrame, held_out, discount: float = DISCOUNT) -> DataFrame:
                 train = np.packbits(~held, bitorder="little")
                 name = xxhash.xxh3_64_intdigest(dump(ids.fill_null(-1).to_numpy(zero_copy_only=False), block.hashes, block.sizes)) >> 1
                 known = np.array(ids.is_valid().to_pylist(), np.uint8)
-                yield table([(DOCS, name % parts, name, dump(ids.fill_null(0).to_numpy(zero_copy_only=False), known, held.astype(np.uint8), block.sizes))])
+                yield table([(DOCS, int(seat[name % parts]), name, dump(ids.fill_null(0).to_numpy(zero_copy_only=False), known, held.astype(np.uint8), block.sizes))])
                 head = dump(np.array([part.num_rows], np.int64), train)
                 head = len(head).to_bytes(4, "little") + head
                 for kind, found in ((WORDS, block.word_rows(parts)), (PAIRS, block.pair_rows(parts))):
-                    yield table([(kind, p, name, head + raw) for p, raw in found])
+                    yield table([(kind, int(seat[p]), name, head + raw) for p, raw in found])
 
     def open_(raw: bytes) -> tuple[int, np.ndarray, list[np.ndarray]]:
         size = int.from_bytes(raw[:4], "little") + 4
@@ -270,7 +318,7 @@ def score(docs: DataFrame, held_out, discount: float = DISCOUNT) -> DataFrame:
         found = defaultdict(list)
         for batch in batches(rows):
             for kind, dest, block, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found[kind, dest].append((block, raw))
+                found[kind, part_of[dest]].append((block, raw))
         return found
 
     def count_words(dest: int, got: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, int, bytes]]:
@@ -284,7 +332,7 @@ def score(docs: DataFrame, held_out, discount: float = DISCOUNT) -> DataFrame:
             c = np.repeat(counts[place[at : at + len(hashes)]], held)
             at += len(hashes)
             context = np.where(c > 0, -np.log10(np.maximum(c, 1)), 0.0)
-            yield SUMS, block % parts, block, dump(totals(doc, count * np.log10(c + 1), n), totals(doc, count * (c > 0), n), totals(doc, count * context, n).astype(np.float32), np.zeros(n, np.uint8))
+            yield SUMS, block % parts, block, sums(n, doc, base=count * np.log10(c + 1), known=count * (c > 0), lm=count * context)
         keep = counts > 0
         yield TOTALS, dest, 0, dump(np.array([int(counts.sum()), int(keep.sum())], np.int64))
         short, c = keys[keep] >> U(64 - KEY), counts[keep]
@@ -312,11 +360,12 @@ def score(docs: DataFrame, held_out, discount: float = DISCOUNT) -> DataFrame:
         keys, fans = trie.context_followers()
         for p, chosen in grouped(spread(keys, parts).astype(np.int64)):
             yield FOLLOWERS, p, 0, dump(*halves(keys[chosen]), narrow(fans[chosen]))
+        asks = defaultdict(list)  # one row for each part asked, with all blocks
         for block, n, context, fan, word, held, doc, count, _ in opened:
             owner = np.repeat(np.arange(len(context)), fan)
             seen, mass = trie.find(context, owner, word)
             values = np.repeat(np.where(seen, mass, 0.0), held)
-            yield SUMS, block % parts, block, dump(np.zeros(n, np.uint8), np.zeros(n, np.uint8), totals(doc, count * values, n).astype(np.float32), np.zeros(n, np.uint8))
+            yield SUMS, block % parts, block, sums(n, doc, lm=count * values)
             miss = np.nonzero(~seen)[0]
             if len(miss):
                 own = pick(held.astype(np.int64), miss)
@@ -328,14 +377,10 @@ def score(docs: DataFrame, held_out, discount: float = DISCOUNT) -> DataFrame:
                     for p, chosen in grouped(spread(each, parts).astype(np.int64)):
                         k = each[chosen]
                         first = runs(k)
-                        yield kind, p, block, dump(np.array([n]), *halves(k[first[:-1]]), narrow(np.diff(first)), who[order[chosen]], narrow(times[order[chosen]]))
-
-    def summed(block: int, got: list[bytes]) -> tuple[int, int, int, bytes]:
-        total = None
-        for raw in got:
-            now = undump(raw)
-            total = [x.astype(np.float64) for x in now] if total is None else [a + b for a, b in zip(total, now, strict=True)]
-        return SUMS, block % parts, block, dump(*total)
+                        asks[kind, p].append((np.array([block], np.int64), np.array([n], np.int64), np.array([len(first) - 1], np.int64), k[first[:-1]], np.diff(first), who[order[chosen]], times[order[chosen]]))
+        for (kind, p), each in asks.items():
+            blocks, n, keys, key, held, who, times = (np.concatenate(x) for x in zip(*each, strict=True))
+            yield kind, p, 0, dump(blocks, n, keys, *halves(key), narrow(held), who, narrow(times))
 
     def by_block(got: list[tuple[int, bytes]]) -> dict[int, list[bytes]]:
         found = defaultdict(list)
@@ -343,43 +388,76 @@ def score(docs: DataFrame, held_out, discount: float = DISCOUNT) -> DataFrame:
             found[block].append(raw)
         return found
 
+    def written(rows: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        """Rows in batches of some MB."""
+        held, size = [], 0
+        for kind, dest, block, raw in rows:
+            held.append((kind, int(seat[dest]), block, raw))
+            size += len(raw)
+            if size > 1 << 22 or len(held) >= 4096:
+                yield table(held)
+                held, size = [], 0
+        yield table(held)
+
     def build(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = collect(rows)
-        for kind, dest in list(found):
-            got = found.pop((kind, dest))
-            if kind == DOCS:
-                yield table([(kind, dest, block, raw) for block, raw in got])
-                continue
-            for row in (count_words if kind == WORDS else count_pairs)(dest, got):
-                yield table([row])
+        def each() -> Iterator[tuple[int, int, int, bytes]]:
+            found = collect(rows)
+            for kind, dest in list(found):
+                got = found.pop((kind, dest))
+                if kind == DOCS:
+                    yield from ((kind, dest, block, raw) for block, raw in got)
+                else:
+                    yield from (count_words if kind == WORDS else count_pairs)(dest, got)
+
+        yield from written(each())
 
     def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = collect(rows)
-        for dest in sorted({d for _, d in found}):
-            for kind in (DOCS, TOTALS):
-                yield table([(kind, dest, block, raw) for block, raw in found.pop((kind, dest), [])])
-            for block, got in by_block(found.pop((SUMS, dest), [])).items():
-                yield table([summed(block, got)])
-            fans: dict = {"k": [np.zeros(0, U)], "n": [np.zeros(0, np.int64)]}
-            for _, raw in found.pop((FOLLOWERS, dest), []):
-                low, high, n = undump(raw)
-                fans["k"].append(whole(low, high))
-                fans["n"].append(n.astype(np.int64))
-            keys, count = np.zeros(0, U), np.zeros(0)
-            for _, raw in found.pop((LEVEL, dest), []):
-                low, high, count = undump(raw)
-                keys = whole(low, high)
-            follow = np.concatenate(fans["k"])
-            place = np.searchsorted(keys, follow)
-            level = Level(keys, count.astype(np.float64), np.bincount(place[place < len(keys)], np.concatenate(fans["n"])[place < len(keys)], len(keys)) if len(keys) else np.zeros(0))
-            for kind in (NEED_WORD, NEED_CONTEXT):
-                for block, raw in found.pop((kind, dest), []):
-                    size, low, high, held, doc, times = undump(raw)
-                    n = int(size[0])
-                    c, f = level.find(whole(low, high))
-                    value = np.log10(c + 1) if kind == NEED_WORD else np.where(c > 0, np.log10(np.maximum(discount * f, 1e-300)), 0.0)
-                    some = np.zeros(n, np.uint8)
-                    yield table([(SUMS, block % parts, block, dump(some, some, totals(doc, times * np.repeat(value, held), n).astype(np.float32), narrow(totals(doc, times, n).astype(np.int64)) if kind == NEED_WORD else some))])
+        def each() -> Iterator[tuple[int, int, int, bytes]]:
+            found = collect(rows)
+            for dest in sorted({d for _, d in found}):
+                for kind in (DOCS, TOTALS):
+                    yield from ((kind, dest, block, raw) for block, raw in found.pop((kind, dest), []))
+                for block, got in by_block(found.pop((SUMS, dest), [])).items():
+                    total = None
+                    for raw in got:
+                        total = add_sums(total, raw)
+                    every = np.arange(total.shape[1])
+                    yield SUMS, dest, block, sums(len(every), every, base=total[0], lm=total[1], known=total[2], miss=total[3])
+                yield from answered_for(found, dest)
+
+        yield from written(each())
+
+    def answered_for(found: dict, dest: int) -> Iterator[tuple[int, int, int, bytes]]:
+        follow, n = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        for _, raw in found.pop((FOLLOWERS, dest), []):
+            low, high, fans = undump(raw)
+            follow.append(whole(low, high))
+            n.append(fans.astype(np.int64))
+        keys, count = np.zeros(0, U), np.zeros(0)
+        for _, raw in found.pop((LEVEL, dest), []):
+            low, high, count = undump(raw)
+            keys = whole(low, high)
+        fans, follow = np.concatenate(n), np.concatenate(follow)
+        place = np.searchsorted(keys, follow)
+        inside = place < len(keys)
+        level = Level(keys, count.astype(np.float64), np.bincount(place[inside], fans[inside], len(keys)) if len(keys) else np.zeros(0))
+        sent: dict[int, np.ndarray] = {}
+        for kind in (NEED_WORD, NEED_CONTEXT):
+            for _, raw in found.pop((kind, dest), []):
+                blocks, sizes, lengths, low, high, held, doc, times = undump(raw)
+                c, f = level.find(whole(low, high))
+                value = np.log10(c + 1) if kind == NEED_WORD else np.where(c > 0, np.log10(np.maximum(discount * f, 1e-300)), 0.0)
+                value = np.repeat(value, held) * times
+                ends = np.cumsum(np.add.reduceat(held.astype(np.int64), np.cumsum(lengths) - lengths))
+                for block, n_, a, b in zip(blocks.tolist(), sizes.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    total = sent.setdefault(block, np.zeros((3, n_)))
+                    np.add.at(total[0], doc[a:b], value[a:b])
+                    np.add.at(total[2], doc[a:b], 1)
+                    if kind == NEED_WORD:
+                        np.add.at(total[1], doc[a:b], times[a:b])
+        for block, total in sent.items():
+            touched = np.nonzero(total[2])[0]
+            yield SUMS, block % parts, block, sums(total.shape[1], touched, lm=total[0][touched], miss=total[1][touched])
 
     def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = collect(rows)
@@ -389,14 +467,16 @@ def score(docs: DataFrame, held_out, discount: float = DISCOUNT) -> DataFrame:
                     n, v = undump(raw)[0].tolist()
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([None], [None], [n], [v], [0.0], [0.0], [None], [True]), kinds, strict=True)], names=names)
             if kind == DOCS:
-                sums = by_block(found.get((SUMS, dest), []))
+                parts_of = by_block(found.get((SUMS, dest), []))
                 for block, same in by_block(got).items():
-                    total = undump(summed(block, sums[block])[3])
+                    total = None
+                    for raw in parts_of[block]:
+                        total = add_sums(total, raw)
+                    total /= len(same)  # blocks of one name hold equal rows, so their sums are equal parts of the total
                     ids, known, held, sizes = undump(same[0])
-                    # blocks of one name hold equal rows, so their sums are equal parts of the total
-                    known_, base, lm, miss = (total[k] / len(same) for k in (1, 0, 2, 3))
+                    base, lm, seen, miss = total
                     for _ in same:
-                        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=known == 0), pa.array(held.astype(bool)), pa.array(sizes), pa.array(np.rint(known_).astype(np.int64)), pa.array(base), pa.array(lm), pa.array(np.rint(miss).astype(np.int64)), pa.array(np.zeros(len(ids), bool))], names=names)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=known == 0), pa.array(held.astype(bool)), pa.array(sizes), pa.array(np.rint(seen).astype(np.int64)), pa.array(base), pa.array(lm), pa.array(np.rint(miss).astype(np.int64)), pa.array(np.zeros(len(ids), bool))], names=names)
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "lm", "n_missed", "total"]
     kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_())

@@ -158,6 +158,12 @@ def test_ngrams(docs):
         assert x["score"] == pytest.approx(lm, abs=1e-4 * len(t))
 
 
+def test_seats_follow_sparks_partitioning(spark):
+    seat = ngrams.seats(51)
+    rows = spark.createDataFrame([(int(x), i) for i, x in enumerate(seat)], "dest int, part int")
+    assert rows.selectExpr("pmod(hash(dest), 51) = part AS same").where("not same").count() == 0
+
+
 def test_ngrams_awkward(awkward, empty):
     got = ngrams.score(awkward, ngrams.held_out_by()).collect()
     assert sorted((x["doc_id"] or -1, x["n_tokens"]) for x in got) == [(-1, 1), (-1, 6), (5, 5), (5, 5), (6, 1)]
