@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TOKEN = "[\\p{L}\\p{N}]+(?:[._-][\\p{L}\\p{N}]+)*"
 FENCE = "(?s)```.*?```"
@@ -125,7 +126,7 @@ def evidence_text(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), "[\\p{P}\\p{S}\\p{Z}\\s]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(value: pd.Series) -> pd.Series:
     """Unicode compatibility form and case folding, for which Spark has no function."""
     return value.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())

@@ -33,11 +33,12 @@ def search(queries: DataFrame, corpus: DataFrame, vectors: DataFrame | None = No
         found = fusion.hybrid(dense_topk(query_vectors, vectors, path_k, key="doc_id"), sparse, k, weights)
     else:
         found = sparse.where(F.col("rank") <= k)
-    joined = found.join(plan.drop("query"), "query_id").join(corpus.drop("text"), "doc_id")
+    asked = plan.select("query_id", "filters", F.col("tags").alias("wanted_tags"))
+    joined = found.join(asked, "query_id").join(corpus.drop("text"), "doc_id")
     wanted = {n: F.try_element_at("filters", F.lit(n)) for n in ("collection", "doc_type", "source_path")}
     own = F.array().cast("array<string>")
     if "tags" in corpus.columns:
-        own = corpus["tags"]
-        wanted["tags"] = F.when(F.size(plan["tags"]) > 0, plan["tags"])
+        own = F.col("tags")
+        wanted["tags"] = F.when(F.size("wanted_tags") > 0, F.col("wanted_tags"))
     test = fusion.matches(F.col("collection"), F.col("doc_type"), own, F.col("source_path"), wanted)
     return joined.where(test).select("query_id", "doc_id", "rank", "score")
