@@ -1,13 +1,16 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Training takes a bounded sample of labelled rows.  The terms that tell the
-labels apart (by chi-square over the sample) span the vector space; their
-document frequencies come from all documents.  Labelled examples stand in an
-inverted index cut into blocks of 64, which keeps each term's largest weight
-in each block.  A query visits blocks in the order of the bounds that these
-give and stops when no block left can hold a nearer example, so its nearest
-examples are exact.  Their votes, weighted by similarity, and the sample's
-base rate make the score; the examples are the evidence.
+Training takes a bounded sample of labelled rows.  Terms are words and, for
+inflected forms, beginnings of words that a text has once, twice or three
+times.  The terms that tell the labels apart (by chi-square over the sample)
+span the vector space; their document frequencies come from all documents.
+
+Examples with equal vectors are one point, with their number and mean label.
+Points stand in an inverted index cut into blocks of 64, which keeps each
+term's largest weight in each block.  A query visits blocks in the order of
+the bounds that these give and stops when no block left can hold a nearer
+point, so its nearest points are exact.  Their votes, weighted by similarity
+and number, and the sample's base rate make the score; they are the evidence.
 """
 
 from __future__ import annotations
@@ -25,9 +28,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from quarry.llm.common import batches, crc_mod, utf8
 
 #: Labelled rows in the sample at most, terms of the space at most.
-SAMPLE, TERMS = 20_000, 1024
-#: A term needs this chi-square over the sample, and this many examples.
-CHI2, EXAMPLES = 40.0, 5
+SAMPLE, TERMS = 20_000, 256
+#: A term needs this chi-square over the sample, this share of the sample's size in it, and this many examples.
+CHI2, EFFECT, EXAMPLES = 40.0, 0.02, 5
+#: Characters of a word's beginning.
+STEM = 5
 NEAREST, BLOCK = 15, 64
 #: Weight of the base rate among the votes.
 PRIOR = 0.25
@@ -35,27 +40,41 @@ PRIOR = 0.25
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def terms(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(FOLD).split()
+def terms(text: bytes | None, keep: frozenset[str] | None = None) -> dict[str, int]:
+    """The terms of a text with their counts, or of those in ``keep`` only; beginnings count once for each step they reach."""
+    words = (text or b"").translate(FOLD).decode("utf-8", "replace").split()
+    if keep is None:
+        found = Counter(words)
+        stems = Counter(w[:STEM] for w in words if len(w) > STEM)
+    else:
+        found = Counter(filter(keep.__contains__, words))
+        stems = Counter(w[:STEM] for w in words if len(w) > STEM and f"^1{w[:STEM]}" in keep)
+    for stem, n in stems.items():
+        for step in (1, 2, 3):
+            if n >= step and (keep is None or f"^{step}{stem}" in keep):
+                found[f"^{step}{stem}"] = 1
+    return found
 
 
 @dataclass
 class Model:
     """What scoring needs: bounded by :data:`SAMPLE` and :data:`TERMS`."""
 
-    idf: dict[bytes, tuple[int, float]]
+    idf: dict[str, tuple[int, float]]
+    keep: frozenset[str]
     base: float
     empty: float
-    ids: np.ndarray
+    ids: np.ndarray  # of each point: the smallest doc_id, the mean label and the number of its examples
     labels: np.ndarray
+    sizes: np.ndarray
     place: np.ndarray  # the postings by block, term and example: the example's place in its block
     weight: np.ndarray  # and its weight
     start: np.ndarray  # blocks x (terms + 1): where the postings of each begin
     highest: np.ndarray  # blocks x terms: the largest weight
 
-    def vector(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and normalised weights of a text's terms."""
-        counts = Counter(filter(self.idf.__contains__, found))
+        counts = {t: n for t, n in terms(text, self.keep).items() if t in self.idf}
         if not counts:
             return np.zeros(0, np.int64), np.zeros(0)
         number = np.array([self.idf[t][0] for t in counts])
@@ -63,13 +82,13 @@ class Model:
         return number, weight / np.sqrt(weight @ weight)
 
     def nearest(self, number: np.ndarray, weight: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-        """Exact positions and cosines of the k nearest examples above 0; of equals those with the smaller id."""
+        """Positions and cosines of the k nearest points above 0, nearest first; of points as near as the k-th, those visited first."""
         if not len(number) or not len(self.ids):
             return np.zeros(0, np.int64), np.zeros(0)
         bounds = self.highest[:, number] @ weight
         at, near = np.zeros(0, np.int64), np.zeros(0)
         for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(near) == k and bounds[b] < near[-1] - 1e-12:
+            if bounds[b] <= 0 or len(near) == k and bounds[b] <= near[-1] + 1e-9:
                 break
             sums = np.zeros(BLOCK)
             for t, w in zip(number, weight, strict=True):
@@ -78,14 +97,14 @@ class Model:
             own = np.nonzero(sums)[0]
             at = np.concatenate((at, b * BLOCK + own))
             near = np.concatenate((near, np.round(sums[own], 12)))
-            order = np.lexsort((self.ids[at], -near))[:k]
+            order = np.argsort(-near, kind="stable")[:k]
             at, near = at[order], near[order]
         return at[near > 0], near[near > 0]
 
     def score(self, at: np.ndarray, near: np.ndarray) -> float:
         if not len(at):
             return self.empty
-        vote = near * near
+        vote = near**4 * self.sizes[at]
         return float((vote @ self.labels[at] + PRIOR * self.base) / (vote.sum() + PRIOR))
 
 
@@ -107,17 +126,17 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
     sample = sampled(docs, labels, limit)
 
     def distinct(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted: dict[bytes, list[int]] = {}
+        counted: dict[str, list[int]] = {}
         sizes = [0, 0]
         for batch in batches(rows):
             for text, toxic in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 sizes[toxic > 0] += 1
-                for t in set(terms(text)):
+                for t in terms(text):
                     counted.setdefault(t, [0, 0])[toxic > 0] += 1
-        counted[b""] = sizes  # the empty term stands for all rows
-        yield pa.RecordBatch.from_arrays([pa.array(list(counted), pa.binary()), pa.array([x[0] for x in counted.values()], pa.int64()), pa.array([x[1] for x in counted.values()], pa.int64())], names=["term", "n0", "n1"])
+        counted[""] = sizes  # the empty term stands for all rows
+        yield pa.RecordBatch.from_arrays([pa.array(list(counted), pa.string()), pa.array([x[0] for x in counted.values()], pa.int64()), pa.array([x[1] for x in counted.values()], pa.int64())], names=["term", "n0", "n1"])
 
-    found = sample.select("text", "toxic").mapInArrow(distinct, "term binary, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    found = sample.select("text", "toxic").mapInArrow(distinct, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     found = found.where((F.length("term") == 0) | (F.col("n0") + F.col("n1") >= EXAMPLES)).persist()
     whole = found.where(F.length("term") == 0).first()
     all0, all1 = (whole["n0"], whole["n1"]) if whole else (0, 0)
@@ -126,29 +145,31 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
     a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
     below = (a + b) * (n - a - b) * float(all0) * float(all1)
     chi = F.when(below > 0, n * F.pow(a * (all0 - b) - b * (all1 - a), F.lit(2.0)) / below).otherwise(0.0)
-    ranked = found.where(F.length("term") > 0).withColumn("chi", chi).where(F.col("chi") >= CHI2)
-    chosen = [bytes(x["term"]) for x in ranked.orderBy(F.desc("chi"), "term").limit(TERMS).collect()]
+    ranked = found.where(F.length("term") > 0).withColumn("chi", chi).where(F.col("chi") >= max(CHI2, EFFECT * n))
+    chosen = [x["term"] for x in ranked.orderBy(F.desc("chi"), "term").limit(TERMS).collect()]
     found.unpersist()
     return index(docs, sample, sorted(chosen), base)
 
 
-def index(docs: DataFrame, sample: DataFrame, chosen: list[bytes], base: float) -> Model:
+def index(docs: DataFrame, sample: DataFrame, chosen: list[str], base: float) -> Model:
     """The block-max index over the sample, with document frequencies from all documents."""
     number = {t: i for i, t in enumerate(chosen)}
+    keep = frozenset(chosen) | {f"^1{t[2:]}" for t in chosen if t[0] == "^"}
 
     def frequencies(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(len(number) + 1, np.int64), 0
         for batch in batches(rows):
             n += batch.num_rows
             for text in utf8(batch.column(0)):
-                for t in number.keys() & set(terms(text)):
-                    total[number[t]] += 1
+                for t in terms(text, keep):
+                    if t in number:
+                        total[number[t]] += 1
         total[-1] = n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int64()), pa.array(total)], names=["term", "n"])
 
     def examples(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
-            every = [Counter(filter(number.__contains__, terms(x))) for x in utf8(batch.column(1))]
+            every = [{t: n for t, n in terms(x, keep).items() if t in number} for x in utf8(batch.column(1))]
             kinds = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[number[t] for t in x] for x in every], kinds), pa.array([list(x.values()) for x in every], kinds), batch.column(2)], names=["doc_id", "term", "n", "toxic"])
 
@@ -160,28 +181,34 @@ def index(docs: DataFrame, sample: DataFrame, chosen: list[bytes], base: float)
     bare = [x["toxic"] > 0 for x in rows if not x["term"]]
     empty = (sum(bare) + base) / (len(bare) + 1)
     rows = [x for x in rows if x["term"]]
-    # examples with the same label and leading terms share blocks, which makes the bounds tight
-    rows.sort(key=lambda x: (x["toxic"], sorted(x["term"]), x["doc_id"]))
+    points: dict[tuple, list] = {}
+    for x in rows:
+        point = points.setdefault(tuple(sorted(zip(x["term"], x["n"], strict=True))), [x["doc_id"], 0, 0])
+        point[0] = min(point[0], x["doc_id"])
+        point[1] += x["toxic"] > 0
+        point[2] += 1
+    rows = sorted(points)  # points with the same leading terms share blocks, which makes the bounds tight
     scale = np.array([w for _, w in sorted(idf.values())])
     blocks = -(-len(rows) // BLOCK)
     highest, postings = np.zeros((blocks, len(number))), []
     for k, x in enumerate(rows):
-        w = (1 + np.log(np.array(x["n"]))) * scale[x["term"]]
+        held = [t for t, _ in x]
+        w = (1 + np.log(np.array([n for _, n in x]))) * scale[held]
         w /= np.sqrt(w @ w)
-        highest[k // BLOCK, x["term"]] = np.maximum(highest[k // BLOCK, x["term"]], w)
-        postings += [(k // BLOCK, t, k % BLOCK, v) for t, v in zip(x["term"], w.tolist(), strict=True)]
+        highest[k // BLOCK, held] = np.maximum(highest[k // BLOCK, held], w)
+        postings += [(k // BLOCK, t, k % BLOCK, v) for t, v in zip(held, w.tolist(), strict=True)]
     postings.sort()
     block, term, place = (np.array([x[i] for x in postings], np.int64) for i in range(3))
     edges = np.arange(blocks)[:, None] * (len(number) + 1) + np.arange(len(number) + 1)[None, :]
     start = np.searchsorted(block * (len(number) + 1) + term, edges.ravel()).reshape(edges.shape)
-    ids = np.array([x["doc_id"] for x in rows], np.int64)
-    return Model(idf, base, empty, ids, np.array([float(x["toxic"] > 0) for x in rows]), place.astype(np.int8), np.array([x[3] for x in postings]), start.astype(np.int32), highest)
+    ids, toxic, sizes = (np.array([points[x][i] for x in rows], np.float64) for i in range(3))
+    return Model(idf, keep, base, empty, ids.astype(np.int64), toxic / np.maximum(sizes, 1), sizes, place.astype(np.int8), np.array([x[3] for x in postings]), start.astype(np.int32), highest)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
     """Rows (doc_id, score double, evidence), one for each row of ``docs``.
 
-    ``evidence`` lists the nearest examples as (doc_id, cosine, toxic).  A text
+    ``evidence`` lists the nearest points as (doc_id of an example, cosine, share of toxic examples).  A text
     without a term of the space, the empty and the null text too, scores the
     base rate of such texts in the sample.  Without labels all score 0.5 or
     less by an empty sample's base rate.  Only the text is scored.
@@ -189,16 +216,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFra
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, limit))
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     name = narrow.schema["doc_id"].dataType
-    kind = pa.schema([("doc_id", to_arrow_type(name)), ("score", pa.float64()), ("evidence", pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])))])
+    kind = pa.schema([("doc_id", to_arrow_type(name)), ("score", pa.float64()), ("evidence", pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.float64())])))])
 
     def scored(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches(rows):
             scores, evidence = [], []
             for text in utf8(batch.column(1)):
-                at, near = m.nearest(*m.vector(terms(text)))
+                at, near = m.nearest(*m.vector(text))
                 scores.append(m.score(at, near))
-                evidence.append([{"doc_id": int(m.ids[i]), "cosine": float(c), "toxic": int(m.labels[i])} for i, c in zip(at, near, strict=True)])
+                evidence.append([{"doc_id": int(m.ids[i]), "cosine": float(c), "toxic": float(m.labels[i])} for i, c in zip(at, near, strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(evidence, kind.field(2).type)], schema=kind)
 
-    return narrow.mapInArrow(scored, f"doc_id {name.simpleString()}, score double, evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>")
+    return narrow.mapInArrow(scored, f"doc_id {name.simpleString()}, score double, evidence array<struct<doc_id:bigint,cosine:double,toxic:double>>")
