@@ -1,7 +1,11 @@
-"""Exact cosine search over stored vectors."""
+"""Exact cosine search over stored vectors, in blocks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,24 +20,52 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def similarity(cosine: Column) -> Column:
-    """Cosine distance d as similarity 1 - d / 2, so (1 + cos) / 2, not below 0."""
-    return F.greatest(F.lit(0.0), (1 + cosine) / 2)
+#: Rows of a block: some MB of vectors, and a score matrix of some MB for two blocks.
+VECTORS, QUERIES = 8192, 256
+
+
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (id, v, tag) packed to rows (ids, data, tags) of ``size`` each at most; the vectors as unit vectors, zero vectors as they are."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                m = np.array(part.column(1).to_pylist(), np.float64)
+                length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+                m = np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([m.tobytes()]), pa.array([part.column(2).to_pylist()], pa.list_(pa.string()))], names=["ids", "data", "tags"])
 
+    return rows.mapInArrow(pack, "ids array<long>, data binary, tags array<string>")
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, on: Column | None = None, query: str = "query_id", key: str = "vec_id") -> DataFrame:
+
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, match: tuple[str, str] | None = None, query: str = "query_id", key: str = "vec_id") -> DataFrame:
     """Rows (query, key, rank, score): the nearest of ``vectors`` (key, embedding) for queries (query, vector).
 
-    Every query meets every vector.  The queries are a stated set; they are
-    dealt to all tasks in blocks of a bounded number of rows, so vectors don't
-    move and what is sent is bounded however many queries there are.  ``on``
-    filters pairs before the cut.
+    Every query meets every vector: packed blocks of queries meet packed blocks
+    of vectors, each meeting is one matrix product that keeps the best ``k`` of
+    each query, and only those are ranked.  ``match`` names a column of the
+    vectors and one of the queries that must be equal.  Ties, to nine
+    decimals, go to the smaller key.  Null vectors meet nothing.
     """
-    q = queries.select(query, F.col("vector"), norm(F.col("vector")).alias("__qn"), *[c for c in queries.columns if c not in (query, "vector")])
-    v = vectors.withColumn("__vn", norm(F.col("embedding")))
-    pairs = v.join(q, on if on is not None else F.lit(True))
-    cosine = F.coalesce(F.try_divide(dot(F.col("vector"), F.col("embedding")), F.col("__qn") * F.col("__vn")), F.lit(0.0))
-    return ranked(pairs.select(query, key, similarity(cosine).alias("score")), k, query, key)
+    own, want = (F.col(c).cast("string") for c in match) if match else (F.lit("").cast("string"),) * 2
+    v = _blocks(vectors.where("embedding IS NOT NULL").select(F.col(key).cast("long").alias("id"), "embedding", own.alias("tag")), VECTORS)
+    q = _blocks(queries.where("vector IS NOT NULL").select(F.col(query).cast("long").alias("id"), "vector", want.alias("tag")), QUERIES)
+    met = v.crossJoin(q.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("tags").alias("q_tags")))  # blocks, not rows
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, data, tags, q_ids, q_data, q_tags in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                names = np.array(ids, np.int64)
+                scores = np.frombuffer(q_data).reshape(len(q_ids), -1) @ np.frombuffer(data).reshape(len(ids), -1).T
+                scores = np.maximum((1 + scores) / 2, 0)
+                scores[np.array(q_tags, object)[:, None] != np.array(tags, object)[None, :]] = -1
+                order = np.lexsort((np.broadcast_to(names, scores.shape), -np.round(scores, 9)), axis=1)[:, :k]
+                kept = np.take_along_axis(scores, order, axis=1)
+                row, column = np.nonzero(kept >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(q_ids, np.int64)[row]), pa.array(names[order[row, column]]), pa.array(kept[row, column])], names=[query, key, "score"])
+
+    return ranked(met.mapInArrow(best, f"{query} long, {key} long, score double"), k, query, key)
 
 
 def dimensions(vectors: DataFrame) -> DataFrame:

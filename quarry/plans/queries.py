@@ -112,7 +112,7 @@ def dense_topk(spark, sf):
 
 @query
 def dense_filtered_topk(spark, sf):
-    return dense.dense_topk(_vector_queries(spark, sf), read(spark, sf, "embeddings"), 10, F.col("label") == F.col("want")).withColumn("score", six("score"))
+    return dense.dense_topk(_vector_queries(spark, sf), read(spark, sf, "embeddings"), 10, ("label", "want")).withColumn("score", six("score"))
 
 
 @query
