@@ -302,8 +302,11 @@ def one_of_each(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame
     without a doc_id all stay, as no decision can name them.
     """
     found = cut(near_duplicates(docs, radius, shingle))
-    keep = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
-    once = docs.join(keep.where("count = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(keep.where("count > 1").select("doc_id"), "doc_id", "left_semi")
-    again = again.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row")).select("doc_id", "row.*")
-    return once.select(docs.columns).unionByName(again.select(docs.columns)).unionByName(docs.where(F.col("doc_id").isNull()))
+    keep = cut(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count())
+    out = docs.join(keep.where("count = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    if not keep.where("count > 1").isEmpty():
+        again = docs.join(keep.where("count > 1").select("doc_id"), "doc_id", "left_semi")
+        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+        again = again.groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row")).select("doc_id", "row.*")
+        out = out.unionByName(again.select(docs.columns))
+    return out.unionByName(docs.where(F.col("doc_id").isNull()))
