@@ -45,8 +45,8 @@ def lexical(text: Column) -> Column:
 
 
 def steps(value: Column, *limits: float) -> Column:
-    """How many of the limits a value reaches."""
-    return reduce(lambda a, x: a + F.when(value >= x, 1).otherwise(0), limits, F.lit(0))
+    """How many of the limits a value reaches; the value is evaluated once."""
+    return let(value, lambda v: reduce(lambda a, x: a + F.when(v >= x, 1).otherwise(0), limits, F.lit(0)))
 
 
 def labelled(labels: DataFrame) -> DataFrame:

@@ -4,19 +4,23 @@ Fingerprints that differ in at most ``radius`` of 64 bits agree on whole
 bands: with the bits cut into ``m`` bands, on at least ``m - radius`` of them.
 Every choice of ``m - radius`` bands is a key, so each link is met under some
 key and the search is exact for every ``m``.  ``m`` follows the number of
-distinct fingerprints so that a key's bucket stays small.
+distinct fingerprints: more bands mean more rows but smaller buckets.
 
 A bucket is compared in blocks of 64 fingerprints whose bits are stored
 vertically, one word for each bit plane.  A query's distances to all 64 are
 counted at once in bitwise counters fed by carry-save adders, three planes at
 a time; a block is abandoned once all its distances exceed the radius.  A
 bucket gives a spanning forest of its links, never all pairs.
+
+A second fingerprint by another seed may confirm links: 64 bits alone can't
+tell a similarity of 0.8 from chance in a large corpus, 128 can.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +34,10 @@ from quarry.llm.common import batches, cut, partitions, star_components, utf8, w
 SEED = 42
 #: Distinct fingerprints of a bucket that one task compares; larger buckets are dealt out in pairs of parts.
 BUCKET = 8192
-#: Expected size of a bucket, from which the number of bands follows.
-AIM = 256
+#: What a row costs against a comparison, from which the number of bands follows.
+ROW = 3000
+#: Bits of 128 within which documents count as similar to 0.8 by shingles: cosine 2 * 0.8 / 1.8 is an angle of about 19 bits.
+SIMILAR = 20
 #: Planes are visited in this order, which spreads over all bands.
 ORDER = [(p * 23) % 64 for p in range(64)]
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -39,41 +45,46 @@ ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: bytes | None, shingle: int = 4) -> int:
-    """SimHash of a whole text: bit i is set if more than half of the shingles' XXH64 have it."""
+def fingerprint(text: bytes | None, shingle: int = 4, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
+    """SimHashes of a whole text, one for each seed: bit i is set if more than half of the shingles' XXH64 have it."""
     found = words(text)
     if not found:
-        return 0
+        return [0] * len(seeds)
     k = min(shingle, len(found))
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
     starts = np.concatenate(([0], ends[:-1]))[: len(found) - k + 1]
     joined = b" ".join(found)
-    parts = map(joined.__getitem__, map(slice, starts.tolist(), (ends[k - 1 :] - 1).tolist()))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(starts))
+    parts = [joined[a:b] for a, b in zip(starts.tolist(), (ends[k - 1 :] - 1).tolist(), strict=True)]
+    return [majority(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), np.uint64, len(parts))) for seed in seeds]
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     eight = hashes.view(np.uint8).reshape(-1, 8)
     if len(hashes) < 600:
         counts = np.unpackbits(eight, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     else:
         counts = np.concatenate([np.bincount(eight[:, b], minlength=256) @ BYTE_BITS for b in range(8)])
-    bits = np.packbits(counts * 2 > len(hashes), bitorder="little")
-    return int(bits.view(np.uint64)[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row (doc_id, fp long) for each row of ``docs``; ``fp`` holds the 64 bits as a signed number.
+def fingerprints(docs: DataFrame, shingle: int = 4, key: str = "doc_id", text: str = "text", seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """One row (doc_id, fp, fp2, ... long) for each row of ``docs``: the 64 bits of each seed as a signed number.
 
     A null or empty text and one without words have fingerprint zero.  Null
     keys and repeated rows are kept as they are.
     """
     narrow = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    kind = pa.schema([("doc_id", to_arrow_type(narrow.schema["doc_id"].dataType)), ("fp", pa.int64())])
+    names = ["fp", *(f"fp{i}" for i in range(2, len(seeds) + 1))]
+    kind = pa.schema([("doc_id", to_arrow_type(narrow.schema["doc_id"].dataType)), *((n, pa.int64()) for n in names)])
 
     def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
-            every = np.fromiter((fingerprint(x, shingle) for x in utf8(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(every.view(np.int64))], schema=kind)
+            every = np.array([fingerprint(x, shingle, seeds) for x in utf8(batch.column(1))], np.uint64)
+            columns = [pa.array(np.ascontiguousarray(every[:, i]).view(np.int64)) for i in range(len(seeds))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=kind)
 
-    return narrow.mapInArrow(made, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, fp long")
+    return narrow.mapInArrow(made, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
 
 
 def planes(block: np.ndarray) -> np.ndarray:
@@ -84,24 +95,25 @@ def planes(block: np.ndarray) -> np.ndarray:
 
 
 def near(queries: np.ndarray, slices: np.ndarray, valid: np.ndarray, radius: int) -> np.ndarray:
-    """Bit masks of the block members within ``radius`` (below 8) of each query.
+    """Bit masks of the block members within ``radius`` of each query.
 
     queries (G, 64), slices (G, 64) planes, valid (G, 64) masks of the members
     that count for each query; the result has the shape of ``valid``.
     """
     out = np.zeros_like(valid)
     live = np.arange(len(queries))
-    ones, twos, fours, over = (np.zeros_like(valid) for _ in range(4))
+    counters = [np.zeros_like(valid) for _ in range(max(2, radius.bit_length()))]  # of weight 1, 2, 4, ...
+    over = np.zeros_like(valid)
 
     def beyond() -> np.ndarray:
         """Lanes whose count exceeds the radius: a comparison of the counters with a constant, bit by bit."""
         more, same = over.copy(), ~over
-        for counter, weight in ((fours, 4), (twos, 2), (ones, 1)):
-            if radius & weight:
-                same &= counter
+        for i in reversed(range(len(counters))):
+            if radius >> i & 1:
+                same &= counters[i]
             else:
-                more |= same & counter
-                same &= ~counter
+                more |= same & counters[i]
+                same &= ~counters[i]
         return more
 
     def differ(p: int) -> np.ndarray:
@@ -114,18 +126,19 @@ def near(queries: np.ndarray, slices: np.ndarray, valid: np.ndarray, radius: int
             total, carry = half ^ x[2], (x[0] & x[1]) | (half & x[2])
         else:
             total, carry = x[0], np.zeros_like(x[0])
-        spill = ones & total
-        ones ^= total
-        half = twos ^ spill
-        up = (twos & spill) | (half & carry)
-        twos = half ^ carry
-        over |= fours & up
-        fours ^= up
+        spill = counters[0] & total
+        counters[0] ^= total
+        half = counters[1] ^ spill
+        up = (counters[1] & spill) | (half & carry)
+        counters[1] = half ^ carry
+        for i in range(2, len(counters)):
+            counters[i], up = counters[i] ^ up, counters[i] & up
+        over |= up
         if at in (15, 24, 33, 45):
             keep = np.nonzero((valid & ~beyond()).any(axis=1))[0]
             if len(keep) < 0.7 * len(live):  # the other blocks are abandoned: all their distances exceed the radius
                 live, queries, slices, valid = live[keep], queries[keep], slices[keep], valid[keep]
-                ones, twos, fours, over = ones[keep], twos[keep], fours[keep], over[keep]
+                counters, over = [c[keep] for c in counters], over[keep]
                 if not len(live):
                     return out
     out[live] = valid & ~beyond()
@@ -159,8 +172,30 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 AFTER = np.array([int(ALL) << (q + 1) & int(ALL) for q in range(64)], dtype=np.uint64)
 
 
-def forest(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (from, to) of a spanning forest of each group of distinct fingerprints; groups are runs of equal numbers."""
+class Compare:
+    """When two of some fingerprints link: ``radius`` bits of the first at most, and ``both`` of both together."""
+
+    def __init__(self, fp: np.ndarray, radius: int, second: np.ndarray | None = None, both: int = 128):
+        self.fp, self.radius, self.second, self.both = fp, radius, second, both
+
+    def part(self, at: slice) -> Compare:
+        return Compare(self.fp[at], self.radius, None if self.second is None else self.second[at], self.both)
+
+    def confirmed(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs within the radius that the second fingerprint confirms."""
+        if self.second is None or not len(a):
+            return a, b
+        near_ = np.bitwise_count(self.fp[a] ^ self.fp[b]) + np.bitwise_count(self.second[a] ^ self.second[b]) <= self.both
+        return a[near_], b[near_]
+
+    def ball(self, seed: int) -> np.ndarray:
+        found = np.nonzero(np.bitwise_count(self.fp ^ self.fp[seed]) <= self.radius)[0]
+        return self.confirmed(found, np.full(len(found), seed))[0]
+
+
+def forest(group: np.ndarray, compare: Compare) -> tuple[np.ndarray, np.ndarray]:
+    """Links (from, to), as positions, of a spanning forest of each group; groups are runs of equal numbers."""
+    fp, radius = compare.fp, compare.radius
     starts = np.nonzero(np.concatenate(([True], group[1:] != group[:-1])))[0]
     sizes = np.diff(np.concatenate((starts, [len(group)])))
     label = np.arange(len(fp))
@@ -173,23 +208,25 @@ def forest(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray,
         valid = np.where(there, (np.uint64(1) << lane.astype(np.uint64)), np.uint64(0)).sum(axis=1, dtype=np.uint64)[:, None] & AFTER[None, :]
         valid = np.where(there, valid, np.uint64(0))
         g, q, k = pairs(near(block, planes(block), valid, radius))
-        merge(label, starts[part][g] + q, starts[part][g] + k)
+        merge(label, *compare.confirmed(starts[part][g] + q, starts[part][g] + k))
     for s, n in zip(starts[sizes > 64], sizes[sizes > 64], strict=True):
-        label[s : s + n] = s + large(fp[s : s + n], radius)
+        label[s : s + n] = s + large(compare.part(slice(s, s + n)))
     off = np.nonzero(label != np.arange(len(fp)))[0]
-    return fp[off], fp[label[off]]
+    return off, label[off]
 
 
-def large(fp: np.ndarray, radius: int) -> np.ndarray:
+def large(compare: Compare) -> np.ndarray:
     """Labels of one large group: its dense balls are gathered first, then blocks of different labels are compared."""
-    n = len(fp)
+    fp, n = compare.fp, len(compare.fp)
     label, free = np.arange(n), np.ones(n, bool)
     for _ in range(8):
         if not free.any():
             break
         seed = int(np.argmax(free))
-        ball = np.nonzero(np.bitwise_count(fp ^ fp[seed]) <= radius)[0]
-        free[ball] = False
+        ball = compare.ball(seed)
+        free[ball] = free[seed] = False
+        if len(ball) < 2:
+            continue
         merge(label, np.full(len(ball), seed), ball)
     order = np.argsort(label, kind="stable")
     pad = -n % 64
@@ -207,8 +244,8 @@ def large(fp: np.ndarray, radius: int) -> np.ndarray:
         if len(a):
             valid = np.where((a == b)[:, None], full[b][:, None] & AFTER[None, :], full[b][:, None])
             valid = np.where(there[a], valid, np.uint64(0))
-            g, q, k = pairs(near(block[a], slices[b], valid, radius))
-            merge(label, member[a[g], q], member[b[g], k])
+            g, q, k = pairs(near(block[a], slices[b], valid, compare.radius))
+            merge(label, *compare.confirmed(member[a[g], q], member[b[g], k]))
     return label
 
 
@@ -220,34 +257,37 @@ def band_keys(radius: int, m: int) -> list[int]:
 
 
 def bands_for(distinct: int, radius: int) -> int:
-    """The least number of bands for which buckets of evenly spread fingerprints hold :data:`AIM` or fewer."""
-    m = radius + 1
-    while m < 2 * radius + 2 and distinct > AIM << (64 * (m - radius) // m):
-        m += 1
-    return m
+    """The number of bands for which the rows and comparisons of evenly spread fingerprints cost least; every number is exact."""
+
+    def cost(m: int) -> float:
+        return comb(m, radius) * (ROW + distinct / 2 ** (64 * (m - radius) / m))
+
+    return min(range(radius + 1, min(64, 2 * radius + 2) + 1), key=cost)
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct: DataFrame, radius: int, bands: int | None = None, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) that connect exactly the fingerprints connected at ``radius``; ``distinct`` holds each ``fp`` once.
+def links(distinct: DataFrame, radius: int, bands: int | None = None, bucket: int = BUCKET, both: int | None = None) -> DataFrame:
+    """Links (a, b) that connect exactly the nodes connected at ``radius``; ``distinct`` has each ``node`` once with its ``fp``.
 
-    Each bucket yields at most one link for each member.  Buckets of more than
-    ``bucket`` members are split into parts and every two parts meet in a task
-    of their own, so no bucket is gathered whole.
+    With ``both`` links need that many bits of ``fp`` and ``fp2`` together at
+    most, too.  Each bucket yields at most one link for each member.  Buckets
+    of more than ``bucket`` members are split into parts and every two parts
+    meet in a task of their own, so no bucket is gathered whole.
     """
     m = bands or bands_for(distinct.count(), radius)
     masks = band_keys(radius, m)
+    own_columns = ["node", "fp", *(["fp2"] if both else [])]
     keys = [F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(signed(x))).alias("key")) for i, x in enumerate(masks)]
-    rows = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.band", "k.key")
+    rows = distinct.select(*own_columns, F.explode(F.array(*keys)).alias("k")).select(*own_columns, "k.band", "k.key")
     heavy = rows.groupBy("band", "key").count().where(F.col("count") > bucket).select("band", "key", F.ceil(F.col("count") / bucket).cast("int").alias("parts"))
     rows = rows.join(heavy, ["band", "key"], "left")
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     others = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     rows = rows.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(others))
-    rows = rows.select("band", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
+    rows = rows.select("band", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), *own_columns)
     rows = rows.repartition(partitions(distinct.sparkSession), "band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi")
 
     def compared(batch: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,34 +300,41 @@ def links(distinct: DataFrame, radius: int, bands: int | None = None, bucket: in
                 change[1:] |= c[1:] != c[:-1]
             last = int(np.nonzero(change)[0][-1]) if change.any() else 0  # the last group may go on in the next batch
             if last:
-                yield linked(np.cumsum(change)[:last], now[4][:last])
+                yield linked(np.cumsum(change)[:last], [c[:last] for c in now[4:]])
             kept = [c[last:] for c in now]
         if kept:
-            yield linked(np.zeros(len(kept[0]), int), kept[4])
+            yield linked(np.zeros(len(kept[0]), int), kept[4:])
 
-    def linked(group: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        a, b = forest(group, np.ascontiguousarray(fp).view(np.uint64), radius)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+    def linked(group: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+        node, *prints = columns
+        prints = [np.ascontiguousarray(x).view(np.uint64) for x in prints]
+        a, b = forest(group, Compare(prints[0], radius, *([prints[1], both] if both else [])))
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
     return rows.mapInArrow(compared, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, key: str = "doc_id", text: str = "text", both: int | None = None) -> DataFrame:
     """One row (doc_id, fp long, component_id) for each row of ``docs``.
 
     ``component_id`` is the smallest key among the documents reached through
     links of at most ``radius`` differing bits, the document itself included;
-    null only where no document of the component has a key.  Texts without
-    words share fingerprint zero and are linked like any others.  Repeated
-    rows and ties belong to one component.  An empty table gives no rows.
+    null only where no document of the component has a key.  With ``both``
+    links also need at most that many differing bits of two fingerprints
+    together.  Texts without words share fingerprint zero and are linked like
+    any others.  Repeated rows and ties belong to one component.  An empty
+    table gives no rows.
     """
-    found = cut(fingerprints(docs, shingle, key, text))
-    distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = star_components(links(distinct.select("fp"), radius))
-    nodes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    found = fingerprints(docs, shingle, key, text, (SEED, SEED + 1) if both else (SEED,))
+    node = F.xxhash64("fp", "fp2") if both else F.col("fp")
+    found = cut(found.withColumn("node", node))
+    prints = [F.first(c).alias(c) for c in ("fp", "fp2") if c in found.columns]
+    distinct = cut(found.groupBy("node").agg(F.min("doc_id").alias("least"), *prints))
+    roots = star_components(links(distinct, radius, both=both))
+    nodes = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(least, "root").select("fp", "component_id")
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = nodes.join(least, "root").select("node", "component_id")
+    return found.join(named, "node").select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: Column) -> Column:
@@ -295,13 +342,17 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, radius: int = 10, shingle: int = 5, both: int | None = SIMILAR) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: the one with the smallest ``doc_id``.
 
+    By default documents are near that share five-word shingles to a similarity
+    of about 0.8: 10 of 64 bits of the fingerprint that finds candidates, and
+    :data:`SIMILAR` of 128 bits of both.
+
     Of rows that share that doc_id, the one with the smallest text stays.  Rows
     without a doc_id all stay, as no decision can name them.
     """
-    found = cut(near_duplicates(docs, radius, shingle))
+    found = cut(near_duplicates(docs, radius, shingle, both=both))
     keep = cut(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count())
     out = docs.join(keep.where("count = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     if not keep.where("count > 1").isEmpty():

@@ -111,7 +111,7 @@ def test_simhash_links(spark, bands, bucket):
     for i in range(200):
         prints[len(prints)] = dense ^ (1 << i % 64) ^ (1 << i * 7 % 64)
     want = brute_components(prints, 4)
-    distinct = spark.createDataFrame([(simhash.signed(x),) for x in set(prints.values())], "fp long")
+    distinct = spark.createDataFrame([(simhash.signed(x),) * 2 for x in set(prints.values())], "node long, fp long")
     roots = {x["node"]: x["root"] for x in common.star_components(simhash.links(distinct, 4, bands, bucket)).collect()}
     label = {d: roots.get(simhash.signed(x), simhash.signed(x)) for d, x in prints.items()}
     groups = defaultdict(set)
@@ -121,13 +121,45 @@ def test_simhash_links(spark, bands, bucket):
     assert len(groups) == len(set(want.values()))
 
 
-def test_simhash_one_of_each(docs, awkward, empty):
-    got = simhash.one_of_each(docs)
-    found = rows(simhash.near_duplicates(docs))
-    assert got.columns == docs.columns
-    assert sorted(x["doc_id"] for x in got.collect()) == sorted({x["component_id"] for x in found.values()})
+def brute_similar(prints, seconds):
+    parent = {d: d for d in prints}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(prints)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            first = (prints[a] ^ prints[b]).bit_count()
+            if first <= 10 and first + (seconds[a] ^ seconds[b]).bit_count() <= simhash.SIMILAR:
+                ra, rb = find(a), find(b)
+                parent[max(ra, rb)] = min(ra, rb)
+    return {find(d) for d in ids}
+
+
+def test_simhash_one_of_each(spark, docs, awkward, empty):
+    r = random.Random(5)
+    words_ = [f"w{i}" for i in range(400)]
+    base = [[r.choice(words_) for _ in range(300)] for _ in range(40)]
+    table = [(i, " ".join(w)) for i, w in enumerate(base)]
+    for i, w in enumerate(base):
+        copy = list(w)
+        for _ in range(i % 4):  # up to three words of 300 changed: a similarity of 0.9 or more
+            copy[r.randrange(300)] = "changed"
+        table.append((100 + i, " ".join(copy)))
+    many = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    both = {d: simhash.fingerprint(t.encode(), 5, (42, 43)) for d, t in table}
+    want = brute_similar({d: x[0] for d, x in both.items()}, {d: x[1] for d, x in both.items()})
+    got = simhash.one_of_each(many)
+    assert got.columns == many.columns
+    kept = sorted(x["doc_id"] for x in got.collect())
+    assert kept == sorted(want)
+    assert len([d for d in kept if d < 100]) == 40 and len(kept) <= 42
     assert sorted((x["doc_id"] or -1) for x in simhash.one_of_each(awkward).collect()) == [-1, -1, 5, 6]
     assert simhash.one_of_each(empty).count() == 0
+    assert simhash.one_of_each(docs).count() < docs.count()
 
 
 def test_ngrams(docs):

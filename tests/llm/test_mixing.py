@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarry.llm import lines, mixing, queries, simhash
+from test_llm_operators import brute_similar
 
 SF = "/root/testdata/sf0.01"
 
@@ -97,22 +98,10 @@ def test_pipeline(spark, tmp_path):
             assert docs.columns == columns
             assert docs.where("n_chars <> length(text)").count() == 0
         if name == "SimHash near-dedup":
-            found = {x["doc_id"]: x["fp"] for x in simhash.fingerprints(before).collect()}
+            texts = {x["doc_id"]: x["text"] for x in before.collect()}
+            both = {d: simhash.fingerprint((t or "").encode(), 5, (42, 43)) for d, t in texts.items()}
             kept = {x["doc_id"] for x in docs.collect()}
-            ids = sorted(found)
-            parent = {d: d for d in ids}
-
-            def find(x, parent=parent):
-                while parent[x] != x:
-                    x = parent[x]
-                return x
-
-            for i, a in enumerate(ids):
-                for b in ids[i + 1 :]:
-                    if (found[a] ^ found[b]).bit_count() <= 4 or ((found[a] ^ found[b]) % (1 << 64)).bit_count() <= 4:
-                        ra, rb = find(a), find(b)
-                        parent[max(ra, rb)] = min(ra, rb)
-            assert kept == {find(d) for d in ids}
+            assert kept == brute_similar({d: x[0] for d, x in both.items()}, {d: x[1] for d, x in both.items()})
         if name == "line dedup":
             held = defaultdict(set)
             for x in docs.collect():
