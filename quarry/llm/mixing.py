@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import cut, let
-from quarry.llm.rules import SYMBOLS, count_of
+from quarry.llm.rules import SYMBOLS
 
 #: Domains as conditions on the labelled table, in order.
 DOMAINS = {"clean": "toxic = 0 AND quality = 1", "low": "toxic = 0 AND quality = 0", "toxic": "toxic = 1"}
@@ -40,8 +40,8 @@ def label_domain() -> Column:
 
 
 def lexical(text: Column) -> Column:
-    """Words of letters and digits, in lower case."""
-    return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda x: x != "")
+    """Words of letters and digits, in lower case: runs without other ASCII characters."""
+    return F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
 
 
 def steps(value: Column, *limits: float) -> Column:
@@ -59,7 +59,7 @@ def lexicons(docs: DataFrame, known: DataFrame, sample: int = SAMPLE) -> dict[st
     """For each domain the words that mark it by chi-square over a bounded sample of labelled rows."""
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # bounded by sample
-    words = texts.select("domain", F.explode(F.concat(F.array(F.lit("")), F.array_distinct(lexical(F.col("text"))))).alias("word"))
+    words = texts.select("domain", F.explode(F.array_union(F.array(F.lit("")), lexical(F.col("text")))).alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("n"), *(F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS)).where((F.col("n") >= EXAMPLES) | (F.col("word") == ""))
     whole = counts.where("word = ''").withColumnsRenamed({"n": "all", **{d: f"all_{d}" for d in DOMAINS}}).drop("word")
     both = counts.where("word <> ''").crossJoin(F.broadcast(whole))  # one row
@@ -77,18 +77,17 @@ def featured(docs: DataFrame, words: dict[str, list[str]]) -> DataFrame:
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(body, "\n", -1), lambda x: F.length(F.btrim(x)) > 0)
     repeats = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    symbols = count_of(body, SYMBOLS)
+    symbols = F.regexp_count(body, F.lit(f"[{SYMBOLS}]"))
 
     def figures(w: Column) -> Column:
-        n = F.size(w)
-        letters = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x))
+        n = F.size(w) - F.when(F.get(w, 0) == "", 1).otherwise(0) - F.when((F.size(w) > 1) & (F.element_at(w, -1) == ""), 1).otherwise(0)  # blanks at the ends
         hits = {d: F.size(F.array_intersect(w, F.array(*map(F.lit, words[d])))) if words.get(d) else F.lit(0) for d in DOMAINS}
         return F.struct(
             n.cast("long").alias("tokens"),
             steps(n, 20, 100, 400).alias("b_length"),
             steps(symbols / F.greatest(n, F.lit(1)), 0.02, 0.2, 0.6).alias("b_symbols"),
             steps(repeats, 1, 4).alias("b_repeats"),
-            steps(letters / F.greatest(n, F.lit(1)), 4.0, 5.5, 7.0).alias("b_word"),
+            steps(F.length(body) / F.greatest(n, F.lit(1)), 5.0, 6.5, 8.0).alias("b_word"),
             *(steps(hits[d], 1, 2, 3).alias(f"b_{d}") for d in DOMAINS),
         )
 
@@ -135,33 +134,34 @@ def fitted(cells: DataFrame, targets: dict[str, float], rounds: int = ROUNDS) ->
     return now
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """``docs`` with n_tokens, p_<domain>, rate and n_copies, one row for each row.
+def decided(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """Rows (doc_id, n_tokens, p_<domain>, rate, n_copies), one for each row of ``docs``.
 
     ``n_copies`` is ``rate`` rounded up or down by a hash of doc_id, so that
-    its expectation is ``rate``; all rows with one doc_id decide alike.  Null
-    and empty texts have no tokens but a cell like any others.  Without labels
-    the posteriors are even.  Columns with these names are replaced.
+    its expectation is ``rate``.  Null and empty texts have no tokens but a cell
+    like any others.  Without labels the posteriors are even.  The texts are
+    read once for the lexicons and once for the features; the rest works on
+    features and cells.
     """
     targets = TARGETS if targets is None else targets
     known = labelled(labels)
-    words = lexicons(docs, known)
-    full = featured(docs, words)
-    narrow = cut(full.select(F.col("doc_id").cast("long").alias("doc_id"), "__f.*"))
+    narrow = cut(featured(docs.select("doc_id", "text"), lexicons(docs, known)).select("doc_id", "__f.*"))
     cells = narrow.groupBy(*SIZES).agg(F.sum("tokens").alias("tokens"))
-    trained = cut(narrow.join(known, "doc_id").groupBy(*SIZES, "domain").agg(F.count("*").alias("n")))
-    rates = fitted(cut(posteriors(cells, trained)), targets)
-    rates = rates.select(*(F.col(b).alias(f"__{b}") for b in SIZES), *(f"p_{d}" for d in DOMAINS), "rate")
-    made = [*(f"p_{d}" for d in DOMAINS), "rate"]
-    base = full.drop(*made, "n_tokens", "n_copies")
-    same = reduce(lambda a, b: a & b, (F.col(f"__f.{b}") == F.col(f"__{b}") for b in SIZES))
-    joined = base.join(F.broadcast(rates), same)  # at most CELLS rows
+    trained = cut(narrow.withColumn("doc_id", F.col("doc_id").cast("long")).join(known, "doc_id").groupBy(*SIZES, "domain").agg(F.count("*").alias("n")))
+    rates = fitted(cut(posteriors(cells, trained)), targets).drop("tokens")
+    joined = narrow.join(F.broadcast(rates), list(SIZES))  # at most CELLS rows
     even = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     copies = F.floor("rate") + F.when(even < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    return joined.withColumns({"n_tokens": F.col("__f.tokens"), "n_copies": copies.cast("long")}).select(*[c for c in docs.columns if c not in (*made, "n_tokens", "n_copies")], "n_tokens", *made, "n_copies")
+    return joined.select("doc_id", F.col("tokens").alias("n_tokens"), *(f"p_{d}" for d in DOMAINS), "rate", copies.cast("long").alias("n_copies"))
 
 
 def resampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """The rows of ``docs``, each as often as its rate asks for, with the columns they came with."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text")
-    return mixed(rows, labels, targets).where("n_copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "n_copies"))).select("row.*")
+    """The rows of ``docs``, each as often as its rate asks for, with the columns they came with.
+
+    All rows with one doc_id, and all without one, decide alike: as the row
+    that asks for most copies.
+    """
+    copies = decided(docs, labels, targets).groupBy("doc_id").agg(F.max("n_copies").alias("n")).select(F.col("doc_id").alias("__id"), F.sequence(F.lit(1).cast("long"), "n").alias("__each"), "n")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("__key"))
+    joined = rows.join(copies.where("n > 0"), F.col("__key").eqNullSafe(F.col("__id")))
+    return joined.select("row", F.explode("__each")).select("row.*")

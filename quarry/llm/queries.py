@@ -51,8 +51,7 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text")
+    return mixing.decided(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

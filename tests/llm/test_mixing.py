@@ -55,7 +55,7 @@ def test_classifier_on_held_out_rows(spark):
     truth = {x["doc_id"]: x["domain"] for x in mixing.labelled(labels).collect()}
     held = {d for d in truth if zlib.crc32(str(d).encode()) % 4 == 0}
     rest = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 0)
-    got = mixing.mixed(docs.select("doc_id", "text"), rest).toPandas().set_index("doc_id")
+    got = mixing.decided(docs.select("doc_id", "text"), rest).toPandas().set_index("doc_id")
     names = list(mixing.DOMAINS)
     best = got[[f"p_{d}" for d in names]].to_numpy().argmax(axis=1)
     guess = dict(zip(got.index, (names[i] for i in best), strict=True))
@@ -67,7 +67,7 @@ def test_classifier_on_held_out_rows(spark):
 def test_copies(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    copies = {x["doc_id"]: x["n_copies"] for x in mixing.mixed(docs, labels).select("doc_id", "n_copies").collect()}
+    copies = {x["doc_id"]: x["n_copies"] for x in mixing.decided(docs, labels).select("doc_id", "n_copies").collect()}
     got = mixing.resampled(docs, labels)
     assert got.columns == docs.columns
     assert Counter(x["doc_id"] for x in got.select("doc_id").collect()) == {d: n for d, n in copies.items() if n}
@@ -79,10 +79,10 @@ def test_awkward(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     odd = spark.createDataFrame([(5, 1, None), (None, 1, 0), (6, 0, 0), (6, 1, 0)], "doc_id long, quality int, toxic int")
     for labels in (none, odd):
-        got = mixing.mixed(docs, labels)
+        got = mixing.decided(docs, labels)
         assert got.count() == 4
         assert mixing.resampled(docs, labels).columns == docs.columns
-    assert mixing.mixed(docs.limit(0), none).count() == 0
+    assert mixing.decided(docs.limit(0), none).count() == 0
 
 
 def test_pipeline(spark, tmp_path):
