@@ -146,7 +146,7 @@ def decided(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None
     targets = TARGETS if targets is None else targets
     known = labelled(labels)
     narrow = cut(featured(docs.select("doc_id", "text"), lexicons(docs, known)).select("doc_id", "__f.*"))
-    cells = narrow.groupBy(*SIZES).agg(F.sum("tokens").alias("tokens"))
+    cells = narrow.groupBy(*SIZES).agg(F.sum("tokens").alias("tokens")).coalesce(1)  # at most CELLS rows, so that a step is one small task
     trained = cut(narrow.withColumn("doc_id", F.col("doc_id").cast("long")).join(known, "doc_id").groupBy(*SIZES, "domain").agg(F.count("*").alias("n")))
     rates = fitted(cut(posteriors(cells, trained)), targets).drop("tokens")
     joined = narrow.join(F.broadcast(rates), list(SIZES))  # at most CELLS rows
