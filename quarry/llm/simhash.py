@@ -14,6 +14,10 @@ bucket gives a spanning forest of its links, never all pairs.
 
 A second fingerprint by another seed may confirm links: 64 bits alone can't
 tell a similarity of 0.8 from chance in a large corpus, 128 can.
+
+:func:`similar_documents` decides by the exact Jaccard similarity of shingle
+sets: fingerprints only find candidates, with a radius far beyond what such
+pairs differ by, among texts that share one of their smallest shingles.
 """
 
 from __future__ import annotations
@@ -38,6 +42,12 @@ BUCKET = 8192
 ROW = 3000
 #: Bits of 128 within which documents count as similar to 0.8 by shingles: cosine 2 * 0.8 / 1.8 is an angle of about 19 bits.
 SIMILAR = 20
+#: Smallest shingles of a set that are candidate keys: a pair of similarity s shares none of them with a chance of about (1 - s) ** LOWEST.
+LOWEST = 16
+#: Candidate radii of the set's fingerprints, of 64 and of 128 bits; at a similarity of 0.8 pairs differ by 10 and 19 on average, 3 and 4 standard deviation.
+WIDE, WIDE_BOTH = 28, 48
+#: Shingles of a candidate component that one task confirms; larger ones are dealt out in pairs of parts.
+PART = 4_000_000
 #: Planes are visited in this order, which spreads over all bands.
 ORDER = [(p * 23) % 64 for p in range(64)]
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -282,13 +292,19 @@ def links(distinct: DataFrame, radius: int, bands: int | None = None, bucket: in
     own_columns = ["node", "fp", *(["fp2"] if both else [])]
     keys = [F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(signed(x))).alias("key")) for i, x in enumerate(masks)]
     rows = distinct.select(*own_columns, F.explode(F.array(*keys)).alias("k")).select(*own_columns, "k.band", "k.key")
+    return met(rows, radius, bucket, both)
+
+
+def met(rows: DataFrame, radius: int, bucket: int = BUCKET, both: int | None = None) -> DataFrame:
+    """A spanning forest (a, b) of the links of each bucket; ``rows`` has ``band``, ``key``, ``node`` and the fingerprints."""
+    own_columns = ["node", "fp", *(["fp2"] if both else [])]
     heavy = rows.groupBy("band", "key").count().where(F.col("count") > bucket).select("band", "key", F.ceil(F.col("count") / bucket).cast("int").alias("parts"))
     rows = rows.join(heavy, ["band", "key"], "left")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     others = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     rows = rows.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(others))
     rows = rows.select("band", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), *own_columns)
-    rows = rows.repartition(partitions(distinct.sparkSession), "band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi")
+    rows = rows.repartition(partitions(rows.sparkSession), "band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi")
 
     def compared(batch: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
@@ -337,22 +353,153 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, key: str
     return found.join(named, "node").select("doc_id", "fp", "component_id")
 
 
+def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """The distinct shingles of a whole text as sorted 64-bit hashes; none of a text without words."""
+    found = words(text)
+    if not found:
+        return np.zeros(0, np.uint64)
+    k = min(shingle, len(found))
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))[: len(found) - k + 1]
+    joined = b" ".join(found)
+    parts = {joined[a:b] for a, b in zip(starts.tolist(), (ends[k - 1 :] - 1).tolist(), strict=True)}
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(parts)))
+
+
+def remixed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles, by the finaliser of SplitMix64."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def set_node(found: np.ndarray) -> int:
+    """The 64-bit name of a shingle set."""
+    return signed(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+
+
+def similar(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links, as positions, of a spanning forest of the sets whose Jaccard similarity is at least ``least``."""
+    label, sizes = np.arange(len(sets)), np.array([len(x) for x in sets])
+    every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    edges = np.concatenate(([0], np.cumsum(sizes)))
+    for i in range(len(sets) - 1):
+        if not sizes[i]:
+            continue
+        ratio = np.minimum(sizes, sizes[i]) / np.maximum(sizes, sizes[i])
+        others = np.nonzero((np.arange(len(sets)) > i) & (label != label[i]) & (ratio >= least - 1e-9))[0]
+        if not len(others):
+            continue
+        pieces = every if len(others) == len(sets) else np.concatenate([every[edges[j] : edges[j + 1]] for j in others])
+        at = np.minimum(np.searchsorted(sets[i], pieces), sizes[i] - 1)
+        cuts = np.concatenate(([0], np.cumsum(sizes[others])[:-1]))
+        common = np.add.reduceat((sets[i][at] == pieces).astype(np.int64), cuts)
+        near_ = others[common >= (least - 1e-9) * (sizes[i] + sizes[others] - common)]
+        merge(label, np.full(len(near_), i), near_)
+    off = np.nonzero(label != np.arange(len(sets)))[0]
+    return off, label[off]
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """One row (doc_id, node, size, fp, fp2, low) for each row of ``docs``: its shingle set's name, size, SimHashes and smallest hashes."""
+
+    def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows):
+            out = []
+            for text in utf8(batch.column(1)):
+                found = shingle_set(text, shingle)
+                again = remixed(found)
+                fp, fp2 = (majority(found), majority(again)) if len(found) else (0, 0)
+                out.append((set_node(found), len(found), signed(fp), signed(fp2), found[:LOWEST].view(np.int64)))
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "node", "size", "fp", "fp2", "low"])
+
+    return docs.mapInArrow(made, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, size long, fp long, fp2 long, low array<long>")
+
+
+def confirmed_links(docs: DataFrame, distinct: DataFrame, roots: DataFrame, least: float, shingle: int, part: int = PART) -> DataFrame:
+    """Links (a, b) that connect exactly the sets that similarities of at least ``least`` connect within each candidate component.
+
+    Each set travels once, and once for each part where its component has more
+    than ``part`` shingles: then every two parts meet in a task of their own.
+    """
+    wanted = cut(distinct.join(roots, "node").select("node", "root", "size", "least"))
+    heavy = wanted.groupBy("root").agg(F.ceil(F.sum("size") / part).cast("int").alias("parts")).where("parts > 1")
+    wanted = wanted.join(heavy, "root", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.lit(0)))
+    ids = wanted.select(F.col("least").alias("doc_id")).distinct()
+    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
+
+    def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows):
+            sets = [shingle_set(x, shingle) for x in utf8(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array([set_node(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "hashes"])
+
+    sets = texts.mapInArrow(made, "node long, hashes binary").join(wanted.select("node", "root", "own", "parts"), "node")
+    others = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = sets.withColumn("other", F.explode(others)).select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "hashes")
+    rows = rows.repartition(partitions(docs.sparkSession), "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "node")
+
+    def compared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {}
+        for batch in batches(rows):
+            found: list[tuple[int, int]] = []
+            for root, lo, hi, node, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (root, lo, hi):
+                    found += linked(held)
+                    at, held = (root, lo, hi), {}
+                held[node] = np.frombuffer(hashes, np.uint64)  # of texts with equal sets, one
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], names=["a", "b"])
+        found = linked(held)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], names=["a", "b"])
+
+    def linked(held: dict[int, np.ndarray]) -> list[tuple[int, int]]:
+        nodes = list(held)
+        a, b = similar([held[x] for x in nodes], least)
+        return [(nodes[i], nodes[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+
+    return rows.mapInArrow(compared, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row (doc_id, fp long, component_id) for each row of ``docs``, as :func:`near_duplicates`.
+
+    Links are the pairs whose sets of shingles have a Jaccard similarity of at
+    least ``similarity`` over the whole texts, up to collisions of 64-bit
+    hashes.  Candidates share one of their :data:`LOWEST` smallest shingles and
+    lie within :data:`WIDE` and :data:`WIDE_BOTH` bits; all sets of a candidate
+    component are then held against each other.  Texts without words are alike.
+    """
+    narrow = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    found = cut(sketches(narrow, shingle))
+    distinct = cut(found.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "fp", "fp2", "low"))))
+    rows = distinct.select("node", "fp", "fp2", F.explode("low").alias("key")).withColumn("band", F.lit(0))
+    candidates = star_components(met(rows, WIDE, both=WIDE_BOTH))
+    candidates = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())  # the smallest nodes, too
+    roots = star_components(confirmed_links(narrow, distinct, candidates, similarity, shingle))
+    nodes = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = nodes.join(least, "root").select("node", "component_id")
+    return found.join(named, "node").select("doc_id", "fp", "component_id")
+
+
 def hex16(fp: Column) -> Column:
     """A fingerprint as 16 lower-case hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, radius: int = 10, shingle: int = 5, both: int | None = SIMILAR) -> DataFrame:
+def one_of_each(docs: DataFrame, radius: int = 10, shingle: int = 5, both: int | None = SIMILAR, similarity: float | None = None) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: the one with the smallest ``doc_id``.
 
     By default documents are near that share five-word shingles to a similarity
     of about 0.8: 10 of 64 bits of the fingerprint that finds candidates, and
-    :data:`SIMILAR` of 128 bits of both.
+    :data:`SIMILAR` of 128 bits of both.  With ``similarity`` the exact Jaccard
+    similarity of the shingles decides instead, see :func:`similar_documents`.
 
     Of rows that share that doc_id, the one with the smallest text stays.  Rows
     without a doc_id all stay, as no decision can name them.
     """
-    found = cut(near_duplicates(docs, radius, shingle, both=both))
+    found = cut(near_duplicates(docs, radius, shingle, both=both) if similarity is None else similar_documents(docs, similarity, shingle))
     keep = cut(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count())
     out = docs.join(keep.where("count = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     if not keep.where("count > 1").isEmpty():

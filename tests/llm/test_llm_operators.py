@@ -15,6 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import types as T
 
+import corpus_pipeline
 from quarry.llm import bpe, common, lines, multiset, ngrams, queries, rules, shards, simhash, toxicity
 from quarry.llm import license as licenses
 
@@ -162,6 +163,49 @@ def test_simhash_one_of_each(spark, docs, awkward, empty):
     assert simhash.one_of_each(docs).count() < docs.count()
 
 
+def test_simhash_exact_similarity(spark, docs, awkward, empty):
+    """The pipeline's stage links exactly the pairs whose five-word shingles have a Jaccard similarity of 0.8."""
+    r = random.Random(11)
+    words_ = [f"w{i}" for i in range(3000)]
+    table = []
+    for i in range(60):
+        own = [r.choice(words_) for _ in range(300)]
+        table.append((i, " ".join(own)))
+        for k, cut_ in enumerate((31, 35, 60)):  # words replaced at the end: similarities of 0.81, 0.79 and 0.66
+            table.append((100 + 10 * i + k, " ".join([*own[:-cut_], *(f"n{i}x{k}x{j}" for j in range(cut_))])))
+    table += [(9000 + i, " ".join(["one", "two", "three", "four", *(f"s{j}" for j in range(4 + i))])) for i in range(3)]
+    sets = {d: {" ".join(words(t)[j : j + 5]) for j in range(len(words(t)) - 4)} for d, t in table}
+    parent = {d: d for d, _ in table}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(parent)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((find(a), find(b)))
+                parent[high] = low
+    want = {d: find(d) for d in ids}
+    assert 100 < len(set(want.values())) < len(ids) - 50
+    many = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    assert {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(many).collect()} == want
+    assert {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, many, "").collect()} == set(want.values())
+    narrow = many.select("doc_id", "text")
+    distinct = simhash.sketches(narrow, 5).withColumnRenamed("doc_id", "least").cache()
+    roots = distinct.select("node").selectExpr("node", "0L AS root")
+    linked = common.star_components(simhash.confirmed_links(narrow, distinct, roots, 0.8, 5, part=9000))  # one component in several parts
+    label = {x["node"]: x["root"] for x in linked.collect()}
+    groups = defaultdict(set)
+    for x in distinct.collect():
+        groups[label.get(x["node"], x["node"])].add(want[x["least"]])
+    assert all(len(x) == 1 for x in groups.values()) and len(groups) == len(set(want.values()))
+    assert sorted((x["doc_id"] or -1) for x in simhash.one_of_each(awkward, similarity=0.8).collect()) == [-1, -1, 5, 6]
+    assert simhash.one_of_each(empty, similarity=0.8).count() == 0
+
+
 def test_ngrams(docs):
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, *_ in corpus()}
     text = {d: [*words(t), " end"] for d, t, *_ in corpus()}
