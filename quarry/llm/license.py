@@ -1,8 +1,10 @@
 """License scans by an exact set-similarity join.
 
-Text blocks (lines) are joined with license templates on containment: a block
-meets a template if it holds at least ``threshold`` of the template's distinct
-words.  The join filters before it verifies:
+Text blocks are joined with license templates on containment: a block meets a
+template if it holds at least ``threshold`` of the template's distinct words.
+Blocks are the lines and, for notices wrapped over lines, all windows of
+consecutive words of :data:`SLACK` times the template's length, at every place
+of the text.  The join filters before it verifies:
 
 * prefix: with words in the order of their frequency over all documents, a
   block that meets the threshold holds one of a template's first
@@ -17,6 +19,7 @@ fixed phrases are counted over the whole text.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,6 +44,8 @@ TEMPLATES = {
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
 THRESHOLD = 0.8
+#: Words of a window against those of the template.
+SLACK = 1.5
 #: Maps a text's bytes so that all but word characters become blanks, A-Z lower case; line breaks stay apart.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 or b == 10 else 32 for b in range(256))
 
@@ -55,11 +60,13 @@ class Scanner:
 
     def __init__(self, templates: dict[str, str], frequency: dict[bytes, int], threshold: float):
         self.templates = []
+        self.windows: list[int] = []
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
         for label, text in sorted(templates.items()):
             order = sorted(set(text.encode().translate(FOLD).split()), key=lambda w: (frequency.get(w, 0), w))
             least = need(len(order), threshold)
             self.templates.append((label, order, set(order), least))
+            self.windows.append(math.ceil(SLACK * len(text.encode().translate(FOLD).split())))
             for p, word in enumerate(order[: len(order) - least + 1]):
                 self.prefix.setdefault(word, []).append((len(self.templates) - 1, p))
 
@@ -76,6 +83,41 @@ class Scanner:
                 out.append((label, common / len(order)))
         return out
 
+    def across(self, words: list[bytes], line: list[int]) -> list[tuple[int, str, float]]:
+        """Blocks over several lines (line of the first word, label, containment); ``line`` has each word's line.
+
+        Overlapping windows of one template are one block, with the largest
+        containment.  A window within a line holds no more than the line.
+        """
+        out = []
+        own = set(words)
+        for t in sorted({t for word in own & self.prefix.keys() for t, _ in self.prefix[word]}):
+            label, order, every, least = self.templates[t]
+            if len(every & own) < least:
+                continue
+            held: Counter = Counter()
+            places_ = [i for i, word in enumerate(words) if word in every]
+            left, end, best = 0, -1, None
+            for i in places_:
+                held[words[i]] += 1
+                while places_[left] <= i - self.windows[t]:
+                    held[words[places_[left]]] -= 1
+                    if not held[words[places_[left]]]:
+                        del held[words[places_[left]]]
+                    left += 1
+                first = places_[left]
+                if len(held) < least or line[first] == line[i]:
+                    continue
+                if best and first > end:
+                    out.append(best)
+                    best = None
+                if not best or len(held) / len(order) > best[2]:
+                    best = (line[first], label, len(held) / len(order))
+                end = i
+            if best:
+                out.append(best)
+        return out
+
 
 def places(folded: bytes, phrases: dict[bytes, str]) -> list[tuple[int, str]]:
     """Starts, as word numbers, of all places of the phrases, overlapping ones too."""
@@ -109,8 +151,8 @@ def word_frequency(docs: DataFrame, templates: dict[str, str]) -> dict[bytes, in
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, phrases: dict[str, str] | None = None) -> DataFrame:
     """Rows (doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks), one for each row.
 
-    ``blocks`` lists the blocks found as (line number from 0, label,
-    containment); ``score`` is the largest containment, 1 where a phrase
+    ``blocks`` lists the blocks found as (number from 0 of the first line, label,
+    containment), those over several lines last; ``score`` is the largest containment, 1 where a phrase
     occurs.  A null or empty text has no words, no labels and score 0.
     ``first_word`` and ``last_word`` are null without a phrase.
     """
@@ -132,10 +174,13 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
                 words = folded.split()
                 found, base = [], []
                 if not rare.isdisjoint(words):
+                    of: list[int] = []
                     for k, line in enumerate(folded.split(b"\n")):
                         own = line.split()
+                        of += [k] * len(own)
                         if not rare.isdisjoint(own):
                             found += [(k, label, share) for label, share in scanner.block(set(own))]
+                    found += scanner.across(words, of)
                 if any(p.split(b" ", 1)[0] in folded for p in table):
                     base = places(folded, table)
                 starts, own = [x for x, _ in base], {x for _, x in base}

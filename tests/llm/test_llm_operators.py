@@ -271,6 +271,38 @@ def test_licenses(docs, awkward, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_licenses_wrapped(spark):
+    """Notices wrapped over lines are found wherever the breaks are, and all windows by brute force."""
+    fold = lambda t: re.sub(r"[^a-z0-9\n]", " ", lower(t))
+    table = [
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+        "This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy",
+        "# Licensed under the Apache\n#\n# License, Version 2.0",
+        "released\nat last\nunder other words than those of the\nlast license of mit and many more words",
+    ]
+    r = random.Random(2)
+    for text in licenses.TEMPLATES.values():
+        own = text.split()
+        for _ in range(6):
+            some = [*(f"w{r.randrange(50)}" for _ in range(r.randrange(20))), *own, *(f"w{r.randrange(50)}" for _ in range(9))]
+            for _ in range(r.randrange(8)):
+                some.insert(r.randrange(len(some)), r.choice(["the", "filler", *own]))
+            table.append("".join(w + r.choice("    \n") for w in some))
+    got = rows(licenses.license_scan(spark.createDataFrame(list(enumerate(table)), "doc_id long, text string"), phrases={}))
+    for d, t in enumerate(table):
+        labels, share = set(), 0.0
+        for label, template in licenses.TEMPLATES.items():
+            size, every, w = math.ceil(licenses.SLACK * len(template.split())), set(template.split()), fold(t).split()
+            for block in [*(x.split() for x in fold(t).split("\n")), *(w[i : i + size] for i in range(len(w)))]:
+                s = len(every & set(block)) / len(every)
+                if s >= licenses.THRESHOLD:
+                    labels.add(label)
+                    share = max(share, s)
+        assert (got[d]["labels"], got[d]["score"]) == (",".join(sorted(labels)), pytest.approx(share)), t
+    assert [got[d]["labels"] for d in range(4)] == ["bsd", "mpl-2.0", "apache-2.0", ""]
+    assert [(b["line"], b["label"], b["containment"]) for b in got[0]["blocks"]] == [(0, "bsd", 1.0)]
+
+
 def brute_lines(table):
     def key(line):
         k = lower(line.strip(" \t\n\x0b\x0c\r"))
