@@ -2,8 +2,8 @@
 
 Training takes a bounded sample of labelled rows.  Terms are words and, for
 inflected forms, beginnings of words that a text has once, twice or three
-times.  The terms that tell the labels apart (by chi-square over the sample)
-span the vector space; their document frequencies come from all documents.
+times.  All terms that tell the labels apart (by a chi-square over the sample
+that doesn't depend on its size) span the vector space; their document frequencies come from all documents.
 
 Examples with equal vectors are one point, with their number and mean label.
 Points stand in an inverted index cut into blocks of 64, which keeps each
@@ -27,10 +27,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.llm.common import batches, crc_mod, utf8
 
-#: Labelled rows in the sample at most, terms of the space at most.
-SAMPLE, TERMS = 20_000, 256
-#: A term needs this chi-square over the sample, this share of the sample's size in it, and this many examples.
-CHI2, EFFECT, EXAMPLES = 40.0, 0.02, 5
+#: Labelled rows in the sample at most.
+SAMPLE = 20_000
+#: A term needs this chi-square over the sample and this many examples.
+CHI2, EXAMPLES = 40.0, 5
 #: Characters of a word's beginning.
 STEM = 5
 NEAREST, BLOCK = 15, 64
@@ -58,7 +58,7 @@ def terms(text: bytes | None, keep: frozenset[str] | None = None) -> dict[str, i
 
 @dataclass
 class Model:
-    """What scoring needs: bounded by :data:`SAMPLE` and :data:`TERMS`."""
+    """What scoring needs: bounded by :data:`SAMPLE`."""
 
     idf: dict[str, tuple[int, float]]
     keep: frozenset[str]
@@ -87,15 +87,24 @@ class Model:
             return np.zeros(0, np.int64), np.zeros(0)
         bounds = self.highest[:, number] @ weight
         at, near = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(near) == k and bounds[b] <= near[-1] + 1e-9:
+        visit = np.argsort(-bounds, kind="stable")
+        visit = visit[bounds[visit] > 0]
+        done, step = 0, 2
+        while done < len(visit):
+            some = visit[done : done + step]
+            if len(near) == k:
+                some = some[bounds[some] > near[-1] + 1e-9]
+            if not len(some):
                 break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(number, weight, strict=True):
-                a, e = self.start[b, t], self.start[b, t + 1]
-                sums[self.place[a:e]] += w * self.weight[a:e]
+            done, step = done + step, step * 3
+            first = self.start[some[:, None], number].ravel()
+            held = self.start[some[:, None], number + 1].ravel() - first
+            ends = np.cumsum(held)
+            posting = np.repeat(first - ends + held, held) + np.arange(ends[-1])
+            row = np.repeat(np.repeat(np.arange(len(some)) * BLOCK, len(number)), held) + self.place[posting]
+            sums = np.bincount(row, np.repeat(np.tile(weight, len(some)), held) * self.weight[posting], len(some) * BLOCK)
             own = np.nonzero(sums)[0]
-            at = np.concatenate((at, b * BLOCK + own))
+            at = np.concatenate((at, some[own // BLOCK] * BLOCK + own % BLOCK))
             near = np.concatenate((near, np.round(sums[own], 12)))
             order = np.argsort(-near, kind="stable")[:k]
             at, near = at[order], near[order]
@@ -145,8 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
     a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
     below = (a + b) * (n - a - b) * float(all0) * float(all1)
     chi = F.when(below > 0, n * F.pow(a * (all0 - b) - b * (all1 - a), F.lit(2.0)) / below).otherwise(0.0)
-    ranked = found.where(F.length("term") > 0).withColumn("chi", chi).where(F.col("chi") >= max(CHI2, EFFECT * n))
-    chosen = [x["term"] for x in ranked.orderBy(F.desc("chi"), "term").limit(TERMS).collect()]
+    ranked = found.where(F.length("term") > 0).withColumn("chi", chi).where(F.col("chi") >= CHI2)
+    chosen = [x["term"] for x in ranked.select("term").collect()]  # bounded by the sample's vocabulary
     found.unpersist()
     return index(docs, sample, sorted(chosen), base)
 

@@ -484,6 +484,22 @@ def test_toxicity_held_out(spark):
     assert sum((s - y) ** 2 for s, y in held) / len(held) < 0.05
 
 
+def test_toxicity_diverse_words(spark):
+    """300 toxic words, each in five of 300 toxic examples among 3,000, all count."""
+    r = random.Random(4)
+    plain = [f"w{i}" for i in range(200)]
+    learnt = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 5][:3000]
+    held = [i for i in range(6000, 8000) if zlib.crc32(str(i).encode()) % 5 == 0][:60]
+    said = lambda k: [f"bad{(k + 60 * j) % 300}" for j in range(5)]
+    text = lambda k, toxic: " ".join(r.choices(plain, k=20) + (said(k) if toxic else []))
+    table = [(i, text(k, k < 300), int(k < 300)) for k, i in enumerate(learnt)] + [(i, text(7 * k, k < 30), int(k < 30)) for k, i in enumerate(held)]
+    both = spark.createDataFrame(table, "doc_id long, text string, toxic int")
+    docs_, labels = both.select("doc_id", "text"), both.select("doc_id", "toxic")
+    assert {f"bad{i}" for i in range(300)} <= set(toxicity.fit(docs_, labels).idf)
+    got = rows(toxicity.toxicity(docs_, labels))
+    assert min(got[i]["score"] for i in held[:30]) > 0.5 > max(got[i]["score"] for i in held[30:])
+
+
 def test_toxicity_without_labels(spark, awkward, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(awkward, none).collect()
