@@ -6,9 +6,11 @@ of two.  The order of passages doesn't matter, and a passage is inserted or
 deleted by adding or subtracting its vector, without the rest of the text.
 
 Two groups of lanes share the sum: 32 lanes of even 16-bit values, which tell
-different multisets apart, and 128 lanes of +1 or -1 kept modulo 2**16.  The
-mean square of the difference of the latter estimates how many passages two
-texts don't share, hence the likeness.
+different multisets apart, and 128 lanes of +1 or -1 kept modulo 2**16.  For
+the latter each occurrence of a passage is an element of its own, numbered
+from 1, so the mean square of their difference estimates how many occurrences
+two texts don't share, hence the likeness.  To insert or delete a passage one
+has to know how often the rest of the text holds it.
 
 Paragraphs end at a line break.  Long ones are cut further into passages after
 words chosen by their own hash (one in eight), so that an edit disturbs only
@@ -20,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,17 +56,36 @@ def passages(text: str) -> list[bytes]:
     return out
 
 
+def occurrence(passage: bytes, j: int) -> bytes:
+    """The hash whose bits are the signs of the j-th occurrence of a passage, from the second on."""
+    return hashlib.shake_256(j.to_bytes(8, "little") + passage).digest(SIGNS // 8)
+
+
 class Fingerprint:
-    """The sum of the vectors of some passages, and their number."""
+    """The sum of the vectors of some passages, and their number.
+
+    ``rest`` says how often each passage stands in the text that these are
+    added to or taken from, so their occurrences are numbered after those.
+    """
 
     __slots__ = ("number", "signs", "values")
 
-    def __init__(self, parts: list[bytes] = ()):
+    def __init__(self, parts: list[bytes] = (), rest: Counter | None = None):
         self.number = len(parts)
         if parts:
             raw = np.frombuffer(b"".join([hashlib.shake_128(x).digest(WIDTH) for x in parts]), np.uint8).reshape(-1, WIDTH)
             self.values = np.ascontiguousarray(raw[:, : 2 * VALUES]).view(np.uint16).sum(axis=0, dtype=np.uint16)
-            ones = np.unpackbits(raw[:, 2 * VALUES :], axis=1).sum(axis=0, dtype=np.int64)
+            signs = raw[:, 2 * VALUES :]
+            seen: dict[bytes, int] = dict(rest or ())
+            again = []
+            for i, x in enumerate(parts):
+                seen[x] = j = seen.get(x, 0) + 1
+                if j > 1:
+                    again.append((i, occurrence(x, j)))
+            if again:
+                signs = signs.copy()
+                signs[[i for i, _ in again]] = np.frombuffer(b"".join([x for _, x in again]), np.uint8).reshape(-1, SIGNS // 8)
+            ones = np.unpackbits(signs, axis=1).sum(axis=0, dtype=np.int64)
             self.signs = (2 * ones - len(parts)).astype(np.uint16)
         else:
             self.values, self.signs = np.zeros(VALUES, np.uint16), np.zeros(SIGNS, np.uint16)
@@ -76,11 +98,11 @@ class Fingerprint:
         return out
 
     def __add__(self, other: Fingerprint) -> Fingerprint:
-        """Insertion of the other's passages."""
+        """Insertion of the other's passages; those that self holds too must be counted in the other's ``rest``."""
         return self._with(other, 1)
 
     def __sub__(self, other: Fingerprint) -> Fingerprint:
-        """Deletion of the other's passages."""
+        """Deletion of the other's passages; those that remain in self must be counted in the other's ``rest``."""
         return self._with(other, -1)
 
     def __str__(self) -> str:
@@ -103,10 +125,11 @@ class Fingerprint:
         return float(min(1.0, max(0.0, 1.0 - (apart @ apart) / SIGNS / max(1, self.number + other.number))))
 
 
-def with_tail(text: str, own: Fingerprint, following: str) -> tuple[str, Fingerprint]:
+def with_tail(text: str, parts: list[bytes], own: Fingerprint, following: str) -> tuple[str, Fingerprint]:
     """The text with its last quarter replaced by the beginning of another, and its fingerprint.
 
-    Only from the paragraph of the cut on are passages taken out and put in.
+    ``parts`` are the text's passages and ``own`` is their fingerprint.  Only
+    from the paragraph of the cut on are passages taken out and put in.
     """
     quarter = len(text) // 4
     cut = len(text) - quarter
@@ -116,7 +139,9 @@ def with_tail(text: str, own: Fingerprint, following: str) -> tuple[str, Fingerp
     same = 0
     while same < min(len(before), len(after)) and before[same] == after[same]:
         same += 1
-    return edited, own - Fingerprint(before[same:]) + Fingerprint(after[same:])
+    changed = {*before[same:], *after[same:]}
+    rest = Counter(filter(changed.__contains__, parts[: len(parts) - len(before) + same]))
+    return edited, own - Fingerprint(before[same:], rest) + Fingerprint(after[same:], rest)
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -165,15 +190,16 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         held = None
         for batch in batches(rows):
             out: list[tuple] = []
-            for part, guest, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for _, guest, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held is None and guest:
                     continue  # a further row with the successor's doc_id
-                own = Fingerprint(passages(text))
+                parts = passages(text)
+                own = Fingerprint(parts)
                 if held is not None:
-                    _, last, said, mark = held
-                    edited, other = with_tail(said, mark, text)
+                    last, said, pieces, mark = held
+                    edited, other = with_tail(said, pieces, mark, text)
                     out.append((None if last == NO_ID else last, len(said), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), str(mark), str(other), mark.likeness(other), mark.likeness(own)))
-                held = None if guest else (part, doc, text, own)
+                held = None if guest else (doc, text, parts, own)
             columns = list(zip(*out, strict=True)) or [()] * 7
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])

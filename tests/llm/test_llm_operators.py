@@ -407,6 +407,21 @@ def test_fingerprint_algebra():
     assert b"".join(a) == b"one two\nthree\nfour"
 
 
+def test_fingerprint_likeness_of_equal_lines():
+    """The likeness follows the exact multiset share where lines repeat, and edits stay incremental."""
+    r = random.Random(6)
+    for same, fewer, lines_ in ((100, 60, 60), (300, 150, 100), (40, 0, 50), (500, 450, 200)):
+        own = [f"line {r.random()}" for _ in range(lines_)]
+        a = "\n".join([*own, *["equal"] * same, *[""] * same])
+        b = "\n".join([*own[: lines_ - 5], *["equal"] * fewer, *[""] * fewer])
+        x, y = Counter(multiset.passages(a)), Counter(multiset.passages(b))
+        share = 2 * (x & y).total() / (x.total() + y.total())
+        got = multiset.Fingerprint(multiset.passages(a)).likeness(multiset.Fingerprint(multiset.passages(b)))
+        assert abs(got - share) < 0.4 * (1 - share) + 0.01, (got, share)
+        edited, mark = multiset.with_tail(a, multiset.passages(a), multiset.Fingerprint(multiset.passages(a)), b)
+        assert str(mark) == str(multiset.Fingerprint(multiset.passages(edited)))
+
+
 def test_shards(spark, docs, awkward, empty):
     got = rows(shards.sharded(docs))
     for d, t, *_ in corpus():
