@@ -92,13 +92,26 @@ def dropped_lines(docs: DataFrame, least: int = 20) -> DataFrame:
 
     def packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
-            held: dict[bytes, set[int]] = {}
-            for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                for key in {key_of(x, least) for x in (text or b"").split(b"\n")}:
-                    if key is not None:
-                        held.setdefault(xxhash.xxh3_128_digest(key), set()).add(doc)
+            held: dict[bytes, int | set[int]] = {}
+            for at in range(0, batch.num_rows, 256):  # a few texts at a time lie in memory as lines
+                part = batch.slice(at, 256)
+                for doc, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
+                    for key in {key_of(x, least) for x in (text or b"").split(b"\n")}:
+                        if key is not None:
+                            digest = xxhash.xxh3_128_digest(key)
+                            if (others := held.get(digest)) is None:
+                                held[digest] = doc  # most lines have one holder, which needs no set
+                            elif type(others) is set:
+                                others.add(doc)
+                            elif others != doc:
+                                held[digest] = {others, doc}
             digests, ids, weights = [], [], []
             for digest, holders in held.items():
+                if type(holders) is int:
+                    digests.append(digest)
+                    ids.append(holders)
+                    weights.append(1)
+                    continue
                 top = max(holders)
                 few = len(holders) < 3
                 for doc in holders:
@@ -141,31 +154,41 @@ def dedup_lines(docs: DataFrame, least: int = 20) -> DataFrame:
 
     Documents are rows' doc_ids: rows with the same doc_id are one document,
     and rows without one together are a document that is smaller than all
-    others.  A null or empty text is one empty line and comes out empty.
-    Existing columns n_lines and n_dropped are replaced.
+    others (a doc_id of -2**63 counts as none).  A null or empty text is one
+    empty line and comes out empty; a text of any length is taken whole.  Ties
+    can't occur: of the documents that hold a line the largest doc_id keeps
+    it.  Existing columns n_lines and n_dropped are replaced, other columns of
+    any name pass through; an empty table gives no rows.
+
+    Only texts that lose a line go through Python, the others stay as they are.
     """
     lost = dropped_lines(docs, least).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("lost"))
-    lost = lost.select(F.col("doc_id").alias("__doc"), F.col("lost.lo").alias("__lo"), F.col("lost.hi").alias("__hi"))
-    plain = docs.drop("n_lines", "n_dropped").withColumn("text", F.col("text").cast("string"))
-    joined = plain.join(lost, F.coalesce(plain["doc_id"].cast("long"), F.lit(NO_ID)) == lost["__doc"], "left").drop("__doc")
-    names = [*plain.columns, "n_lines", "n_dropped"]
-    at = names.index("text")
-
-    def kept(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
-            lows, highs = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            texts, lines, drops = [], [], []
-            for text, lo, hi in zip(utf8(batch.column(at)), lows, highs, strict=True):
-                every = (text or b"").split(b"\n")
-                lines.append(len(every))
-                if lo:
-                    gone = set(map(bytes, np.array([lo, hi], np.int64).T.copy().view(np.uint8)))
-                    every = [x for x in every if (key := key_of(x, least)) is None or xxhash.xxh3_128_digest(key) not in gone]
-                drops.append(lines[-1] - len(every))
-                texts.append(b"\n".join(every))
-            columns = batch.columns[:-2]
-            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(drops, pa.int64())], names=names)
-
-    kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in plain.schema)
-    return joined.mapInArrow(kept, f"{kinds}, n_lines long, n_dropped long")
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    rest = F.struct(*(F.col(f"`{c}`") for c in names if c != "text"))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    plain = docs.select(rest.alias("row"), key.alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    joined = plain.join(lost.select(F.col("doc_id").alias("key"), "lost"), "key", "left")
+
+    @F.arrow_udf("text string, n_dropped long")
+    def kept(text: pa.Array, lost: pa.Array) -> pa.Array:
+        texts, drops = [], []
+        for at in range(0, len(text), 256):  # a few texts at a time lie in memory as lines
+            for body, gone in zip(utf8(text.slice(at, 256)), lost.slice(at, 256), strict=True):
+                if body is None:
+                    texts.append(None)
+                    drops.append(0)
+                    continue
+                own = gone.values
+                digests = set(map(bytes, np.array([own.field(0).to_numpy(), own.field(1).to_numpy()], np.int64).T.copy().view(np.uint8)))
+                every = body.split(b"\n")
+                stay = [x for x in every if (key := key_of(x, least)) is None or xxhash.xxh3_128_digest(key) not in digests]
+                drops.append(len(every) - len(stay))
+                texts.append(b"\n".join(stay))
+        return pa.StructArray.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()), pa.array(drops, pa.int64())], ["text", "n_dropped"])
+
+    hit = F.col("lost").isNotNull()
+    done = joined.withColumn("cut", kept(F.when(hit, F.col("text")), "lost"))
+    put = F.when(hit, F.col("cut.text")).otherwise(F.col("text"))
+    columns = [put.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in names]
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    return done.select(*columns, n_lines.cast("long").alias("n_lines"), F.when(hit, F.col("cut.n_dropped")).otherwise(0).alias("n_dropped"))
