@@ -80,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+#: The draw of a child's name for a row's key, by the first 52 bits of an md5.
+_DRAW = "-ln((('0x' || left(md5({} || ':' || key), 13))::BIGINT + 0.5) / 4503599627370496.0)"
+
 ORACLE_SQL: dict[str, str] = {
     "op5_lines": f"""
         WITH each AS (
@@ -119,4 +122,26 @@ ORACLE_SQL: dict[str, str] = {
                 + CASE WHEN word_chars > 40 * n_words THEN 16 ELSE 0 END)::BIGINT AS failures FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
                failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM f""",
+    "op9_sharding": f"""
+        WITH crc AS (
+            SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+        d AS (
+            SELECT row_number() OVER () AS n, doc_id, coalesce(doc_id::VARCHAR, '') AS key, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        sized AS (
+            SELECT n, doc_id, key, length(h) // 2 + 16 AS size,
+                   xor(list_reduce(list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT),
+                                   lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295), 4294967295)::BIGINT AS text_crc32
+            FROM d, crc),
+        leaves AS (
+            SELECT shards, i, CASE WHEN i < 40 THEN 'r' || 2 * (i // 8) ELSE 'rs' || i END AS region,
+                   CASE WHEN i < 40 THEN 'k' || 4 * (i // 4) ELSE 'ks' || i END AS rack
+            FROM (SELECT shards, unnest(range(shards)) AS i FROM (VALUES (40), (41)) AS v(shards))),
+        regions AS (SELECT shards, region, min(i) AS i, count(*) AS weight FROM leaves GROUP BY ALL),
+        racks AS (SELECT shards, region, rack, min(i) AS i, count(*) AS weight FROM leaves GROUP BY ALL),
+        a AS (SELECT n, key, shards, arg_min(region, ({_DRAW.format("region")} / weight, i)) AS region FROM sized, regions GROUP BY ALL),
+        b AS (SELECT n, key, shards, arg_min(rack, ({_DRAW.format("rack")} / weight, i)) AS rack FROM a JOIN racks USING (shards, region) GROUP BY ALL),
+        c AS (SELECT n, shards, arg_min(i, ({_DRAW.format("'s' || i")}, i)) AS shard FROM b JOIN leaves USING (shards, rack) GROUP BY ALL)
+        SELECT doc_id, size, text_crc32, 'key' AS law, x.shard::INTEGER AS shard,
+               row_number() OVER (PARTITION BY x.shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, y.shard::INTEGER AS grown_shard
+        FROM sized JOIN c x USING (n) JOIN c y USING (n) WHERE x.shards = 40 AND y.shards = 41""",
 }

@@ -14,7 +14,6 @@ anywhere.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,22 +49,33 @@ def layout(base: int, shards: int, weights: dict[int, float] | None = None) -> N
     return Node("root", (*regions, *late))
 
 
-def draw(key: Column, node: Node) -> Column:
+def draw(key: Column, name: Column, weight: Column) -> Column:
     """A child's draw: exponentially distributed with the child's weight as rate."""
-    digits = F.substring(F.md5(F.concat(F.lit(node.name + ":"), key).cast("binary")), 1, 13)
+    digits = F.substring(F.md5(F.concat(name, F.lit(":"), key).cast("binary")), 1, 13)
     even = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
-    return -F.ln(even) / F.lit(node.weight)
-
-
-def winner(key: Column, node: Node) -> Column:
-    """The shard that a key reaches from a node; of equal draws the first child wins."""
-    if not node.children:
-        return F.lit(node.shard)
-    if len(node.children) == 1:
-        return winner(key, node.children[0])
-    draws = [F.struct(draw(key, c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(node.children)]
-    first = F.array_min(F.array(*draws))["i"]
-    return reduce(lambda rest, i: F.when(first == i, winner(key, node.children[i])).otherwise(rest), range(len(node.children) - 1), winner(key, node.children[-1]))
+    return -F.ln(even) / weight
+
+
+def winner(key: Column, root: Node) -> Column:
+    """The shard that a key reaches from a node; of equal draws the first child wins.
+
+    Each level is one table of its inner nodes' children, and each step one
+    expression over the children of the node reached, so the plan grows with
+    the tree's depth, not with its nodes.  A shard that lies above the lowest
+    level stands still from there on.
+    """
+    level, at = [root], F.lit(0)
+    while any(n.children for n in level):
+        below: list[Node] = []
+        table = []
+        for node in level:
+            kids = node.children or (node,)
+            table.append(F.array(*(F.struct(F.lit(c.name).alias("name"), F.lit(c.weight).alias("weight"), F.lit(len(below) + i).alias("i")) for i, c in enumerate(kids))))
+            below += kids
+        kids = F.get(F.array(*table), at)
+        at = F.array_min(F.transform(kids, lambda c: F.struct(draw(key, c["name"], c["weight"]).alias("d"), c["i"].alias("i"))))["i"]
+        level = below
+    return F.get(F.array(*(F.lit(n.shard) for n in level)), at)
 
 
 def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
