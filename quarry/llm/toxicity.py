@@ -1,120 +1,146 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Training takes a bounded sample of labelled rows.  Terms are words and, for
-inflected forms, beginnings of words that a text has once, twice or three
-times.  All terms that tell the labels apart (by a chi-square over the sample
-that doesn't depend on its size) span the vector space; their document frequencies come from all documents.
+Training takes a bounded sample of labelled rows and all of its words.  A
+word's weight is ``(1 + ln tf) * idf * (sqrt(chi2) + FLOOR)``: its document
+frequency comes from all documents, and chi2 measures over the sample how far
+the word goes with the label, so that a long text's topic doesn't drown the few
+words that make it toxic.  No word is left out, however weak or rare.
 
 Examples with equal vectors are one point, with their number and mean label.
-Points stand in an inverted index cut into blocks of 64, which keeps each
-term's largest weight in each block.  A query visits blocks in the order of
-the bounds that these give and stops when no block left can hold a nearer
-point, so its nearest points are exact.  Their votes, weighted by similarity
-and number, and the sample's base rate make the score; they are the evidence.
+Points stand in an inverted index cut into blocks of :data:`BLOCK`, which keeps
+each word's largest weight in each block where it occurs.  These give each
+block a bound for a query; blocks are visited from the highest bound down, and
+those that can't hold a point as near as the k-th found so far are skipped, so
+the nearest points are exact.  Of points equally near the smaller doc_id counts.
+
+The neighbours' votes, weighted by similarity and number, and the sample's base
+rate make a raw score.  A logistic curve fitted to the raw scores that the
+examples get from each other, each without itself, calibrates it.  The nearest
+points are the evidence.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.llm.common import batches, crc_mod, utf8
 
 #: Labelled rows in the sample at most.
-SAMPLE = 20_000
-#: A term needs this chi-square over the sample and this many examples.
-CHI2, EXAMPLES = 40.0, 5
-#: Characters of a word's beginning.
-STEM = 5
-NEAREST, BLOCK = 15, 64
+SAMPLE = 8_000
+#: Added to each word's association with the label, whose expectation for an unrelated word is 1.
+FLOOR = 0.1
+NEAREST, BLOCK = 15, 32
 #: Weight of the base rate among the votes.
 PRIOR = 0.25
 #: Maps a text's bytes so that all but word characters become blanks, A-Z lower case.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def terms(text: bytes | None, keep: frozenset[str] | None = None) -> dict[str, int]:
-    """The terms of a text with their counts, or of those in ``keep`` only; beginnings count once for each step they reach."""
-    words = (text or b"").translate(FOLD).decode("utf-8", "replace").split()
-    if keep is None:
-        found = Counter(words)
-        stems = Counter(w[:STEM] for w in words if len(w) > STEM)
-    else:
-        found = Counter(filter(keep.__contains__, words))
-        stems = Counter(w[:STEM] for w in words if len(w) > STEM and f"^1{w[:STEM]}" in keep)
-    for stem, n in stems.items():
-        for step in (1, 2, 3):
-            if n >= step and (keep is None or f"^{step}{stem}" in keep):
-                found[f"^{step}{stem}"] = 1
-    return found
+def terms(text: bytes | None) -> Counter:
+    """The words of a whole text with their counts."""
+    return Counter((text or b"").translate(FOLD).split())
+
+
+def spans(first: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """The numbers of several ranges one after the other: ``held`` of them from each ``first`` on."""
+    ends = np.cumsum(held)
+    return np.repeat(first - ends + held, held) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 in the narrowest type that holds them."""
+    top = int(values.max()) if len(values) else 0
+    return values.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
 
 
 @dataclass
 class Model:
     """What scoring needs: bounded by :data:`SAMPLE`."""
 
-    idf: dict[str, tuple[int, float]]
-    keep: frozenset[str]
+    number: dict[bytes, int]  # of each word
+    scale: np.ndarray  # of each word: idf and association
     base: float
-    empty: float
     ids: np.ndarray  # of each point: the smallest doc_id, the mean label and the number of its examples
     labels: np.ndarray
     sizes: np.ndarray
-    place: np.ndarray  # the postings by block, term and example: the example's place in its block
-    weight: np.ndarray  # and its weight
-    start: np.ndarray  # blocks x (terms + 1): where the postings of each begin
-    highest: np.ndarray  # blocks x terms: the largest weight
+    entries: np.ndarray  # words + 1: where the entries of each word begin
+    block: np.ndarray  # of each entry of a word: the block and the largest weight there
+    highest: np.ndarray
+    postings: np.ndarray  # entries + 1: where the postings of each begin
+    point: np.ndarray  # of each posting: the point and the weight
+    weight: np.ndarray
+    slope: float = 1.0
+    offset: float = 0.0
 
     def vector(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and normalised weights of a text's terms."""
-        counts = {t: n for t, n in terms(text, self.keep).items() if t in self.idf}
-        if not counts:
-            return np.zeros(0, np.int64), np.zeros(0)
-        number = np.array([self.idf[t][0] for t in counts])
-        weight = np.array([(1 + np.log(n)) * self.idf[t][1] for t, n in counts.items()])
-        return number, weight / np.sqrt(weight @ weight)
+        """Numbers and normalised weights of a text's words; words that no example has only lengthen the text."""
+        counts = terms(text)
+        known = self.number
+        number = np.array([known[t] for t in counts if t in known], np.int64)
+        weight = (1 + np.log([n for t, n in counts.items() if t in known])) * self.scale[number] if len(number) else np.zeros(0)
+        size = np.sqrt(weight @ weight)
+        return number, weight / size if size else weight
 
     def nearest(self, number: np.ndarray, weight: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest points above 0, nearest first; of points as near as the k-th, those visited first."""
-        if not len(number) or not len(self.ids):
+        """Positions and cosines of the k nearest points above 0, nearest first, then by doc_id."""
+        n = len(self.ids)
+        if not len(number) or not n:
             return np.zeros(0, np.int64), np.zeros(0)
-        bounds = self.highest[:, number] @ weight
-        at, near = np.zeros(0, np.int64), np.zeros(0)
+        held = self.entries[number + 1] - self.entries[number]
+        entry = spans(self.entries[number], held)
+        times = np.repeat(weight, held)
+        block = self.block[entry]
+        bounds = np.bincount(block, times * self.highest[entry], -(-n // BLOCK))
         visit = np.argsort(-bounds, kind="stable")
-        visit = visit[bounds[visit] > 0]
-        done, step = 0, 2
+        cosine, least, done, step = np.zeros(n), 0.0, 0, 4
         while done < len(visit):
             some = visit[done : done + step]
-            if len(near) == k:
-                some = some[bounds[some] > near[-1] + 1e-9]
+            some = some[bounds[some] >= max(least - 1e-9, 1e-12)]
             if not len(some):
                 break
-            done, step = done + step, step * 3
-            first = self.start[some[:, None], number].ravel()
-            held = self.start[some[:, None], number + 1].ravel() - first
-            ends = np.cumsum(held)
-            posting = np.repeat(first - ends + held, held) + np.arange(ends[-1])
-            row = np.repeat(np.repeat(np.arange(len(some)) * BLOCK, len(number)), held) + self.place[posting]
-            sums = np.bincount(row, np.repeat(np.tile(weight, len(some)), held) * self.weight[posting], len(some) * BLOCK)
-            own = np.nonzero(sums)[0]
-            at = np.concatenate((at, some[own // BLOCK] * BLOCK + own % BLOCK))
-            near = np.concatenate((near, np.round(sums[own], 12)))
-            order = np.argsort(-near, kind="stable")[:k]
-            at, near = at[order], near[order]
-        return at[near > 0], near[near > 0]
+            open_ = np.zeros(len(visit), bool)
+            open_[some] = True
+            inside = np.nonzero(open_[block])[0]
+            first = self.postings[entry[inside]]
+            size = self.postings[entry[inside] + 1] - first
+            at = spans(first, size)
+            cosine += np.bincount(self.point[at], np.repeat(times[inside], size) * self.weight[at], n)
+            if k < n:
+                least = float(np.partition(cosine, n - k)[n - k])
+            done, step = done + step, step * 6
+        cosine = np.round(cosine, 9)
+        found = np.nonzero(cosine >= max(round(least, 9), 1e-9))[0]
+        order = np.lexsort((self.ids[found], -cosine[found]))[:k]
+        return found[order], cosine[found[order]]
+
+    def vote(self, near: np.ndarray, labels: np.ndarray, sizes: np.ndarray) -> float:
+        own = near * sizes
+        return float((own @ labels + PRIOR * self.base) / (own.sum() + PRIOR))
+
+    def calibrated(self, vote: float) -> float:
+        return float(1 / (1 + np.exp(-(self.slope * np.log(vote / (1 - vote)) + self.offset))))
 
     def score(self, at: np.ndarray, near: np.ndarray) -> float:
-        if not len(at):
-            return self.empty
-        vote = near**4 * self.sizes[at]
-        return float((vote @ self.labels[at] + PRIOR * self.base) / (vote.sum() + PRIOR))
+        return self.calibrated(self.vote(near, self.labels[at], self.sizes[at]))
+
+    def without(self, doc: int, text: bytes | None, toxic: int) -> float:
+        """The vote for an example by all the others; ``doc`` isn't needed to be a point of its own."""
+        at, near = self.nearest(*self.vector(text), NEAREST + 1)
+        labels, sizes = self.labels[at], self.sizes[at].astype(np.float64)
+        own = np.nonzero(near > 1 - 1e-6)[0][:1]  # the example's own point is the nearest
+        if len(own):
+            i = own[0]
+            total = labels[i] * sizes[i] - toxic
+            sizes[i] -= 1
+            labels[i] = total / sizes[i] if sizes[i] else 0.0
+        return self.vote(near, labels, sizes)
 
 
 def sampled(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
@@ -131,110 +157,163 @@ def sampled(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
-    """The model from the labelled rows whose crc32 of doc_id leaves a remainder by 5."""
+    """The model from the labelled rows whose crc32 of doc_id leaves a remainder by 5.
+
+    The sample's words pass through the driver, as many as ``limit`` texts have.
+    """
     sample = sampled(docs, labels, limit)
 
-    def distinct(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted: dict[str, list[int]] = {}
-        sizes = [0, 0]
+    def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
-            for text, toxic in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                sizes[toxic > 0] += 1
-                for t in terms(text):
-                    counted.setdefault(t, [0, 0])[toxic > 0] += 1
-        counted[""] = sizes  # the empty term stands for all rows
-        yield pa.RecordBatch.from_arrays([pa.array(list(counted), pa.string()), pa.array([x[0] for x in counted.values()], pa.int64()), pa.array([x[1] for x in counted.values()], pa.int64())], names=["term", "n0", "n1"])
-
-    found = sample.select("text", "toxic").mapInArrow(distinct, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    found = found.where((F.length("term") == 0) | (F.col("n0") + F.col("n1") >= EXAMPLES)).persist()
-    whole = found.where(F.length("term") == 0).first()
-    all0, all1 = (whole["n0"], whole["n1"]) if whole else (0, 0)
-    n = all0 + all1
-    base = (all1 + 0.5) / (n + 1)
-    a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
-    below = (a + b) * (n - a - b) * float(all0) * float(all1)
-    chi = F.when(below > 0, n * F.pow(a * (all0 - b) - b * (all1 - a), F.lit(2.0)) / below).otherwise(0.0)
-    ranked = found.where(F.length("term") > 0).withColumn("chi", chi).where(F.col("chi") >= CHI2)
-    chosen = [x["term"] for x in ranked.select("term").collect()]  # bounded by the sample's vocabulary
-    found.unpersist()
-    return index(docs, sample, sorted(chosen), base)
-
-
-def index(docs: DataFrame, sample: DataFrame, chosen: list[str], base: float) -> Model:
-    """The block-max index over the sample, with document frequencies from all documents."""
-    number = {t: i for i, t in enumerate(chosen)}
-    keep = frozenset(chosen) | {f"^1{t[2:]}" for t in chosen if t[0] == "^"}
-
-    def frequencies(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(number) + 1, np.int64), 0
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                every = [terms(x) for x in utf8(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([list(x) for x in every], pa.list_(pa.binary())), pa.array([list(x.values()) for x in every], pa.list_(pa.int32()))], names=["doc_id", "toxic", "word", "n"])
+
+    got = sample.select("doc_id", "text", "toxic").mapInArrow(counted, "doc_id long, toxic int, word array<binary>, n array<int>").toArrow().combine_chunks()
+    sizes = np.diff(got["word"].combine_chunks().offsets.to_numpy()) if got.num_rows else np.zeros(0, np.int64)
+    coded = (got["word"].combine_chunks().flatten() if got.num_rows else pa.array([], pa.binary())).dictionary_encode()
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    words: list[bytes] = coded.dictionary.to_pylist()
+    term = coded.indices.to_numpy().astype(np.int64)
+    n = got["n"].combine_chunks().flatten().to_numpy().astype(np.int64) if got.num_rows else np.zeros(0, np.int64)
+    ids, toxic = (got[c].to_numpy().astype(np.int64) for c in ("doc_id", "toxic"))
+    toxic = (toxic > 0).astype(np.int64)
+    number = {w: i for i, w in enumerate(words)}
+    model = index(ids, toxic, sizes, term, n, number, *frequencies(docs, number))
+    return calibrate(sample, model)
+
+
+def frequencies(docs: DataFrame, number: dict[bytes, int]) -> tuple[int, np.ndarray]:
+    """The number of all documents, and how many of them have each word."""
+    table = docs.sparkSession.sparkContext.broadcast(number)  # bounded by the sample
+
+    def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = table.value
+        total = np.zeros(len(known) + 1, np.int64)
         for batch in batches(rows):
-            n += batch.num_rows
+            total[-1] += batch.num_rows
             for text in utf8(batch.column(0)):
-                for t in terms(text, keep):
-                    if t in number:
-                        total[number[t]] += 1
-        total[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int64()), pa.array(total)], names=["term", "n"])
-
-    def examples(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total[[known[t] for t in set((text or b"").translate(FOLD).split()) if t in known]] += 1
+        held = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held])], names=["term", "n"])
+
+    got = docs.select(F.col("text").cast("string")).mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(number) + 1, np.int64)
+    df[got["term"].to_numpy()] = got["n"].to_numpy()
+    return int(df[-1]), df[:-1]
+
+
+def index(ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, term: np.ndarray, n: np.ndarray, number: dict[bytes, int], documents: int, df: np.ndarray) -> Model:
+    """The block-max index over the examples (ids, toxic), whose ``sizes`` words ``term`` occur ``n`` times."""
+    words, owner = len(number), np.repeat(np.arange(len(ids)), sizes)
+    all1 = int(toxic.sum())
+    all0 = len(ids) - all1
+    a = np.bincount(term, toxic[owner], words)
+    b = np.bincount(term, 1 - toxic[owner], words)
+    below = (a + b) * (len(ids) - a - b) * all0 * all1
+    chi = np.divide(len(ids) * (a * (all0 - b) - b * (all1 - a)) ** 2, below, out=np.zeros(words), where=below > 0)
+    scale = (np.log((1 + documents) / (1 + df)) + 1) * (np.sqrt(chi) + FLOOR)
+    points: dict[bytes, list] = {}
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    for i in range(len(ids)):
+        if sizes[i]:
+            own = slice(starts[i], starts[i + 1])
+            order = np.argsort(term[own])
+            point = points.setdefault(term[own][order].tobytes() + n[own][order].tobytes(), [int(ids[i]), 0, 0, None])
+            point[0], point[1], point[2] = min(point[0], int(ids[i])), point[1] + int(toxic[i]), point[2] + 1
+            if point[3] is None:
+                w = (1 + np.log(n[own][order])) * scale[term[own][order]]
+                point[3] = (term[own][order], w / np.sqrt(w @ w))
+
+    def leading(point: list) -> tuple:
+        """Points whose weightiest words are the same share blocks, which makes the bounds tight."""
+        t, w = point[3]
+        return (*t[np.argsort(-w, kind="stable")[:3]].tolist(), point[0])
+
+    rows = sorted(points.values(), key=leading)
+    t = np.concatenate([x[3][0] for x in rows]) if rows else np.zeros(0, np.int64)
+    w = np.concatenate([x[3][1] for x in rows]) if rows else np.zeros(0)
+    at = np.repeat(np.arange(len(rows)), [len(x[3][0]) for x in rows]) if rows else np.zeros(0, np.int64)
+    order = np.argsort(t * len(rows) + at)
+    t, w, at = t[order], w[order], at[order]
+    key = t * (len(rows) // BLOCK + 1) + at // BLOCK
+    edges = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0] if len(key) else np.zeros(0, np.int64)
+    return Model(
+        number,
+        scale,
+        (all1 + 0.5) / (len(ids) + 1),
+        np.array([x[0] for x in rows], np.int64),
+        np.array([x[1] / x[2] for x in rows], np.float64),
+        np.array([x[2] for x in rows], np.int64),
+        np.searchsorted(t[edges], np.arange(words + 1)),
+        narrow(at[edges] // BLOCK),
+        np.maximum.reduceat(w, edges) if len(edges) else np.zeros(0),
+        np.concatenate((edges, [len(t)])),
+        narrow(at),
+        w,
+    )
+
+
+def calibrate(sample: DataFrame, model: Model) -> Model:
+    """The model with the logistic curve that fits the examples' votes for each other."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def voted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
         for batch in batches(rows):
-            every = [{t: n for t, n in terms(x, keep).items() if t in number} for x in utf8(batch.column(1))]
-            kinds = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[number[t] for t in x] for x in every], kinds), pa.array([list(x.values()) for x in every], kinds), batch.column(2)], names=["doc_id", "term", "n", "toxic"])
-
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df = {x["term"]: x["n"] for x in counted}
-    n = df.get(len(number), 0)
-    idf = {t: (i, float(np.log((1 + n) / (1 + df.get(i, 0))) + 1)) for t, i in number.items()}
-    rows = sample.select("doc_id", "text", "toxic").mapInArrow(examples, "doc_id long, term array<int>, n array<int>, toxic int").collect()
-    bare = [x["toxic"] > 0 for x in rows if not x["term"]]
-    empty = (sum(bare) + base) / (len(bare) + 1)
-    rows = [x for x in rows if x["term"]]
-    points: dict[tuple, list] = {}
-    for x in rows:
-        point = points.setdefault(tuple(sorted(zip(x["term"], x["n"], strict=True))), [x["doc_id"], 0, 0])
-        point[0] = min(point[0], x["doc_id"])
-        point[1] += x["toxic"] > 0
-        point[2] += 1
-    rows = sorted(points)  # points with the same leading terms share blocks, which makes the bounds tight
-    scale = np.array([w for _, w in sorted(idf.values())])
-    blocks = -(-len(rows) // BLOCK)
-    highest, postings = np.zeros((blocks, len(number))), []
-    for k, x in enumerate(rows):
-        held = [t for t, _ in x]
-        w = (1 + np.log(np.array([n for _, n in x]))) * scale[held]
-        w /= np.sqrt(w @ w)
-        highest[k // BLOCK, held] = np.maximum(highest[k // BLOCK, held], w)
-        postings += [(k // BLOCK, t, k % BLOCK, v) for t, v in zip(held, w.tolist(), strict=True)]
-    postings.sort()
-    block, term, place = (np.array([x[i] for x in postings], np.int64) for i in range(3))
-    edges = np.arange(blocks)[:, None] * (len(number) + 1) + np.arange(len(number) + 1)[None, :]
-    start = np.searchsorted(block * (len(number) + 1) + term, edges.ravel()).reshape(edges.shape)
-    ids, toxic, sizes = (np.array([points[x][i] for x in rows], np.float64) for i in range(3))
-    return Model(idf, keep, base, empty, ids.astype(np.int64), toxic / np.maximum(sizes, 1), sizes, place.astype(np.int8), np.array([x[3] for x in postings]), start.astype(np.int32), highest)
+            votes = [m.without(*x) for x in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), (min(1, max(0, x)) for x in batch.column(2).to_pylist()), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column(2)], names=["vote", "toxic"])
+
+    got = sample.select("doc_id", "text", "toxic").mapInArrow(voted, "vote double, toxic int").toArrow()
+    vote, toxic = got["vote"].to_numpy(), got["toxic"].to_numpy() > 0
+    if not 0 < toxic.sum() < len(toxic):
+        return model
+    x = np.log(vote / (1 - vote))
+    y = np.where(toxic, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / (len(toxic) - toxic.sum() + 2))  # no example is sure
+    slope, offset = 1.0, 0.0
+    for _ in range(50):  # Newton's steps with a little weight on the identity
+        p = 1 / (1 + np.exp(-(slope * x + offset)))
+        v = np.maximum(p * (1 - p), 1e-9)
+        g = np.array([((p - y) * x).sum() + (slope - 1), (p - y).sum() + offset])
+        h = np.array([[(v * x * x).sum() + 1, (v * x).sum()], [(v * x).sum(), v.sum() + 1]])
+        move = np.linalg.solve(h, g)
+        slope, offset = max(0.05, slope - move[0]), offset - move[1]
+        if np.abs(move).max() < 1e-9:
+            break
+    return replace(model, slope=float(slope), offset=float(offset))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
     """Rows (doc_id, score double, evidence), one for each row of ``docs``.
 
-    ``evidence`` lists the nearest points as (doc_id of an example, cosine, share of toxic examples).  A text
-    without a term of the space, the empty and the null text too, scores the
-    base rate of such texts in the sample.  Without labels all score 0.5 or
-    less by an empty sample's base rate.  Only the text is scored.
+    ``evidence`` lists the nearest points, nearest first, as (doc_id of an
+    example, cosine, share of toxic examples).  A text without a word of the
+    sample, the empty and the null text too, has no evidence and the score of
+    the sample's base rate; without labels all score 0.5.  Texts of any length
+    are taken whole, repeated rows score alike, points equally near go by
+    doc_id, other columns are ignored, and an empty table gives no rows.
+    Only the text is scored.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, limit))
-    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    name = narrow.schema["doc_id"].dataType
-    kind = pa.schema([("doc_id", to_arrow_type(name)), ("score", pa.float64()), ("evidence", pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.float64())])))])
+    narrowed = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    name = narrowed.schema["doc_id"].dataType
 
     def scored(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches(rows):
-            scores, evidence = [], []
-            for text in utf8(batch.column(1)):
-                at, near = m.nearest(*m.vector(text))
-                scores.append(m.score(at, near))
-                evidence.append([{"doc_id": int(m.ids[i]), "cosine": float(c), "toxic": float(m.labels[i])} for i, c in zip(at, near, strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(evidence, kind.field(2).type)], schema=kind)
-
-    return narrow.mapInArrow(scored, f"doc_id {name.simpleString()}, score double, evidence array<struct<doc_id:bigint,cosine:double,toxic:double>>")
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                scores, ats, nears = [], [], []
+                for text in utf8(part.column(1)):
+                    at, near = m.nearest(*m.vector(text))
+                    scores.append(m.score(at, near))
+                    ats.append(at)
+                    nears.append(near)
+                at = np.concatenate(ats)
+                ends = np.cumsum([0, *map(len, ats)]).astype(np.int32)
+                items = pa.StructArray.from_arrays([pa.array(m.ids[at]), pa.array(np.concatenate(nears)), pa.array(m.labels[at])], ["doc_id", "cosine", "toxic"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(ends), items)], names=["doc_id", "score", "evidence"])
+
+    return narrowed.mapInArrow(scored, f"doc_id {name.simpleString()}, score double, evidence array<struct<doc_id:bigint,cosine:double,toxic:double>>")

@@ -469,21 +469,51 @@ def test_bpe(spark, docs, awkward, empty):
 
 
 def test_toxicity(spark, sf):
+    """Neighbours by brute force over the raw texts: all words, all pairs of a query and an example."""
     d = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
     labels = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/labels.parquet")
-    model = toxicity.fit(d, labels)
-    texts = {x["doc_id"]: x["text"] for x in d.collect()}
-    r = random.Random(0)
-    for i in r.sample(sorted(texts), 150):
-        number, weight = model.vector(texts[i].encode())
-        at, near = model.nearest(number, weight)
-        dense = dict(zip(number.tolist(), weight.tolist(), strict=True))
-        every = []
-        for k, e in enumerate(model.ids.tolist()):
-            n, w = model.vector(texts[e].encode())
-            if c := round(sum(dense.get(a, 0) * b for a, b in zip(n.tolist(), w.tolist(), strict=True)), 9):
-                every.append((-c, e, k))
-        assert [round(c, 9) for c in near] == pytest.approx([-c for c, _, _ in sorted(every)[: toxicity.NEAREST]])
+    got = rows(toxicity.toxicity(d, labels))
+    bag = {x["doc_id"]: Counter(re.findall(rb"[0-9a-z\x80-\xff]+", lower(x["text"] or "").encode())) for x in d.collect()}
+    toxic = {x["doc_id"]: x["toxic"] for x in labels.collect() if x["doc_id"] in bag and zlib.crc32(str(x["doc_id"]).encode()) % 5}
+    n, ones = len(toxic), sum(toxic.values())
+    df = Counter(w for x in bag.values() for w in x)
+    have, bad = Counter(w for i in toxic for w in bag[i]), Counter(w for i in toxic if toxic[i] for w in bag[i])
+
+    def scale(w):
+        a, b = bad[w], have[w] - bad[w]
+        below = (a + b) * (n - a - b) * ones * (n - ones)
+        chi = n * (a * (n - ones - b) - b * (ones - a)) ** 2 / below if below else 0.0
+        return (math.log((1 + len(bag)) / (1 + df[w])) + 1) * (math.sqrt(chi) + toxicity.FLOOR)
+
+    scales = {w: scale(w) for w in have}
+
+    def vector(i):
+        v = {w: (1 + math.log(k)) * scales[w] for w, k in bag[i].items() if w in scales}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    examples = {}
+    for i in sorted(toxic):
+        if bag[i]:
+            examples.setdefault(tuple(sorted(bag[i].items())), []).append(i)
+    points = {same[0]: vector(same[0]) for same in examples.values()}
+    for i in random.Random(0).sample(sorted(bag), 120):
+        q = vector(i)
+        near = sorted((-round(sum(x * v.get(w, 0.0) for w, x in q.items()), 9), e) for e, v in points.items())
+        near = [(e, -c) for c, e in near if c < 0][: toxicity.NEAREST]
+        assert [c for _, c in near] == pytest.approx([x["cosine"] for x in got[i]["evidence"]], abs=2e-9)
+        last = near[-1][1] if near else 0
+        assert {e for e, c in near if c > last + 1e-8} <= {x["doc_id"] for x in got[i]["evidence"]}
+
+
+def test_toxicity_ties_and_blocks(spark):
+    """Of 200 equally near examples those with the smallest doc_ids count, in whatever blocks they lie."""
+    learnt = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5][:400]
+    table = [(i, f"same word own{i}" if k % 2 else f"other own{i}", k % 2) for k, i in enumerate(learnt)] + [(5000, "same word", 0)]
+    both = spark.createDataFrame(table, "doc_id long, text string, toxic int")
+    got = rows(toxicity.toxicity(both, both.where("doc_id < 5000").select("doc_id", "toxic")))
+    assert [x["doc_id"] for x in got[5000]["evidence"]] == learnt[1::2][: toxicity.NEAREST]
+    assert got[5000]["score"] > 0.9
 
 
 def test_toxicity_held_out(spark):
@@ -495,8 +525,11 @@ def test_toxicity_held_out(spark):
     assert len(got) == d.count()
     held = [(got[i]["score"], y) for i, y in truth.items() if zlib.crc32(str(i).encode()) % 5 == 0]
     right = [(s > t) + 0.5 * (s == t) for s, a in held for t, b in held if a > b]
-    assert sum(right) / len(right) > 0.9
-    assert sum((s - y) ** 2 for s, y in held) / len(held) < 0.05
+    assert sum(right) / len(right) > 0.98
+    assert sum((s - y) ** 2 for s, y in held) / len(held) < 0.02
+    for low, high in ((0.0, 0.1), (0.1, 0.9), (0.9, 1.0)):  # calibrated: as many toxic rows as the scores say
+        some = [(s, y) for s, y in held if low <= s <= high]
+        assert abs(sum(s for s, _ in some) - sum(y for _, y in some)) / len(some) < (0.05 if len(some) > 60 else 0.2)
 
 
 def test_toxicity_diverse_words(spark):
@@ -510,7 +543,7 @@ def test_toxicity_diverse_words(spark):
     table = [(i, text(k, k < 300), int(k < 300)) for k, i in enumerate(learnt)] + [(i, text(7 * k, k < 30), int(k < 30)) for k, i in enumerate(held)]
     both = spark.createDataFrame(table, "doc_id long, text string, toxic int")
     docs_, labels = both.select("doc_id", "text"), both.select("doc_id", "toxic")
-    assert {f"bad{i}" for i in range(300)} <= set(toxicity.fit(docs_, labels).idf)
+    assert {f"bad{i}" for i in range(300)} <= {w.decode() for w in toxicity.fit(docs_, labels).number}
     got = rows(toxicity.toxicity(docs_, labels))
     assert min(got[i]["score"] for i in held[:30]) > 0.5 > max(got[i]["score"] for i in held[30:])
 
