@@ -23,10 +23,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,22 +63,33 @@ def narrow(values: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What scoring needs: bounded by :data:`SAMPLE`."""
+    """What scoring needs: bounded by :data:`SAMPLE`.  It travels as words and counts; weights, blocks and bounds are made where it arrives."""
 
-    number: dict[bytes, int]  # of each word
+    words: list[bytes]
     scale: np.ndarray  # of each word: idf and association
     base: float
     ids: np.ndarray  # of each point: the smallest doc_id, the mean label and the number of its examples
     labels: np.ndarray
     sizes: np.ndarray
-    entries: np.ndarray  # words + 1: where the entries of each word begin
-    block: np.ndarray  # of each entry of a word: the block and the largest weight there
-    highest: np.ndarray
-    postings: np.ndarray  # entries + 1: where the postings of each begin
-    point: np.ndarray  # of each posting: the point and the weight
-    weight: np.ndarray
-    slope: float = 1.0
-    offset: float = 0.0
+    held: np.ndarray  # of each word: in how many points it is
+    point: np.ndarray  # of each posting, by word and point: the point and how often the word stands there
+    times: np.ndarray
+
+    def __post_init__(self) -> None:
+        n, words = len(self.ids), len(self.words)
+        term = np.repeat(np.arange(words), self.held)
+        weight = (1 + np.log(self.times.astype(np.float64))) * self.scale[term]
+        self.weight = weight / np.sqrt(np.bincount(self.point, weight * weight, n))[self.point]
+        key = term * (n // BLOCK + 1) + self.point // BLOCK
+        edges = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0] if len(key) else np.zeros(0, np.int64)
+        self.number = dict(zip(self.words, range(words), strict=True))
+        self.entries = np.searchsorted(term[edges], np.arange(words + 1))  # where the entries of each word begin
+        self.block = narrow(self.point[edges] // BLOCK)  # of each entry of a word: the block and the largest weight there
+        self.highest = np.maximum.reduceat(self.weight, edges) if len(edges) else np.zeros(0)
+        self.postings = np.concatenate((edges, [len(term)]))  # where the postings of each entry begin
+
+    def __reduce__(self) -> tuple:
+        return Model, (self.words, self.scale, self.base, self.ids, self.labels, self.sizes, self.held, self.point, self.times)
 
     def vector(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and normalised weights of a text's words; words that no example has only lengthen the text."""
@@ -124,14 +136,8 @@ class Model:
         own = near * sizes
         return float((own @ labels + PRIOR * self.base) / (own.sum() + PRIOR))
 
-    def calibrated(self, vote: float) -> float:
-        return float(1 / (1 + np.exp(-(self.slope * np.log(vote / (1 - vote)) + self.offset))))
-
-    def score(self, at: np.ndarray, near: np.ndarray) -> float:
-        return self.calibrated(self.vote(near, self.labels[at], self.sizes[at]))
-
-    def without(self, doc: int, text: bytes | None, toxic: int) -> float:
-        """The vote for an example by all the others; ``doc`` isn't needed to be a point of its own."""
+    def without(self, text: bytes | None, toxic: int) -> float:
+        """The vote for an example by all the others."""
         at, near = self.nearest(*self.vector(text), NEAREST + 1)
         labels, sizes = self.labels[at], self.sizes[at].astype(np.float64)
         own = np.nonzero(near > 1 - 1e-6)[0][:1]  # the example's own point is the nearest
@@ -179,18 +185,15 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
     term = coded.indices.to_numpy().astype(np.int64)
     n = got["n"].combine_chunks().flatten().to_numpy().astype(np.int64) if got.num_rows else np.zeros(0, np.int64)
     ids, toxic = (got[c].to_numpy().astype(np.int64) for c in ("doc_id", "toxic"))
-    toxic = (toxic > 0).astype(np.int64)
-    number = {w: i for i, w in enumerate(words)}
-    model = index(ids, toxic, sizes, term, n, number, *frequencies(docs, number))
-    return calibrate(sample, model)
+    return index(ids, (toxic > 0).astype(np.int64), sizes, term, n, words, *frequencies(docs, words))
 
 
-def frequencies(docs: DataFrame, number: dict[bytes, int]) -> tuple[int, np.ndarray]:
+def frequencies(docs: DataFrame, words: list[bytes]) -> tuple[int, np.ndarray]:
     """The number of all documents, and how many of them have each word."""
-    table = docs.sparkSession.sparkContext.broadcast(number)  # bounded by the sample
+    table = docs.sparkSession.sparkContext.broadcast(words)  # bounded by the sample
 
     def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table.value
+        known = {w: i for i, w in enumerate(table.value)}
         total = np.zeros(len(known) + 1, np.int64)
         for batch in batches(rows):
             total[-1] += batch.num_rows
@@ -200,14 +203,14 @@ def frequencies(docs: DataFrame, number: dict[bytes, int]) -> tuple[int, np.ndar
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held])], names=["term", "n"])
 
     got = docs.select(F.col("text").cast("string")).mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(len(number) + 1, np.int64)
+    df = np.zeros(len(words) + 1, np.int64)
     df[got["term"].to_numpy()] = got["n"].to_numpy()
     return int(df[-1]), df[:-1]
 
 
-def index(ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, term: np.ndarray, n: np.ndarray, number: dict[bytes, int], documents: int, df: np.ndarray) -> Model:
+def index(ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, term: np.ndarray, n: np.ndarray, vocabulary: list[bytes], documents: int, df: np.ndarray) -> Model:
     """The block-max index over the examples (ids, toxic), whose ``sizes`` words ``term`` occur ``n`` times."""
-    words, owner = len(number), np.repeat(np.arange(len(ids)), sizes)
+    words, owner = len(vocabulary), np.repeat(np.arange(len(ids)), sizes)
     all1 = int(toxic.sum())
     all0 = len(ids) - all1
     a = np.bincount(term, toxic[owner], words)
@@ -221,55 +224,45 @@ def index(ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, term: np.ndarra
         if sizes[i]:
             own = slice(starts[i], starts[i + 1])
             order = np.argsort(term[own])
-            point = points.setdefault(term[own][order].tobytes() + n[own][order].tobytes(), [int(ids[i]), 0, 0, None])
+            mine = term[own][order], n[own][order]
+            point = points.setdefault(mine[0].tobytes() + mine[1].tobytes(), [int(ids[i]), 0, 0, mine])
             point[0], point[1], point[2] = min(point[0], int(ids[i])), point[1] + int(toxic[i]), point[2] + 1
-            if point[3] is None:
-                w = (1 + np.log(n[own][order])) * scale[term[own][order]]
-                point[3] = (term[own][order], w / np.sqrt(w @ w))
 
     def leading(point: list) -> tuple:
         """Points whose weightiest words are the same share blocks, which makes the bounds tight."""
-        t, w = point[3]
-        return (*t[np.argsort(-w, kind="stable")[:3]].tolist(), point[0])
+        t, times = point[3]
+        return (*t[np.argsort(-(1 + np.log(times)) * scale[t], kind="stable")[:3]].tolist(), point[0])
 
     rows = sorted(points.values(), key=leading)
-    t = np.concatenate([x[3][0] for x in rows]) if rows else np.zeros(0, np.int64)
-    w = np.concatenate([x[3][1] for x in rows]) if rows else np.zeros(0)
+    every = [np.concatenate([x[3][k] for x in rows]) if rows else np.zeros(0, np.int64) for k in (0, 1)]
     at = np.repeat(np.arange(len(rows)), [len(x[3][0]) for x in rows]) if rows else np.zeros(0, np.int64)
-    order = np.argsort(t * len(rows) + at)
-    t, w, at = t[order], w[order], at[order]
-    key = t * (len(rows) // BLOCK + 1) + at // BLOCK
-    edges = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0] if len(key) else np.zeros(0, np.int64)
+    order = np.argsort(every[0] * max(1, len(rows)) + at)
     return Model(
-        number,
+        vocabulary,
         scale,
         (all1 + 0.5) / (len(ids) + 1),
         np.array([x[0] for x in rows], np.int64),
         np.array([x[1] / x[2] for x in rows], np.float64),
         np.array([x[2] for x in rows], np.int64),
-        np.searchsorted(t[edges], np.arange(words + 1)),
-        narrow(at[edges] // BLOCK),
-        np.maximum.reduceat(w, edges) if len(edges) else np.zeros(0),
-        np.concatenate((edges, [len(t)])),
-        narrow(at),
-        w,
+        np.bincount(every[0], minlength=words),
+        narrow(at[order]),
+        narrow(every[1][order]),
     )
 
 
-def calibrate(sample: DataFrame, model: Model) -> Model:
-    """The model with the logistic curve that fits the examples' votes for each other."""
-    shared = sample.sparkSession.sparkContext.broadcast(model)
+def calibrate(sample: DataFrame, shared: Broadcast[Model]) -> tuple[float, float]:
+    """Slope and offset of the logistic curve over the votes' log odds that fits the examples' votes for each other."""
 
     def voted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches(rows):
-            votes = [m.without(*x) for x in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), (min(1, max(0, x)) for x in batch.column(2).to_pylist()), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column(2)], names=["vote", "toxic"])
+            votes = [m.without(text, int(toxic > 0)) for text, toxic in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column(1)], names=["vote", "toxic"])
 
-    got = sample.select("doc_id", "text", "toxic").mapInArrow(voted, "vote double, toxic int").toArrow()
+    got = sample.select("text", "toxic").mapInArrow(voted, "vote double, toxic int").toArrow()
     vote, toxic = got["vote"].to_numpy(), got["toxic"].to_numpy() > 0
     if not 0 < toxic.sum() < len(toxic):
-        return model
+        return 1.0, 0.0
     x = np.log(vote / (1 - vote))
     y = np.where(toxic, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / (len(toxic) - toxic.sum() + 2))  # no example is sure
     slope, offset = 1.0, 0.0
@@ -282,7 +275,7 @@ def calibrate(sample: DataFrame, model: Model) -> Model:
         slope, offset = max(0.05, slope - move[0]), offset - move[1]
         if np.abs(move).max() < 1e-9:
             break
-    return replace(model, slope=float(slope), offset=float(offset))
+    return float(slope), float(offset)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
@@ -297,6 +290,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFra
     Only the text is scored.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, limit))
+    slope, offset = calibrate(sampled(docs, labels, limit), model)
     narrowed = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     name = narrowed.schema["doc_id"].dataType
 
@@ -305,15 +299,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFra
         for batch in batches(rows):
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                scores, ats, nears = [], [], []
+                votes, ats, nears = [], [], []
                 for text in utf8(part.column(1)):
                     at, near = m.nearest(*m.vector(text))
-                    scores.append(m.score(at, near))
+                    votes.append(m.vote(near, m.labels[at], m.sizes[at]))
                     ats.append(at)
                     nears.append(near)
-                at = np.concatenate(ats)
+                at, vote = np.concatenate(ats), np.array(votes)
+                score = 1 / (1 + np.exp(-(slope * np.log(vote / (1 - vote)) + offset)))
                 ends = np.cumsum([0, *map(len, ats)]).astype(np.int32)
                 items = pa.StructArray.from_arrays([pa.array(m.ids[at]), pa.array(np.concatenate(nears)), pa.array(m.labels[at])], ["doc_id", "cosine", "toxic"])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(ends), items)], names=["doc_id", "score", "evidence"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.ListArray.from_arrays(pa.array(ends), items)], names=["doc_id", "score", "evidence"])
 
     return narrowed.mapInArrow(scored, f"doc_id {name.simpleString()}, score double, evidence array<struct<doc_id:bigint,cosine:double,toxic:double>>")
