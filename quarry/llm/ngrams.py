@@ -1,35 +1,40 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-The model is a bigram model with absolute discounting and back-off, over words
-and one end token a text; a text's first token has the end token as context.
-With counts c of the training texts, discount D and n(h) distinct followers::
-
-    p(w | h) = (c(h w) - D) / c(h)            if h w was seen
-             = D n(h) / c(h) * p(w)           if only h was seen
-             = p(w) = (c(w) + 1) / (N + V + 1)  if h was not seen
-
-The trie's root level holds contexts, the second their followers: Elias-Fano
-sequences of hashed words, monotone pointers from one level to the next, and
-discounted masses quantised to 16 bits, in memory-mapped files.  A pair is
-found by successor search among its context's followers only.
-
-The trie is dealt out in parts, and no part is gathered or broadcast.  A part
-holds, of the contexts that hash to it, the followers of one of ``FANOUT``
-residues, so a context that is a third of all tokens spreads over many parts.
-Logarithms make a text's score a sum of terms that different parts know:
-
-1. Each batch of texts is one block.  It sends the words and pairs it has,
-   each once with the documents that hold it, to the parts in charge.
-2. A part counts, builds its trie and scores the blocks' pairs.  Pairs without
-   an entry, which only unseen texts have, become requests for the words.
-3. Word parts answer those; 4. each block's sums meet in one place.
-
-Only packed arrays travel, in one row for each block and part.
+The model is a trigram model over words and one end token a text; two end
+tokens stand before each text.  With counts c over the training texts, N tokens
+in all and a vocabulary of their words and one unknown word::
+
+    p(w | u v) = (c(u v w) + K c(v w) + K M p(w)) / (c(u v) + K c(v) + K M)
+    p(w) = c(w) / (N + 1),   p(unknown) = 1 / (N + 1)
+
+so each order is interpolated with the next lower one, and the masses of a
+context sum to one.  The numerator needs only n-grams that end with w and the
+denominator only those that end with v, so logarithms make a text's score a sum
+of terms that different parts of the model know by themselves.
+
+Parts are dealt out by the last word, and none is gathered or broadcast.  A
+word that would fill a good share of a part is spread over ``FANOUT`` parts by
+the residue of the word before it.  A first pass counts all words: it gives N,
+the spread words (a few for each part at most) and their exact counts.
+
+1. Batches of texts become blocks.  A block sends each n-gram it has once, with
+   the documents that hold it, to the part of its last word.
+2. A part counts its n-grams and builds its trie, last word first: the level of
+   words, of the words before them, and of the words before those.  A level is
+   an Elias-Fano sequence of the ids of each node's children, with monotone
+   pointers to the next level and smoothed log masses quantised to 16 bits, all
+   in memory-mapped files.  A child is found by successor search among its
+   parent's children only.  The part asks for each distinct n-gram once and
+   adds the answers up for the documents.
+3. Each block's sums meet in one place.
+
+Only packed arrays travel.  A part's n-grams must fit the memory of a task, so
+the shuffle partitions have to grow with the corpus.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,18 +49,29 @@ from quarry.llm.eliasfano import EliasFano, mapped
 U = np.uint64
 #: The end token; it has a blank, so it's no word.
 END = b" end"
-DISCOUNT = 0.75
-#: Parts among which the followers of one context are dealt.
+#: What a count of a pair and of a word weighs against one of a trigram: K, and K times M.
+PAIR, WORD = 0.002, 2.0
+#: Parts among which the n-grams that end with one frequent word are dealt.
 FANOUT = 16
-#: Width of the hashed keys of the trie's levels.
-KEY = 40
-#: Documents of a block, so that 16 bits number them.
-BLOCK = 1 << 14
+#: Width of the words' hashes, so that they fit an Elias-Fano sequence.
+KEY = 63
+#: Tokens of a block (a longer text is a block of its own), and documents of a block, so that 15 bits number them.
+TOKENS, BLOCK = 1 << 20, 1 << 15
+TRAIN = 0x8000
+#: Bits of a number that says word, words before and document at once.
+WIDTH = 64
 #: Kinds of rows.
-DOCS, WORDS, PAIRS, SUMS, LEVEL, FOLLOWERS, NEED_WORD, NEED_CONTEXT, TOTALS = range(9)
+DOCS, GRAMS, SUMS = range(3)
 ROW = "kind int, dest int, block long, payload binary"
 
 
+def hashed(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word) >> 1
+
+
+END_KEY = hashed(END)
+
+
 def narrow(a: np.ndarray) -> np.ndarray:
     """Unsigned whole numbers in the narrowest type that holds them."""
     top = int(a.max()) if len(a) else 0
@@ -79,19 +95,10 @@ def undump(raw: bytes) -> list[np.ndarray]:
     return out
 
 
-def halves(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys as low words and high rests, of which the latter compress well."""
-    return keys.astype(np.uint32), narrow(keys >> U(32))
-
-
-def whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return low.astype(U) | high.astype(U) << U(32)
-
-
 def spread(key: np.ndarray, parts: int) -> np.ndarray:
     """The part of a key, from all its bits."""
     mixed = key * U(0x9E3779B97F4A7C15)
-    return ((mixed ^ (mixed >> U(29))) >> U(16)) % U(parts)
+    return (((mixed ^ (mixed >> U(29))) >> U(16)) % U(parts)).astype(np.int64)
 
 
 def seats(parts: int) -> np.ndarray:
@@ -122,11 +129,24 @@ def seats(parts: int) -> np.ndarray:
     return out
 
 
-def runs(a: np.ndarray) -> np.ndarray:
-    """Starts of the runs of equal values, and the end."""
-    if not len(a):
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal keys, and the end."""
+    n = len(keys[0])
+    if not n:
         return np.zeros(1, np.int64)
-    return np.concatenate(([0], np.nonzero(a[1:] != a[:-1])[0] + 1, [len(a)]))
+    change = np.zeros(n, bool)
+    for a in keys:
+        change[1:] |= a[1:] != a[:-1]
+    change[0] = True
+    return np.append(np.nonzero(change)[0], n)
+
+
+def grouped(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part with the positions it has, in their order."""
+    order = np.argsort(part, kind="stable")
+    at = runs(part[order])
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        yield int(part[order[a]]), order[a:b]
 
 
 def pick(lengths: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -140,359 +160,334 @@ def pick(lengths: np.ndarray, chosen: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Distinct words and pairs of some texts, in the order of the words' hashes, with the documents that hold them."""
+    """The distinct trigrams of some tokenised texts, last word first in the order of the words' hashes, with the documents that hold them."""
 
-    def __init__(self, texts: list[bytes | None]):
+    def __init__(self, texts: list[list[bytes]]):
         number: dict[bytes, int] = {END: 0}
         take = number.setdefault
-        every = []
-        for text in texts:
-            found = words(text)
-            every.append(np.fromiter((take(w, len(number)) for w in found), np.int64, len(found)))
+        every = [np.fromiter((take(w, len(number)) for w in found), np.int64, len(found)) for found in texts]
         self.sizes = np.array([len(x) + 1 for x in every], np.int64)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in number), U, len(number))
+        hashes = np.fromiter(map(hashed, number), U, len(number))
         order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[order]
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        end = np.array([0])
-        token = rank[np.concatenate([y for x in every for y in (x, end)])].astype(U)
+        end = rank[:1]
+        w = np.concatenate([x for own in every for x in (rank[own], end)]).astype(U)
+        v = np.concatenate((end.astype(U), w[:-1]))  # the end token of the text before stands before each first word
+        u = np.concatenate((end.astype(U), v[:-1]))
+        u[np.cumsum(self.sizes) - self.sizes] = end[0]
         doc = np.repeat(np.arange(len(texts), dtype=U), self.sizes)
-        context = np.concatenate((rank[end].astype(U), token[:-1]))  # the end token before each first word, as it stands there
-        self.words = np.unique(token << U(16) | doc, return_counts=True)
-        self.pairs = np.unique(context << U(40) | token << U(16) | doc, return_counts=True)
-
-    def word_rows(self, parts: int) -> Iterator[tuple[int, bytes]]:
-        """For each part: word hashes, numbers of documents, documents, counts."""
-        keys, count = self.words
-        at = runs(keys >> U(16))
+        bits, low = (len(number) - 1).bit_length(), (len(texts) - 1).bit_length()
+        mask = U((1 << bits) - 1)
+        if 3 * bits + low <= WIDTH:
+            keys, self.count = np.unique(w << U(2 * bits + low) | v << U(bits + low) | u << U(low) | doc, return_counts=True)
+            self.w, self.v, self.u = keys >> U(2 * bits + low), keys >> U(bits + low) & mask, keys >> U(low) & mask
+        else:  # a very long text, or very many words
+            if 2 * bits > 64 or len(w).bit_length() + bits + low > 64:
+                raise ValueError(f"a block of {len(w)} tokens can't be numbered")
+            pairs, place = np.unique(w << U(bits) | v, return_inverse=True)
+            keys, self.count = np.unique(place.astype(U) << U(bits + low) | u << U(low) | doc, return_counts=True)
+            pair = pairs[(keys >> U(bits + low)).astype(np.int64)]
+            self.w, self.v, self.u = pair >> U(bits), pair & mask, keys >> U(low) & mask
+        self.doc = (keys & U((1 << low) - 1)).astype(np.int64)
+
+    def rows(self, parts: int, wide: np.ndarray, train: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """For each part: hashes, and numbers of them as last words, words before and words before those, each with how many children follow, then documents and counts.
+
+        ``wide`` are the sorted hashes of the spread words, ``train`` says of
+        each document whether it trains, which goes with its number.
+        """
+        at = runs(self.w, self.v, self.u)
+        w, v, u = (x[at[:-1]].astype(np.int64) for x in (self.w, self.v, self.u))
         held = np.diff(at)
-        hashes = self.hashes[(keys[at[:-1]] >> U(16)).astype(np.int64)]
-        part = spread(hashes >> U(64 - KEY), parts).astype(np.int64)
-        doc = (keys & U(0xFFFF)).astype(np.uint16)
+        word = self.hashes[w]
+        place = np.searchsorted(wide, word)
+        is_wide = wide[np.minimum(place, len(wide) - 1)] == word if len(wide) else np.zeros(len(w), bool)
+        part = spread(np.where(is_wide, word * U(FANOUT) + self.hashes[v] % U(FANOUT), word), parts)
+        doc = (self.doc | np.where(train[self.doc], TRAIN, 0)).astype(np.uint16)
         for p, chosen in grouped(part):
             own = pick(held, chosen)
-            yield p, dump(hashes[chosen], narrow(held[chosen]), doc[own], narrow(count[own]))
+            used, n = np.unique(np.concatenate((w[chosen], v[chosen], u[chosen])), return_inverse=True)
+            a, b, c = np.split(narrow(n), 3)
+            first, second = runs(a), runs(a, b)
+            pairs = np.diff(np.searchsorted(second, first))
+            yield p, dump(self.hashes[used], a[first[:-1]], narrow(pairs), b[second[:-1]], narrow(np.diff(second)), c, narrow(held[chosen]), doc[own], narrow(self.count[own]))
 
-    def pair_rows(self, parts: int) -> Iterator[tuple[int, bytes]]:
-        """For each part: contexts, numbers of followers, followers, numbers of documents, documents, counts."""
-        keys, count = self.pairs
-        at = runs(keys >> U(16))
-        held = np.diff(at)
-        first = keys[at[:-1]]
-        context, word = (first >> U(40)).astype(np.int64), (first >> U(16) & U(0xFFFFFF)).astype(np.int64)
-        short = self.hashes >> U(64 - KEY)
-        part = spread(short[context] * U(FANOUT) + short[word] % U(FANOUT), parts).astype(np.int64)
-        doc = (keys & U(0xFFFF)).astype(np.uint16)
-        for p, chosen in grouped(part):
-            own = pick(held, chosen)
-            c = context[chosen]
-            cut_ = runs(c)
-            yield p, dump(*halves(short[c[cut_[:-1]]]), narrow(np.diff(cut_)), *halves(short[word[chosen]]), narrow(held[chosen]), doc[own], narrow(count[own]))
 
+class Masses:
+    """Logarithms quantised to 16 bits."""
 
-def grouped(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each part with the positions it has, in their order."""
-    order = np.argsort(part.astype(np.int32), kind="stable")
-    at = runs(part[order])
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        yield int(part[order[a]]), order[a:b]
-
-
-class Level:
-    """Counts of training words by their key: the root of the trie."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, followers: np.ndarray):
-        self.keys = EliasFano(keys, 1 << KEY, mapped)
-        self.counts, self.followers = counts, followers
+    def __init__(self, values: np.ndarray):
+        self.floor = float(values.min()) if len(values) else 0.0
+        self.step = ((float(values.max()) - self.floor) / 65535 if len(values) else 0.0) or 1.0
+        self.codes = mapped(np.rint((values - self.floor) / self.step).astype(np.uint16))
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, there = self.keys.successor(keys)
-        if not len(self.counts):
-            return np.zeros(len(keys)), np.zeros(len(keys))
-        at = np.minimum(at, len(self.counts) - 1)
-        return np.where(there, self.counts[at], 0), np.where(there, self.followers[at], 0)
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.floor + self.step * self.codes[at]
 
 
-class Trie:
-    """The second level: followers of contexts with their quantised discounted masses."""
-
-    def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray, discount: float):
-        """Sorted distinct pairs with their training counts, all above zero."""
-        at = runs(context)
-        self.contexts = EliasFano(context[at[:-1]], 1 << KEY, mapped)
-        self.pointers = EliasFano(at.astype(U), len(word) + 1, mapped)
-        number = np.repeat(np.arange(len(at) - 1, dtype=U), np.diff(at))
-        self.followers = EliasFano(number << U(KEY) | word, max(1, len(at) - 1) << KEY, mapped)
-        mass = np.log10(count - discount) if len(count) else np.zeros(0)
-        self.floor = float(mass.min()) if len(mass) else 0.0
-        self.step = (float(mass.max()) - self.floor) / 65535 if len(mass) else 0.0
-        self.codes = mapped(np.rint((mass - self.floor) / (self.step or 1.0)).astype(np.uint16))
-
-    def find(self, context: np.ndarray, pairs: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each pair is held, and its mass: ``pairs`` numbers the context of each word."""
-        at, there = self.contexts.successor(context)
-        at, there = at[pairs], there[pairs]
-        seen, mass = np.zeros(len(word), bool), np.zeros(len(word))
-        ask = np.nonzero(there)[0]
+class Level:
+    """A level of the trie: each parent's children, by their ids."""
+
+    def __init__(self, parent: np.ndarray, child: np.ndarray, parents: int, size: int):
+        """Sorted by parent, then child; ``size`` is the number of ids."""
+        self.size = U(size)
+        if max(1, parents) * size >= 1 << 63:
+            raise ValueError("a part has too many n-grams; use more shuffle partitions")
+        self.keys = EliasFano(parent.astype(U) * self.size + child.astype(U), max(1, parents) * size, mapped)
+        self.pointers = EliasFano(np.searchsorted(parent, np.arange(parents + 1)).astype(U), len(child) + 1, mapped)
+
+    def find(self, parent: np.ndarray, child: np.ndarray) -> np.ndarray:
+        """Positions of children, -1 where there is none (or no parent)."""
+        out = np.full(len(parent), -1, np.int64)
+        ask = np.nonzero((parent >= 0) & (child >= 0))[0]
         if len(ask):
-            place, exact = self.followers.successor(at[ask].astype(U) << U(KEY) | word[ask])
-            exact &= place < self.pointers[at[ask] + 1].astype(np.int64)
-            seen[ask] = exact
-            mass[ask[exact]] = self.floor + self.step * self.codes[place[exact]]
-        return seen, mass
-
-    def context_followers(self) -> tuple[np.ndarray, np.ndarray]:
-        every = np.arange(self.contexts.n)
-        return self.contexts[every], (self.pointers[every + 1] - self.pointers[every]).astype(np.int64)
-
-
-NONE = np.zeros(0, np.float32)
-
-
-def sums(n: int, doc: np.ndarray, **values: np.ndarray) -> bytes:
-    """Sums for the documents of a block that there are values for: base, known, lm, miss."""
-    touched = np.nonzero(np.bincount(doc, minlength=n))[0]
-    each = {k: np.bincount(doc, v, n)[touched] for k, v in values.items()}
-    kinds = {"base": np.float64, "lm": np.float32, "known": np.uint32, "miss": np.uint32}
-    return dump(np.array([n], np.int64), narrow(touched), *(np.rint(each[k]).astype(t) if k in ("known", "miss") and k in each else each[k].astype(t) if k in each else NONE for k, t in kinds.items()))
+            place, exact = self.keys.successor(parent[ask].astype(U) * self.size + child[ask].astype(U))
+            exact &= place < self.pointers[parent[ask] + 1].astype(np.int64)
+            out[ask[exact]] = place[exact]
+        return out
 
 
-def add_sums(total: np.ndarray | None, raw: bytes) -> np.ndarray:
-    """Sums of a block as rows base, lm, known, miss with one more part of them."""
-    n, touched, *each = undump(raw)
-    if total is None:
-        total = np.zeros((4, int(n[0])))
-    for row, value in zip(total, each, strict=True):
-        if len(value):
-            row[touched.astype(np.int64)] += value
-    return total
-
+class Trie:
+    """The model's part: words, the words before them and those before these, with their smoothed masses."""
+
+    def __init__(self, hashes: np.ndarray, w: np.ndarray, c1: np.ndarray, first: np.ndarray, v: np.ndarray, c2: np.ndarray, second: np.ndarray, u: np.ndarray, c3: np.ndarray, tokens: int):
+        """Sorted hashes of all words; words w, pairs (position of w, v) and trigrams (position of the pair, u) with their counts."""
+        self.ids = EliasFano(hashes, 1 << KEY, mapped)
+        self.words = Level(np.zeros(len(w), np.int64), w, 1, max(1, len(hashes)))
+        self.pairs = Level(first, v, len(w), max(1, len(hashes)))
+        self.trigrams = Level(second, u, len(v), max(1, len(hashes)))
+        low = WORD * c1 / (tokens + 1)
+        middle = PAIR * c2 + low[first]
+        self.up = [Masses(np.log10(x)) for x in (low, middle, c3 + middle[second])]
+        self.down = [Masses(np.log10(x)) for x in (PAIR * c1 + WORD, c2 + (PAIR * c1 + WORD)[first])]
+        self.unknown = float(np.log10(WORD / (tokens + 1))), float(np.log10(WORD))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids of sorted hashes, -1 where there is none."""
+        at, there = self.ids.successor(hashes)
+        return np.where(there, at, -1)
+
+    def upper(self, one: np.ndarray, two: np.ndarray, three: np.ndarray) -> np.ndarray:
+        """Logarithms of the numerators for positions in the three levels."""
+        out = np.full(len(one), self.unknown[0])
+        for mass, at in zip(self.up, (one, two, three), strict=True):
+            there = at >= 0
+            out[there] = mass[at[there]]
+        return out
+
+    def lower(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Logarithms of the denominators of the contexts that end with a word and have another before it."""
+        out = np.full(len(one), self.unknown[1])
+        for mass, at in zip(self.down, (one, two), strict=True):
+            there = at >= 0
+            out[there] = mass[at[there]]
+        return out
+
+
+class Part:
+    """The n-grams of one part, from the rows of all blocks."""
+
+    def __init__(self, raws: list[bytes], wide: dict[int, int], tokens: int):
+        opened = [undump(x) for x in raws]
+        hashes = np.unique(np.concatenate([x[0] for x in opened]))
+        pair_keys, owners, tails, trained = [], [], [], []
+        total = 0
+        for dic, w, vs, v, us, u, held, doc, count in opened:
+            ids = np.searchsorted(hashes, dic)
+            pair_keys.append(np.repeat(ids[w], vs).astype(U) << U(32) | ids[v].astype(U))
+            owners.append(np.repeat(np.arange(total, total + len(v)), us))
+            total += len(v)
+            tails.append(ids[u])
+            starts = np.cumsum(held, dtype=np.int64) - held
+            trained.append(np.add.reduceat(count.astype(np.int64) * (doc >= TRAIN), starts))
+        pairs, place = np.unique(np.concatenate(pair_keys), return_inverse=True)
+        grams, self.gram = np.unique(place[np.concatenate(owners)].astype(U) << U(32) | np.concatenate(tails).astype(U), return_inverse=True)
+        c3 = np.bincount(self.gram, np.concatenate(trained), len(grams))
+        del pair_keys, owners, tails, trained, place
+        pair, u = (grams >> U(32)).astype(np.int64), (grams & U(0xFFFFFFFF)).astype(np.int64)
+        c2 = np.bincount(pair, c3, len(pairs))
+        w, v = (pairs >> U(32)).astype(np.int64), (pairs & U(0xFFFFFFFF)).astype(np.int64)
+        c1 = np.bincount(w, c2, len(hashes))
+        if wide:
+            keys = np.array(sorted(wide), U)
+            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            own = (keys[at] == hashes) & np.isin(np.arange(len(hashes)), w)
+            c1[own] = np.array([wide[k] for k in keys.tolist()], np.float64)[at[own]]
+        trie = self.trie(hashes, c1, w, v, c2, pair, u, c3, tokens)
+        ids = trie.find(hashes)
+        one = trie.words.find(np.zeros(len(hashes), np.int64), ids)
+        two = trie.pairs.find(one[w], ids[v])
+        three = trie.trigrams.find(two[pair], ids[u])
+        end = np.searchsorted(hashes, U(END_KEY))
+        below = np.where(w == end, 0.0, trie.lower(one[w], two))  # a text's last token is no context
+        self.lm = trie.upper(one[w][pair], two[pair], three) - below[pair]
+        self.base = np.log10(c1 + 1)[w][pair]
+        self.known = (c1 > 0)[w][pair]
+
+    @staticmethod
+    def trie(hashes: np.ndarray, c1: np.ndarray, w: np.ndarray, v: np.ndarray, c2: np.ndarray, pair: np.ndarray, u: np.ndarray, c3: np.ndarray, tokens: int) -> Trie:
+        """The trie of what training texts hold."""
+        keep1, keep2, keep3 = np.nonzero(c1 > 0)[0], np.nonzero(c2 > 0)[0], np.nonzero(c3 > 0)[0]
+        used = np.unique(np.concatenate((keep1, v[keep2], u[keep3])))
+        new = np.searchsorted(used, np.arange(len(hashes)))
+        at1 = np.searchsorted(keep1, w[keep2])
+        at2 = np.searchsorted(keep2, pair[keep3])
+        return Trie(hashes[used], new[keep1], c1[keep1], at1, new[v[keep2]], c2[keep2], at2, new[u[keep3]], c3[keep3], tokens)
+
+    def sums(self, raws: list[bytes]) -> Iterator[bytes]:
+        """For each row that the part was made of, the documents it touches and their sums: lm, base, known."""
+        at = 0
+        for raw in raws:
+            *_, u, held, doc, count = undump(raw)
+            gram = np.repeat(self.gram[at : at + len(u)], held)
+            at += len(u)
+            doc = (doc & (TRAIN - 1)).astype(np.int64)
+            touched = np.nonzero(np.bincount(doc))[0]
+            each = [np.bincount(doc, x[gram] * count)[touched] for x in (self.lm, self.base, self.known)]
+            yield dump(narrow(touched), each[0].astype(np.float32), each[1], narrow(np.rint(each[2]).astype(np.int64)))
 
-def train_of(raw: np.ndarray, n: int) -> np.ndarray:
-    return np.unpackbits(raw, count=n, bitorder="little").astype(np.int64)
 
+def word_counts(rows: DataFrame) -> DataFrame:
+    """Rows (word long, n_train, n_all long): the hash of each word and of the end token, how often it stands in training texts and in all."""
 
-def score(docs: DataFrame, held_out, discount: float = DISCOUNT) -> DataFrame:
+    def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows):
+            every = Counter(), Counter()
+            for text, held in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                every[held].update(words(text))
+                every[held][END] += 1
+            for held, counter in enumerate(every):
+                n = np.fromiter(counter.values(), np.int64, len(counter))
+                keys = np.fromiter(map(hashed, counter), np.int64, len(counter))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n * (1 - held)), pa.array(n)], names=["word", "n_train", "n_all"])
+
+    found = rows.mapInArrow(counted, "word long, n_train long, n_all long")
+    return found.groupBy("word").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all"))
+
+
+def cuts(texts: list[bytes | None]) -> Iterator[tuple[int, int, list[list[bytes]]]]:
+    """Tokenised texts in runs (start, end, words) that a block holds."""
+    start, size, held = 0, 0, []
+    for i, text in enumerate(texts):
+        own = words(text)
+        if held and (size + len(own) + 1 > TOKENS or len(held) == BLOCK):
+            yield start, i, held
+            start, size, held = i, 0, []
+        held.append(own)
+        size += len(own) + 1
+    if held:
+        yield start, len(texts), held
+
+
+def score(docs: DataFrame, held_out) -> DataFrame:
     """Scores of all texts by a model of those that ``held_out`` leaves for training.
 
     ``held_out`` is a condition on ``docs`` (null counts as false).  Rows
     (doc_id, held_out, n_tokens, n_known, train_tokens long, base_score, score
-    double), one for each row.  A null or empty text is the end token alone.
-    Without training texts every token is unknown and scores 0 by p = 1.
-    Repeated rows count as often as they stand there.
+    double), one for each row.  A null or empty text is the end token alone;
+    texts of any length are taken whole.  Without training texts every token is
+    unknown and scores 0 by p = 1.  Repeated rows count as often as they stand
+    there, and equal texts score alike; other columns are ignored.  An empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
     seat = seats(parts)
-    part_of = {int(x): p for p, x in enumerate(seat)}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    counts = cut(word_counts(rows))
+    whole = counts.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count_if(F.col("n_train") > 0), F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("word") == END_KEY, F.col("n_train"))), F.lit(0))).first()
+    tokens, vocabulary, every, texts = whole
+    frequent = counts.where(F.col("n_all") * 4 * parts >= max(1, every)).select("word", "n_train").collect()  # 4 for each part at most
+    wide = {x["word"]: x["n_train"] for x in frequent}
+    wide_keys = np.array(sorted(wide), U)
 
     def table(made: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
         columns = list(zip(*made, strict=True)) or [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "dest", "block", "payload"])
 
-    def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                ids = part.column(0)
-                held = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
-                block = Block(utf8(part.column(1)))
-                train = np.packbits(~held, bitorder="little")
-                name = xxhash.xxh3_64_intdigest(dump(ids.fill_null(-1).to_numpy(zero_copy_only=False), block.hashes, block.sizes)) >> 1
-                known = np.array(ids.is_valid().to_pylist(), np.uint8)
-                yield table([(DOCS, int(seat[name % parts]), name, dump(ids.fill_null(0).to_numpy(zero_copy_only=False), known, held.astype(np.uint8), block.sizes))])
-                head = dump(np.array([part.num_rows], np.int64), train)
-                head = len(head).to_bytes(4, "little") + head
-                for kind, found in ((WORDS, block.word_rows(parts)), (PAIRS, block.pair_rows(parts))):
-                    yield table([(kind, int(seat[p]), name, head + raw) for p, raw in found])
-
-    def open_(raw: bytes) -> tuple[int, np.ndarray, list[np.ndarray]]:
-        size = int.from_bytes(raw[:4], "little") + 4
-        n, train = undump(raw[4:size])
-        return int(n[0]), train_of(train, int(n[0])), undump(raw[size:])
-
-    def collect(rows: Iterator[pa.RecordBatch]) -> dict[tuple[int, int], list[tuple[int, bytes]]]:
-        found = defaultdict(list)
-        for batch in batches(rows):
-            for kind, dest, block, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found[kind, part_of[dest]].append((block, raw))
-        return found
-
-    def count_words(dest: int, got: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, int, bytes]]:
-        opened = [(block, *open_(raw)) for block, raw in got]
-        every = np.concatenate([x[3][0] for x in opened])
-        in_train = np.concatenate([np.add.reduceat(x[3][3].astype(np.int64) * x[2][x[3][2]], np.cumsum(x[3][1], dtype=np.int64) - x[3][1]) for x in opened])
-        keys, place = np.unique(every, return_inverse=True)
-        counts = np.bincount(place, in_train, len(keys))
-        at = 0
-        for block, n, _, (hashes, held, doc, count) in opened:
-            c = np.repeat(counts[place[at : at + len(hashes)]], held)
-            at += len(hashes)
-            context = np.where(c > 0, -np.log10(np.maximum(c, 1)), 0.0)
-            yield SUMS, block % parts, block, sums(n, doc, base=count * np.log10(c + 1), known=count * (c > 0), lm=count * context)
-        keep = counts > 0
-        yield TOTALS, dest, 0, dump(np.array([int(counts.sum()), int(keep.sum())], np.int64))
-        short, c = keys[keep] >> U(64 - KEY), counts[keep]
-        first = runs(short)  # keys that share a prefix count together in the trie, as they do in its other level
-        if len(short):
-            yield LEVEL, dest, 0, dump(*halves(short[first[:-1]]), narrow(np.add.reduceat(c, first[:-1]).astype(np.int64)))
-
-    def count_pairs(dest: int, got: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, int, bytes]]:
-        opened = []
-        for block, raw in got:
-            n, train, (c_low, c_high, fans, w_low, w_high, held, doc, count) = open_(raw)
-            starts = np.cumsum(held, dtype=np.int64) - held
-            opened.append((block, n, whole(c_low, c_high), fans.astype(np.int64), whole(w_low, w_high), held, doc, count, np.add.reduceat(count.astype(np.int64) * train[doc], starts)))
-        contexts, place = np.unique(np.concatenate([x[2] for x in opened]), return_inverse=True)
-        number, at = [], 0
-        for x in opened:
-            number.append(np.repeat(place[at : at + len(x[2])], x[3]).astype(U))
-            at += len(x[2])
-        pairs, spot = np.unique(np.concatenate([i << U(KEY) | x[4] for i, x in zip(number, opened, strict=True)]), return_inverse=True)
-        counts = np.bincount(spot, np.concatenate([x[8] for x in opened]), len(pairs))
-        del spot
-        keep = counts > 0
-        trie = Trie(contexts[(pairs[keep] >> U(KEY)).astype(np.int64)], pairs[keep] & U((1 << KEY) - 1), counts[keep], discount)
-        del pairs, counts
-        keys, fans = trie.context_followers()
-        for p, chosen in grouped(spread(keys, parts).astype(np.int64)):
-            yield FOLLOWERS, p, 0, dump(*halves(keys[chosen]), narrow(fans[chosen]))
-        asks = defaultdict(list)  # one row for each part asked, with all blocks
-        for block, n, context, fan, word, held, doc, count, _ in opened:
-            owner = np.repeat(np.arange(len(context)), fan)
-            seen, mass = trie.find(context, owner, word)
-            values = np.repeat(np.where(seen, mass, 0.0), held)
-            yield SUMS, block % parts, block, sums(n, doc, lm=count * values)
-            miss = np.nonzero(~seen)[0]
-            if len(miss):
-                own = pick(held.astype(np.int64), miss)
-                who, times, sizes = doc[own], count[own], held[miss]
-                for kind, asked in ((NEED_WORD, word[miss]), (NEED_CONTEXT, context[owner[miss]])):
-                    each = np.repeat(asked, sizes)
-                    order = np.argsort(each, kind="stable")
-                    each = each[order]
-                    for p, chosen in grouped(spread(each, parts).astype(np.int64)):
-                        k = each[chosen]
-                        first = runs(k)
-                        asks[kind, p].append((np.array([block], np.int64), np.array([n], np.int64), np.array([len(first) - 1], np.int64), k[first[:-1]], np.diff(first), who[order[chosen]], times[order[chosen]]))
-        for (kind, p), each in asks.items():
-            blocks, n, keys, key, held, who, times = (np.concatenate(x) for x in zip(*each, strict=True))
-            yield kind, p, 0, dump(blocks, n, keys, *halves(key), narrow(held), who, narrow(times))
-
-    def by_block(got: list[tuple[int, bytes]]) -> dict[int, list[bytes]]:
-        found = defaultdict(list)
-        for block, raw in got:
-            found[block].append(raw)
-        return found
-
     def written(rows: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        """Rows in batches of some MB."""
+        """Rows in batches of some MB; the destination is a part."""
         held, size = [], 0
-        for kind, dest, block, raw in rows:
-            held.append((kind, int(seat[dest]), block, raw))
+        for kind, part, block, raw in rows:
+            held.append((kind, int(seat[part]), block, raw))
             size += len(raw)
             if size > 1 << 22 or len(held) >= 4096:
                 yield table(held)
                 held, size = [], 0
         yield table(held)
 
-    def build(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple[int, int, int, bytes]]:
-            found = collect(rows)
-            for kind, dest in list(found):
-                got = found.pop((kind, dest))
-                if kind == DOCS:
-                    yield from ((kind, dest, block, raw) for block, raw in got)
-                else:
-                    yield from (count_words if kind == WORDS else count_pairs)(dest, got)
-
-        yield from written(each())
+            for batch in batches(rows):
+                for start, end, found in cuts(utf8(batch.column(1))):
+                    ids = batch.column(0).slice(start, end - start)
+                    held = batch.column(2).slice(start, end - start).to_numpy(zero_copy_only=False).astype(bool)
+                    block = Block(found)
+                    known = np.array(ids.is_valid().to_pylist(), np.uint8)
+                    ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+                    name = xxhash.xxh3_64_intdigest(dump(ids, known, held, block.sizes, block.hashes)) >> 1
+                    yield DOCS, name % parts, name, dump(ids, known, held.astype(np.uint8), block.sizes)
+                    yield from ((GRAMS, p, name, raw) for p, raw in block.rows(parts, wide_keys, ~held))
+
+        return written(each())
 
-    def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def build(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple[int, int, int, bytes]]:
-            found = collect(rows)
-            for dest in sorted({d for _, d in found}):
-                for kind in (DOCS, TOTALS):
-                    yield from ((kind, dest, block, raw) for block, raw in found.pop((kind, dest), []))
-                for block, got in by_block(found.pop((SUMS, dest), [])).items():
-                    total = None
-                    for raw in got:
-                        total = add_sums(total, raw)
-                    every = np.arange(total.shape[1])
-                    yield SUMS, dest, block, sums(len(every), every, base=total[0], lm=total[1], known=total[2], miss=total[3])
-                yield from answered_for(found, dest)
-
-        yield from written(each())
-
-    def answered_for(found: dict, dest: int) -> Iterator[tuple[int, int, int, bytes]]:
-        follow, n = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-        for _, raw in found.pop((FOLLOWERS, dest), []):
-            low, high, fans = undump(raw)
-            follow.append(whole(low, high))
-            n.append(fans.astype(np.int64))
-        keys, count = np.zeros(0, U), np.zeros(0)
-        for _, raw in found.pop((LEVEL, dest), []):
-            low, high, count = undump(raw)
-            keys = whole(low, high)
-        fans, follow = np.concatenate(n), np.concatenate(follow)
-        place = np.searchsorted(keys, follow)
-        inside = place < len(keys)
-        level = Level(keys, count.astype(np.float64), np.bincount(place[inside], fans[inside], len(keys)) if len(keys) else np.zeros(0))
-        sent: dict[int, np.ndarray] = {}
-        for kind in (NEED_WORD, NEED_CONTEXT):
-            for _, raw in found.pop((kind, dest), []):
-                blocks, sizes, lengths, low, high, held, doc, times = undump(raw)
-                c, f = level.find(whole(low, high))
-                value = np.log10(c + 1) if kind == NEED_WORD else np.where(c > 0, np.log10(np.maximum(discount * f, 1e-300)), 0.0)
-                value = np.repeat(value, held) * times
-                ends = np.cumsum(np.add.reduceat(held.astype(np.int64), np.cumsum(lengths) - lengths))
-                for block, n_, a, b in zip(blocks.tolist(), sizes.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                    total = sent.setdefault(block, np.zeros((3, n_)))
-                    np.add.at(total[0], doc[a:b], value[a:b])
-                    np.add.at(total[2], doc[a:b], 1)
-                    if kind == NEED_WORD:
-                        np.add.at(total[1], doc[a:b], times[a:b])
-        for block, total in sent.items():
-            touched = np.nonzero(total[2])[0]
-            yield SUMS, block % parts, block, sums(total.shape[1], touched, lm=total[0][touched], miss=total[1][touched])
+            found: dict[int, tuple[list[int], list[bytes]]] = {}  # by seat: this task's parts
+            for batch in batches(rows):
+                for kind, dest, block, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if kind == DOCS:
+                        yield kind, block % parts, block, raw
+                    else:
+                        own = found.setdefault(dest, ([], []))
+                        own[0].append(block)
+                        own[1].append(raw)
+            for dest in list(found):
+                blocks, raws = found.pop(dest)
+                part = Part(raws, wide, tokens)
+                for block, sums in zip(blocks, part.sums(raws), strict=True):
+                    yield SUMS, block % parts, block, sums
+
+        return written(each())
 
     def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = collect(rows)
-        for (kind, dest), got in list(found.items()):
-            if kind == TOTALS:
-                for _, raw in got:
-                    n, v = undump(raw)[0].tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([None], [None], [n], [v], [0.0], [0.0], [None], [True]), kinds, strict=True)], names=names)
-            if kind == DOCS:
-                parts_of = by_block(found.get((SUMS, dest), []))
-                for block, same in by_block(got).items():
-                    total = None
-                    for raw in parts_of[block]:
-                        total = add_sums(total, raw)
-                    total /= len(same)  # blocks of one name hold equal rows, so their sums are equal parts of the total
-                    ids, known, held, sizes = undump(same[0])
-                    base, lm, seen, miss = total
-                    for _ in same:
-                        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=known == 0), pa.array(held.astype(bool)), pa.array(sizes), pa.array(np.rint(seen).astype(np.int64)), pa.array(base), pa.array(lm), pa.array(np.rint(miss).astype(np.int64)), pa.array(np.zeros(len(ids), bool))], names=names)
-
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "lm", "n_missed", "total"]
-    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_())
+        heads: dict[int, list[bytes]] = {}
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches(rows):
+            for kind, _, block, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == DOCS:
+                    heads.setdefault(block, []).append(raw)
+                    continue
+                touched, *each = undump(raw)
+                touched = touched.astype(np.int64)
+                total = totals.get(block)
+                if total is None or total.shape[1] <= touched[-1]:
+                    wider = np.zeros((3, int(touched[-1]) + 1))
+                    if total is not None:
+                        wider[:, : total.shape[1]] = total
+                    total = totals[block] = wider
+                for row, value in zip(total, each, strict=True):
+                    row[touched] += value
+        for block, same in heads.items():
+            ids, known, held, sizes = undump(same[0])
+            lm, base, seen = totals.pop(block) / len(same)  # blocks of one name hold equal rows, so their sums are equal parts of the total
+            for _ in same:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=known == 0), pa.array(held.astype(bool)), pa.array(sizes), pa.array(np.rint(seen).astype(np.int64)), pa.array(base), pa.array(lm)], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "lm"])
+
     sent = rows.mapInArrow(send, ROW).repartition(parts, "dest").mapInArrow(build, ROW)
-    answered = sent.repartition(parts, "dest").mapInArrow(answer, ROW).repartition(parts, "dest")
-    done = cut(answered.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double, n_missed long, total boolean"))
-    both = done.where("total").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("n_known"), F.lit(0)).alias("v"))
-    divisor = F.log10(F.col("train_tokens") + F.col("v") + 1)
-    return done.where("not total").crossJoin(F.broadcast(both)).select(
+    done = sent.repartition(parts, "dest").mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double")
+    opening = float(np.log10(texts + PAIR * texts + WORD))  # the denominator of the two end tokens before a text
+    return done.select(
         "doc_id",
         "held_out",
         "n_tokens",
         "n_known",
-        "train_tokens",
-        (F.col("base") - F.col("n_tokens") * divisor).alias("base_score"),
-        (F.col("lm") - F.col("n_missed") * divisor).alias("score"),
+        F.lit(tokens).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(tokens + vocabulary + 1)))).alias("base_score"),
+        (F.col("lm") - F.lit(opening)).alias("score"),
     )
 
 

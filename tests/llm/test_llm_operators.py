@@ -206,32 +206,83 @@ def test_simhash_exact_similarity(spark, docs, awkward, empty):
     assert simhash.one_of_each(empty, similarity=0.8).count() == 0
 
 
-def test_ngrams(docs):
+def counted_trigrams(texts):
+    """Counts of words, pairs and trigrams of tokenised training texts, whose contexts are padded with two end tokens."""
+    one, two, three = Counter(), Counter(), Counter()
+    for t in texts:
+        padded = [" end", " end", *t]
+        one.update(t)
+        two.update(zip(padded[1:], t, strict=False))
+        three.update(zip(padded, padded[1:], t, strict=False))
+    return one, two, three
+
+
+def trigram_mass(one, two, three, u, v, w):
+    """The model's probability by its formula, with plain dictionaries."""
+    n, texts = sum(one.values()), one[" end"]
+    pair = texts if (u, v) == (" end", " end") else two[u, v]
+    p = (one[w] if one[w] else 1) / (n + 1)
+    return (three[u, v, w] + ngrams.PAIR * two[v, w] + ngrams.WORD * p) / (pair + ngrams.PAIR * one[v] + ngrams.WORD)
+
+
+def test_blocks_of_many_words():
+    """A block whose n-grams don't fit one number holds the same."""
+    import numpy as np
+
+    texts = [words(t) for _, t, *_ in corpus()]
+    one = ngrams.Block(list(map(lambda t: [w.encode() for w in t], texts)))
+    try:
+        ngrams.WIDTH = 8
+        two = ngrams.Block(list(map(lambda t: [w.encode() for w in t], texts)))
+    finally:
+        ngrams.WIDTH = 64
+    for name in ("w", "v", "u", "doc", "count", "hashes"):
+        assert np.array_equal(getattr(one, name), getattr(two, name))
+
+
+@pytest.mark.parametrize("size", [1 << 20, 50])
+def test_ngrams(docs, monkeypatch, size):
+    monkeypatch.setattr(ngrams, "TOKENS", size)
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, *_ in corpus()}
     text = {d: [*words(t), " end"] for d, t, *_ in corpus()}
-    unigrams, pairs = Counter(), Counter()
-    for d, t in text.items():
-        if not held[d]:
-            unigrams.update(t)
-            pairs.update(zip([" end", *t[:-1]], t, strict=True))
-    n, v = sum(unigrams.values()), len(unigrams)
-    fans = Counter(h for h, _ in pairs)
+    one, two, three = counted_trigrams(t for d, t in text.items() if not held[d])
+    n, v = sum(one.values()), len(one)
     got = rows(ngrams.score(docs, ngrams.held_out_by()))
     assert set(got) == set(text)
     for d, t in text.items():
-        lm = base = 0.0
-        for h, w in zip([" end", *t[:-1]], t, strict=True):
-            p = (unigrams[w] + 1) / (n + v + 1)
-            base += math.log10(p)
-            if pairs[h, w]:
-                p = (pairs[h, w] - ngrams.DISCOUNT) / unigrams[h]
-            elif unigrams[h]:
-                p *= ngrams.DISCOUNT * fans[h] / unigrams[h]
-            lm += math.log10(p)
+        padded = [" end", " end", *t]
+        lm = sum(math.log10(trigram_mass(one, two, three, *x)) for x in zip(padded, padded[1:], t, strict=False))
+        base = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in t)
         x = got[d]
-        assert (x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"]) == (held[d], len(t), sum(unigrams[w] > 0 for w in t), n)
+        assert (x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"]) == (held[d], len(t), sum(one[w] > 0 for w in t), n)
         assert x["base_score"] == pytest.approx(base, rel=1e-9)
-        assert x["score"] == pytest.approx(lm, abs=1e-4 * len(t))
+        assert x["score"] == pytest.approx(lm, abs=2e-4 * len(t))
+    assert sum(x["score"] for d, x in got.items() if held[d]) > sum(x["base_score"] for d, x in got.items() if held[d])
+
+
+def test_ngrams_masses_sum_to_one(spark):
+    """Scores of texts of one word more, over all words and an unknown one, add up to the mass of the text before."""
+    train = ["a b a c", "b a b a", "c c a", "a b b"]
+    one, two, three = counted_trigrams([*t.split(), " end"] for t in train)
+    vocabulary = [*one, "unknown"]
+    for u, v in [(" end", " end"), (" end", "a"), ("a", "b"), ("b", "a"), ("c", "b"), ("unknown", "a"), ("a", "unknown")]:
+        assert sum(trigram_mass(one, two, three, u, v, w) for w in vocabulary) == pytest.approx(1)
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2][: len(train)]
+    tried = [i for i in range(1000, 9000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    texts = [f"{h} {w}".strip() for h in ("", "a", "a b", "b x") for w in ("a", "b", "c", "x", "")]
+    table = [*zip(ids, train, strict=True), *zip(tried, texts, strict=False)]
+    got = rows(ngrams.score(spark.createDataFrame(table, "doc_id long, text string"), ngrams.held_out_by()))
+    said = {t: got[i]["score"] for i, t in zip(tried, texts, strict=False)}
+    for h in ("", "a", "a b", "b x"):
+        padded = [" end", " end", *h.split()]
+        total = 0.0
+        for w in ("a", "b", "c", "x", ""):  # each text's score without its own end, but that of the empty continuation
+            t = f"{h} {w}".strip()
+            own = [*padded, *([w] if w else [])]
+            end = trigram_mass(one, two, three, own[-2], own[-1], " end") if w else 1.0
+            total += 10 ** said[t] / end
+        before = math.prod(trigram_mass(one, two, three, *padded[i : i + 3]) for i in range(len(padded) - 2))
+        assert total == pytest.approx(before, rel=2e-3)
 
 
 def test_seats_follow_sparks_partitioning(spark):
