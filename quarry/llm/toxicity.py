@@ -8,10 +8,13 @@ words that make it toxic.  No word is left out, however weak or rare.
 
 Examples with equal vectors are one point, with their number and mean label.
 Points stand in an inverted index cut into blocks of :data:`BLOCK`, which keeps
-each word's largest weight in each block where it occurs.  These give each
-block a bound for a query; blocks are visited from the highest bound down, and
-those that can't hold a point as near as the k-th found so far are skipped, so
-the nearest points are exact.  Of points equally near the smaller doc_id counts.
+each word's largest weight in each block where it occurs.  The few words that
+more than one point in :data:`COMMON` has are columns over all points, and one
+matrix product takes them for many texts at once.  What these give a block at
+best, and the largest weights of its other words, is the block's bound; the
+k-th best so far only grows by more words, so blocks with a lower bound are
+never opened and the nearest points are exact.  Of points equally near the
+smaller doc_id counts.
 
 The neighbours' votes, weighted by similarity and number, and the sample's base
 rate make a raw score.  A logistic curve fitted to the raw scores that the
@@ -34,10 +37,12 @@ from pyspark.sql import functions as F
 from quarry.llm.common import batches, crc_mod, utf8
 
 #: Labelled rows in the sample at most.
-SAMPLE = 8_000
+SAMPLE = 4_000
 #: Added to each word's association with the label, whose expectation for an unrelated word is 1.
 FLOOR = 0.1
 NEAREST, BLOCK = 15, 32
+#: A word that one point in so many has is a column.
+COMMON = 24
 #: Weight of the base rate among the votes.
 PRIOR = 0.25
 #: Maps a text's bytes so that all but word characters become blanks, A-Z lower case.
@@ -80,11 +85,17 @@ class Model:
         term = np.repeat(np.arange(words), self.held)
         weight = (1 + np.log(self.times.astype(np.float64))) * self.scale[term]
         self.weight = weight / np.sqrt(np.bincount(self.point, weight * weight, n))[self.point]
-        key = term * (n // BLOCK + 1) + self.point // BLOCK
-        edges = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0] if len(key) else np.zeros(0, np.int64)
         self.number = dict(zip(self.words, range(words), strict=True))
+        column = self.held * COMMON > n
+        self.column = np.where(column, np.cumsum(column) - 1, -1)  # of each word: its column, -1 if it has none
+        self.columns = np.zeros((int(column.sum()), n))
+        full = column[term]
+        self.columns[self.column[term[full]], self.point[full]] = self.weight[full]
+        term, self.place, self.weight = term[~full], self.point[~full], self.weight[~full]
+        key = term * (n // BLOCK + 1) + self.place // BLOCK
+        edges = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0] if len(key) else np.zeros(0, np.int64)
         self.entries = np.searchsorted(term[edges], np.arange(words + 1))  # where the entries of each word begin
-        self.block = narrow(self.point[edges] // BLOCK)  # of each entry of a word: the block and the largest weight there
+        self.block = narrow(self.place[edges] // BLOCK)  # of each entry of a word: the block and the largest weight there
         self.highest = np.maximum.reduceat(self.weight, edges) if len(edges) else np.zeros(0)
         self.postings = np.concatenate((edges, [len(term)]))  # where the postings of each entry begin
 
@@ -100,45 +111,48 @@ class Model:
         size = np.sqrt(weight @ weight)
         return number, weight / size if size else weight
 
-    def nearest(self, number: np.ndarray, weight: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest points above 0, nearest first, then by doc_id."""
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEAREST) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query positions and cosines of the k nearest points above 0, nearest first, then by doc_id."""
         n = len(self.ids)
-        if not len(number) or not n:
-            return np.zeros(0, np.int64), np.zeros(0)
-        held = self.entries[number + 1] - self.entries[number]
-        entry = spans(self.entries[number], held)
-        times = np.repeat(weight, held)
-        block = self.block[entry]
-        bounds = np.bincount(block, times * self.highest[entry], -(-n // BLOCK))
-        visit = np.argsort(-bounds, kind="stable")
-        cosine, least, done, step = np.zeros(n), 0.0, 0, 4
-        while done < len(visit):
-            some = visit[done : done + step]
-            some = some[bounds[some] >= max(least - 1e-9, 1e-12)]
-            if not len(some):
-                break
-            open_ = np.zeros(len(visit), bool)
-            open_[some] = True
-            inside = np.nonzero(open_[block])[0]
-            first = self.postings[entry[inside]]
-            size = self.postings[entry[inside] + 1] - first
-            at = spans(first, size)
-            cosine += np.bincount(self.point[at], np.repeat(times[inside], size) * self.weight[at], n)
-            if k < n:
-                least = float(np.partition(cosine, n - k)[n - k])
-            done, step = done + step, step * 6
-        cosine = np.round(cosine, 9)
-        found = np.nonzero(cosine >= max(round(least, 9), 1e-9))[0]
-        order = np.lexsort((self.ids[found], -cosine[found]))[:k]
-        return found[order], cosine[found[order]]
+        blocks = -(-n // BLOCK)
+        for start in range(0, len(queries), 128):
+            some = queries[start : start + 128]
+            common = np.zeros((len(some), len(self.columns)))
+            for row, (number, weight) in zip(common, some, strict=True):
+                at = self.column[number]
+                row[at[at >= 0]] = weight[at >= 0]
+            for cosine, (number, weight) in zip(common @ self.columns, some, strict=True):
+                if not n:
+                    yield np.zeros(0, np.int64), np.zeros(0)
+                    continue
+                least = float(np.partition(cosine, n - k)[n - k]) if k < n else 0.0
+                held = self.entries[number + 1] - self.entries[number]
+                entry = spans(self.entries[number], held)
+                times, block = np.repeat(weight, held), self.block[entry]
+                bounds = np.maximum.reduceat(cosine, np.arange(0, n, BLOCK)) + np.bincount(block, times * self.highest[entry], blocks)
+                order = np.argsort(-bounds, kind="stable")
+                for visit in (order[:6], order[6:]):
+                    visit = visit[bounds[visit] >= max(least - 1e-9, 1e-12)]
+                    open_ = np.zeros(blocks, bool)
+                    open_[visit] = True
+                    inside = np.nonzero(open_[block])[0]
+                    if len(inside):
+                        first = self.postings[entry[inside]]
+                        size = self.postings[entry[inside] + 1] - first
+                        at = spans(first, size)
+                        cosine = cosine + np.bincount(self.place[at], np.repeat(times[inside], size) * self.weight[at], n)
+                        least = float(np.partition(cosine, n - k)[n - k]) if k < n else 0.0
+                cosine = np.round(cosine, 9)
+                found = np.nonzero(cosine >= max(round(least, 9), 1e-9))[0]
+                order = np.lexsort((self.ids[found], -cosine[found]))[:k]
+                yield found[order], cosine[found[order]]
 
     def vote(self, near: np.ndarray, labels: np.ndarray, sizes: np.ndarray) -> float:
         own = near * sizes
         return float((own @ labels + PRIOR * self.base) / (own.sum() + PRIOR))
 
-    def without(self, text: bytes | None, toxic: int) -> float:
-        """The vote for an example by all the others."""
-        at, near = self.nearest(*self.vector(text), NEAREST + 1)
+    def without(self, at: np.ndarray, near: np.ndarray, toxic: int) -> float:
+        """The vote for an example by all the others, given its nearest points, itself among them."""
         labels, sizes = self.labels[at], self.sizes[at].astype(np.float64)
         own = np.nonzero(near > 1 - 1e-6)[0][:1]  # the example's own point is the nearest
         if len(own):
@@ -256,7 +270,8 @@ def calibrate(sample: DataFrame, shared: Broadcast[Model]) -> tuple[float, float
     def voted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches(rows):
-            votes = [m.without(text, int(toxic > 0)) for text, toxic in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True)]
+            near = m.nearest([m.vector(x) for x in utf8(batch.column(0))], NEAREST + 1)
+            votes = [m.without(*x, int(toxic > 0)) for x, toxic in zip(near, batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column(1)], names=["vote", "toxic"])
 
     got = sample.select("text", "toxic").mapInArrow(voted, "vote double, toxic int").toArrow()
@@ -300,8 +315,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFra
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 votes, ats, nears = [], [], []
-                for text in utf8(part.column(1)):
-                    at, near = m.nearest(*m.vector(text))
+                for at, near in m.nearest([m.vector(x) for x in utf8(part.column(1))]):
                     votes.append(m.vote(near, m.labels[at], m.sizes[at]))
                     ats.append(at)
                     nears.append(near)
