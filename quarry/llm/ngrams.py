@@ -14,11 +14,12 @@ of terms that different parts of the model know by themselves.
 
 Parts are dealt out by the last word, and none is gathered or broadcast.  A
 word that would fill a good share of a part is spread over ``FANOUT`` parts by
-the residue of the word before it.  A first pass counts all words: it gives N,
-the spread words (a few for each part at most) and their exact counts.
+the residue of the word before it.  A first pass over all texts gives N and the
+words to spread, a few for each part at most.
 
 1. Batches of texts become blocks.  A block sends each n-gram it has once, with
-   the documents that hold it, to the part of its last word.
+   the documents that hold it, to the part of its last word, and how often it
+   has each spread word to all parts of that word.
 2. A part counts its n-grams and builds its trie, last word first: the level of
    words, of the words before them, and of the words before those.  A level is
    an Elias-Fano sequence of the ids of each node's children, with monotone
@@ -56,12 +57,12 @@ FANOUT = 16
 #: Width of the words' hashes, so that they fit an Elias-Fano sequence.
 KEY = 63
 #: Tokens of a block (a longer text is a block of its own), and documents of a block, so that 15 bits number them.
-TOKENS, BLOCK = 1 << 20, 1 << 15
+TOKENS, BLOCK = 1 << 22, 1 << 15
 TRAIN = 0x8000
 #: Bits of a number that says word, words before and document at once.
 WIDTH = 64
 #: Kinds of rows.
-DOCS, GRAMS, SUMS = range(3)
+DOCS, GRAMS, WIDE, SUMS, TOTALS = range(5)
 ROW = "kind int, dest int, block long, payload binary"
 
 
@@ -160,59 +161,87 @@ def pick(lengths: np.ndarray, chosen: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """The distinct trigrams of some tokenised texts, last word first in the order of the words' hashes, with the documents that hold them."""
+    """The trigrams of some texts, by the ranks of the words' hashes, last word first."""
 
-    def __init__(self, texts: list[list[bytes]]):
-        number: dict[bytes, int] = {END: 0}
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {END: 0}
+        self.texts: list[np.ndarray] = []
+        self.tokens = 0
+
+    def add(self, found: list[bytes]) -> None:
+        """One more text, as its words."""
+        number = self.number
         take = number.setdefault
-        every = [np.fromiter((take(w, len(number)) for w in found), np.int64, len(found)) for found in texts]
-        self.sizes = np.array([len(x) + 1 for x in every], np.int64)
-        hashes = np.fromiter(map(hashed, number), U, len(number))
+        self.texts.append(np.fromiter((take(w, len(number)) for w in found), np.uint32, len(found)))
+        self.tokens += len(found) + 1
+
+    def close(self) -> None:
+        """Ranks instead of numbers, once all texts are there."""
+        self.sizes = np.array([len(x) + 1 for x in self.texts], np.int64)
+        hashes = np.fromiter(map(hashed, self.number), U, len(self.number))
         order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[order]
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
         end = rank[:1]
-        w = np.concatenate([x for own in every for x in (rank[own], end)]).astype(U)
-        v = np.concatenate((end.astype(U), w[:-1]))  # the end token of the text before stands before each first word
-        u = np.concatenate((end.astype(U), v[:-1]))
-        u[np.cumsum(self.sizes) - self.sizes] = end[0]
-        doc = np.repeat(np.arange(len(texts), dtype=U), self.sizes)
-        bits, low = (len(number) - 1).bit_length(), (len(texts) - 1).bit_length()
-        mask = U((1 << bits) - 1)
+        self.w = np.concatenate([x for own in self.texts for x in (rank[own], end)])
+        self.v = np.concatenate((end, self.w[:-1]))  # the end token of the text before stands before each first word
+        self.u = np.concatenate((end, self.v[:-1]))
+        self.u[np.cumsum(self.sizes) - self.sizes] = end[0]
+        self.doc = np.repeat(np.arange(len(self.texts), dtype=np.uint16), self.sizes)
+        self.number, self.texts = {}, []
+
+    def grams(self, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The distinct trigrams with their documents among chosen tokens: ranks used, then last words, words before, words before those (as positions in these ranks), documents and counts, sorted."""
+        w, v, u, doc = (x[chosen] for x in (self.w, self.v, self.u, self.doc))
+        if 12 * len(chosen) < len(self.hashes):
+            used = np.unique(np.concatenate((w, v, u)))
+            a, b, c = (np.searchsorted(used, x).astype(U) for x in (w, v, u))
+        else:
+            there = np.zeros(len(self.hashes), bool)
+            there[w] = there[v] = there[u] = True
+            used, new = np.nonzero(there)[0], np.cumsum(there, dtype=np.int64).astype(U) - U(1)
+            a, b, c = new[w], new[v], new[u]
+        bits, low = (len(used) - 1).bit_length(), (len(self.sizes) - 1).bit_length()
+        mask, last = U((1 << bits) - 1), U((1 << low) - 1)
         if 3 * bits + low <= WIDTH:
-            keys, self.count = np.unique(w << U(2 * bits + low) | v << U(bits + low) | u << U(low) | doc, return_counts=True)
-            self.w, self.v, self.u = keys >> U(2 * bits + low), keys >> U(bits + low) & mask, keys >> U(low) & mask
-        else:  # a very long text, or very many words
-            if 2 * bits > 64 or len(w).bit_length() + bits + low > 64:
-                raise ValueError(f"a block of {len(w)} tokens can't be numbered")
-            pairs, place = np.unique(w << U(bits) | v, return_inverse=True)
-            keys, self.count = np.unique(place.astype(U) << U(bits + low) | u << U(low) | doc, return_counts=True)
-            pair = pairs[(keys >> U(bits + low)).astype(np.int64)]
-            self.w, self.v, self.u = pair >> U(bits), pair & mask, keys >> U(low) & mask
-        self.doc = (keys & U((1 << low) - 1)).astype(np.int64)
-
-    def rows(self, parts: int, wide: np.ndarray, train: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        """For each part: hashes, and numbers of them as last words, words before and words before those, each with how many children follow, then documents and counts.
-
+            keys, count = np.unique(a << U(2 * bits + low) | b << U(bits + low) | c << U(low) | doc, return_counts=True)
+            return used, keys >> U(2 * bits + low), keys >> U(bits + low) & mask, keys >> U(low) & mask, keys & last, count
+        if 2 * bits > 64 or len(a).bit_length() + bits + low > 64:
+            raise ValueError(f"{len(a)} tokens of a block can't be numbered")
+        pairs, place = np.unique(a << U(bits) | b, return_inverse=True)  # very many words
+        keys, count = np.unique(place.astype(U) << U(bits + low) | c << U(low) | doc, return_counts=True)
+        pair = pairs[(keys >> U(bits + low)).astype(np.int64)]
+        return used, pair >> U(bits), pair & mask, keys >> U(low) & mask, keys & last, count
+
+    def rows(self, parts: int, wide: np.ndarray, train: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        """Rows (kind, part, payload).
+
+        GRAMS: hashes, and positions of them as last words, words before and
+        words before those, each with how many children follow, then documents
+        and counts.  WIDE: spread words and how often training texts have them.
         ``wide`` are the sorted hashes of the spread words, ``train`` says of
         each document whether it trains, which goes with its number.
         """
-        at = runs(self.w, self.v, self.u)
-        w, v, u = (x[at[:-1]].astype(np.int64) for x in (self.w, self.v, self.u))
-        held = np.diff(at)
-        word = self.hashes[w]
-        place = np.searchsorted(wide, word)
-        is_wide = wide[np.minimum(place, len(wide) - 1)] == word if len(wide) else np.zeros(len(w), bool)
-        part = spread(np.where(is_wide, word * U(FANOUT) + self.hashes[v] % U(FANOUT), word), parts)
-        doc = (self.doc | np.where(train[self.doc], TRAIN, 0)).astype(np.uint16)
-        for p, chosen in grouped(part):
-            own = pick(held, chosen)
-            used, n = np.unique(np.concatenate((w[chosen], v[chosen], u[chosen])), return_inverse=True)
-            a, b, c = np.split(narrow(n), 3)
+        part = spread(self.hashes, parts)[self.w]
+        is_wide = np.isin(self.hashes, wide)
+        some = np.nonzero(is_wide[self.w])[0]
+        word, before = self.hashes[self.w[some]], self.hashes[self.v[some]]
+        part[some] = spread(word * U(FANOUT) + before % U(FANOUT), parts)
+        for p, chosen in grouped(part.astype(np.uint16 if parts <= 1 << 16 else np.uint32)):
+            used, a, b, c, doc, count = self.grams(chosen)
+            at = runs(a, b, c)
+            starts = at[:-1]
+            a, b, c = (narrow(x[starts]) for x in (a, b, c))
             first, second = runs(a), runs(a, b)
-            pairs = np.diff(np.searchsorted(second, first))
-            yield p, dump(self.hashes[used], a[first[:-1]], narrow(pairs), b[second[:-1]], narrow(np.diff(second)), c, narrow(held[chosen]), doc[own], narrow(self.count[own]))
+            doc = (doc.astype(np.int64) | np.where(train[doc.astype(np.int64)], TRAIN, 0)).astype(np.uint16)
+            yield GRAMS, p, dump(self.hashes[used], a[first[:-1]], narrow(np.diff(np.searchsorted(second, first))), b[second[:-1]], narrow(np.diff(second)), c, narrow(np.diff(at)), doc, narrow(count))
+        own = np.nonzero(is_wide)[0]
+        count = np.bincount(self.w[some], train[self.doc[some]], len(self.hashes))[own].astype(np.int64)
+        every = spread((self.hashes[own][:, None] * U(FANOUT) + np.arange(FANOUT, dtype=U)).ravel(), parts)
+        for p, chosen in grouped(every):
+            chosen = np.unique(chosen // FANOUT)  # two residues of a word may share a part
+            yield WIDE, p, dump(self.hashes[own][chosen], count[chosen])
 
 
 class Masses:
@@ -289,10 +318,11 @@ class Trie:
 class Part:
     """The n-grams of one part, from the rows of all blocks."""
 
-    def __init__(self, raws: list[bytes], wide: dict[int, int], tokens: int):
+    def __init__(self, raws: list[bytes], wide: list[bytes], tokens: int):
         opened = [undump(x) for x in raws]
-        hashes = np.unique(np.concatenate([x[0] for x in opened]))
-        pair_keys, owners, tails, trained = [], [], [], []
+        spread_words = [undump(x)[0] for x in wide]
+        hashes = np.unique(np.concatenate([x[0] for x in opened] + spread_words))
+        pair_keys, owners, tails, trained = ([np.zeros(0, k)] for k in (U, np.int64, np.int64, np.int64))  # a part may have spread words only
         total = 0
         for dic, w, vs, v, us, u, held, doc, count in opened:
             ids = np.searchsorted(hashes, dic)
@@ -311,10 +341,10 @@ class Part:
         w, v = (pairs >> U(32)).astype(np.int64), (pairs & U(0xFFFFFFFF)).astype(np.int64)
         c1 = np.bincount(w, c2, len(hashes))
         if wide:
-            keys = np.array(sorted(wide), U)
-            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            own = (keys[at] == hashes) & np.isin(np.arange(len(hashes)), w)
-            c1[own] = np.array([wide[k] for k in keys.tolist()], np.float64)[at[own]]
+            c1[np.searchsorted(hashes, np.unique(np.concatenate(spread_words)))] = 0  # counted over all their parts instead
+        for raw in wide:
+            keys, count = undump(raw)
+            c1[np.searchsorted(hashes, keys)] += count
         trie = self.trie(hashes, c1, w, v, c2, pair, u, c3, tokens)
         ids = trie.find(hashes)
         one = trie.words.find(np.zeros(len(hashes), np.int64), ids)
@@ -325,6 +355,11 @@ class Part:
         self.lm = trie.upper(one[w][pair], two[pair], three) - below[pair]
         self.base = np.log10(c1 + 1)[w][pair]
         self.known = (c1 > 0)[w][pair]
+        self.trained = hashes[c1 > 0]
+
+    def owned(self, wide: np.ndarray, parts: int, part: int) -> int:
+        """How many trained words this part counts, so that each is counted by one part."""
+        return int((~np.isin(self.trained, wide) | (spread(self.trained * U(FANOUT), parts) == part)).sum())
 
     @staticmethod
     def trie(hashes: np.ndarray, c1: np.ndarray, w: np.ndarray, v: np.ndarray, c2: np.ndarray, pair: np.ndarray, u: np.ndarray, c3: np.ndarray, tokens: int) -> Trie:
@@ -349,36 +384,36 @@ class Part:
             yield dump(narrow(touched), each[0].astype(np.float32), each[1], narrow(np.rint(each[2]).astype(np.int64)))
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """Rows (word long, n_train, n_all long): the hash of each word and of the end token, how often it stands in training texts and in all."""
+def first_pass(rows: DataFrame, parts: int) -> tuple[int, int, list[int]]:
+    """Tokens and texts in training, and the hashes of the words to spread.
+
+    A batch names the words that make up one in ``4 * parts`` of its tokens, so
+    no word with twice that share of all tokens is missed, and those that reach
+    that share of all tokens by what batches name are spread.  Which words that
+    are decides about places only.
+    """
 
     def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
-            every = Counter(), Counter()
+            every: Counter = Counter()
+            tokens = texts = 0
             for text, held in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                every[held].update(words(text))
-                every[held][END] += 1
-            for held, counter in enumerate(every):
-                n = np.fromiter(counter.values(), np.int64, len(counter))
-                keys = np.fromiter(map(hashed, counter), np.int64, len(counter))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n * (1 - held)), pa.array(n)], names=["word", "n_train", "n_all"])
-
-    found = rows.mapInArrow(counted, "word long, n_train long, n_all long")
-    return found.groupBy("word").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all"))
-
-
-def cuts(texts: list[bytes | None]) -> Iterator[tuple[int, int, list[list[bytes]]]]:
-    """Tokenised texts in runs (start, end, words) that a block holds."""
-    start, size, held = 0, 0, []
-    for i, text in enumerate(texts):
-        own = words(text)
-        if held and (size + len(own) + 1 > TOKENS or len(held) == BLOCK):
-            yield start, i, held
-            start, size, held = i, 0, []
-        held.append(own)
-        size += len(own) + 1
-    if held:
-        yield start, len(texts), held
+                own = words(text)
+                every.update(own)
+                if not held:
+                    tokens, texts = tokens + len(own) + 1, texts + 1
+            every[END] = batch.num_rows
+            whole = every.total()
+            often = [(hashed(w), n) for w, n in every.items() if n * 4 * parts >= whole]
+            columns = zip((None, whole, tokens, texts), *((w, n, 0, 0) for w, n in often), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["word", "n", "tokens", "texts"])
+
+    found = cut(rows.mapInArrow(counted, "word long, n long, tokens long, texts long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "tokens", "texts"))))
+    whole = found.where("word IS NULL").first()
+    if not whole:
+        return 0, 0, []
+    often = found.where("word IS NOT NULL").where(F.col("n") * 4 * parts >= whole["n"])
+    return whole["tokens"], whole["texts"], [x["word"] for x in often.select("word").collect()]  # 4 for each part at most
 
 
 def score(docs: DataFrame, held_out) -> DataFrame:
@@ -395,13 +430,10 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     spark = docs.sparkSession
     parts = partitions(spark)
     seat = seats(parts)
+    part_of = {int(x): p for p, x in enumerate(seat)}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    counts = cut(word_counts(rows))
-    whole = counts.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count_if(F.col("n_train") > 0), F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("word") == END_KEY, F.col("n_train"))), F.lit(0))).first()
-    tokens, vocabulary, every, texts = whole
-    frequent = counts.where(F.col("n_all") * 4 * parts >= max(1, every)).select("word", "n_train").collect()  # 4 for each part at most
-    wide = {x["word"]: x["n_train"] for x in frequent}
-    wide_keys = np.array(sorted(wide), U)
+    tokens, texts, often = first_pass(rows, parts)
+    wide = np.array(sorted(often), U)
 
     def table(made: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
@@ -420,34 +452,46 @@ def score(docs: DataFrame, held_out) -> DataFrame:
         yield table(held)
 
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(block: Block, ids: pa.Array, held: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+            block.close()
+            known = np.array(ids.is_valid().to_pylist(), np.uint8)
+            ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            name = xxhash.xxh3_64_intdigest(dump(ids, known, held, block.sizes, block.hashes)) >> 1
+            yield DOCS, name % parts, name, dump(ids, known, held.astype(np.uint8), block.sizes)
+            yield from ((kind, p, name, raw) for kind, p, raw in block.rows(parts, wide, ~held))
+
         def each() -> Iterator[tuple[int, int, int, bytes]]:
             for batch in batches(rows):
-                for start, end, found in cuts(utf8(batch.column(1))):
-                    ids = batch.column(0).slice(start, end - start)
-                    held = batch.column(2).slice(start, end - start).to_numpy(zero_copy_only=False).astype(bool)
-                    block = Block(found)
-                    known = np.array(ids.is_valid().to_pylist(), np.uint8)
-                    ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
-                    name = xxhash.xxh3_64_intdigest(dump(ids, known, held, block.sizes, block.hashes)) >> 1
-                    yield DOCS, name % parts, name, dump(ids, known, held.astype(np.uint8), block.sizes)
-                    yield from ((GRAMS, p, name, raw) for p, raw in block.rows(parts, wide_keys, ~held))
+                held = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                start, block = 0, Block()
+                for i, text in enumerate(utf8(batch.column(1))):
+                    own = words(text)
+                    if i > start and (block.tokens + len(own) + 1 > TOKENS or i - start == BLOCK):
+                        yield from sent(block, batch.column(0).slice(start, i - start), held[start:i])
+                        start, block = i, Block()
+                    block.add(own)
+                yield from sent(block, batch.column(0).slice(start), held[start:])
 
         return written(each())
 
     def build(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple[int, int, int, bytes]]:
-            found: dict[int, tuple[list[int], list[bytes]]] = {}  # by seat: this task's parts
+            found: dict[int, tuple[list[int], list[bytes], list[bytes]]] = {}  # by seat: this task's parts
             for batch in batches(rows):
                 for kind, dest, block, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if kind == DOCS:
                         yield kind, block % parts, block, raw
-                    else:
-                        own = found.setdefault(dest, ([], []))
+                        continue
+                    own = found.setdefault(dest, ([], [], []))
+                    if kind == GRAMS:
                         own[0].append(block)
                         own[1].append(raw)
+                    else:
+                        own[2].append(raw)
             for dest in list(found):
-                blocks, raws = found.pop(dest)
-                part = Part(raws, wide, tokens)
+                blocks, raws, spread_words = found.pop(dest)
+                part = Part(raws, spread_words, tokens)
+                yield TOTALS, 0, 0, dump(np.array([part.owned(wide, parts, part_of[dest])], np.int64))
                 for block, sums in zip(blocks, part.sums(raws), strict=True):
                     yield SUMS, block % parts, block, sums
 
@@ -456,11 +500,15 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads: dict[int, list[bytes]] = {}
         totals: dict[int, np.ndarray] = {}
+        vocabulary = 0
         for batch in batches(rows):
             for kind, _, block, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == DOCS:
                     heads.setdefault(block, []).append(raw)
                     continue
+                if kind == TOTALS:
+                    vocabulary += int(undump(raw)[0][0])
+                    continue
                 touched, *each = undump(raw)
                 touched = touched.astype(np.int64)
                 total = totals.get(block)
@@ -475,12 +523,16 @@ def score(docs: DataFrame, held_out) -> DataFrame:
             ids, known, held, sizes = undump(same[0])
             lm, base, seen = totals.pop(block) / len(same)  # blocks of one name hold equal rows, so their sums are equal parts of the total
             for _ in same:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=known == 0), pa.array(held.astype(bool)), pa.array(sizes), pa.array(np.rint(seen).astype(np.int64)), pa.array(base), pa.array(lm)], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "lm"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=known == 0), pa.array(held.astype(bool)), pa.array(sizes), pa.array(np.rint(seen).astype(np.int64)), pa.array(base), pa.array(lm), pa.nulls(len(ids), pa.int64())], names=names)
+        if vocabulary:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())] + [pa.array([vocabulary])], names=names)
 
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "lm", "vocabulary"]
     sent = rows.mapInArrow(send, ROW).repartition(parts, "dest").mapInArrow(build, ROW)
-    done = sent.repartition(parts, "dest").mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double")
+    done = cut(sent.repartition(parts, "dest").mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double, vocabulary long"))
+    vocabulary = done.agg(F.coalesce(F.sum("vocabulary"), F.lit(0))).first()[0]
     opening = float(np.log10(texts + PAIR * texts + WORD))  # the denominator of the two end tokens before a text
-    return done.select(
+    return done.where("vocabulary IS NULL").select(
         "doc_id",
         "held_out",
         "n_tokens",

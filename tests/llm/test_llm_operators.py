@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import types as T
@@ -227,17 +228,21 @@ def trigram_mass(one, two, three, u, v, w):
 
 def test_blocks_of_many_words():
     """A block whose n-grams don't fit one number holds the same."""
-    import numpy as np
-
-    texts = [words(t) for _, t, *_ in corpus()]
-    one = ngrams.Block(list(map(lambda t: [w.encode() for w in t], texts)))
-    try:
-        ngrams.WIDTH = 8
-        two = ngrams.Block(list(map(lambda t: [w.encode() for w in t], texts)))
-    finally:
-        ngrams.WIDTH = 64
-    for name in ("w", "v", "u", "doc", "count", "hashes"):
-        assert np.array_equal(getattr(one, name), getattr(two, name))
+    block = ngrams.Block()
+    for _, t, *_ in corpus():
+        block.add([w.encode() for w in words(t)])
+    block.close()
+    for chosen in (np.arange(len(block.w)), np.arange(0, len(block.w), 40)):
+        one = block.grams(chosen)
+        try:
+            ngrams.WIDTH = 8
+            two = block.grams(chosen)
+        finally:
+            ngrams.WIDTH = 64
+        assert all(np.array_equal(x, y) for x, y in zip(one, two, strict=True))
+        used, w, v, u, doc, count = (x.astype(np.int64) for x in one)
+        want = Counter(zip(block.w[chosen], block.v[chosen], block.u[chosen], block.doc[chosen], strict=True))
+        assert want == dict(zip(zip(used[w], used[v], used[u], doc, strict=True), count, strict=True))
 
 
 @pytest.mark.parametrize("size", [1 << 20, 50])
@@ -291,6 +296,12 @@ def test_seats_follow_sparks_partitioning(spark):
     assert rows.selectExpr("pmod(hash(dest), 51) = part AS same").where("not same").count() == 0
 
 
+def test_ngrams_part_of_spread_words_only():
+    raw = ngrams.dump(np.array([5, 9], np.uint64), np.array([3, 0], np.int64))
+    part = ngrams.Part([], [raw, raw], 10)
+    assert part.trained.tolist() == [5] and list(part.sums([])) == []
+
+
 def test_ngrams_awkward(awkward, empty):
     got = ngrams.score(awkward, ngrams.held_out_by()).collect()
     assert sorted((x["doc_id"] or -1, x["n_tokens"]) for x in got) == [(-1, 1), (-1, 6), (5, 5), (5, 5), (6, 1)]
@@ -386,8 +397,6 @@ def test_lines(spark, docs, awkward, empty):
 
 
 def test_bloom_has_no_misses():
-    import numpy as np
-
     r = np.random.default_rng(0)
     lo, hi = r.integers(0, 1 << 63, 500).astype(np.uint64), r.integers(0, 1 << 63, 500).astype(np.uint64)
     weight = np.ones(500, np.uint8)
