@@ -6,12 +6,13 @@ Blocks are the lines and, for notices wrapped over lines, all windows of
 consecutive words of :data:`SLACK` times the template's length, at every place
 of the text.  The join filters before it verifies:
 
-* prefix: with words in the order of their frequency over all documents, a
-  block that meets the threshold holds one of a template's first
+* prefix: with the templates' words in the order of their frequency over all
+  documents, a block that meets the threshold holds one of a template's first
   ``|T| - need + 1`` words, so only the blocks under those words are looked at;
-* length: a block with fewer distinct words than needed can't meet it;
-* position: with the template word at position p the rarest one shared, at
-  most ``|T| - p`` words can be common.
+* length: a block with fewer such words than needed can't meet it;
+* position: with the rarest shared word at position p of the template and b of
+  the block, both in that order, at most ``min(|T| - p, |B| - b)`` words can be
+  common; words of no template count in neither.
 
 The filters drop nothing that meets the threshold.  Besides, the places of
 fixed phrases are counted over the whole text.
@@ -62,24 +63,37 @@ class Scanner:
         self.templates = []
         self.windows: list[int] = []
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
-        for label, text in sorted(templates.items()):
-            order = sorted(set(text.encode().translate(FOLD).split()), key=lambda w: (frequency.get(w, 0), w))
+        folded = {label: text.encode().translate(FOLD).split() for label, text in sorted(templates.items())}
+        every = sorted({w for text in folded.values() for w in text}, key=lambda w: (frequency.get(w, 0), w))
+        self.rank = {w: i for i, w in enumerate(every)}
+        for label, text in folded.items():
+            order = sorted(set(text), key=self.rank.__getitem__)
             least = need(len(order), threshold)
             self.templates.append((label, order, set(order), least))
-            self.windows.append(math.ceil(SLACK * len(text.encode().translate(FOLD).split())))
+            self.windows.append(math.ceil(SLACK * len(text)))
             for p, word in enumerate(order[: len(order) - least + 1]):
                 self.prefix.setdefault(word, []).append((len(self.templates) - 1, p))
 
+    def candidates(self, words: set[bytes]) -> list[int]:
+        """The templates that the filters leave for a block's distinct words."""
+        order = sorted(words & self.rank.keys(), key=self.rank.__getitem__)
+        seen: set[int] = set()
+        out = []
+        for b, word in enumerate(order):
+            for t, p in self.prefix.get(word, ()):
+                if t not in seen:  # the rarest word that both have
+                    seen.add(t)
+                    size, least = len(self.templates[t][1]), self.templates[t][3]
+                    if len(order) >= least and min(size - p, len(order) - b) >= least:
+                        out.append(t)
+        return out
+
     def block(self, words: set[bytes]) -> list[tuple[str, float]]:
         """Templates that a block's distinct words meet, with their containment."""
-        first: dict[int, int] = {}
-        for word in words & self.prefix.keys():
-            for t, p in self.prefix[word]:
-                first[t] = min(p, first.get(t, p))
         out = []
-        for t, p in first.items():
+        for t in self.candidates(words):
             label, order, every, least = self.templates[t]
-            if len(words) >= least and len(order) - p >= least and (common := len(every & words)) >= least:
+            if (common := len(every & words)) >= least:
                 out.append((label, common / len(order)))
         return out
 
@@ -91,10 +105,8 @@ class Scanner:
         """
         out = []
         own = set(words)
-        for t in sorted({t for word in own & self.prefix.keys() for t, _ in self.prefix[word]}):
+        for t in sorted(self.candidates(own)):
             label, order, every, least = self.templates[t]
-            if len(every & own) < least:
-                continue
             held: Counter = Counter()
             places_ = [i for i, word in enumerate(words) if word in every]
             left, end, best = 0, -1, None
@@ -153,8 +165,12 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
 
     ``blocks`` lists the blocks found as (number from 0 of the first line, label,
     containment), those over several lines last; ``score`` is the largest containment, 1 where a phrase
-    occurs.  A null or empty text has no words, no labels and score 0.
-    ``first_word`` and ``last_word`` are null without a phrase.
+    occurs.  A null or empty text has no words, no labels and score 0; a text
+    of any length is taken whole.  Of windows of one template that overlap, the
+    first of those with the largest containment stands for all.
+    ``first_word`` and ``last_word`` are null without a phrase.  Repeated rows
+    and null keys come out as they went in, other columns are ignored, and an
+    empty table gives no rows.
     """
     templates = TEMPLATES if templates is None else templates
     table = {k.encode(): v for k, v in (PHRASES if phrases is None else phrases).items()}
