@@ -6,7 +6,7 @@ of two.  The order of passages doesn't matter, and a passage is inserted or
 deleted by adding or subtracting its vector, without the rest of the text.
 
 Two groups of lanes share the sum: 32 lanes of even 16-bit values, which tell
-different multisets apart, and 128 lanes of +1 or -1 kept modulo 2**16.  For
+different multisets apart, and 512 lanes of +1 or -1 kept modulo 2**16.  For
 the latter each occurrence of a passage is an element of its own, numbered
 from 1, so the mean square of their difference estimates how many occurrences
 two texts don't share, hence the likeness.  To insert or delete a passage one
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import batches, partitions
 
 #: Lanes of 16-bit values and of signs, in bytes of a passage's hash.
-VALUES, SIGNS = 32, 128
+VALUES, SIGNS = 32, 512
 WIDTH = 2 * VALUES + SIGNS // 8
 NO_ID = -(1 << 63)
 
@@ -106,15 +106,17 @@ class Fingerprint:
         return self._with(other, -1)
 
     def __str__(self) -> str:
-        raw = np.array([self.number], np.uint32).tobytes() + self.values.tobytes() + self.signs.tobytes()
-        return base64.b64encode(raw).decode()
+        raw = np.array([self.number], np.uint32).tobytes() + self.values.tobytes()
+        low_and_high = np.ascontiguousarray(self.signs.view(np.uint8).reshape(-1, 2).T)  # the high bytes are nearly alike
+        return base64.b64encode(raw + zlib.compress(low_and_high.tobytes(), 1)).decode()
 
     @classmethod
     def parse(cls, text: str) -> Fingerprint:
         raw, out = base64.b64decode(text), cls()
         out.number = int(np.frombuffer(raw[:4], np.uint32)[0])
         out.values = np.frombuffer(raw[4 : 4 + 2 * VALUES], np.uint16)
-        out.signs = np.frombuffer(raw[4 + 2 * VALUES :], np.uint16)
+        low_and_high = np.frombuffer(zlib.decompress(raw[4 + 2 * VALUES :]), np.uint8).reshape(2, -1)
+        out.signs = np.ascontiguousarray(low_and_high.T).view(np.uint16).ravel()
         return out
 
     def likeness(self, other: Fingerprint) -> float:
@@ -183,7 +185,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     edited_fingerprint string, near_edited, near_next double), one for each
     row.  The next document is the one that follows in the order of doc_id,
     then of text; after the last comes the first; a table of one row follows
-    itself.  Null texts are empty; a null doc_id comes before all others.
+    itself.  Rows that share a doc_id follow each other by their text, equal
+    rows in any order.  Null texts are empty and texts of any length are taken
+    whole; a null doc_id comes before all others (-2**63 counts as null).
+    Other columns are ignored, and an empty table gives no rows.
     """
 
     def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
