@@ -159,8 +159,12 @@ def bpe(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
 
     ``path`` is the vocabulary file on the driver; its content (some MB, a
     property of the tokenizer, not of the data) travels as a broadcast.  A null
-    or empty text has no ids and decodes to the empty text.  Rows don't
-    influence each other: repeated rows and null keys come out as they went in.
+    or empty text has no ids and decodes to the empty text; a text of any length
+    is encoded whole.  Rows don't influence each other: repeated rows and null
+    keys come out as they went in.  Of equal ranks the leftmost pair merges
+    first.  Stretches with characters from U+0530 on are normalised and split by
+    the tokenizers library, whose regex engine knows other letters; merging and
+    decoding are done here for all.  An empty table gives no rows.
     """
     with open(path, encoding="utf-8") as f:
         content = docs.sparkSession.sparkContext.broadcast(f.read())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,12 +20,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's own where it names one."""
+    """The shared folder for checkpoints: the cluster's own where it names one.
+
+    Only a local session may do without, as its driver and executors are one
+    process; a cluster that names no shared folder is an error.
+    """
     context = spark.sparkContext
     folder = context._jsc.sc().getCheckpointDir()
     if folder.isDefined():
         return folder.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     context.setCheckpointDir(named or f"/tmp/checkpoints/{uuid.uuid4().hex}")
     return context._jsc.sc().getCheckpointDir().get()
 

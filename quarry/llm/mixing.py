@@ -1,20 +1,22 @@
 """Mixing documents to target weights by soft domain membership, in DataFrame functions only.
 
-A naive Bayes classifier over a few coarse features learns from a labelled
-table how likely each domain is for a document.  Documents with the same
-features form a cell and share posteriors p and rate r, so the fit works on
-cells: their number is bounded by the features (:data:`CELLS`), whatever the
-corpus holds.  The rates solve the nonnegative least squares problem ::
-
-    min over r >= 0   sum_d (E_d - w_d S)^2 / (h_d S^2) + ridge * sum_c T_c / S * (r_c - 1)^2
-    E_d = sum_c r_c T_c p_cd,   S = sum_c T_c,   h_d = sum_c T_c / S * p_cd
-
-with T_c the tokens of a cell and w the target weights, by projected gradient
-steps; each step's totals come from one aggregation over the cells.
+A naive Bayes classifier over features of the text learns from a labelled table
+how likely each domain is for a document.  The rates r of the documents solve
+the nonnegative least squares problem ::
+
+    min over r >= 0   sum_d (E_d - w_d S)^2 / (h_d S^2) + ridge * sum_i T_i / S * (r_i - 1)^2
+    E_d = sum_i r_i T_i p_id,   S = sum_i T_i,   h_d = sum_i T_i / S * p_id
+
+with T_i the tokens and p_id the posteriors of document i and w the target
+weights, by projected gradient steps.  A step moves each document by itself,
+given the domains' totals, so a rate is an expression over a document's own
+posteriors; the totals of the next step come from one aggregation over all
+documents, of which only three numbers return.
 """
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,10 +30,17 @@ DOMAINS = {"clean": "toxic = 0 AND quality = 1", "low": "toxic = 0 AND quality =
 TARGETS = {"clean": 0.90, "low": 0.06, "toxic": 0.04}
 #: Labelled rows from which the lexicons come at most; words of a lexicon; what a word needs.
 SAMPLE, WORDS, CHI2, EXAMPLES = 20_000, 64, 40.0, 5
-STEP, RIDGE, ROUNDS = 0.4, 1e-3, 60
+#: The step is the greatest that can't overshoot: the scaled problem's curvature is 1 + RIDGE at most.
+STEP, RIDGE, ROUNDS, TOLERANCE = 0.999, 1e-3, 80, 1e-5
+#: Steps after which the rates so far are kept in a checkpoint.
+HOLD = 16
+#: Limits between the values of the continuous features.
+LENGTHS = (20, 40, 70, 100, 150, 220, 320, 450, 650, 1000, 2000)
+SYMBOLS_SHARE = (0.005, 0.02, 0.06, 0.12, 0.2, 0.35, 0.6)
+CHARACTERS = (4.4, 5.0, 5.5, 6.0, 6.5, 7.2, 8.0)
+HITS = (1, 2, 3, 5, 8, 13, 21)
 #: Values of each feature.
-SIZES = {"b_length": 4, "b_symbols": 4, "b_repeats": 3, "b_word": 4} | {f"b_{d}": 4 for d in DOMAINS}
-CELLS = reduce(lambda a, b: a * b, SIZES.values())
+SIZES = {"b_length": len(LENGTHS) + 1, "b_symbols": len(SYMBOLS_SHARE) + 1, "b_repeats": 3, "b_word": len(CHARACTERS) + 1} | {f"b_{d}": len(HITS) + 1 for d in DOMAINS}
 
 
 def label_domain() -> Column:
@@ -84,18 +93,18 @@ def featured(docs: DataFrame, words: dict[str, list[str]]) -> DataFrame:
         hits = {d: F.size(F.array_intersect(w, F.array(*map(F.lit, words[d])))) if words.get(d) else F.lit(0) for d in DOMAINS}
         return F.struct(
             n.cast("long").alias("tokens"),
-            steps(n, 20, 100, 400).alias("b_length"),
-            steps(symbols / F.greatest(n, F.lit(1)), 0.02, 0.2, 0.6).alias("b_symbols"),
+            steps(n, *LENGTHS).alias("b_length"),
+            steps(symbols / F.greatest(n, F.lit(1)), *SYMBOLS_SHARE).alias("b_symbols"),
             steps(repeats, 1, 4).alias("b_repeats"),
-            steps(F.length(body) / F.greatest(n, F.lit(1)), 5.0, 6.5, 8.0).alias("b_word"),
-            *(steps(hits[d], 1, 2, 3).alias(f"b_{d}") for d in DOMAINS),
+            steps(F.length(body) / F.greatest(n, F.lit(1)), *CHARACTERS).alias("b_word"),
+            *(steps(hits[d], *HITS).alias(f"b_{d}") for d in DOMAINS),
         )
 
     return docs.withColumn("__f", let(lexical(F.col("text")), figures))
 
 
-def posteriors(cells: DataFrame, trained: DataFrame) -> DataFrame:
-    """``cells`` with p_<domain>: naive Bayes with add-one counts of ``trained`` (features, domain, n), which is as small as the cells."""
+def posteriors(rows: DataFrame, trained: DataFrame) -> DataFrame:
+    """``rows`` (features) with p_<domain>: naive Bayes with add-one counts of ``trained`` (features, domain, n)."""
     n = F.sum("n")
     prior = {x["domain"]: x["n"] for x in trained.groupBy("domain").agg(n.alias("n")).collect()}
     whole = sum(prior.values())
@@ -108,51 +117,58 @@ def posteriors(cells: DataFrame, trained: DataFrame) -> DataFrame:
         for b, size in SIZES.items():
             scores[d] = scores[d] * F.get(F.array(*(F.lit((table.get((b, v, d), 0) + 1.0) / (own + size)) for v in range(size))), F.col(b))
     total = reduce(lambda a, b: a + b, scores.values())
-    return cells.withColumns({f"p_{d}": s / total for d, s in scores.items()})
+    return rows.withColumns({f"p_{d}": s / total for d, s in scores.items()})
 
 
-def fitted(cells: DataFrame, targets: dict[str, float], rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (tokens, p_*) with ``rate``, by projected gradient steps from rates of one."""
+def fitted(rows: DataFrame, targets: dict[str, float], rounds: int = ROUNDS, tolerance: float = TOLERANCE, hold: int = HOLD) -> DataFrame:
+    """``rows`` (tokens, p_*) with ``rate``, by projected gradient steps from rates of one.
+
+    Steps end once no domain's share of the tokens moves by more than
+    ``tolerance``; a warning says so if ``rounds`` don't suffice for that.
+    """
     p = {d: F.col(f"p_{d}") for d in DOMAINS}
-    first = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("s"), *(F.sum(F.col("tokens") * p[d]).alias(d) for d in DOMAINS)).first()
+    first = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("s"), *(F.sum(F.col("tokens") * p[d]).alias(d) for d in DOMAINS)).first()
     size = float(first["s"]) or 1.0
     mass = {d: max(float(first[d] or 0.0) / size, 1e-9) for d in DOMAINS}
     weight = sum(targets.values())
-    now = cells.withColumn("rate", F.lit(1.0))
+    now, rate = rows, F.lit(1.0)
     totals = {d: float(first[d] or 0.0) for d in DOMAINS}
+    moved = 0.0
     for turn in range(1, rounds + 1):
-        off = {d: (totals[d] - targets[d] / weight * size) / size / mass[d] for d in DOMAINS}
-        slope = reduce(lambda a, b: a + b, (F.lit(off[d]) * p[d] for d in DOMAINS)) + RIDGE * (F.col("rate") - 1)
-        now = now.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - STEP * slope))
-        if turn % 6 == 0:
-            now = cut(now)
-        got = now.agg(*(F.sum(F.col("rate") * F.col("tokens") * p[d]).alias(d) for d in DOMAINS)).first()
+        push = reduce(lambda a, b: a + b, (F.lit(STEP * (totals[d] - targets[d] / weight * size) / size / mass[d]) * p[d] for d in DOMAINS))
+        rate = F.greatest(F.lit(0.0), rate * F.lit(1 - STEP * RIDGE) + F.lit(STEP * RIDGE) - push)
+        if turn % hold == 0:
+            now, rate = cut(now.withColumn("rate", rate)), F.col("rate")
+        got = now.agg(*(F.sum(rate * F.col("tokens") * p[d]).alias(d) for d in DOMAINS)).first()
         moved = max(abs(float(got[d] or 0.0) - totals[d]) for d in DOMAINS) / size
         totals = {d: float(got[d] or 0.0) for d in DOMAINS}
-        if moved < 1e-6:
+        if moved < tolerance:
             break
-    return now
+    else:
+        warnings.warn(f"rates still move the domains' shares by {moved:.1e} after {rounds} steps", stacklevel=2)
+    return now.withColumn("rate", rate)
 
 
 def decided(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """Rows (doc_id, n_tokens, p_<domain>, rate, n_copies), one for each row of ``docs``.
 
     ``n_copies`` is ``rate`` rounded up or down by a hash of doc_id, so that
-    its expectation is ``rate``.  Null and empty texts have no tokens but a cell
-    like any others.  Without labels the posteriors are even.  The texts are
-    read once for the lexicons and once for the features; the rest works on
-    features and cells.
+    its expectation is ``rate``; rows that share a doc_id are drawn alike.  Null
+    and empty texts have no tokens but posteriors and a rate like any others,
+    texts of any length are taken whole, and other columns are ignored.
+    Without labels the posteriors are even; an empty table gives no rows.  The
+    texts are read once for the lexicons and once for the features; the rest
+    works on a narrow table of features and posteriors.
     """
     targets = TARGETS if targets is None else targets
     known = labelled(labels)
     narrow = cut(featured(docs.select("doc_id", "text"), lexicons(docs, known)).select("doc_id", "__f.*"))
-    cells = narrow.groupBy(*SIZES).agg(F.sum("tokens").alias("tokens")).coalesce(1)  # at most CELLS rows, so that a step is one small task
     trained = cut(narrow.withColumn("doc_id", F.col("doc_id").cast("long")).join(known, "doc_id").groupBy(*SIZES, "domain").agg(F.count("*").alias("n")))
-    rates = fitted(cut(posteriors(cells, trained)), targets).drop("tokens")
-    joined = narrow.join(F.broadcast(rates), list(SIZES))  # at most CELLS rows
+    placed = cut(posteriors(narrow, trained).select("doc_id", "tokens", *(f"p_{d}" for d in DOMAINS)))
+    rated = fitted(placed, targets)
     even = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     copies = F.floor("rate") + F.when(even < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    return joined.select("doc_id", F.col("tokens").alias("n_tokens"), *(f"p_{d}" for d in DOMAINS), "rate", copies.cast("long").alias("n_copies"))
+    return rated.select("doc_id", F.col("tokens").alias("n_tokens"), *(f"p_{d}" for d in DOMAINS), "rate", copies.cast("long").alias("n_copies"))
 
 
 def resampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:

@@ -23,46 +23,56 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints and components of all documents; see :func:`quarry.llm.simhash.near_duplicates` for nulls, ties and empty tables."""
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by the trigram model of six sevenths of them; see :func:`quarry.llm.ngrams.score`."""
     return ngrams.score(documents(spark, sf_dir), ngrams.held_out_by("doc_id", 7, 2))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents with the examples it rests on; see :func:`quarry.llm.toxicity.toxicity`."""
     found = toxic.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in all documents; see :func:`quarry.llm.license.license_scan`."""
     return licenses.license_scan(documents(spark, sf_dir)).drop("blocks")
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line dedup drops from each document and leaves of it; see :func:`quarry.llm.lines.dedup_lines`."""
     found = lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of all documents with the verdicts of two policies; see :func:`quarry.llm.rules.ledger`."""
     found = rules.ledger(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~rules.kept("base-1")).alias("base_failed"), rules.kept("full-1").alias("kept"), "failures")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors, rate and copies of each document; see :func:`quarry.llm.mixing.decided`."""
     return mixing.decided(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited texts; see :func:`quarry.llm.multiset.edited_fingerprints`."""
     return edited_fingerprints(documents(spark, sf_dir))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards and slots of all documents, with one shard more too; see :func:`quarry.llm.shards.sharded`."""
     return shards.sharded(documents(spark, sf_dir))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents' token ids and decoded texts; see :func:`quarry.llm.bpe.bpe`."""
     return bpe(documents(spark, sf_dir), tokenizer_path()).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -497,7 +497,9 @@ def one_of_each(docs: DataFrame, radius: int = 10, shingle: int = 5, both: int |
     similarity of the shingles decides instead, see :func:`similar_documents`.
 
     Of rows that share that doc_id, the one with the smallest text stays.  Rows
-    without a doc_id all stay, as no decision can name them.
+    without a doc_id all stay, as no decision can name them.  Null and empty
+    texts are alike, texts of any length are taken whole, other columns pass
+    through, and an empty table gives no rows.
     """
     found = cut(near_duplicates(docs, radius, shingle, both=both) if similarity is None else similar_documents(docs, similarity, shingle))
     keep = cut(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,8 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import lines, mixing, queries, simhash
-from test_llm_operators import brute_similar
+from quarry.llm import lines, mixing, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -30,6 +30,47 @@ def test_one_row_each_and_native(spark, mixed):
     assert (mixed["rate"] >= 0).all()
 
 
+def brute_rates(p, t, targets, rounds=200_000):
+    """The nonnegative least squares problem solved another way: coordinate by coordinate, each to its exact minimum."""
+    s, w = t.sum(), np.array(targets) / sum(targets)
+    h = np.maximum(t @ p / s, 1e-9)
+    r, e = np.ones(len(t)), t @ p / s
+    for _ in range(rounds):
+        before = r.copy()
+        for i in range(len(t)):
+            if t[i]:
+                rest = e - r[i] * t[i] / s * p[i]
+                # minimum of sum (rest + r t/s p - w)^2 / h + ridge t/s (r - 1)^2 over r >= 0
+                up = ((w - rest) * p[i] / h).sum() + mixing.RIDGE
+                now = max(0.0, up / ((p[i] ** 2 / h).sum() * t[i] / s + mixing.RIDGE))
+                e, r[i] = rest + now * t[i] / s * p[i], now
+        if np.abs(r - before).max() < 1e-10:
+            break
+    return r
+
+
+def test_rates_by_brute_force(spark):
+    """A small table whose targets are far from what it holds."""
+    g = np.random.default_rng(2)
+    targets = {"clean": 0.35, "low": 0.45, "toxic": 0.2}
+    p = g.dirichlet([2.0, 1.0, 0.5], 30) ** 3
+    p /= p.sum(axis=1, keepdims=True)
+    t = g.integers(1, 900, 30).astype(float)
+    rows = [(i, int(t[i]), *map(float, p[i])) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens long, p_clean double, p_low double, p_toxic double").coalesce(1)
+    got = {x["doc_id"]: x["rate"] for x in mixing.fitted(docs, targets, rounds=60, tolerance=1e-9).collect()}
+    r, want = np.array([got[i] for i in range(30)]), brute_rates(p, t, list(targets.values()), 3000)
+    s, w = t.sum(), np.array(list(targets.values()))
+    h = np.maximum(t @ p / s, 1e-9)
+
+    def cost(r):
+        return (((r * t) @ p / s - w) ** 2 / h).sum() + mixing.RIDGE * (t / s * (r - 1) ** 2).sum()
+
+    assert want.min() < 0.1
+    assert cost(r) < cost(want) + 1e-4
+    assert np.allclose((r * t) @ p / s, (want * t) @ p / s, atol=5e-3)
+
+
 def test_totals_meet_targets(mixed):
     p = mixed[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy()
     tokens = mixed["n_tokens"].to_numpy()
@@ -85,6 +126,30 @@ def test_awkward(spark):
     assert mixing.decided(docs.limit(0), none).count() == 0
 
 
+def smallest_of_similar(texts):
+    """The smallest doc_id of each group linked by a Jaccard similarity of 0.8 of the five-word shingles, by all pairs."""
+    parent = {d: d for d in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = {}
+    for d, t in texts.items():
+        w = [x for x in re.split("[\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or "")) if x]
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    ids = sorted(sets, key=lambda d: (len(sets[d]), d))
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if 4 * len(sets[b]) > 5 * len(sets[a]):
+                break
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((find(a), find(b)))
+                parent[high] = low
+    return {find(d) for d in ids}
+
+
 def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
@@ -99,9 +164,7 @@ def test_pipeline(spark, tmp_path):
             assert docs.where("n_chars <> length(text)").count() == 0
         if name == "SimHash near-dedup":
             texts = {x["doc_id"]: x["text"] for x in before.collect()}
-            both = {d: simhash.fingerprint((t or "").encode(), 5, (42, 43)) for d, t in texts.items()}
-            kept = {x["doc_id"] for x in docs.collect()}
-            assert kept == brute_similar({d: x[0] for d, x in both.items()}, {d: x[1] for d, x in both.items()})
+            assert {x["doc_id"] for x in docs.collect()} == smallest_of_similar(texts)
         if name == "line dedup":
             held = defaultdict(set)
             for x in docs.collect():
