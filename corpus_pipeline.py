@@ -2,15 +2,21 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
 kept.  All but the last return the columns of ``documents``; ``n_chars`` is
-kept true where a stage changes the text.
+kept true where a stage changes the text.  Null texts count as empty, texts of
+any length are taken whole, other columns pass through all stages but the last,
+and an empty table gives empty results; what holds for repeated rows, null
+doc_ids and ties is said where each stage's operator is.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, lines, mixing, queries, rules, simhash
+from quarry.llm.common import ensure_checkpoint_dir
 
 #: SimHash components and fitted rates have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -53,8 +59,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, applied to the whole table."""
+    """All stages, applied to the whole table; each result is written to the shared folder and read again, so a loss repeats one stage at most."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
     return docs
