@@ -52,13 +52,30 @@ def canonical_json(value: object) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
+#: Words in a key's name that mark secrets and places.
+SECRET = {"authorization", "credential", "credentials", "passwd", "password", "secret", "token"}
+PLACE = {"dir", "directory", "endpoint", "file", "filepath", "folder", "path", "uri", "url"}
+
+
+def key_words(key: object) -> list[str]:
+    """The words of a key in snake, kebab or camel case, in lower case."""
+    return [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z0-9]+", str(key))]
+
+
+def hidden_key(key: object) -> bool:
+    """Whether a setting is a secret or a place, and so no part of an identity."""
+    words = set(key_words(key))
+    pair = any({a, "key"} <= words for a in ("api", "access", "private"))
+    return bool(words & (SECRET | PLACE)) or pair or "".join(key_words(key)) in ("apikey", "accesstoken", "authtoken", "privatekey")
+
+
 def settings_fingerprint(settings: Mapping) -> str:
-    """sha256 of settings without secrets and places, so that equal indexes share it."""
-    secret = re.compile(r"(?i)key|token|secret|password|credential|url|endpoint|path|dir")
+    """sha256 of settings without secrets and places, so that equal indexes share it; what is left empty by that goes, too."""
 
     def visible(x: object) -> object:
         if isinstance(x, Mapping):
-            return {str(k): visible(v) for k, v in x.items() if not secret.search(str(k))}
+            kept = {str(k): visible(v) for k, v in x.items() if not hidden_key(k)}
+            return {k: v for k, v in kept.items() if v != {}}
         return [visible(v) for v in x] if isinstance(x, list | tuple) else x
 
     return hashlib.sha256(canonical_json(visible(settings)).encode()).hexdigest()

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: What a token, fenced code and an image placeholder look like.
 TOKEN = "[\\p{L}\\p{N}]+(?:[._-][\\p{L}\\p{N}]+)*"
 FENCE = "(?s)```.*?```"
 PLACEHOLDER = "\\[IMAGE:\\s*([^\\]]+)\\]"
@@ -32,9 +33,11 @@ def refine(text: Column) -> Column:
     their trailing white space.  Parts between fences are cleaned joined by a
     mark, so that patterns may span a fence as they may span any text.
     """
-    mark = "\ufdd0"  # no character; texts can't hold it
-    plain = F.array_join(F.split(text, FENCE, -1), mark)
-    fences = F.regexp_extract_all(text, F.lit(FENCE), 0)
+    mark, other = "\ufdd0", "\ufdd1"  # no characters; where a text holds them all the same, they are written with ``other`` meanwhile
+    given = F.when(text.rlike(f"[{mark}{other}]"), F.replace(F.replace(text, F.lit(other), F.lit(other + "b")), F.lit(mark), F.lit(other + "a"))).otherwise(text)
+    plain = F.array_join(F.split(given, FENCE, -1), mark)
+    fences = F.regexp_extract_all(given, F.lit(FENCE), 0)
+    #: What goes, and what takes its place.
     for pattern, put in (
         ("(?isu)─{10,}.*?(?:Page \\d+|Footer|Section \\d+|©|Confidential).*?─{10,}", ""),
         ("─{10,}", ""),
@@ -48,6 +51,7 @@ def refine(text: Column) -> Column:
     parts = F.split(plain, mark, -1)
     whole = F.array_join(F.flatten(F.transform(parts, lambda p, i: F.when(i < F.size(fences), F.array(p, F.get(fences, i))).otherwise(F.array(p)))), "")
     clean = F.regexp_replace(F.when(F.size(fences) > 0, whole).otherwise(plain), "^\\s+|\\s+$", "")
+    clean = F.when(clean.contains(other), F.replace(F.replace(clean, F.lit(other + "a"), F.lit(mark)), F.lit(other + "b"), F.lit(other))).otherwise(clean)
     return F.when(F.trim(text) == "", F.lit("")).otherwise(clean)
 
 
@@ -111,19 +115,33 @@ def path_stem(path: Column) -> Column:
 
 
 def document_name(value: Column) -> Column:
-    """A document reference as comparable name: no quotes, query or fragment, path or suffix, in lower case.
-
-    Plain expressions; :func:`folded` first brings other than ASCII names to
-    their compatibility form.
-    """
-    plain = F.regexp_replace(F.trim(F.coalesce(value, F.lit(""))), "^[\"']+|[\"']+$", "")
+    """A document reference as comparable name: compatibility form, no quotes, query or fragment, path or suffix, case folded."""
+    plain = F.regexp_replace(F.trim(compatible(F.coalesce(value, F.lit("")))), "^[\"']+|[\"']+$", "")
     plain = F.regexp_replace(F.regexp_replace(plain, "[?#].*$", ""), "\\\\", "/")
-    return F.trim(F.lower(path_stem(F.regexp_replace(plain, "/+$", ""))))
+    return F.trim(path_stem(F.regexp_replace(plain, "/+$", "")))
 
 
 def evidence_text(value: Column) -> Column:
-    """Lower case, punctuation, symbols and white space as single blanks."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), "[\\p{P}\\p{S}\\p{Z}\\s]+", " "))
+    """Compatibility form, case folded, punctuation, symbols and white space as single blanks."""
+    return F.trim(F.regexp_replace(compatible(F.coalesce(value, F.lit(""))), "[\\p{P}\\p{S}\\p{Z}\\s]+", " "))
+
+
+def text_matches(wanted: Column, got: Column) -> Column:
+    """Whether a text holds an evidence, whole or half of its tokens; both in the form of :func:`evidence_text`."""
+    a, b = F.split(wanted, " "), F.split(got, " ")
+    times = lambda words, t: F.size(F.filter(words, lambda x: x == t))
+    common = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, t: n + F.least(times(a, t), times(b, t)))
+    return (wanted != "") & (got != "") & (got.contains(wanted) | (2 * common >= F.size(a)))
+
+
+#: Characters that lower case (and "ss" for the sharp s) brings to their folded compatibility form.
+PLAIN = "[^\\x00-\\x7F\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u20ac\u2013-\u201e]"
+
+
+def compatible(value: Column) -> Column:
+    """Unicode compatibility form and case folding; Python sees only texts with a character that isn't plain."""
+    simple = F.replace(F.lower(value), F.lit("\u00df"), F.lit("ss"))
+    return F.coalesce(folded(F.when(value.rlike(PLAIN), value)), simple)
 
 
 @F.pandas_udf(StringType())
@@ -132,8 +150,55 @@ def folded(value: pd.Series) -> pd.Series:
     return value.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
 
 
+def heading(text: Column, within: int) -> Column:
+    """The first ``# `` heading in the first lines; null without one."""
+    lines = F.transform(F.slice(F.split(F.coalesce(text, F.lit("")), "\n", -1), 1, within), stripped)
+    return stripped(F.substring(F.get(F.filter(lines, lambda x: x.startswith("# ")), 0), 3, 1 << 30))
+
+
+def stripped(text: Column) -> Column:
+    """Text without white space at its ends."""
+    return F.regexp_replace(text, "^\\s+|\\s+$", "")
+
+
+def loader_title(text: Column) -> Column:
+    """A loaded document's title: the first ``# `` heading in 20 lines, else the first of 10 lines that isn't blank, else null."""
+    lines = F.transform(F.slice(F.split(F.coalesce(text, F.lit("")), "\n", -1), 1, 10), stripped)
+    return F.coalesce(heading(text, 20), F.get(F.filter(lines, lambda x: x != ""), 0))
+
+
+def tool_title(given: Column, text: Column, path: Column) -> Column:
+    """A summary's title: the given one, a ``# `` heading in 10 lines, the path's stem in title case, else a default."""
+    stem = F.initcap(F.translate(path_stem(F.nullif(path, F.lit(""))), "_-", "  "))
+    return F.coalesce(F.nullif(given, F.lit("")), heading(text, 10), stem, F.lit("Untitled Document"))
+
+
+def tool_summary(text: Column, limit: int = 500) -> Column:
+    """A preview without headings: the lines with content joined by blanks, cut at ``limit``."""
+    lines = F.filter(F.transform(F.split(stripped(text), "\n", -1), stripped), lambda x: (x != "") & ~x.startswith("#"))
+    joined = clipped(F.array_join(lines, " "), limit)
+    return F.when(F.coalesce(text, F.lit("")) == "", "No summary available.").when(joined == "", "No content preview available.").otherwise(joined)
+
+
+def display_number(value: Column, digits: int = 4) -> Column:
+    """A value for a table: numbers rounded, other texts as they are, blank for none."""
+    return F.coalesce(F.round(value.try_cast("double"), digits).cast("string"), value, F.lit(""))
+
+
+def number_or_zero(value: Column, whole: bool = False) -> Column:
+    """A text's number, 0 where it has none; ``whole`` cuts the fraction."""
+    found = F.coalesce(value.try_cast("double"), F.lit(0.0))
+    return found.cast("long") if whole else found
+
+
+def duration(ms: Column) -> Column:
+    """Milliseconds to read: seconds from 1000 on."""
+    return F.when(ms >= 1000, F.format_string("%.2f s", ms / 1000)).otherwise(F.format_string("%.1f ms", ms))
+
+
 #: Factors of number suffixes.
 SCALES = {"k": 1e3, "thousand": 1e3, "m": 1e6, "million": 1e6, "b": 1e9, "bn": 1e9, "billion": 1e9, "trillion": 1e12, "%": 0.01, "percent": 0.01, "percentage": 0.01}
+#: What a number looks like.
 NUMBER = (
     "(?i)(?<![\\p{L}\\p{N}_.])(\\()?\\s*([+-])?\\s*(US\\$|USD|EUR|GBP|CNY|RMB|JPY|CAD|AUD|HKD|[$€£¥])?\\s*([+-])?\\s*"
     "((?:\\d{1,3}(?:,\\d{3})+|\\d+)(?:\\.\\d+)?|\\.\\d+)\\s*(%|percent(?:age)?|thousand|million|billion|trillion|k|m|bn|b)?\\s*(\\))?(?![\\p{L}\\p{N}_])"

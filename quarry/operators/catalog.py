@@ -30,16 +30,18 @@ def document_catalog(chunks: DataFrame) -> DataFrame:
     in the order of their first chunk; pages distinct and sorted.  What a
     document gathers is bounded by its own chunks.
     """
-    first = lambda c: F.min_by(c, "chunk_index")
-    listed = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "tags")))
-    return chunks.groupBy("doc_id").agg(
-        first(resolved_title(F.col("title"), F.col("source_path"), F.col("text"))).alias("title"),
-        first(F.col("source_path")).alias("source_path"),
-        first(F.col("doc_type")).alias("doc_type"),
-        first(preview(F.col("text"))).alias("summary"),
-        F.transform(listed, lambda x: x["chunk_id"]).alias("chunk_ids"),
-        F.array_distinct(F.flatten(F.transform(listed, lambda x: x["tags"]))).alias("tags"),
-        F.array_sort(F.collect_set("page")).alias("pages"),
+    first = F.min_by(F.struct("title", "source_path", "doc_type", "text"), "chunk_index").alias("f")
+    listed = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "tags"))).alias("l")
+    by = chunks.groupBy("doc_id").agg(first, listed, F.array_sort(F.collect_set("page")).alias("pages"))
+    return by.select(
+        "doc_id",
+        resolved_title(F.col("f.title"), F.col("f.source_path"), F.col("f.text")).alias("title"),
+        "f.source_path",
+        "f.doc_type",
+        preview(F.col("f.text")).alias("summary"),
+        F.transform("l", lambda x: x["chunk_id"]).alias("chunk_ids"),
+        F.array_distinct(F.flatten(F.transform("l", lambda x: x["tags"]))).alias("tags"),
+        "pages",
     )
 
 
@@ -101,3 +103,30 @@ def index_gap(indexed: DataFrame, expected: DataFrame, key: str) -> DataFrame:
 def sanitised(metadata: DataFrame, lists: list[str], nested: list[str]) -> DataFrame:
     """Metadata columns as a store takes them: lists as comma strings, nested ones as JSON."""
     return metadata.withColumns({c: F.array_join(c, ",") for c in lists} | {c: F.to_json(c) for c in nested})
+
+
+def complete(indexed: DataFrame, expected: DataFrame, key: str) -> DataFrame:
+    """One row (complete, n_stale, n_missing): an index is complete if it holds just what is expected."""
+    gap = index_gap(indexed, expected, key)
+    return gap.agg(F.count_if(F.col("state") == "stale").alias("n_stale"), F.count_if(F.col("state") == "missing").alias("n_missing")).select(((F.col("n_stale") == 0) & (F.col("n_missing") == 0)).alias("complete"), "n_stale", "n_missing")
+
+
+def store_counts(store: DataFrame) -> DataFrame:
+    """Rows (collection, n)."""
+    return store.groupBy("collection").agg(F.count("*").alias("n"))
+
+
+def ordered_history(history: DataFrame) -> DataFrame:
+    """History in the order of processing."""
+    return history.orderBy("processed_at", "file_hash")
+
+
+def marked(history: DataFrame, files: DataFrame, status: str, now: str) -> DataFrame:
+    """History after files (file_hash, file_path, collection, error_msg) came out with a status; the time of their first processing stays."""
+    rows = files.select("file_hash", "file_path", F.lit(status).alias("status"), F.coalesce("collection", F.lit("")).alias("collection"), *([F.col("error_msg")] if "error_msg" in files.columns else [F.lit(None).cast("string").alias("error_msg")]), F.lit(now).alias("processed_at"), F.lit(now).alias("updated_at"))
+    return merge_history(history.withColumn("collection", F.coalesce("collection", F.lit(""))), rows.select(history.columns))
+
+
+def removed(history: DataFrame, files: DataFrame) -> DataFrame:
+    """History without some files (file_hash, collection)."""
+    return history.join(files.select("file_hash", F.coalesce("collection", F.lit("")).alias("__c")), (history["file_hash"] == files["file_hash"]) & (F.coalesce(history["collection"], F.lit("")) == F.col("__c")), "left_anti")

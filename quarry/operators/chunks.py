@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.ids import draft_chunk_id
+from quarry.functions.text import image_refs
+from quarry.operators.frames import numbered
+
 #: Separators, each tried before the next.
 SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ", "")
 
@@ -104,3 +109,81 @@ def page_range(start: Column, end: Column, spans: Column) -> Column:
     hit = F.transform(F.filter(spans, lambda s: (start < s["end_offset"]) & (end > s["start_offset"])), lambda s: s["page"])
     low, high = F.array_min(hit), F.array_max(hit)
     return F.struct(low.alias("page_start"), high.alias("page_end"), F.when(low == high, low).alias("page_num"))
+
+
+def located(text: str, pieces: list[str]) -> list[tuple[int, int]]:
+    """Spans of pieces in a text, each found after the start of the one before: as it is, else with white space compared as single blanks.
+
+    A piece that isn't there is a ``ValueError``.
+    """
+    flat, places = [], []
+    for i, c in enumerate(text):
+        if not c.isspace():
+            flat.append(c)
+            places.append(i)
+        elif not flat or flat[-1] != " ":
+            flat.append(" ")
+            places.append(i)
+    squeezed, out, before = "".join(flat), [], -1
+    for piece in pieces:
+        start = text.find(piece, before + 1)
+        end = start + len(piece)
+        if start < 0:
+            wanted = " ".join(piece.split())
+            at = squeezed.find(wanted, bisect_right(places, before)) if wanted else -1
+            if at < 0:
+                raise ValueError(f"a piece isn't in the text after character {before}: {piece[:60]!r}")
+            start, end = places[at], places[at + len(wanted) - 1] + 1
+        out.append((start, end))
+        before = start
+    return out
+
+
+def locate(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows (key, chunk_index, start_offset, end_offset) of documents' pieces (key, text, pieces array), in their order."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(k, i, a, b) for k, t, p in zip(frame[key], frame["text"], frame["pieces"], strict=True) for i, (a, b) in enumerate(located(t or "", list(p) if p is not None else []))]
+            yield pd.DataFrame(rows, columns=[key, "chunk_index", "start_offset", "end_offset"])
+
+    return docs.select(key, "text", "pieces").mapInPandas(found, f"{key} {kind}, chunk_index int, start_offset int, end_offset int")
+
+
+def materialised(cut: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Chunks as records: ids, offsets, text and metadata, which a chunk inherits from its document.
+
+    documents (key, metadata map, page_spans, images array of (id, path, page))
+    has one row a document.  A chunk's images are those its placeholders name;
+    its pages are those its offsets touch, else those of its images.
+    """
+    joined = cut.join(documents.select(key, "metadata", "page_spans", "images"), key)
+    refs = image_refs(F.col("text"))
+    named = F.filter(F.transform(refs, lambda r: F.get(F.filter("images", lambda x: x["id"] == r), 0)), lambda x: x.isNotNull())
+    none = F.array().cast("array<int>")
+    touched = F.coalesce(F.transform(F.filter("page_spans", lambda s: (F.col("start_offset") < s["end_offset"]) & (F.col("end_offset") > s["start_offset"])), lambda s: s["page"].cast("int")), none)
+    pictured = F.coalesce(F.array_compact(F.transform(named, lambda x: x["page"].cast("int"))), none)
+    pages = F.when(F.size(touched) > 0, touched).otherwise(pictured)
+    low, high = F.array_min(pages), F.array_max(pages)
+    own = F.map_filter(
+        F.map_from_arrays(
+            F.array(*map(F.lit, ("chunk_index", "source_ref", "start_offset", "end_offset", "page_start", "page_end", "page_num"))),
+            F.array(F.col("chunk_index").cast("string"), F.col(key).cast("string"), F.col("start_offset").cast("string"), F.col("end_offset").cast("string"), low.cast("string"), high.cast("string"), F.when(low == high, low).cast("string")),
+        ),
+        lambda _, v: v.isNotNull(),
+    )
+    inherited = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin("images", "page_spans") & ~F.map_contains_key(own, k))
+    chunk_id = draft_chunk_id(F.col(key).cast("string"), F.col("chunk_index"), F.col("text"))
+    return joined.select(key, "chunk_index", chunk_id.alias("chunk_id"), "start_offset", "end_offset", "text", F.map_concat(inherited, own).alias("metadata"), refs.alias("image_refs"), named.alias("images"))
+
+
+def batched(rows: DataFrame, size: int, *order: str) -> DataFrame:
+    """``rows`` with ``batch`` from 0: the number of the batch of ``size`` rows that each falls into, in an order."""
+    if size < 1:
+        raise ValueError("a batch has one row or more")
+    return numbered(rows, *order).withColumn("batch", F.floor(F.col("position") / size).cast("long")).drop("position")
+
+
+def batch_count(rows: Column, size: int) -> Column:
+    return F.ceil(rows / size).cast("long")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.frames import small
 from quarry.operators.sparse import ranked
 
 
@@ -25,45 +26,70 @@ VECTORS, QUERIES = 8192, 256
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (id, v, tag) packed to rows (ids, data, tags) of ``size`` each at most; the vectors as unit vectors, zero vectors as they are."""
+    """Rows (id, v, tag) packed to rows (ids, data, tags, dims) of ``size`` each at most; the vectors as unit vectors, zero vectors as they are.
+
+    Vectors of different dimensions go to different blocks; those that hold a
+    null or not-a-number are left out.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                m = np.array(part.column(1).to_pylist(), np.float64)
-                length = np.sqrt((m * m).sum(axis=1, keepdims=True))
-                m = np.divide(m, length, out=np.zeros_like(m), where=length > 0)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([m.tobytes()]), pa.array([part.column(2).to_pylist()], pa.list_(pa.string()))], names=["ids", "data", "tags"])
-
-    return rows.mapInArrow(pack, "ids array<long>, data binary, tags array<string>")
+            v = batch.column(1)
+            lengths = np.diff(v.offsets.to_numpy())
+            flat = v.flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+            starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
+            for dims in np.unique(lengths[lengths > 0]):
+                own = np.nonzero(lengths == dims)[0]
+                m = flat[starts[own][:, None] + np.arange(dims)]
+                good = np.isfinite(m).all(axis=1)
+                own, m = own[good], m[good]
+                for at in range(0, len(own), size):
+                    part, some = own[at : at + size], m[at : at + size]
+                    length = np.sqrt((some * some).sum(axis=1, keepdims=True))
+                    unit = np.divide(some, length, out=np.zeros_like(some), where=length > 0)
+                    ids, tags = batch.column(0).take(pa.array(part)).to_pylist(), batch.column(2).take(pa.array(part)).to_pylist()
+                    yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([unit.tobytes()]), pa.array([tags], pa.list_(pa.string())), pa.array([int(dims)], pa.int32())], names=["ids", "data", "tags", "dims"])
+
+    return rows.mapInArrow(pack, "ids array<long>, data binary, tags array<string>, dims int")
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, match: tuple[str, str] | None = None, query: str = "query_id", key: str = "vec_id") -> DataFrame:
     """Rows (query, key, rank, score): the nearest of ``vectors`` (key, embedding) for queries (query, vector).
 
-    Every query meets every vector: packed blocks of queries meet packed blocks
-    of vectors, each meeting is one matrix product that keeps the best ``k`` of
-    each query, and only those are ranked.  ``match`` names a column of the
-    vectors and one of the queries that must be equal.  Ties, to nine
-    decimals, go to the smaller key.  Null vectors meet nothing.
+    Every query meets every vector of its dimension: packed blocks of queries
+    meet packed blocks of vectors, each meeting is one matrix product that keeps
+    the best ``k`` of each query, and only those are ranked.  Queries are
+    broadcast if the optimizer knows that they are few, else blocks meet in a
+    cartesian plan.  ``match`` names a column of the vectors and one of the
+    queries that must be equal; tags that no query wants are dropped before
+    packing.  Ties, to nine decimals, go to the smaller key.  Null vectors, and
+    those that hold a null, meet nothing.
     """
     own, want = (F.col(c).cast("string") for c in match) if match else (F.lit("").cast("string"),) * 2
-    v = _blocks(vectors.where("embedding IS NOT NULL").select(F.col(key).cast("long").alias("id"), "embedding", own.alias("tag")), VECTORS)
-    q = _blocks(queries.where("vector IS NOT NULL").select(F.col(query).cast("long").alias("id"), "vector", want.alias("tag")), QUERIES)
-    met = v.crossJoin(q.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("tags").alias("q_tags")))  # blocks, not rows
+    stored = vectors.where("embedding IS NOT NULL").select(F.col(key).cast("long").alias("id"), "embedding", own.alias("tag"))
+    asked = queries.where("vector IS NOT NULL").select(F.col(query).cast("long").alias("id"), "vector", want.alias("tag"))
+    if match:
+        stored = stored.join(asked.select("tag").distinct(), "tag", "left_semi").select("id", "embedding", "tag")
+    v, q = _blocks(stored, VECTORS), _blocks(asked, QUERIES)
+    q = q.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("tags").alias("q_tags"), F.col("dims").alias("q_dims"))
+    met = v.join(F.broadcast(q) if small(asked) else q, F.col("dims") == F.col("q_dims"))  # blocks, not rows
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, data, tags, q_ids, q_data, q_tags in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for ids, data, tags, _, q_ids, q_data, q_tags, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 names = np.array(ids, np.int64)
                 scores = np.frombuffer(q_data).reshape(len(q_ids), -1) @ np.frombuffer(data).reshape(len(ids), -1).T
-                scores = np.maximum((1 + scores) / 2, 0)
-                scores[np.array(q_tags, object)[:, None] != np.array(tags, object)[None, :]] = -1
-                order = np.lexsort((np.broadcast_to(names, scores.shape), -np.round(scores, 9)), axis=1)[:, :k]
-                kept = np.take_along_axis(scores, order, axis=1)
-                row, column = np.nonzero(kept >= 0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(q_ids, np.int64)[row]), pa.array(names[order[row, column]]), pa.array(kept[row, column])], names=[query, key, "score"])
+                scores = np.round(np.maximum((1 + scores) / 2, 0), 12)
+                if match:
+                    scores[np.array(q_tags, object)[:, None] != np.array(tags, object)[None, :]] = -1
+                least = np.round(np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k], 9) if k < len(ids) else np.zeros(len(q_ids))
+                rounded = np.round(scores, 9)
+                row, column = np.nonzero((rounded >= least[:, None]) & (scores >= 0))  # the best k and what ties with the last of them
+                order = np.lexsort((names[column], -rounded[row, column], row))
+                row, column = row[order], column[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                row, column = row[rank < k], column[rank < k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(q_ids, np.int64)[row]), pa.array(names[column]), pa.array(scores[row, column])], names=[query, key, "score"])
 
     return ranked(met.mapInArrow(best, f"{query} long, {key} long, score double"), k, query, key)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import ids, text
+from quarry.operators import catalog
 from quarry.operators.chunks import windows
 
 
@@ -40,6 +41,39 @@ def ingest(documents: DataFrame, history: DataFrame, splitter: Callable[[DataFra
     )
 
 
+def run(documents: DataFrame, history: DataFrame, now: str, splitter: Callable[[DataFrame], DataFrame] | None = None, embed: Callable[[Column], Column] | None = None, stored: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Ingestion to the end: the tables ``chunks``, ``vectors``, ``history`` and ``failed`` as they are afterwards.
+
+    Documents that the history lists as done are left out; the others are split,
+    refined, enriched and, with an embedder, embedded, and their chunks take the
+    place of all chunks of the same source in ``stored``.  A document without a
+    good chunk is a row of ``failed`` with its error and is marked so.
+    """
+    made = ingest(documents, history, splitter)
+    places = documents.select("doc_id", "source_path", "collection", F.sha2(F.col("text").cast("binary"), 256).alias("file_hash"))
+    state = made.groupBy("doc_id").agg(F.count_if(F.col("error").isNull()).alias("n"), F.max("error").alias("error"))
+    done = history.where("status = 'success'").select("file_hash", "collection")
+    outcome = places.join(done, ["file_hash", "collection"], "left_anti").join(state, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    good = outcome.where("n > 0")
+    failed = outcome.where("n = 0").select("doc_id", "source_path", "collection", "file_hash", F.coalesce("error", F.lit("the document has no text")).alias("error"))
+    after = catalog.marked(history, good.select("file_hash", F.col("source_path").alias("file_path"), "collection"), "success", now)
+    after = catalog.marked(after, failed.select("file_hash", F.col("source_path").alias("file_path"), "collection", F.col("error").alias("error_msg")), "failed", now)
+    chunks = made.where("error IS NULL").join(places.select("doc_id", "source_path"), "doc_id").drop("error")
+    if stored is not None:
+        kept = stored.join(good.select("source_path", "collection"), ["source_path", "collection"], "left_anti")
+        everything = kept.unionByName(chunks, allowMissingColumns=True)
+    else:
+        everything = chunks
+    vectors = chunks.select("chunk_id", "collection", embed(F.col("text")).alias("embedding")) if embed else chunks.select("chunk_id", "collection", F.lit(None).cast("array<float>").alias("embedding"))
+    return {"chunks": everything, "vectors": vectors, "history": after, "failed": failed}
+
+
+def stage_counts(chunks: DataFrame) -> DataFrame:
+    """One row (n_chunks, avg_size, n_refined, n_enriched): what a pipeline reports of good chunks; sizes in whole characters."""
+    there = chunks.where("error IS NULL")
+    return there.agg(F.count("*").alias("n_chunks"), F.coalesce(F.floor(F.sum(F.length("text")) / F.count("*")), F.lit(0)).alias("avg_size"), F.count_if(F.length("text") < F.col("end_offset") - F.col("start_offset")).alias("n_refined"), F.count_if(F.size("tags") > 0).alias("n_enriched"))
+
+
 def summary(chunks: DataFrame) -> DataFrame:
     """One row (n_documents, n_failed, n_chunks, exit_code): exit code 0 if all chunks are good, 2 if none, else 1."""
     bad = F.col("error").isNotNull()

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import evidence_text
+from quarry.functions.text import evidence_text, text_matches
 
 
 def hit_and_mrr(retrieved: DataFrame, truth: DataFrame, case: str = "case_id", item: str = "doc_id") -> DataFrame:
@@ -25,8 +25,10 @@ def document_metrics(retrieved: DataFrame, evidences: DataFrame, case: str = "ca
 def page_hit_rate(retrieved: DataFrame, evidences: DataFrame, case: str = "case_id") -> DataFrame:
     """Rows (case, page_hit_rate): an evidence with a page is hit by a result of its document whose pages hold it, or, without pages, whose text does."""
     paged = evidences.where((F.coalesce("document", F.lit("")) != "") & F.col("page").isNotNull())
-    found = paged.join(retrieved, [case, "document"], "left")
-    text = F.contains(evidence_text(F.col("result_text")), evidence_text(F.col("evidence_text"))) & (evidence_text(F.col("evidence_text")) != "")
+    paged = paged.withColumn("__wanted", evidence_text(F.col("evidence_text")))
+    got = retrieved.withColumn("__body", F.when(F.col("page_start").isNull(), evidence_text(F.col("result_text"))))
+    found = paged.join(got, [case, "document"], "left")
+    text = text_matches(F.col("__wanted"), F.col("__body"))
     hit = F.when(F.col("page_start").isNotNull(), F.col("page").between(F.col("page_start"), F.col("page_end"))).otherwise(F.col("result_text").isNotNull() & text)
     each = found.groupBy(case, "evidence").agg(F.max(F.coalesce(hit, F.lit(False))).alias("hit"))
     return each.groupBy(case).agg((F.count_if("hit") / F.count("*")).alias("page_hit_rate"))
@@ -38,16 +40,26 @@ def counted(texts: DataFrame, key: list[str], text: str, name: str) -> DataFrame
     return texts.select(*key, F.explode(words).alias("token")).groupBy(*key, "token").agg(F.count("*").alias(name))
 
 
-def coverage(references: DataFrame, contexts: DataFrame, reference: str, context: str) -> DataFrame:
-    """Rows (reference, context, coverage) of the pairs with a common token: the share of the reference's tokens, as a multiset, that the context has.
+def coverage(references: DataFrame, contexts: DataFrame, reference: str, context: str, least: float = 0.5) -> DataFrame:
+    """Rows (reference, context, coverage) of the pairs whose context has at least a share ``least`` of the reference's tokens, as multisets.
 
-    Joined by token, so pairs without a common token never meet.
+    Tokens are ordered by their number of contexts.  A context that reaches the
+    threshold holds one of the reference's rarest tokens, beyond which less than
+    the needed number is left; only these meet the contexts, so tokens that all
+    contexts share join nothing.  The pairs met are then counted exactly.
     """
     r = counted(references, [reference], "text", "n1")
     c = counted(contexts, [context], "text", "n2")
-    total = r.groupBy(reference).agg(F.sum("n1").alias("total"))
-    common = r.join(c, "token").groupBy(reference, context).agg(F.sum(F.least("n1", "n2")).alias("common"))
-    return common.join(total, reference).select(reference, context, (F.col("common") / F.col("total")).alias("coverage"))
+    df = c.groupBy("token").agg(F.count("*").alias("df"))
+    rarest = Window.partitionBy(reference).orderBy("df", "token")
+    rows = r.join(df, "token", "left").withColumns({"df": F.coalesce("df", F.lit(0)), "total": F.sum("n1").over(Window.partitionBy(reference))})
+    before = F.sum("n1").over(rarest.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n1")
+    need = F.ceil(least * F.col("total") - 1e-9)
+    # what is left from this token on could still reach the threshold
+    prefix = rows.withColumn("before", before).where((F.col("df") > 0) & (F.col("total") - F.col("before") >= need)).select(reference, "token")
+    met = prefix.join(c.select("token", context), "token").select(reference, context).distinct()
+    common = met.join(rows.select(reference, "token", "n1", "total"), reference).join(c, [context, "token"]).groupBy(reference, context).agg(F.sum(F.least("n1", "n2")).alias("common"), F.first("total").alias("total"))
+    return common.where(F.col("common") >= F.ceil(least * F.col("total") - 1e-9)).select(reference, context, (F.col("common") / F.col("total")).alias("coverage"))
 
 
 def answer_scores(answers: DataFrame, key: str) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from quarry.functions.text import index_terms
 
 K1, B = 1.5, 0.75
+#: Stands for a document itself among its terms; no token is empty.
+NO_TERM = ""
 
 
 def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -48,17 +50,35 @@ def term_score(tf: Column, length: Column, average: Column, weight: Column) -> C
     return weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
+def indexed(docs: DataFrame, key: str = "doc_id", text: str = "text", only: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings (key, term, doc_length, tf), terms (term, df) and statistics of texts that are tokenised once.
+
+    Each document has one row more, without a term and with frequency 0, from
+    which the statistics come; postings, terms and statistics share one
+    shuffle.  ``only`` (term) restricts the terms before they are counted.
+    """
+    tokens = tokenised(docs, key, text)
+    # all readers need terms that are there; said here, it doesn't become a filter of some of them, which would part their plans
+    each = tokens.select(key, "doc_length", F.explode_outer(F.concat("terms", F.array(F.lit(NO_TERM)))).alias("term")).where("term IS NOT NULL")
+    if only is not None:
+        asked = only.select("term").unionByName(only.sparkSession.range(1).select(F.lit(NO_TERM).alias("term")))
+        each = each.join(asked.distinct(), "term", "left_semi")
+    every = each.groupBy(key, "term", "doc_length").agg(F.count_if(F.col("term") != NO_TERM).alias("tf"))
+    posts = every.where("tf > 0")  # not a condition on the term, which would part the two readers' plans
+    by_term = every.groupBy("term").agg(F.count("*").alias("df"), F.sum("doc_length").alias("length"), F.min("tf").alias("low"))
+    stats = by_term.where("low = 0").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("num_docs"), F.coalesce(F.sum("length") / F.sum("df"), F.lit(0.0)).alias("avg_doc_length"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_tokens"))
+    return posts, by_term.where("low > 0").select("term", "df"), stats
+
+
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, query: str = "query_id", key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (query, key, rank, score): the best documents of all queries (query, terms array) at once.
 
     A term given twice counts twice.  Only the queries' terms are counted, so
-    the postings shrink before they shuffle; ties go to the smaller key.
+    the postings shrink before they shuffle; ties go to the smaller key.  For
+    repeated searches of a corpus see :mod:`quarry.operators.index`.
     """
     wanted = queries.select(query, F.explode("terms").alias("term"))
-    tokens = tokenised(docs, key, text)
-    posts = postings(tokens, key, wanted.select("term").distinct())
-    stats = corpus_stats(tokens)
-    terms = posts.groupBy("term").agg(F.count("*").alias("df"))
+    posts, terms, stats = indexed(docs, key, text, wanted.select("term").distinct())
     weighted = posts.join(terms, "term").crossJoin(F.broadcast(stats))  # one row
     part = term_score(F.col("tf"), F.col("doc_length"), F.col("avg_doc_length"), idf(F.col("num_docs"), F.col("df")))
     scored = weighted.select(key, "term", part.alias("part"))

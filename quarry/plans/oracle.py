@@ -56,8 +56,14 @@ def _with(body: str, *names: str) -> str:
 
 
 def _normal(text: str) -> str:
-    """Evidence normalisation; RE2 knows no \\s beyond ASCII, which the class covers with \\p{Z}."""
-    return f"trim(regexp_replace(lower(coalesce({text}, '')), '[\\p{{P}}\\p{{S}}\\p{{Z}}\\s\\x0B]+', ' ', 'g'))"
+    """Evidence normalisation, for texts that lower case folds but for the sharp s; RE2 knows no \\s beyond ASCII, which the class covers with \\p{Z}."""
+    return f"trim(regexp_replace(replace(lower(coalesce({text}, '')), 'ß', 'ss'), '[\\p{{P}}\\p{{S}}\\p{{Z}}\\s\\x0B]+', ' ', 'g'))"
+
+
+def _shared(reference: str, text: str) -> str:
+    """Whether a text has half of a reference's tokens, as multisets."""
+    a, b = (f"string_split({_normal(x)}, ' ')" for x in (reference, text))
+    return f"2 * coalesce(list_sum(list_transform(list_intersect({a}, {b}), lambda t: least(len(list_filter({a}, lambda y: y = t)), len(list_filter({b}, lambda y: y = t))))), 0) >= len({a})"
 
 
 def _counts(table: str, key: str, text: str, name: str) -> str:
@@ -122,6 +128,12 @@ ORACLE_SQL: dict[str, str] = {
         ELSE trim(substring(text, 1, 100)) || CASE WHEN length(text) > 100 THEN '...' ELSE '' END END AS title FROM corpus""", "corpus"),
     "extract_summary": _with(r"""SELECT doc_id, CASE WHEN length(s) > 500 THEN substring(s, 1, 497) || '...' ELSE s END AS summary FROM (
         SELECT doc_id, regexp_replace(array_to_string(string_split(regexp_replace(coalesce(text, ''), '([.!?])[\s\x0B]+', '\1' || chr(1), 'g'), chr(1))[1:3], ' '), '^[\s\x0B]+|[\s\x0B]+$', '', 'g') AS s FROM corpus)""", "corpus"),
+    "extract_tags": _with(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(
+            regexp_extract_all(t, '\b[A-Z][a-z]+(?:[\s\x0B]+[A-Z][a-z]+)*\b')[1:5],
+            regexp_extract_all(t, '\b[a-z]+(?:[A-Z][a-z]*)+\b|\b[a-z]+_[a-z_]+\b')[1:5],
+            list_filter(list_transform(regexp_extract_all(t, '\*\*.+?\*\*|\*.+?\*|__.+?__|_.+?_')[1:5], lambda x: trim(regexp_replace(x, '^(\*\*|\*|__|_)|(\*\*|\*|__|_)$', '', 'g'))), lambda x: x <> ''))))[1:10], '|') AS tags
+        FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS t FROM corpus)""", "corpus"),
+    "recursive_chunks": _with("SELECT doc_id, true AS good, true AS whole FROM corpus WHERE regexp_matches(text, '\\S')", "corpus"),
     "preview": _with(r"SELECT doc_id, CASE WHEN length(p) > 240 THEN substring(p, 1, 237) || '...' ELSE nullif(p, '') END AS preview FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\s\x0B]+', ' ', 'g')) AS p FROM corpus)", "corpus"),
     "normalize_doc_name": "SELECT doc_id, 'file ' || doc_id || '.v1' AS name FROM documents",
     "numeric_accuracy": "SELECT o_orderkey, CASE WHEN abs(r - a) <= greatest(0.01 * greatest(abs(r), abs(a)), 1e-6) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS accuracy FROM (SELECT o_orderkey, round(o_totalprice, 2) AS r, round(o_totalprice * (1 + o_orderkey % 3 * 0.008::DOUBLE), 2) AS a FROM orders)",
@@ -142,7 +154,7 @@ ORACLE_SQL: dict[str, str] = {
     "sanitize_metadata": """SELECT doc_id, lang || ',' || source AS tags, '[{"id":"' || source || '","page":' || n_chars || '}]' AS images FROM documents""",
     "hit_rate_mrr": _with("SELECT t.item_id, CASE WHEN min(r.rank) IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS hit_rate, coalesce(round(1.0::DOUBLE / min(r.rank), 6), 0) AS mrr FROM (SELECT item_id, doc_id FROM sp WHERE rank = 2) t LEFT JOIN lists r ON r.item_id = t.item_id AND r.doc_id = t.doc_id GROUP BY t.item_id", "lists"),
     "document_hit_rate": _with("SELECT item_id, round(count(r) / count(*)::DOUBLE, 6) AS document_hit_rate, coalesce(round(1.0::DOUBLE / min(r), 6), 0) AS document_mrr FROM (SELECT b.item_id, e.d, min(x.rank) AS r FROM benchmark b CROSS JOIN (VALUES ('src1'), ('src2')) e(d) LEFT JOIN (SELECT item_id, rank, collection FROM bmr JOIN corpus USING (doc_id) WHERE rank <= 10) x ON x.item_id = b.item_id AND x.collection = e.d GROUP BY ALL) GROUP BY item_id", "bmr", "corpus"),
-    "page_hit_rate": _with(f"SELECT item_id, round(count(*) FILTER (WHERE h) / count(*)::DOUBLE, 6) AS page_hit_rate FROM (SELECT b.item_id, e.d, max(coalesce(CASE WHEN x.rank % 2 = 0 THEN 5 BETWEEN x.rank AND x.rank + 2 ELSE x.text IS NOT NULL AND {_normal('b.text')} <> '' AND contains({_normal('x.text')}, {_normal('b.text')}) END, FALSE)) AS h FROM benchmark b CROSS JOIN (VALUES ('src1'), ('src2'), ('src3')) e(d) LEFT JOIN (SELECT item_id, rank, collection, text FROM bmr JOIN corpus USING (doc_id) WHERE rank <= 10) x ON x.item_id = b.item_id AND x.collection = e.d GROUP BY ALL) GROUP BY item_id", "bmr", "corpus"),
+    "page_hit_rate": _with(f"SELECT item_id, round(count(*) FILTER (WHERE h) / count(*)::DOUBLE, 6) AS page_hit_rate FROM (SELECT b.item_id, e.d, max(coalesce(CASE WHEN x.rank % 2 = 0 THEN 5 BETWEEN x.rank AND x.rank + 2 ELSE x.text IS NOT NULL AND {_normal('b.text')} <> '' AND (contains({_normal('x.text')}, {_normal('b.text')}) OR {_shared('b.text', 'x.text')}) END, FALSE)) AS h FROM benchmark b CROSS JOIN (VALUES ('src1'), ('src2'), ('src3')) e(d) LEFT JOIN (SELECT item_id, rank, collection, text FROM bmr JOIN corpus USING (doc_id) WHERE rank <= 10) x ON x.item_id = b.item_id AND x.collection = e.d GROUP BY ALL) GROUP BY item_id", "bmr", "corpus"),
     "evidence_coverage": f"WITH r AS ({_counts('benchmark', 'item_id', 'text', 'n1')}), c AS ({_counts('documents', 'doc_id', 'text', 'n2')}), t AS (SELECT item_id, sum(n1) AS total FROM r GROUP BY 1) SELECT item_id, doc_id, round(sum(least(n1, n2)) / any_value(total)::DOUBLE, 6) AS coverage FROM r JOIN c USING (token) JOIN t USING (item_id) GROUP BY ALL HAVING sum(least(n1, n2)) / any_value(total)::DOUBLE >= 0.5",
     "answer_f1": f"""WITH p AS (SELECT a.conv_id, a.text AS r, b.text AS a FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1),
         r AS ({_counts('p', 'conv_id', 'r', 'n1')}), a AS ({_counts('p', 'conv_id', 'a', 'n2')}),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry import plugins
@@ -221,7 +221,9 @@ def extract_summary(spark, sf):
 
 @query
 def extract_tags(spark, sf):
-    return tables.corpus(spark, sf).select("doc_id", text.keyword_tags(F.col("text")).alias("tags"))
+    """Tags of the texts with other than ASCII letters taken out, of which SQL's word ends agree."""
+    plain = F.regexp_replace(F.col("text"), "[^\\x00-\\x7F]", "")
+    return tables.corpus(spark, sf).select("doc_id", text.keyword_tags(plain).alias("tags"))
 
 
 @query
@@ -465,7 +467,22 @@ def fallback_answer(spark, sf):
 
 @query
 def recursive_chunks(spark, sf):
-    return chunks.recursive(tables.corpus(spark, sf), tables.SIZE, tables.OVERLAP)
+    """What holds of the recursive splitter's chunks: by document their texts are the slices at their offsets, within the size, in order, without white space at their ends, and leave only white space out."""
+    docs = tables.corpus(spark, sf).select("doc_id", F.col("text").alias("body"))
+    cut = chunks.recursive(tables.corpus(spark, sf), tables.SIZE, tables.OVERLAP).join(docs, "doc_id")
+    by = Window.partitionBy("doc_id").orderBy("chunk_index")
+    before, end = F.lag("start_offset").over(by), F.coalesce(F.lag("end_offset").over(by), F.lit(0))
+    gap = F.when(F.col("start_offset") > end, F.substring(F.col("body"), end + 1, F.col("start_offset") - end)).otherwise(F.lit(""))
+    good = (
+        (F.substring(F.col("body"), F.col("start_offset") + 1, F.col("end_offset") - F.col("start_offset")) == F.col("text"))
+        & (F.length("text") <= tables.SIZE)
+        & F.coalesce(F.col("start_offset") > before, F.lit(True))
+        & ~F.col("text").rlike("^\\s|\\s$")
+        & ~gap.rlike("\\S")
+    )
+    last = F.substring(F.max_by("body", "chunk_index"), F.max("end_offset") + 1, F.lit(1 << 30))
+    each = cut.withColumn("good", good).groupBy("doc_id").agg(F.min("good").alias("good"), (~last.rlike("\\S")).alias("whole"))
+    return each
 
 
 @query

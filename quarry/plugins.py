@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.functions.text import index_terms
-from quarry.operators import chunks, rerank
+from quarry.functions.text import index_terms, refine
+from quarry.operators import chunks, evaluation, rerank
+from quarry.sources import files, sinks
 
 
 class Registry:
@@ -57,9 +58,21 @@ def hashing_embedder(dims: int = 64) -> Callable[[Column], Column]:
     return lambda text: embed(index_terms(text))
 
 
-embedders, rerankers, splitters, chats, evaluators = (Registry(k) for k in ("embedder", "reranker", "splitter", "chat model", "evaluator"))
+embedders, rerankers, splitters, chats, evaluators, visions, transforms, stores, benchmarks, segmenters = (
+    Registry(k) for k in ("embedder", "reranker", "splitter", "chat model", "evaluator", "vision model", "transform", "vector store", "benchmark", "segmenter")
+)
 embedders.register("hashing", hashing_embedder)
 rerankers.register("none", lambda query, text: F.lit(None).cast("double"))
 rerankers.register("overlap", rerank.overlap_score)
 splitters.register("window", chunks.windows)
 splitters.register("recursive", chunks.recursive)
+transforms.register("refine", lambda body: refine(body))
+transforms.register("none", lambda body: body)
+evaluators.register("benchmark", evaluation.benchmark_evaluator)
+evaluators.register("custom", lambda names: evaluation.custom_evaluator([n for n in names if n in ("hit_rate", "mrr")] or ("hit_rate", "mrr")))
+evaluators.register("none", lambda names: evaluation.no_evaluator)
+segmenters.register("none", lambda words: words)
+chats.register("first-texts", lambda prompt: prompt)
+visions.register("none", lambda content: F.lit(None).cast("string"))
+stores.register("parquet", sinks.open_vectors)
+benchmarks.register("jsonl", files.benchmark_file)

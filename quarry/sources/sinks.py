@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,35 @@ def save_comparison(table: DataFrame, path: str) -> None:
     table.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)  # a row for each experiment
 
 
+#: Version of the parsed-document cache; entries of another one don't count.
+CACHE = 1
+
+
+def cache_put(documents: DataFrame, path: str, config_hash: str) -> None:
+    """Adds parsed documents (file_hash, ...) to the cache of a loader's configuration; equal files replace nothing they already have."""
+    documents.withColumn("version", F.lit(CACHE)).write.mode("append").parquet(f"{path}/config_hash={config_hash}")
+
+
+def cache_get(spark: SparkSession, files: DataFrame, path: str, config_hash: str) -> tuple[DataFrame, DataFrame]:
+    """As :func:`cached`, over a cache on disk: entries of this version only, one for each file."""
+    cache = spark.read.option("basePath", path).parquet(f"{path}/config_hash={config_hash}").where(F.col("version") == CACHE).drop("version")
+    return cached(files, cache.dropDuplicates(["file_hash"]), config_hash)
+
+
+def open_vectors(spark: SparkSession, path: str, dims: int, collection: str = "default") -> DataFrame:
+    """The vector table at a path (vec_id, embedding, collection), made empty if there is none; other dimensions than it holds are an error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/dims={dims}")
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    parent = place.getParent()
+    others = [x.getPath().getName() for x in fs.listStatus(parent)] if fs.exists(parent) else []
+    if any(x.startswith("dims=") and x != place.getName() for x in others):
+        raise ValueError(f"the vectors at {path} have {', '.join(x for x in others if x.startswith('dims='))}")
+    schema = "vec_id long, embedding array<float>, collection string"
+    if not fs.exists(place):
+        spark.createDataFrame([], schema).write.parquet(place.toString())
+    return spark.read.schema(schema).parquet(place.toString()).where(F.col("collection") == collection)
+
+
 def cached(documents: DataFrame, cache: DataFrame, config_hash: str) -> tuple[DataFrame, DataFrame]:
     """Parsed documents the cache holds for (file_hash, config_hash), with their present path, and the files it lacks."""
     own = cache.where(F.col("config_hash") == config_hash).drop("source_path", "config_hash")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarry.operators.ingest import ingest
+from quarry.operators.sparse import postings, tokenised
 
 
 def start(documents: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
@@ -19,13 +20,25 @@ def start(documents: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     spark = documents.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        schema = "file_hash string, collection string, status string, batch long"
+        schema = "doc_id long, file_hash string, collection string, status string, batch long"
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/history")
         there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
         history = (spark.read.schema(schema).parquet(f"{target}/history") if there else spark.createDataFrame([], schema)).where(F.col("batch") < number)
         once = batch.dropDuplicates(["doc_id"])
         ingest(once, history).write.mode("overwrite").parquet(f"{target}/chunks/batch={number}")
-        done = once.select(F.sha2(F.col("text").cast("binary"), 256).alias("file_hash"), "collection", F.lit("success").alias("status"))
+        done = once.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("file_hash"), "collection", F.lit("success").alias("status"))
         done.write.mode("overwrite").parquet(f"{target}/history/batch={number}")
 
     return documents.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, target: str) -> DataFrame:
+    """The chunks that hold now: of a document that came again changed only those of its last batch."""
+    history = spark.read.parquet(f"{target}/history")
+    last = history.groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{target}/chunks").join(last, ["doc_id", "batch"], "left_semi")
+
+
+def current_postings(spark: SparkSession, target: str) -> DataFrame:
+    """Postings (chunk_id, term, tf, doc_length) of the chunks that hold now, so a document that came again replaces its own."""
+    return postings(tokenised(current(spark, target).where("chunk_id IS NOT NULL"), "chunk_id"), "chunk_id")

@@ -6,7 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quarry.plans import oracle, queries
+from quarry.plans import more, oracle, queries
+
+SQL = oracle.ORACLE_SQL | more.SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -36,8 +38,8 @@ def test_query(spark, sf, con, name):
     got = queries.QUERIES[name](spark, sf)
     assert {k for _, k in got.dtypes} <= {"bigint", "double", "string", "boolean", "array<struct<id:string,page:bigint>>"}, got.dtypes
     frame = got.toPandas()
-    if name in oracle.ORACLE_SQL:
-        want = con.sql(oracle.ORACLE_SQL[name]).df()
+    if name in SQL:
+        want = con.sql(SQL[name]).df()
         columns = sorted(frame.columns)
         assert columns == sorted(want.columns)
         assert rows(frame, columns) == rows(want, columns)
