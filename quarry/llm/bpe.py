@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import batches
+from quarry.llm.common import batches, small_batches
 
 #: Distinct stretches between blanks that a worker remembers in each of two generations; it bounds memory, not results.
 REMEMBERED = 1 << 18
@@ -168,7 +168,7 @@ def bpe(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
     """
     with open(path, encoding="utf-8") as f:
         content = docs.sparkSession.sparkContext.broadcast(f.read())
-    narrow = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    narrow = small_batches(docs).select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = pa.schema([("doc_id", _arrow(narrow)), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,6 +47,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold some MB of text instead of tens.
+
+    Where the session leaves the number of rows at its default, it's set lower:
+    texts of some kB would otherwise make batches of tens of MB, of which JVM
+    and Python hold several each.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, "1500")
+    return df
+
+
 def words(text: bytes | None) -> list[bytes]:
     """Words of a text in UTF-8: runs without ASCII blanks, A-Z in lower case.
 
@@ -108,4 +121,18 @@ def batches(batch: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (x for x in batch if x.num_rows)
 
 
-__all__ = ["BLANKS", "batches", "crc_mod", "cut", "documents", "ensure_checkpoint_dir", "let", "partitions", "star_components", "utf8", "words"]
+def runs_of(rows: Iterator[pa.RecordBatch], most: int = 8192, size: int = 32 << 20) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in runs of about so many rows or bytes, so that what is counted together doesn't depend on the batches' size."""
+    held: list[pa.RecordBatch] = []
+    n = held_bytes = 0
+    for batch in batches(rows):
+        held.append(batch)
+        n, held_bytes = n + batch.num_rows, held_bytes + batch.nbytes
+        if n >= most or held_bytes >= size:
+            yield held
+            held, n, held_bytes = [], 0, 0
+    if held:
+        yield held
+
+
+__all__ = ["BLANKS", "batches", "crc_mod", "cut", "documents", "ensure_checkpoint_dir", "let", "partitions", "runs_of", "small_batches", "star_components", "utf8", "words"]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quarry.llm.common import batches, utf8
+from quarry.llm.common import batches, small_batches, utf8
 
 #: Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -174,7 +174,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
     """
     templates = TEMPLATES if templates is None else templates
     table = {k.encode(): v for k, v in (PHRASES if phrases is None else phrases).items()}
-    frequency = word_frequency(docs, templates)
+    frequency = word_frequency(small_batches(docs), templates)
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     name = narrow.schema["doc_id"].dataType
     block = pa.list_(pa.struct([("line", pa.int32()), ("label", pa.string()), ("containment", pa.float64())]))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BLANKS, batches, cut, partitions, utf8
+from quarry.llm.common import BLANKS, batches, cut, partitions, runs_of, small_batches, utf8
 
 STRIP = BLANKS.encode()
 #: Stands for a null doc_id, and so is smaller than any other.
@@ -88,23 +88,24 @@ def suspects(lo: list[np.ndarray], hi: list[np.ndarray], weight: list[np.ndarray
 def dropped_lines(docs: DataFrame, least: int = 20) -> DataFrame:
     """Rows (doc_id long, lo long, hi long): the digests of the lines each document loses."""
     shards = partitions(docs.sparkSession)
-    narrow = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
+        for some in runs_of(rows):
             held: dict[bytes, int | set[int]] = {}
-            for at in range(0, batch.num_rows, 256):  # a few texts at a time lie in memory as lines
-                part = batch.slice(at, 256)
-                for doc, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
-                    for key in {key_of(x, least) for x in (text or b"").split(b"\n")}:
-                        if key is not None:
-                            digest = xxhash.xxh3_128_digest(key)
-                            if (others := held.get(digest)) is None:
-                                held[digest] = doc  # most lines have one holder, which needs no set
-                            elif type(others) is set:
-                                others.add(doc)
-                            elif others != doc:
-                                held[digest] = {others, doc}
+            for batch in some:
+                for at in range(0, batch.num_rows, 256):  # a few texts at a time lie in memory as lines
+                    part = batch.slice(at, 256)
+                    for doc, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
+                        for key in {key_of(x, least) for x in (text or b"").split(b"\n")}:
+                            if key is not None:
+                                digest = xxhash.xxh3_128_digest(key)
+                                if (others := held.get(digest)) is None:
+                                    held[digest] = doc  # most lines have one holder, which needs no set
+                                elif type(others) is set:
+                                    others.add(doc)
+                                elif others != doc:
+                                    held[digest] = {others, doc}
             digests, ids, weights = [], [], []
             for digest, holders in held.items():
                 if type(holders) is int:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import batches, partitions
+from quarry.llm.common import batches, partitions, small_batches
 
 #: Lanes of 16-bit values and of signs, in bytes of a passage's hash.
 VALUES, SIGNS = 32, 512
@@ -157,7 +157,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     number = 2 * partitions(spark)
-    narrow = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    narrow = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = narrow.agg(F.percentile_approx("doc_id", [i / number for i in range(1, number)], F.lit(10000))).first()[0]
     limits = sorted(set(found or []))
     bounds = np.array(limits, np.int64)

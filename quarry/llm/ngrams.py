@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import batches, crc_mod, cut, partitions, utf8, words
+from quarry.llm.common import batches, crc_mod, cut, partitions, runs_of, small_batches, utf8, words
 from quarry.llm.eliasfano import EliasFano, mapped
 
 U = np.uint64
@@ -387,22 +387,23 @@ class Part:
 def first_pass(rows: DataFrame, parts: int) -> tuple[int, int, list[int]]:
     """Tokens and texts in training, and the hashes of the words to spread.
 
-    A batch names the words that make up one in ``4 * parts`` of its tokens, so
-    no word with twice that share of all tokens is missed, and those that reach
-    that share of all tokens by what batches name are spread.  Which words that
+    A run of batches names the words that make up one in ``4 * parts`` of its
+    tokens, so no word with twice that share of all tokens is missed, and those
+    that reach that share of all tokens by what runs name are spread.  Which words that
     are decides about places only.
     """
 
     def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
+        for some in runs_of(rows):
             every: Counter = Counter()
             tokens = texts = 0
-            for text, held in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                own = words(text)
-                every.update(own)
-                if not held:
-                    tokens, texts = tokens + len(own) + 1, texts + 1
-            every[END] = batch.num_rows
+            for batch in some:
+                for text, held in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                    own = words(text)
+                    every.update(own)
+                    if not held:
+                        tokens, texts = tokens + len(own) + 1, texts + 1
+                every[END] += batch.num_rows
             whole = every.total()
             often = [(hashed(w), n) for w, n in every.items() if n * 4 * parts >= whole]
             columns = zip((None, whole, tokens, texts), *((w, n, 0, 0) for w, n in often), strict=True)
@@ -431,7 +432,7 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     parts = partitions(spark)
     seat = seats(parts)
     part_of = {int(x): p for p, x in enumerate(seat)}
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     tokens, texts, often = first_pass(rows, parts)
     wide = np.array(sorted(often), U)
 
@@ -452,25 +453,27 @@ def score(docs: DataFrame, held_out) -> DataFrame:
         yield table(held)
 
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sent(block: Block, ids: pa.Array, held: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+        def sent(block: Block, ids: list[int | None], held: list[bool]) -> Iterator[tuple[int, int, int, bytes]]:
             block.close()
-            known = np.array(ids.is_valid().to_pylist(), np.uint8)
-            ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            name = xxhash.xxh3_64_intdigest(dump(ids, known, held, block.sizes, block.hashes)) >> 1
-            yield DOCS, name % parts, name, dump(ids, known, held.astype(np.uint8), block.sizes)
-            yield from ((kind, p, name, raw) for kind, p, raw in block.rows(parts, wide, ~held))
+            known = np.array([x is not None for x in ids], np.uint8)
+            keys, out = np.array([x or 0 for x in ids], np.int64), np.array(held, bool)
+            name = xxhash.xxh3_64_intdigest(dump(keys, known, out, block.sizes, block.hashes)) >> 1
+            yield DOCS, name % parts, name, dump(keys, known, out.astype(np.uint8), block.sizes)
+            yield from ((kind, p, name, raw) for kind, p, raw in block.rows(parts, wide, ~out))
 
         def each() -> Iterator[tuple[int, int, int, bytes]]:
+            block, ids, held = Block(), [], []
             for batch in batches(rows):
-                held = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-                start, block = 0, Block()
-                for i, text in enumerate(utf8(batch.column(1))):
+                for i, text, out in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                     own = words(text)
-                    if i > start and (block.tokens + len(own) + 1 > TOKENS or i - start == BLOCK):
-                        yield from sent(block, batch.column(0).slice(start, i - start), held[start:i])
-                        start, block = i, Block()
+                    if ids and (block.tokens + len(own) + 1 > TOKENS or len(ids) == BLOCK):
+                        yield from sent(block, ids, held)
+                        block, ids, held = Block(), [], []
                     block.add(own)
-                yield from sent(block, batch.column(0).slice(start), held[start:])
+                    ids.append(i)
+                    held.append(out)
+            if ids:
+                yield from sent(block, ids, held)
 
         return written(each())
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quarry.llm.common import batches, cut, partitions, star_components, utf8, words
+from quarry.llm.common import batches, cut, partitions, small_batches, star_components, utf8, words
 
 SEED = 42
 #: Distinct fingerprints of a bucket that one task compares; larger buckets are dealt out in pairs of parts.
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, key: str = "doc_id", text: s
     A null or empty text and one without words have fingerprint zero.  Null
     keys and repeated rows are kept as they are.
     """
-    narrow = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    narrow = small_batches(docs).select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     names = ["fp", *(f"fp{i}" for i in range(2, len(seeds) + 1))]
     kind = pa.schema([("doc_id", to_arrow_type(narrow.schema["doc_id"].dataType)), *((n, pa.int64()) for n in names)])
 
@@ -470,7 +470,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     lie within :data:`WIDE` and :data:`WIDE_BOTH` bits; all sets of a candidate
     component are then held against each other.  Texts without words are alike.
     """
-    narrow = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    narrow = small_batches(docs).select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = cut(sketches(narrow, shingle))
     distinct = cut(found.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "fp", "fp2", "low"))))
     rows = distinct.select("node", "fp", "fp2", F.explode("low").alias("key")).withColumn("band", F.lit(0))

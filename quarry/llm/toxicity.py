@@ -34,7 +34,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import batches, crc_mod, utf8
+from quarry.llm.common import batches, crc_mod, small_batches, utf8
 
 #: Labelled rows in the sample at most.
 SAMPLE = 4_000
@@ -304,7 +304,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFra
     doc_id, other columns are ignored, and an empty table gives no rows.
     Only the text is scored.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, limit))
+    model = small_batches(docs).sparkSession.sparkContext.broadcast(fit(docs, labels, limit))
     slope, offset = calibrate(sampled(docs, labels, limit), model)
     narrowed = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     name = narrowed.schema["doc_id"].dataType
