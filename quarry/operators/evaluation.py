@@ -357,15 +357,14 @@ def config_columns(settings: Column | str = "settings") -> list[Column]:
 
 
 def history_rows(runs: DataFrame, plans_: DataFrame, summaries: DataFrame) -> DataFrame:
-    """One row for each summary whose run and plan are known: run columns, ``settings`` and what the summary measured.
+    """One row for each summary whose run and plan are known: config_id, run columns, ``settings`` and what the summary measured.
 
     runs (run, created_at, case_count), plans (run, name, settings as JSON),
     summaries (run, experiment, query_count, total_elapsed_ms, hit_rate, mrr).
     """
     joined = summaries.join(runs, "run").join(plans_.withColumnRenamed("name", "experiment"), ["run", "experiment"])
-    columns = config_columns()
-    config = F.to_json(F.struct(*columns))
-    return joined.select(F.substring(F.sha2(config.cast("binary"), 256), 1, 12).alias("config_id"), "experiment", "created_at", F.coalesce("query_count", "case_count").alias("sample_size"), "hit_rate", "mrr", "total_elapsed_ms", *columns)
+    config = F.to_json(F.struct(*config_columns()))
+    return joined.select(F.substring(F.sha2(config.cast("binary"), 256), 1, 12).alias("config_id"), "experiment", "created_at", F.coalesce("query_count", "case_count").alias("sample_size"), "hit_rate", "mrr", "total_elapsed_ms", "settings")
 
 
 def reevaluated(traces: DataFrame, default_k: int = 10, reranking: bool = False) -> DataFrame:

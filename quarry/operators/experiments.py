@@ -19,9 +19,9 @@ def best_runs(runs: DataFrame) -> DataFrame:
     """
     score = [F.coalesce(F.nullif(c, F.lit(0.0)), F.lit(-1.0)).desc() for c in ("hit_rate", "mrr")]
     by = Window.partitionBy("config_id")
-    counted = runs.groupBy("config_id").agg(F.count("*").alias("run_count"), F.array_join(F.array_sort(F.collect_set("experiment")), "|").alias("experiment_aliases"))
-    best = runs.withColumn("__r", F.row_number().over(by.orderBy(*score, F.desc("created_at"), "experiment"))).where("__r = 1").drop("__r")
-    return best.join(counted, "config_id")
+    aliases = F.array_join(F.array_sort(F.collect_set("experiment").over(by)), "|")
+    rows = runs.withColumns({"__r": F.row_number().over(by.orderBy(*score, F.desc("created_at"), "experiment")), "run_count": F.count("*").over(by), "experiment_aliases": aliases})
+    return rows.where("__r = 1").drop("__r")
 
 
 def comparison(metrics: DataFrame, names: list[str]) -> DataFrame:

@@ -285,7 +285,7 @@ def history_join(spark, sf):
     s = _settings(spark, sf)
     runs = s.select("run").distinct().where("cast(run AS int) < 15").select("run", F.concat(F.lit("2024-"), "run").alias("created_at"), F.lit(99).cast("long").alias("case_count"))
     summaries = s.select("run", F.col("name").alias("experiment"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey") % 7).alias("query_count"), F.lit(1.0).alias("total_elapsed_ms"), F.lit(0.5).alias("hit_rate"), F.lit(0.5).alias("mrr"))
-    return evaluation.history_rows(runs, s.select("run", "name", "settings"), summaries).select("experiment", "created_at", "sample_size", "chunk_size")
+    return evaluation.history_rows(runs, s.select("run", "name", "settings"), summaries).select("experiment", "created_at", "sample_size", F.get_json_object("settings", "$.ingestion.chunk_size").alias("chunk_size"))
 
 
 @oracle(_with("SELECT query_id AS case_id, rank, doc_id::VARCHAR AS id, md5(text) AS md5, round(score, 6) AS score FROM res", "res"))

@@ -61,7 +61,8 @@ def export_history(spark: SparkSession, path: str) -> DataFrame:
 
     metric = lambda k: F.try_element_at("aggregate_metrics", F.lit(k))
     summaries = read(spark, path, "summaries").select("run", "experiment", "query_count", "total_elapsed_ms", metric("evidence_hit_rate@5").alias("hit_rate"), metric("evidence_mrr@5").alias("mrr"))
-    return best_runs(evaluation.history_rows(read(spark, path, "runs"), read(spark, path, "plans"), summaries))
+    best = best_runs(evaluation.history_rows(read(spark, path, "runs"), read(spark, path, "plans"), summaries))
+    return best.select(*(c for c in best.columns if c != "settings"), *evaluation.config_columns())
 
 
 def append_checkpoint(rows: DataFrame, path: str) -> None:

@@ -15,7 +15,8 @@ def start(documents: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
 
     A batch's chunks and history go to folders named by its number, written
     whole, so that a batch that runs again after a failure replaces itself.
-    Documents that an earlier batch has done are left out.
+    Documents whose last batch had the same text are left out; a document that
+    comes again changed is ingested again, see :func:`current`.
     """
     spark = documents.sparkSession
 
@@ -25,8 +26,11 @@ def start(documents: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
         there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
         history = (spark.read.schema(schema).parquet(f"{target}/history") if there else spark.createDataFrame([], schema)).where(F.col("batch") < number)
         once = batch.dropDuplicates(["doc_id"])
+        last = history.groupBy("doc_id").agg(F.max("batch").alias("batch"))
+        history = history.join(last, ["doc_id", "batch"], "left_semi")
         ingest(once, history).write.mode("overwrite").parquet(f"{target}/chunks/batch={number}")
-        done = once.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("file_hash"), "collection", F.lit("success").alias("status"))
+        seen = once.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("file_hash"), "collection", F.lit("success").alias("status"))
+        done = seen.join(history.select("file_hash", "collection"), ["file_hash", "collection"], "left_anti").select(seen.columns)
         done.write.mode("overwrite").parquet(f"{target}/history/batch={number}")
 
     return documents.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from typing import TextIO
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class Tools:
@@ -28,7 +29,7 @@ class Tools:
         wrong = set(arguments) - set(names)
         if wrong:
             raise ValueError(f"{name} has no argument {', '.join(sorted(wrong))}")
-        return [json.loads(x) for x in tool(**arguments).toJSON().collect()]
+        return [json.loads(x[0]) for x in tool(**arguments).select(F.to_json(F.struct("*"))).collect()]
 
     def answer(self, request: dict) -> dict | None:
         """The response to one request; a notification has none."""
