@@ -36,9 +36,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared checkpoint folder, without its lineage."""
+#: Rows of a checkpoint's file, where their number is known beforehand.
+ROWS = 100_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` computed once into the shared checkpoint folder, without its lineage.
+
+    ``rows``, about how many there are, keeps small tables in few files.
+    """
     ensure_checkpoint_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(min(partitions(df.sparkSession), rows // ROWS + 1))
     return df.checkpoint()
 
 
@@ -101,7 +110,7 @@ def star_components(edges: DataFrame) -> DataFrame:
     """
     a, b = F.col("a"), F.col("b")
     now = cut(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
-    seen = None
+    seen, links = None, None
     while True:
         both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -109,11 +118,11 @@ def star_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         linked = large.join(low, "a")
         small = linked.select(b.alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        now = cut(small.where(a != b).distinct())
+        now = cut(small.where(a != b).distinct(), links)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-        seen = mark
+        seen, links = mark, mark[0]  # rounds don't add links
 
 
 def batches(batch: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

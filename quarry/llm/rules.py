@@ -115,17 +115,17 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
     names = ("n_words", "n_repeat_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines")
     kept = docs.drop(*names)
-    both = kept.withColumns({"__w": let(word_list(F.col(text).cast("string")), figures), "__l": let(lines, of_lines)})
-    return both.withColumns(
-        {
-            "n_words": F.col("__w.n_words"),
-            "n_repeat_words": F.col("__w.n_repeat_words"),
-            "word_chars": (F.length(body) - count_of(body, BLANKS)).cast("long"),
-            "n_symbols": count_of(body, SYMBOLS).cast("long"),
-            "n_lines": F.col("__l.n_lines"),
-            "n_dup_lines": F.col("__l.n_dup_lines"),
-        }
-    ).drop("__w", "__l")
+    rest = F.struct(*(F.col(f"`{c}`") for c in kept.columns))  # apart, so that no name meets one used here
+    both = kept.select(rest.alias("row"), body.alias("body"), let(word_list(F.col(text).cast("string")), figures).alias("w"), let(lines, of_lines).alias("l"))
+    return both.select(
+        *(F.col("row").getField(c).alias(c) for c in kept.columns),
+        "w.n_words",
+        "w.n_repeat_words",
+        (F.length("body") - count_of(F.col("body"), BLANKS)).cast("long").alias("word_chars"),
+        count_of(F.col("body"), SYMBOLS).cast("long").alias("n_symbols"),
+        "l.n_lines",
+        "l.n_dup_lines",
+    )
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -14,10 +14,11 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from quarry.llm import bpe, common, lines, multiset, ngrams, queries, rules, shards, simhash, toxicity
+from quarry.llm import bpe, common, lines, mixing, multiset, ngrams, queries, rules, shards, simhash, toxicity
 from quarry.llm import license as licenses
 
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
@@ -648,6 +649,38 @@ def test_toxicity_without_labels(spark, awkward, empty):
     assert toxicity.toxicity(empty, none).count() == 0
 
 
+CLASHING = ("__lo", "__w", "__f", "lost", "row", "key", "cut", "fp", "node", "rate", "tokens", "label", "part", "text_crc32", "shard", "word", "evidence", "n_words", "lo", "hi")
+
+
+def test_long_texts_and_clashing_names(spark):
+    """Texts of two megabytes in one line, in many lines and in one word, beside columns with the operators' inner names."""
+    table = [(1, "word " * 400_000), (2, "a line that is long enough to count\n" * 60_000), (3, "x" * 2_000_000), (4, "a line that is long enough to count"), (5, "a line that is long enough to count")]
+    plain = spark.createDataFrame(table, "doc_id long, text string").repartition(2)
+    wide = plain.select(*(F.lit("z").alias(c) for c in CLASHING), "doc_id", "text")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 1), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    made = {
+        "simhash": lambda d: simhash.near_duplicates(d),
+        "similar": lambda d: simhash.similar_documents(d),
+        "ngrams": lambda d: ngrams.score(d, ngrams.held_out_by()),
+        "toxicity": lambda d: toxicity.toxicity(d, labels).select("doc_id", "score"),
+        "license": lambda d: licenses.license_scan(d).drop("blocks"),
+        "lines": lambda d: lines.dedup_lines(d).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("s"), "n_lines", "n_dropped"),
+        "rules": lambda d: rules.ledger(d).select("doc_id", "failures", "n_words"),
+        "mixing": lambda d: mixing.decided(d, labels).select("doc_id", "n_tokens", F.round("rate", 9).alias("rate")),
+        "multiset": lambda d: multiset.edited_fingerprints(d).select("doc_id", "n_chars", "fingerprint"),
+        "shards": lambda d: shards.sharded(d),
+        "bpe": lambda d: bpe.bpe(d, queries.tokenizer_path()).select("doc_id", F.size("ids").alias("n"), F.sha2(F.col("decoded").cast("binary"), 256).alias("s")),
+    }
+    for name, of in made.items():
+        want, got = rows(of(plain)), rows(of(wide))
+        assert set(got) == {1, 2, 3, 4, 5}, name
+        assert {k: x.asDict() for k, x in got.items()} == {k: {c: x.asDict().get(c) for c in got[k].asDict()} for k, x in want.items()}, name
+    assert rows(ngrams.score(plain, ngrams.held_out_by()))[1]["n_tokens"] == 400_001
+    assert lines.dedup_lines(wide).columns == [*CLASHING, "doc_id", "text", "n_lines", "n_dropped"]
+    assert set(CLASHING) <= set(rules.clean(wide).columns) and set(CLASHING) <= set(mixing.resampled(wide, labels).columns)
+    assert simhash.one_of_each(wide, similarity=0.8).columns == wide.columns
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracle(spark, sf, name):
     got = queries.QUERIES[name](spark, sf).toPandas()
