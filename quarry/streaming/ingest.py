@@ -21,7 +21,7 @@ def start(documents: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     spark = documents.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        schema = "doc_id long, file_hash string, collection string, status string, batch long"
+        schema = f"doc_id {batch.schema['doc_id'].dataType.simpleString()}, file_hash string, collection string, status string, batch long"
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/history")
         there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
         history = (spark.read.schema(schema).parquet(f"{target}/history") if there else spark.createDataFrame([], schema)).where(F.col("batch") < number)
