@@ -45,13 +45,19 @@ def term_table(posts: DataFrame, stats: DataFrame) -> DataFrame:
     return terms.crossJoin(F.broadcast(stats)).select("term", "df", idf(F.col("num_docs"), F.col("df")).alias("idf"), "total_tf")  # one row
 
 
+def index_terms_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (term, df, idf, total_tf) of texts that are tokenised once."""
+    _, terms, stats = indexed(docs, key, text)
+    return terms.crossJoin(F.broadcast(stats)).select("term", "df", idf(F.col("num_docs"), F.col("df")).alias("idf"), "total_tf")  # one row
+
+
 def term_score(tf: Column, length: Column, average: Column, weight: Column) -> Column:
     mean = F.when(average == 0, 1.0).otherwise(average)
     return weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
 def indexed(docs: DataFrame, key: str = "doc_id", text: str = "text", only: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings (key, term, doc_length, tf), terms (term, df) and statistics of texts that are tokenised once.
+    """Postings (key, term, doc_length, tf), terms (term, df, total_tf) and statistics of texts that are tokenised once.
 
     Each document has one row more, without a term and with frequency 0, from
     which the statistics come; postings, terms and statistics share one
@@ -65,9 +71,9 @@ def indexed(docs: DataFrame, key: str = "doc_id", text: str = "text", only: Data
         each = each.join(asked.distinct(), "term", "left_semi")
     every = each.groupBy(key, "term", "doc_length").agg(F.count_if(F.col("term") != NO_TERM).alias("tf"))
     posts = every.where("tf > 0")  # not a condition on the term, which would part the two readers' plans
-    by_term = every.groupBy("term").agg(F.count("*").alias("df"), F.sum("doc_length").alias("length"), F.min("tf").alias("low"))
+    by_term = every.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"), F.sum("doc_length").alias("length"), F.min("tf").alias("low"))
     stats = by_term.where("low = 0").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("num_docs"), F.coalesce(F.sum("length") / F.sum("df"), F.lit(0.0)).alias("avg_doc_length"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_tokens"))
-    return posts, by_term.where("low > 0").select("term", "df"), stats
+    return posts, by_term.where("low > 0").select("term", "df", "total_tf"), stats
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, query: str = "query_id", key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -60,7 +60,7 @@ def _index(tokens):
 
 @query
 def bm25_index(spark, sf):
-    return _index(sparse.tokenised(tables.corpus(spark, sf)))
+    return sparse.index_terms_table(tables.corpus(spark, sf)).withColumn("idf", six("idf"))
 
 
 @query
