@@ -27,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BLANKS, batches, cut, partitions, runs_of, small_batches, utf8
+from quarry.llm.common import BLANKS, batches, partitions, runs_of, small_batches, utf8
 
 STRIP = BLANKS.encode()
 #: Stands for a null doc_id, and so is smaller than any other.
@@ -142,11 +142,12 @@ def dropped_lines(docs: DataFrame, least: int = 20) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x[keep].view(np.int64)) for x in (a, b, d)] + [pa.array(w[keep].astype(np.int32))], names=["lo", "hi", "doc_id", "weight"])
 
     sent = narrow.mapInArrow(packed, "shard int, lo binary, hi binary, doc binary, weight binary").repartition(shards, "shard")
-    rows = cut(sent.mapInArrow(filtered, "lo long, hi long, doc_id long, weight int"))
+    rows = sent.mapInArrow(filtered, "lo long, hi long, doc_id long, weight int")  # two readers, which share the shuffle before it
     sure, open_ = rows.where("weight = 0"), rows.where("weight > 0")
-    count = open_.select("lo", "hi", "doc_id", "weight").distinct().groupBy("lo", "hi").agg(F.max("doc_id").alias("keeper"), F.count_if(F.col("weight") < 3).alias("n"), F.max("weight").alias("w"))
-    confirmed = count.where("w = 3 or n >= 3").select("lo", "hi", "keeper")
-    lost = open_.join(confirmed, ["lo", "hi"]).where("doc_id < keeper")
+    # a key has two records a run of batches at most, however many documents hold it
+    by = Window.partitionBy("lo", "hi")
+    counted = open_.distinct().withColumns({"keeper": F.max("doc_id").over(by), "n": F.count_if(F.col("weight") < 3).over(by), "w": F.max("weight").over(by)})
+    lost = counted.where("(w = 3 or n >= 3) and doc_id < keeper")
     return lost.select("doc_id", "lo", "hi").unionByName(sure.select("doc_id", "lo", "hi")).distinct()
 
 
