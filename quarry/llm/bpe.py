@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import batches, small_batches
 
 #: Distinct stretches between blanks that a worker remembers in each of two generations; it bounds memory, not results.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 15
 #: Below this character the two regex engines agree on letters and digits; others are split by the tokenizers library itself.
 AGREED = "\u0530"
 
@@ -47,6 +47,7 @@ class WordBpe:
     """Encoder and decoder for one vocabulary file."""
 
     def __init__(self, spec: dict):
+        self.content = json.dumps(spec)  # for the library, where it's needed
         model = spec["model"]
         pre = spec["pre_tokenizer"]["pretokenizers"]
         steps = [x["type"] for x in spec["normalizer"]["normalizers"]]
@@ -71,7 +72,6 @@ class WordBpe:
             raise ValueError("another normaliser than supported")  # white space only parts pieces, so it needn't be squeezed
         self.pieces = regex.compile(pre[0]["pattern"]["Regex"])
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.spec = spec
         self.library = None
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
@@ -115,7 +115,7 @@ class WordBpe:
             if self.library is None:
                 from tokenizers import Tokenizer
 
-                self.library = Tokenizer.from_str(json.dumps(self.spec))
+                self.library = Tokenizer.from_str(self.content)
                 self.bytes = {c: b for b, c in self.alphabet.items()}
             plain = self.library.normalizer.normalize_str(stretch)
             found = [bytes(map(self.bytes.__getitem__, x)).decode() for x, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
@@ -179,6 +179,7 @@ def bpe(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
                 every = [model.encode(x or "") for x in part.column(1).to_pylist()]
                 said = [model.decode(x) for x in every]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(every, pa.list_(pa.int32())), pa.array(said, pa.string())], schema=kind)
+        model.young, model.old = {}, {}  # a worker waits for its next task without them
 
     name = narrow.schema["doc_id"].dataType.simpleString()
     return narrow.mapInArrow(encode, f"doc_id {name}, ids array<int>, decoded string").withColumnRenamed("doc_id", key)
