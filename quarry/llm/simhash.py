@@ -17,14 +17,16 @@ tell a similarity of 0.8 from chance in a large corpus, 128 can.
 
 :func:`similar_documents` decides by the exact Jaccard similarity of shingle
 sets: fingerprints only find candidates, with a radius far beyond what such
-pairs differ by, among texts that share one of their smallest shingles.
+pairs differ by, among texts that share one of their smallest shingles, and
+the sets' sizes and bits of 128 minima keep texts apart that only share a
+passage: as candidates those would chain more and more of a growing corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, repeat
-from math import comb
+from math import comb, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quarry.llm.common import batches, cut, partitions, small_batches, star_components, utf8, words
+from quarry.llm.common import ROWS, batches, cut, partitions, small_batches, star_components, utf8, words
 
 SEED = 42
 #: Distinct fingerprints of a bucket that one task compares; larger buckets are dealt out in pairs of parts.
@@ -46,6 +48,8 @@ SIMILAR = 20
 LOWEST = 16
 #: Candidate radii of the set's fingerprints, of 64 and of 128 bits; at a similarity of 0.8 pairs differ by 10 and 19 on average, 3 and 4 standard deviation.
 WIDE, WIDE_BOTH = 28, 48
+#: Minima of a set under as many orders, one bit of each; two sets' bits differ with a chance of (1 - s) / 2.
+MINIMA = 128
 #: Shingles of a candidate component that one task confirms; larger ones are dealt out in pairs of parts.
 PART = 4_000_000
 #: Planes are visited in this order, which spreads over all bands.
@@ -183,20 +187,30 @@ AFTER = np.array([int(ALL) << (q + 1) & int(ALL) for q in range(64)], dtype=np.u
 
 
 class Compare:
-    """When two of some fingerprints link: ``radius`` bits of the first at most, and ``both`` of both together."""
+    """When two of some fingerprints link: ``radius`` bits of the first at most, and ``both`` of both together.
 
-    def __init__(self, fp: np.ndarray, radius: int, second: np.ndarray | None = None, both: int = 128):
-        self.fp, self.radius, self.second, self.both = fp, radius, second, both
+    With ``sets``, which are sizes and bits of minima, sets that can't be
+    similar to ``least`` by them don't link.
+    """
+
+    def __init__(self, fp: np.ndarray, radius: int, second: np.ndarray | None = None, both: int = 128, sets: tuple[np.ndarray, ...] = (), least: float = 0.0):
+        self.fp, self.radius, self.second, self.both, self.sets, self.least = fp, radius, second, both, sets, least
 
     def part(self, at: slice) -> Compare:
-        return Compare(self.fp[at], self.radius, None if self.second is None else self.second[at], self.both)
+        return Compare(self.fp[at], self.radius, None if self.second is None else self.second[at], self.both, tuple(x[at] for x in self.sets), self.least)
 
     def confirmed(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Those of the pairs within the radius that the second fingerprint confirms."""
         if self.second is None or not len(a):
             return a, b
         near_ = np.bitwise_count(self.fp[a] ^ self.fp[b]) + np.bitwise_count(self.second[a] ^ self.second[b]) <= self.both
-        return a[near_], b[near_]
+        a, b = a[near_], b[near_]
+        if self.sets:
+            size, *bits = self.sets
+            near_ = np.minimum(size[a], size[b]) >= (self.least - 1e-9) * np.maximum(size[a], size[b])
+            near_ &= sum(np.bitwise_count(x[a] ^ x[b]) for x in bits) <= spread(self.least)
+            a, b = a[near_], b[near_]
+        return a, b
 
     def ball(self, seed: int) -> np.ndarray:
         found = np.nonzero(np.bitwise_count(self.fp ^ self.fp[seed]) <= self.radius)[0]
@@ -295,10 +309,18 @@ def links(distinct: DataFrame, radius: int, bands: int | None = None, bucket: in
     return met(rows, radius, bucket, both)
 
 
-def met(rows: DataFrame, radius: int, bucket: int = BUCKET, both: int | None = None) -> DataFrame:
-    """A spanning forest (a, b) of the links of each bucket; ``rows`` has ``band``, ``key``, ``node`` and the fingerprints."""
-    own_columns = ["node", "fp", *(["fp2"] if both else [])]
-    heavy = rows.groupBy("band", "key").count().where(F.col("count") > bucket).select("band", "key", F.ceil(F.col("count") / bucket).cast("int").alias("parts"))
+def met(rows: DataFrame, radius: int, bucket: int = BUCKET, both: int | None = None, counts: DataFrame | None = None, least: float | None = None) -> DataFrame:
+    """A spanning forest (a, b) of the links of each bucket; ``rows`` has ``band``, ``key``, ``node`` and the fingerprints.
+
+    ``counts`` are the buckets' (band, key, count), if they are computed already.  With ``both``
+    and ``least`` rows have ``size``, ``bits`` and ``bits2`` too, and only
+    links stay that these allow.
+    """
+    own_columns = ["node", "fp", *(["fp2"] if both else []), *(["size", "bits", "bits2"] if both and least else [])]
+    heavy = rows.groupBy("band", "key").count() if counts is None else counts
+    heavy = heavy.where(F.col("count") > bucket).select("band", "key", F.ceil(F.col("count") / bucket).cast("int").alias("parts"))
+    if counts is not None and heavy.count() <= ROWS:  # else the rows would travel once more for a few large buckets
+        heavy = F.broadcast(heavy)
     rows = rows.join(heavy, ["band", "key"], "left")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     others = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
@@ -324,7 +346,7 @@ def met(rows: DataFrame, radius: int, bucket: int = BUCKET, both: int | None = N
     def linked(group: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
         node, *prints = columns
         prints = [np.ascontiguousarray(x).view(np.uint64) for x in prints]
-        a, b = forest(group, Compare(prints[0], radius, *([prints[1], both] if both else [])))
+        a, b = forest(group, Compare(prints[0], radius, *([prints[1], both, tuple(prints[2:]), least or 0.0] if both else [])))
         return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
     return rows.mapInArrow(compared, "a long, b long")
@@ -374,6 +396,24 @@ def remixed(hashes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: The orders: the hashes times each of these odd numbers.
+ORDERS = remixed(np.arange(MINIMA, dtype=np.uint64)) | np.uint64(1)
+
+
+def minima_bits(hashes: np.ndarray) -> list[int]:
+    """One bit of a set's smallest element in each of :data:`MINIMA` orders, 64 to a number."""
+    low = np.full(MINIMA, ALL)
+    for at in range(0, len(hashes), 256):
+        low = np.minimum(low, (hashes[at : at + 256, None] * ORDERS).min(axis=0))
+    return np.packbits(np.bitwise_count(low) & 1, bitorder="little").view(np.uint64).tolist()
+
+
+def spread(least: float) -> float:
+    """Bits of the minima by which sets of that similarity differ at most: 8 standard deviations beyond the mean (at 0.8, 40 bits and a chance of 1e-11 of more)."""
+    p = (1 - least) / 2
+    return MINIMA * p + 8 * sqrt(MINIMA * p * (1 - p)) + 0.5
+
+
 def set_node(found: np.ndarray) -> int:
     """The 64-bit name of a shingle set."""
     return signed(xxhash.xxh64_intdigest(found.tobytes(), SEED))
@@ -402,53 +442,62 @@ def similar(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarra
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """One row (doc_id, node, size, fp, fp2, low) for each row of ``docs``: its shingle set's name, size, SimHashes and smallest hashes."""
+    """One row for each row (doc_id, text) of ``docs``: doc_id, the text's hash ``digest``, and of its shingle set the name ``node``, size, SimHashes, bits of minima and smallest hashes."""
+    names = ["node", "size", "fp", "fp2", "bits", "bits2"]
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
 
     def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
-            out = []
+            out, low = [], []
             for text in utf8(batch.column(1)):
                 found = shingle_set(text, shingle)
-                again = remixed(found)
-                fp, fp2 = (majority(found), majority(again)) if len(found) else (0, 0)
-                out.append((set_node(found), len(found), signed(fp), signed(fp2), found[:LOWEST].view(np.int64)))
-            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "node", "size", "fp", "fp2", "low"])
+                prints = (majority(found), majority(remixed(found))) if len(found) else (0, 0)
+                out.append((set_node(found), len(found), *map(signed, (*prints, *minima_bits(found)))))
+                low.append(found[:LOWEST].view(np.int64))
+            columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, pa.array(low, pa.list_(pa.int64()))], names=["doc_id", "digest", *names, "low"])
+
+    return docs.mapInArrow(made, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest long, " + ", ".join(f"{n} long" for n in names) + ", low array<long>")
+
 
-    return docs.mapInArrow(made, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, size long, fp long, fp2 long, low array<long>")
+def candidate_links(distinct: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that connect the sets that may be similar to ``least``; ``distinct`` has each set's sketch once.
+
+    Most sets' smallest shingles are theirs alone, so only keys travel until it's known which are shared.
+    """
+    keys = distinct.select("node", F.explode("low").alias("key"))
+    shared = cut(keys.groupBy("key").count().where("count > 1").withColumn("band", F.lit(0)))
+    rows = keys.join(shared.select("key", "band"), "key").join(distinct.select("node", "fp", "fp2", "size", "bits", "bits2"), "node")
+    return met(rows, WIDE, both=WIDE_BOTH, counts=shared, least=least)
 
 
 def confirmed_links(docs: DataFrame, distinct: DataFrame, roots: DataFrame, least: float, shingle: int, part: int = PART) -> DataFrame:
     """Links (a, b) that connect exactly the sets that similarities of at least ``least`` connect within each candidate component.
 
-    Each set travels once, and once for each part where its component has more
-    than ``part`` shingles: then every two parts meet in a task of their own.
+    Of each set one text (doc_id ``least``, hash ``digest``) travels, as a text
+    takes less than half of its set's space: once, and once for each part where
+    its component has more than ``part`` shingles: then every two parts meet in
+    a task of their own.
     """
-    wanted = cut(distinct.join(roots, "node").select("node", "root", "size", "least"))
+    wanted = cut(distinct.join(roots, "node").select("node", "root", "size", "least", "digest"))
     heavy = wanted.groupBy("root").agg(F.ceil(F.sum("size") / part).cast("int").alias("parts")).where("parts > 1")
     wanted = wanted.join(heavy, "root", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.lit(0)))
-    ids = wanted.select(F.col("least").alias("doc_id")).distinct()
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
-
-    def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
-            sets = [shingle_set(x, shingle) for x in utf8(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([set_node(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "hashes"])
-
-    sets = texts.mapInArrow(made, "node long, hashes binary").join(wanted.select("node", "root", "own", "parts"), "node")
+    same = docs["doc_id"].eqNullSafe(wanted["least"]) & (F.xxhash64(docs["text"]) == wanted["digest"])
+    texts = docs.join(wanted, same).select("root", "own", "parts", "node", "text")
     others = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    rows = sets.withColumn("other", F.explode(others)).select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "hashes")
+    rows = texts.withColumn("other", F.explode(others)).select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "text")
     rows = rows.repartition(partitions(docs.sparkSession), "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "node")
 
     def compared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, {}
         for batch in batches(rows):
             found: list[tuple[int, int]] = []
-            for root, lo, hi, node, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for root, lo, hi, node, text in zip(*(c.to_pylist() for c in batch.columns[:4]), utf8(batch.column(4)), strict=True):
                 if at != (root, lo, hi):
                     found += linked(held)
                     at, held = (root, lo, hi), {}
-                held[node] = np.frombuffer(hashes, np.uint64)  # of texts with equal sets, one
+                if node not in held:  # of repeated rows, one
+                    held[node] = shingle_set(text, shingle)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], names=["a", "b"])
         found = linked(held)
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], names=["a", "b"])
@@ -466,15 +515,18 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
 
     Links are the pairs whose sets of shingles have a Jaccard similarity of at
     least ``similarity`` over the whole texts, up to collisions of 64-bit
-    hashes.  Candidates share one of their :data:`LOWEST` smallest shingles and
-    lie within :data:`WIDE` and :data:`WIDE_BOTH` bits; all sets of a candidate
-    component are then held against each other.  Texts without words are alike.
+    hashes.  Candidates share one of their :data:`LOWEST` smallest shingles, lie
+    within :data:`WIDE` and :data:`WIDE_BOTH` bits and have sizes and minima
+    that allow it; all sets of a candidate component are then held against
+    each other.  Texts without words are alike.
     """
     narrow = small_batches(docs).select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = cut(sketches(narrow, shingle))
-    distinct = cut(found.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "fp", "fp2", "low"))))
-    rows = distinct.select("node", "fp", "fp2", F.explode("low").alias("key")).withColumn("band", F.lit(0))
-    candidates = star_components(met(rows, WIDE, both=WIDE_BOTH))
+    text_of = F.struct("doc_id", "digest")
+    text_of = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), text_of)), F.min(text_of))  # a null key only where there is no other
+    distinct = found.groupBy("node").agg(text_of.alias("text_of"), *(F.first(c).alias(c) for c in ("size", "fp", "fp2", "bits", "bits2", "low")))
+    distinct = cut(distinct.withColumns({"least": F.col("text_of.doc_id"), "digest": F.col("text_of.digest")}).drop("text_of"))
+    candidates = star_components(candidate_links(distinct, similarity))
     candidates = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())  # the smallest nodes, too
     roots = star_components(confirmed_links(narrow, distinct, candidates, similarity, shingle))
     nodes = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -208,6 +208,52 @@ def test_simhash_exact_similarity(spark, docs, awkward, empty):
     assert simhash.one_of_each(empty, similarity=0.8).count() == 0
 
 
+def test_simhash_candidates_do_not_chain(spark, monkeypatch):
+    """Texts that only share a passage are no candidates: else most of a large corpus is one component, sent once for each of its parts."""
+    r = random.Random(3)
+
+    def drawn(n):
+        return [f"w{r.randrange(10**6)}" for _ in range(n)]
+
+    def changed(i, n):
+        return " ".join([*table[i][1].split()[:-n], *drawn(n)])
+
+    passage = drawn(40)
+    table = [(i, " ".join([*drawn(100), *passage, *drawn(160)])) for i in range(240)]
+    near = [(1000 + i, changed(i, 20)) for i in range(20)]
+    near += [(5000, changed(30, 5)), (5000, changed(31, 5)), (None, changed(32, 5))]  # a repeated key and a null one
+    alone = drawn(300)
+    near += [(None, " ".join(alone)), (None, " ".join(alone[:-5])), (7000, changed(33, 70))]
+    want = Counter([(i, i) for i in range(240)] + [(1000 + i, i) for i in range(20)] + [(5000, 30), (5000, 31), (None, 32), (None, None), (None, None), (7000, 7000)])
+    seen = []
+    confirmed = simhash.confirmed_links
+
+    def watched(docs, distinct, roots, *rest):
+        seen.extend(x["count"] for x in roots.groupBy("root").count().collect())
+        return confirmed(docs, distinct, roots, *rest)
+
+    monkeypatch.setattr(simhash, "confirmed_links", watched)
+    many = spark.createDataFrame(table + near, "doc_id long, text string").repartition(3)
+    assert Counter((x["doc_id"], x["component_id"]) for x in simhash.similar_documents(many).collect()) == want
+    assert len(seen) >= 24 and max(seen) <= 4
+
+
+def test_minima_bits():
+    """Bits of the minima differ for half of what the sets don't share; similar sets stay within the spread."""
+    g = np.random.default_rng(4)
+    for n in (9, 90, 2000):
+        for similarity in (0.8, 0.2):
+            far = []
+            for _ in range(300):
+                x = g.integers(0, 2**64, n, np.uint64)
+                own = round(n * (1 - similarity) / 2)  # of each of the two; all others are shared
+                a, b = simhash.minima_bits(x[own:]), simhash.minima_bits(x[: n - own])
+                far.append(sum((i ^ j).bit_count() for i, j in zip(a, b, strict=True)))
+            assert abs(np.mean(far) - 128 * own / n) < 1.5
+            assert similarity < 0.8 or max(far) <= simhash.spread(0.8)
+    assert simhash.minima_bits(np.zeros(0, np.uint64)) == [0, 0]
+
+
 def counted_trigrams(texts):
     """Counts of words, pairs and trigrams of tokenised training texts, whose contexts are padded with two end tokens."""
     one, two, three = Counter(), Counter(), Counter()
