@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import tool_summary, tool_title
 from quarry.operators.catalog import normalised_tags
-from quarry.operators.frames import small
 
 #: Metadata that a summary doesn't repeat.
 HIDDEN = ("source_ref", "chunk_index", "start_offset", "end_offset", "_placeholder", "text", "title", "summary", "tags", "source_path", "source")
@@ -35,6 +34,31 @@ def summary_tags(metadata: Column) -> Column:
     return F.when(kind.isNull() | F.array_contains(tags, kind), tags).otherwise(F.array_append(tags, kind))
 
 
+#: Ids are looked for in chunk ids by length and a hash of their first and last characters, so many hashes.
+SHAPES = 64
+
+
+def shape(part: Column) -> Column:
+    """A whole number for a text's length and its first and last characters; equal texts have equal ones."""
+    ends = F.concat(F.substring(part, 1, 1), F.substring(part, -1, 1))
+    return F.length(part) * SHAPES + F.pmod(F.hash(ends), F.lit(SHAPES))
+
+
+def held_ids(named: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``named`` (chunk_id, ...) with each of the distinct ``ids`` (doc_id) that its chunk_id holds.
+
+    The parts of a chunk_id that are as long as some id, and begin and end like
+    one, are joined with the ids by equality, so rows grow with the chunks and
+    not with chunks times ids.
+    """
+    shapes = ids.agg(F.collect_set(shape(F.col("doc_id"))).alias("__shapes"), F.collect_set(F.length("doc_id")).alias("__lengths"))  # one row, of the ids' kinds
+    of_length = lambda n: F.transform(F.sequence(F.lit(1), F.length("chunk_id") - n + 1), lambda i: F.substring(F.col("chunk_id"), i, n))
+    parts = F.flatten(F.transform(F.filter("__lengths", lambda n: n <= F.length("chunk_id")), of_length))
+    held = F.array_distinct(F.filter(parts, lambda p: F.array_contains("__shapes", shape(p))))
+    each = named.where("chunk_id IS NOT NULL").crossJoin(F.broadcast(shapes)).withColumn("doc_id", F.explode(held)).drop("__shapes", "__lengths")
+    return each.join(ids, "doc_id")
+
+
 def document_chunks(asked: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks (chunk_id, text, metadata map, chunk_index) of the asked doc_ids, with doc_id.
 
@@ -43,9 +67,8 @@ def document_chunks(asked: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     own = chunks.withColumn("doc_id", F.try_element_at("metadata", F.lit("source_ref")))
     by_ref = own.join(asked.select("doc_id").distinct(), "doc_id")
-    rest = asked.select("doc_id").distinct().join(own.select("doc_id").distinct(), "doc_id", "left_anti")
-    by_id = chunks.join(F.broadcast(rest) if small(rest) else rest, F.contains("chunk_id", "doc_id"))  # few asked for, against the chunks
-    return by_ref.unionByName(by_id)
+    rest = asked.where("doc_id IS NOT NULL").select("doc_id").distinct().join(own.select("doc_id").distinct(), "doc_id", "left_anti")
+    return by_ref.unionByName(held_ids(chunks, rest))
 
 
 def document_summaries(asked: DataFrame, chunks: DataFrame) -> DataFrame:

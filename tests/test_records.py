@@ -286,3 +286,13 @@ def test_dense_ties(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id long, vector array<float>")
     got = dense.dense_topk(q, v.repartition(5), 7).collect()
     assert sorted(x["vec_id"] for x in got) == list(range(7)) and all(math.isclose(x["score"], 1) for x in got)
+
+
+def test_ids_held_in_chunk_ids(spark):
+    """Chunks of documents without a reference are found by equality of parts, not by each chunk against each document."""
+    names, parts = ["a", "ab", "", "abc", "b_", "日本", "aa", "zz9", "\U0001f600"], ["a", "", "abcab", "b_b_", "日本日x", "aaaa", None, "\U0001f600a", "zz9"]
+    asked, named = (spark.createDataFrame([(x,) for x in xs], f"{c} string") for xs, c in ((names, "doc_id"), (parts, "chunk_id")))
+    rows = named.select("chunk_id", F.lit("t").alias("text"), F.create_map().cast("map<string,string>").alias("metadata"), F.lit(0).alias("chunk_index"))
+    found = answers.document_chunks(asked, rows)
+    assert sorted((x["chunk_id"], x["doc_id"]) for x in found.collect()) == sorted((c, d) for c in parts if c is not None for d in names if d in c)
+    assert "Contains(" not in found._jdf.queryExecution().optimizedPlan().toString()
