@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import evidence_text, text_matches
+from quarry.operators.frames import small
 
 
 def hit_and_mrr(retrieved: DataFrame, truth: DataFrame, case: str = "case_id", item: str = "doc_id") -> DataFrame:
@@ -40,26 +46,111 @@ def counted(texts: DataFrame, key: list[str], text: str, name: str) -> DataFrame
     return texts.select(*key, F.explode(words).alias("token")).groupBy(*key, "token").agg(F.count("*").alias(name))
 
 
+#: Texts and characters of a block at most; counters that a meeting of two blocks handles at once.
+TEXTS, CHARACTERS, AT_ONCE = 1024, 4 << 20, 2 << 20
+
+
+def word_blocks(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (keys, bodies): normalised texts packed by some MB, those of one key in one."""
+    body = F.array_join(F.collect_list("__body"), " ").alias("__body")
+    whole = texts.select(key, evidence_text(F.col(text)).alias("__body")).groupBy(key).agg(body).where("__body <> ''")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, bodies = batch.column(0), batch.column(1)
+            ends = np.cumsum(pc.utf8_length(bodies).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < len(ends):
+                most = (ends[at - 1] if at else 0) + CHARACTERS
+                end = min(at + TEXTS, max(at + 1, int(np.searchsorted(ends, most, "right"))))
+                yield pa.RecordBatch.from_arrays([one_list(keys.slice(at, end - at)), one_list(bodies.slice(at, end - at))], names=["keys", "bodies"])
+                at = end
+
+    return whole.mapInArrow(pack, f"keys array<{whole.schema[key].dataType.simpleString()}>, bodies array<string>")
+
+
+def one_list(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def words_of(bodies: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The numbers of the texts, and their tokens."""
+    parts = pc.split_pattern(bodies, " ")
+    owner, words = pc.list_parent_indices(parts).to_numpy(), parts.flatten()
+    some = pc.not_equal(words, "")
+    return owner[some.to_numpy(zero_copy_only=False)], words.filter(some)
+
+
+def times(owner: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owners and tokens in order, and how often the owner had the token before."""
+    order = np.lexsort((token, owner))
+    owner, token = owner[order], token[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])
+    first = np.nonzero(new)[0]
+    return owner, token, np.arange(len(owner)) - first[np.cumsum(new) - 1]
+
+
+def common_counts(references: pa.Array, contexts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of tokens that each context shares with each reference, as multisets, and the references' own numbers.
+
+    The n-th occurrence of a token is a feature of its own, so that sharing
+    features is sharing tokens as multisets.
+    """
+    owner, words = words_of(references)
+    coded = words.dictionary_encode()
+    owner, token, before = times(owner, coded.indices.to_numpy())
+    most = np.zeros(len(coded.dictionary), np.int64)
+    np.maximum.at(most, token, before + 1)
+    base = np.concatenate(([0], np.cumsum(most)))
+    feature = base[token] + before
+    order = np.argsort(feature, kind="stable")
+    holders, start = owner[order], np.searchsorted(feature[order], np.arange(base[-1] + 1))
+    c_owner, c_words = words_of(contexts)
+    known = pc.index_in(c_words, value_set=coded.dictionary)
+    there = pc.is_valid(known).to_numpy(zero_copy_only=False)
+    c_owner, c_token, c_before = times(c_owner[there], known.drop_null().to_numpy())
+    kept = c_before < most[c_token]
+    c_owner, c_feature = c_owner[kept], base[c_token[kept]] + c_before[kept]
+    lengths = start[c_feature + 1] - start[c_feature]
+    ends = np.cumsum(lengths)
+    n = len(references)
+    common = np.zeros(len(contexts) * n, np.int64)
+    at = 0
+    while at < len(ends):  # features of contexts, as many as their holders fill a piece
+        done = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, done + AT_ONCE, "right")))
+        some = lengths[at:end]
+        where = np.arange(some.sum()) + np.repeat(start[c_feature[at:end]] - (ends[at:end] - some - done), some)
+        pairs = np.repeat(c_owner[at:end] * n, some) + holders[where]
+        low = int(c_owner[at]) * n  # contexts come in order
+        high = (int(c_owner[end - 1]) + 1) * n
+        common[low:high] += np.bincount(pairs - low, minlength=high - low)
+        at = end
+    return common.reshape(len(contexts), n), np.bincount(owner, minlength=n)
+
+
 def coverage(references: DataFrame, contexts: DataFrame, reference: str, context: str, least: float = 0.5) -> DataFrame:
     """Rows (reference, context, coverage) of the pairs whose context has at least a share ``least`` of the reference's tokens, as multisets.
 
-    Tokens are ordered by their number of contexts.  A context that reaches the
-    threshold holds one of the reference's rarest tokens, beyond which less than
-    the needed number is left; only these meet the contexts, so tokens that all
-    contexts share join nothing.  The pairs met are then counted exactly.
+    Blocks of contexts meet blocks of references, which are broadcast if the
+    optimizer knows that they are few.  A meeting counts the common tokens of
+    its pairs in memory and gives back those that reach the threshold, so pairs
+    that do not are neither shuffled nor written.
     """
-    r = counted(references, [reference], "text", "n1")
-    c = counted(contexts, [context], "text", "n2")
-    df = c.groupBy("token").agg(F.count("*").alias("df"))
-    rarest = Window.partitionBy(reference).orderBy("df", "token")
-    rows = r.join(df, "token", "left").withColumns({"df": F.coalesce("df", F.lit(0)), "total": F.sum("n1").over(Window.partitionBy(reference))})
-    before = F.sum("n1").over(rarest.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n1")
-    need = F.ceil(least * F.col("total") - 1e-9)
-    # what is left from this token on could still reach the threshold
-    prefix = rows.withColumn("before", before).where((F.col("df") > 0) & (F.col("total") - F.col("before") >= need)).select(reference, "token")
-    met = prefix.join(c.select("token", context), "token").select(reference, context).distinct()
-    common = met.join(rows.select(reference, "token", "n1", "total"), reference).join(c, [context, "token"]).groupBy(reference, context).agg(F.sum(F.least("n1", "n2")).alias("common"), F.first("total").alias("total"))
-    return common.where(F.col("common") >= F.ceil(least * F.col("total") - 1e-9)).select(reference, context, (F.col("common") / F.col("total")).alias("coverage"))
+    r = word_blocks(references.where(F.col(reference).isNotNull()), reference, "text").select(F.col("keys").alias("r_keys"), F.col("bodies").alias("r_bodies"))
+    met = word_blocks(contexts, context, "text").crossJoin(F.broadcast(r) if small(references) else r)  # blocks, not rows
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, bodies, r_keys, r_bodies = (batch.column(c)[i].values for c in range(4))
+                common, total = common_counts(r_bodies, bodies)
+                row, column = np.nonzero((common > 0) & (common >= np.ceil(least * total - 1e-9)))
+                yield pa.RecordBatch.from_arrays([r_keys.take(pa.array(column)), keys.take(pa.array(row)), pa.array(common[row, column] / total[column])], names=[reference, context, "coverage"])
+
+    kinds = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for d, c in ((references, reference), (contexts, context)))
+    return met.mapInArrow(count, f"{kinds}, coverage double")
 
 
 def answer_scores(answers: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,7 @@ import math
 import random
 import tarfile
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from quarry import plugins, tools
 from quarry.functions import ids, text
 from quarry.functions import query as qf
-from quarry.operators import chunks, dense, evaluation, frames, index, ingest, sparse, traces
+from quarry.operators import chunks, dense, evaluation, frames, index, ingest, metrics, sparse, traces
 from quarry.operators import tools as answers
 from quarry.plans import search
 from quarry.sources import files, runs, sinks
@@ -296,3 +297,17 @@ def test_ids_held_in_chunk_ids(spark):
     found = answers.document_chunks(asked, rows)
     assert sorted((x["chunk_id"], x["doc_id"]) for x in found.collect()) == sorted((c, d) for c in parts if c is not None for d in names if d in c)
     assert "Contains(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_coverage_meets_in_blocks(spark, monkeypatch):
+    """Pairs below the threshold are counted in memory: no join of tokens, whatever the texts share."""
+    monkeypatch.setattr(metrics, "AT_ONCE", 7)
+    draw = random.Random(3)
+    texts = lambda n, most: {i: " ".join(draw.choices(["a", "b", "c", "d", "É", "f."], k=draw.randrange(most))) for i in range(n)}
+    want, given = texts(30, 9), texts(70, 14)
+    refs, docs = (spark.createDataFrame([*x.items()], f"{k} long, text string").repartition(3) for x, k in ((want, "r"), (given, "c")))
+    got = metrics.coverage(refs, docs, "r", "c")
+    words = lambda t: Counter(t.lower().replace(".", "").split())
+    shares = {(r, c): (words(a) & words(b)).total() / words(a).total() for r, a in want.items() for c, b in given.items() if a}
+    assert {(x["r"], x["c"]): round(x["coverage"], 9) for x in got.collect()} == {p: round(s, 9) for p, s in shares.items() if s >= 0.5}
+    assert "Join Inner" not in got._jdf.queryExecution().optimizedPlan().toString()
