@@ -191,9 +191,40 @@ def number_or_zero(value: Column, whole: bool = False) -> Column:
     return found.cast("long") if whole else found
 
 
+def half_even(value: Column, digits: int) -> Column:
+    """A double rounded as floats are: its multiple by a power of ten to the nearest whole number, halves to the even one."""
+    scaled = F.rint(value.cast("double") * 10.0**digits)
+    return F.when(F.abs(value) < 2.0**52, scaled / 10.0**digits).otherwise(value)
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """A double with ``digits`` decimals by its exact binary value, halves to even, as C and Python print it.
+
+    Java rounds the shortest decimal instead, by which 0.35 is a half.  The
+    product by the power of ten is kept as the sum of two doubles; from 2**52
+    on it is printed as Java does.
+    """
+    size, scale = F.abs(value.cast("double")), 10.0**digits
+
+    def split(x: Column) -> tuple[Column, Column]:
+        high = x * 134217729.0 - (x * 134217729.0 - x)
+        return high, x - high
+
+    (high, low), (scale_high, scale_low) = split(size), split(F.lit(scale))
+    product = size * scale
+    rest = high * scale_high - product + high * scale_low + low * scale_high + low * scale_low
+    whole = F.floor(product)
+    beyond = product - whole - 0.5
+    up = (beyond > 0) | ((beyond == 0) & ((rest > 0) | ((rest == 0) & (whole % 2 == 1))))
+    n = whole + F.when(up, 1).otherwise(0)
+    sign = F.when(value < 0, "-").otherwise("")
+    shown = F.concat(sign, F.floor(n / scale).cast("long").cast("string"), F.lit("."), F.lpad((n % int(scale)).cast("long").cast("string"), digits, "0"))
+    return F.when(product < 2.0**52, shown).otherwise(F.format_string(f"%.{digits}f", value.cast("double")))
+
+
 def duration(ms: Column) -> Column:
     """Milliseconds to read: seconds from 1000 on."""
-    return F.when(ms >= 1000, F.format_string("%.2f s", ms / 1000)).otherwise(F.format_string("%.1f ms", ms))
+    return F.when(ms >= 1000, F.concat(fixed(ms / 1000, 2), F.lit(" s"))).otherwise(F.concat(fixed(ms, 1), F.lit(" ms")))
 
 
 #: Factors of number suffixes.

@@ -131,3 +131,11 @@ def test_registry():
         r.create("other")
     with pytest.raises(TypeError):
         r.register("x", 3)
+
+
+def test_fixed_prints_the_exact_value(spark):
+    """By the exact binary value, which Java's shortest decimal rounds otherwise; true halves go to even."""
+    values = [0.35, 0.45, 33.65, 278.25, 1.005, 2.675, 0.125, 0.375, -33.65, -0.04, 0.0, 9.95, 0.999, 12345.678]
+    rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", text.fixed(F.col("x"), 1).alias("one"), text.fixed(F.col("x"), 2).alias("two"), text.duration(F.col("x")).alias("shown")).collect()
+    assert [(r["one"], r["two"]) for r in rows] == [(f"{r['x']:.1f}", f"{r['x']:.2f}") for r in rows]
+    assert [r["shown"] for r in rows] == [f"{r['x'] / 1000:.2f} s" if r["x"] >= 1000 else f"{r['x']:.1f} ms" for r in rows]
