@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.text import fixed, half_even
 from quarry.operators.tools import first_present
 
 #: Metadata that citations carry.
@@ -16,12 +17,12 @@ def citations(results: DataFrame) -> DataFrame:
     meta = lambda k: F.try_element_at("metadata", F.lit(k))
     page = F.coalesce(F.nullif(meta("page"), F.lit("")), meta("page_num")).try_cast("int")
     cited = F.map_filter("metadata", lambda k, _: k.isin(*CITED))
-    return results.select("query_id", F.col("rank").alias("index"), "chunk_id", F.coalesce(meta("source_path"), F.lit("unknown")).alias("source"), F.bround("score", 4).alias("score"), page.alias("page"), cited.alias("cited"))
+    return results.select("query_id", F.col("rank").alias("index"), "chunk_id", F.coalesce(meta("source_path"), F.lit("unknown")).alias("source"), half_even(F.col("score"), 4).alias("score"), page.alias("page"), cited.alias("cited"))
 
 
 def payload(results: DataFrame, queries: DataFrame) -> DataFrame:
     """One row for each query (query_id, query): result_count, is_empty and the results as an array in rank order."""
-    one = F.struct("rank", "chunk_id", F.bround("score", 6).alias("score"), F.coalesce("text", F.lit("")).alias("text"), F.map_filter("metadata", lambda k, _: k != "text").alias("metadata"))
+    one = F.struct("rank", "chunk_id", half_even(F.col("score"), 6).alias("score"), F.coalesce("text", F.lit("")).alias("text"), F.map_filter("metadata", lambda k, _: k != "text").alias("metadata"))
     listed = results.groupBy("query_id").agg(F.count("*").alias("result_count"), F.collect_list(one).alias("results"))
     joined = queries.join(listed, "query_id", "left")
     ordered = F.array_sort("results", lambda a, b: a["rank"] - b["rank"])
@@ -61,7 +62,7 @@ def serialised(results: DataFrame) -> DataFrame:
         "chunk_id",
         F.coalesce("text", F.lit("")).alias("text"),
         there(F.map_from_arrays(F.array(*map(F.lit, source)), F.array(*source.values()))).alias("source"),
-        there(F.map_from_arrays(F.array(*map(F.lit, scores)), F.array(*(F.bround(v, 6) for v in scores.values())))).alias("scores"),
+        there(F.map_from_arrays(F.array(*map(F.lit, scores)), F.array(*(half_even(v, 6) for v in scores.values())))).alias("scores"),
         F.map_filter("metadata", lambda k, _: k != "text").alias("metadata"),
     )
 
@@ -88,7 +89,7 @@ def rendered(results: DataFrame, form: str = "xml") -> DataFrame:
     if form not in ("xml", "markdown"):
         raise ValueError("a response is xml, json or markdown")
     rank, source, page = F.col("rank").cast("string"), F.coalesce(F.try_element_at("source", F.lit("path")), F.lit("unknown")), F.try_element_at("source", F.lit("page_start"))
-    score = F.format_string("%.4f", F.bround(F.try_element_at("scores", F.lit("final")), 4))
+    score = fixed(half_even(F.try_element_at("scores", F.lit("final")), 4), 4)
     if form == "xml":
         one = F.concat(F.lit('<result rank="'), rank, F.lit('" chunk_id="'), attribute(F.col("chunk_id")), F.lit('" score="'), score, F.lit('" source="'), attribute(source), F.lit('"'), F.coalesce(F.concat(F.lit(' page="'), attribute(page), F.lit('"')), F.lit("")), F.lit(">"), cdata(F.col("text")), F.lit("</result>"))
     else:

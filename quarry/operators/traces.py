@@ -13,6 +13,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.text import half_even
 from quarry import schemas
 
 INGESTION = ("load", "split", "transform", "embed", "upsert")
@@ -101,7 +102,7 @@ def stage_chunks(stages: DataFrame, finals: DataFrame) -> DataFrame:
 def snapshot(results: DataFrame) -> DataFrame:
     """Results as a trace keeps them: query_id, chunk_id, score to four digits, text, source."""
     meta = lambda k: F.try_element_at("metadata", F.lit(k))
-    return results.select("query_id", "rank", "chunk_id", F.bround("score", 4).alias("score"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(meta("source_path"), meta("source"), F.lit("")).alias("source"))
+    return results.select("query_id", "rank", "chunk_id", half_even(F.col("score"), 4).alias("score"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(meta("source_path"), meta("source"), F.lit("")).alias("source"))
 
 
 class Recorder:

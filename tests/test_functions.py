@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry import plugins
 from quarry.functions import ids, query, replies, text
-from quarry.operators import catalog
+from quarry.operators import catalog, response
 from quarry.operators.chunks import split_recursively
 
 
@@ -139,3 +139,11 @@ def test_fixed_prints_the_exact_value(spark):
     rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", text.fixed(F.col("x"), 1).alias("one"), text.fixed(F.col("x"), 2).alias("two"), text.duration(F.col("x")).alias("shown")).collect()
     assert [(r["one"], r["two"]) for r in rows] == [(f"{r['x']:.1f}", f"{r['x']:.2f}") for r in rows]
     assert [r["shown"] for r in rows] == [f"{r['x'] / 1000:.2f} s" if r["x"] >= 1000 else f"{r['x']:.1f} ms" for r in rows]
+
+
+def test_half_even_rounds_the_scaled_double(spark):
+    """16.93305 times 10,000 is 169330.50000000003, no half; as a decimal it would go to the even 16.933."""
+    values = [16.93305, 32.70175, 36.15485, 2.48085, 0.00005, -2.48085, 1e300]
+    rows = spark.createDataFrame([(0, i, str(i), x, "t", {"source_path": "p"}) for i, x in enumerate(values)], "query_id long, rank int, chunk_id string, score double, text string, metadata map<string,string>")
+    assert [x["v"] for x in rows.select(text.half_even(F.col("score"), 4).alias("v")).collect()] == [round(x * 1e4) / 1e4 if x < 1e15 else x for x in values]
+    assert 'score="16.9331"' in response.rendered(rows.where("rank = 0")).first()["content"]
