@@ -19,6 +19,12 @@ def small(df: DataFrame, most: int = BROADCAST) -> bool:
     return estimated_bytes(df) <= most
 
 
+def dealt(df: DataFrame, *keys: str, piece: int = 16 << 20, most: int = 2000) -> DataFrame:
+    """``df`` dealt out by ``keys``, in as many pieces as Spark is set to and more for a large input (by the optimizer's estimate, some MB each)."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, min(most, estimated_bytes(df) // piece)), *keys)
+
+
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """``rows`` with ``position`` from 0 in an order, by counts of range pieces instead of one sorted partition."""
     ranged = rows.repartitionByRange(*order).withColumn("__piece", F.spark_partition_id())
