@@ -1,10 +1,12 @@
 """The stored inverted index: built once, read by the terms that queries ask for.
 
-Three tables lie under one path.  ``postings`` (term, key, tf, doc_length, df)
+Three tables lie under one path.  ``postings`` (term, key, tf, doc_length)
 is partitioned into buckets by a hash of the term and sorted by term within its
 files, so a search opens the buckets of its terms and, in their files, the row
-groups whose range holds them.  ``stats`` has the one row of the corpus, and
-``layout`` says how many buckets there are and for which collection.
+groups whose range holds them; it counts their documents as it reads them.
+Bucket -1 has a row without a term for each document.  ``stats`` has the one
+row of the corpus, and ``layout`` says how many buckets there are and for which
+collection.
 """
 
 from __future__ import annotations
@@ -13,29 +15,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import sparse
-from quarry.operators.frames import small
+from quarry.operators.frames import dealt, small
 
 #: Query terms up to so many are literals of the scan; more are joined.
 LITERALS = 10_000
+#: The bucket of the rows that stand for documents themselves.
+DOCUMENTS = -1
 
 
 def bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Postings (term, key, tf, doc_length, df) and the one row of statistics, from one pass over the texts."""
-    posts, terms, stats = sparse.indexed(docs, key, text)
-    return posts.join(terms, "term").select("term", key, "tf", "doc_length", "df"), stats
-
-
 def save(docs: DataFrame, path: str, collection: str = "default", buckets: int = 64, key: str = "doc_id", text: str = "text") -> None:
-    """Builds and writes an index; the commit protocol replaces an older one whole, table by table, statistics last."""
-    posts, stats = build(docs, key, text)
-    placed = posts.withColumn("bucket", bucket(F.col("term"), buckets))
-    placed.repartition("bucket").sortWithinPartitions("bucket", "term", key).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    stats.write.mode("overwrite").parquet(f"{path}/stats")
-    docs.sparkSession.createDataFrame([(collection, buckets, key)], "collection string, buckets int, key string").coalesce(1).write.mode("overwrite").json(f"{path}/layout")
+    """Builds and writes an index; the commit protocol replaces an older one whole, table by table, statistics last.
+
+    Texts are read once; large buckets are parted over several tasks and files.
+    """
+    spark = docs.sparkSession
+    every = sparse.counted(docs, key, text)
+    placed = every.select("term", key, "tf", "doc_length", F.when(F.col("tf") > 0, bucket(F.col("term"), buckets)).otherwise(DOCUMENTS).alias("bucket"))
+    placed.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", key).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    lengths = spark.read.schema(placed.schema).parquet(f"{path}/postings").where(F.col("bucket") == DOCUMENTS).agg(F.count("*").alias("df"), F.sum("doc_length").alias("length"))
+    sparse.statistics(lengths).write.mode("overwrite").parquet(f"{path}/stats")
+    spark.createDataFrame([(collection, buckets, key)], "collection string, buckets int, key string").coalesce(1).write.mode("overwrite").json(f"{path}/layout")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -51,7 +54,7 @@ def load(spark: SparkSession, path: str, collection: str | None = None) -> tuple
     if collection is not None and layout["collection"] != collection:
         raise ValueError(f"the index at {path} is of collection {layout['collection']!r}")
     posts, stats = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
-    lacking = {"term", "tf", "doc_length", "df", "bucket", layout["key"]} - set(posts.columns) | {"num_docs", "avg_doc_length"} - set(stats.columns)
+    lacking = {"term", "tf", "doc_length", "bucket", layout["key"]} - set(posts.columns) | {"num_docs", "avg_doc_length"} - set(stats.columns)
     if lacking or not layout["buckets"] or layout["buckets"] < 1:
         raise ValueError(f"the index at {path} lacks {', '.join(sorted(lacking)) or 'buckets'}")
     return posts, stats, layout["buckets"], layout["key"]
@@ -79,7 +82,10 @@ def search(queries: DataFrame, path: str, k: int, query: str = "query_id", colle
         return queries.select(query, F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("rank"), F.lit(0.0).alias("score")).where(F.lit(False))
     posts, stats, buckets, key = load(spark, path, collection)
     wanted = queries.select(query, F.explode("terms").alias("term"))
-    weighted = wanted_postings(posts, wanted.select("term"), buckets).crossJoin(F.broadcast(stats))  # one row
+    few = F.broadcast if small(queries) else lambda df: df
+    found = wanted_postings(posts, wanted.select("term"), buckets).select(key, "term", "tf", "doc_length")
+    dfs = found.groupBy("term").agg(F.count("*").alias("df"))  # all of a term's postings are read
+    weighted = dealt(found, key).join(few(dfs), "term").crossJoin(F.broadcast(stats))  # one row
     part = sparse.term_score(F.col("tf"), F.col("doc_length"), F.col("avg_doc_length"), sparse.idf(F.col("num_docs"), F.col("df")))
     scored = weighted.select(key, "term", part.alias("part"))
-    return sparse.ranked(wanted.join(scored, "term").groupBy(query, key).agg(F.sum("part").alias("score")), k, query, key)
+    return sparse.ranked(few(wanted).join(scored, "term").groupBy(query, key).agg(F.sum("part").alias("score")), k, query, key)

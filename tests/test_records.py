@@ -311,3 +311,15 @@ def test_coverage_meets_in_blocks(spark, monkeypatch):
     shares = {(r, c): (words(a) & words(b)).total() / words(a).total() for r, a in want.items() for c, b in given.items() if a}
     assert {(x["r"], x["c"]): round(x["coverage"], 9) for x in got.collect()} == {p: round(s, 9) for p, s in shares.items() if s >= 0.5}
     assert "Join Inner" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_move_once(spark, tmp_path):
+    """Postings are counted and ranked where their documents lie; an index has its documents' lengths in a bucket of their own."""
+    docs = spark.createDataFrame([(i, f"common word{i} word{i % 7} text" if i else "") for i in range(50)], "doc_id long, text string")
+    path = str(tmp_path / "index")
+    index.save(docs, path, buckets=8)
+    stored = spark.read.parquet(f"{path}/postings")
+    assert sorted(x["doc_id"] for x in stored.where("bucket = -1").collect()) == list(range(50))
+    assert spark.read.parquet(f"{path}/stats").first()["num_docs"] == 50
+    ranked = sparse.top_terms(sparse.postings(sparse.tokenised(docs)))
+    assert ranked._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
