@@ -76,20 +76,23 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, match: tuple[str,
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, data, tags, _, q_ids, q_data, q_tags, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                names = np.array(ids, np.int64)
-                scores = np.frombuffer(q_data).reshape(len(q_ids), -1) @ np.frombuffer(data).reshape(len(ids), -1).T
+            for i in range(batch.num_rows):  # one meeting at a time, its vectors read where they lie
+                ids, data, tags, _, q_ids, q_data, q_tags, _ = (c[i] for c in batch.columns)
+                names, q_names = ids.values.to_numpy(), q_ids.values.to_numpy()
+                scores = np.frombuffer(q_data.as_buffer()).reshape(len(q_names), -1) @ np.frombuffer(data.as_buffer()).reshape(len(names), -1).T
                 scores = np.round(np.maximum((1 + scores) / 2, 0), 12)
                 if match:
-                    scores[np.array(q_tags, object)[:, None] != np.array(tags, object)[None, :]] = -1
-                least = np.round(np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k], 9) if k < len(ids) else np.zeros(len(q_ids))
+                    codes: dict[str | None, int] = {}
+                    own, want = (np.array([codes.setdefault(t, len(codes)) for t in x.as_py()]) for x in (tags, q_tags))
+                    scores[want[:, None] != own[None, :]] = -1
+                least = np.round(np.partition(scores, len(names) - k, axis=1)[:, len(names) - k], 9) if k < len(names) else np.zeros(len(q_names))
                 rounded = np.round(scores, 9)
                 row, column = np.nonzero((rounded >= least[:, None]) & (scores >= 0))  # the best k and what ties with the last of them
                 order = np.lexsort((names[column], -rounded[row, column], row))
                 row, column = row[order], column[order]
                 rank = np.arange(len(row)) - np.searchsorted(row, row)
                 row, column = row[rank < k], column[rank < k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(q_ids, np.int64)[row]), pa.array(names[column]), pa.array(scores[row, column])], names=[query, key, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(q_names[row]), pa.array(names[column]), pa.array(scores[row, column])], names=[query, key, "score"])
 
     return ranked(met.mapInArrow(best, f"{query} long, {key} long, score double"), k, query, key)
 
